@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..functions.num import r6
 from ..functions.sqltext import sql_in, sql_list
-from ..functions.tiles import hand_rank
 from ..operators import capture as C
 from ..operators import replay as R
+from ..operators.ordered import Run, scan
 from ..session import stage
 from .proxies import CTE
 from .registry import query
@@ -238,13 +239,13 @@ def j14(t):
 
 
 @query("f1_board_change", f"""
-SELECT game, rec, len(list_intersect(string_split(types, ','), {sql_list(dims.BOARD_EVENTS[:-1])})) > 0 AS changes FROM recs
+SELECT game, rec, bool_or(k % 13 <> 0) AS changes FROM ev GROUP BY game, rec
 """)
 def f1(t):
-    # the proxy log holds board events only, so the last type is left out of the group here
-    s, _ = _records(t)
-    hit = F.arrays_overlap("types", F.array(*[F.lit(e) for e in dims.BOARD_EVENTS[:-1]]))
-    return s.select("game", "rec", (hit & R.is_board_change(F.col("types"))).alias("changes"))
+    # every 13th event plays an event type that leaves the board alone
+    d = t.mj.withColumn("type", F.when(F.col("k") % 13 == 0, "end_game").otherwise(F.col("type")))
+    s = d.groupBy("game", "rec").agg(F.collect_set("type").alias("types"))
+    return s.select("game", "rec", R.is_board_change(F.col("types")).alias("changes"))
 
 
 CTE["dealw"] = f"""
@@ -299,3 +300,186 @@ FROM rnd WINDOW w AS (PARTITION BY game ORDER BY seq ROWS UNBOUNDED PRECEDING)
 def p16(t):
     d = R.with_round(t.mj)
     return d.select("game", "seq", R.round_key(F.col("r_bakaze"), F.col("r_kyoku"), F.col("r_honba")).alias("round_key"))
+
+
+QUIET, CAP = 12 * 3600 * 1_000_000, 24 * 3600 * 1_000_000
+
+
+@query("w11_debounce", f"""
+WITH RECURSIVE g AS (SELECT game, seq, ts_us, CASE WHEN lag(ts_us) OVER w IS NULL OR ts_us - lag(ts_us) OVER w >= {QUIET} THEN 1 ELSE 0 END AS o
+  FROM ev WINDOW w AS (PARTITION BY game ORDER BY ts_us, seq)),
+e AS (SELECT game, seq, ts_us, sum(o) OVER (PARTITION BY game ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS burst FROM g),
+n AS (SELECT a.game, a.burst, a.seq, a.ts_us, min(b.seq) AS nx FROM e a LEFT JOIN e b
+  ON a.game = b.game AND a.burst = b.burst AND b.ts_us > a.ts_us + {CAP} GROUP BY ALL),
+r AS (SELECT n.game, n.burst, n.seq, n.ts_us, n.nx FROM n JOIN (SELECT game, burst, min(seq) AS seq FROM e GROUP BY ALL) h USING (game, burst, seq)
+  UNION ALL SELECT n.game, n.burst, n.seq, n.ts_us, n.nx FROM r JOIN n ON n.game = r.game AND n.seq = r.nx),
+l AS (SELECT r.game, r.ts_us AS start_us, r.nx, max(e.seq) AS key, max(e.ts_us) AS last_us
+  FROM r JOIN e ON e.game = r.game AND e.burst = r.burst AND e.ts_us BETWEEN r.ts_us AND r.ts_us + {CAP} GROUP BY ALL)
+SELECT game, key, start_us, CASE WHEN nx IS NULL THEN least(last_us + {QUIET}, start_us + {CAP}) ELSE start_us + {CAP} END AS capture_us,
+  nx IS NOT NULL OR start_us + {CAP} < last_us + {QUIET} AS capped FROM l
+""")
+def w11(t):
+    return C.debounce(t.ev, QUIET, CAP)
+
+
+CTE["rtypes"] = """
+SELECT game, rec, list_distinct(list(type)) AS types, max(ts_us) AS ts_us FROM ev GROUP BY game, rec
+"""
+
+
+def _rec_types(t):
+    return t.ev.groupBy("game", "rec").agg(F.collect_set("type").alias("types"), F.max("ts_us").alias("ts_us"))
+
+
+@query("w12_deal_suppression", f"""
+SELECT game, rec, dealing, NOT dealing AND len(list_intersect(types, {sql_list(dims.BOARD_EVENTS)})) > 0 AS capture FROM (
+SELECT *, coalesce(last_value(CASE WHEN list_contains(types, 'dahai') THEN false WHEN list_contains(types, 'start_kyoku') THEN true END IGNORE NULLS)
+  OVER (PARTITION BY game ORDER BY rec ROWS UNBOUNDED PRECEDING), false) AS dealing FROM rtypes)
+""")
+def w12(t):
+    return C.deal_suppressed(_rec_types(t), "rec").select("game", "rec", "dealing", "capture")
+
+
+CTE["opr"] = """
+SELECT *, CASE WHEN k % 3 = 0 AND NOT syncing AND op_seat = seat THEN [1, 2 + k % 10] END AS ops
+FROM (SELECT *, CASE WHEN k % 2 = 0 THEN k % 4 ELSE (k // 4) % 4 END AS op_seat FROM ev)
+"""
+
+
+def _offers(t):
+    """Records with a nested message text as the tap would have written it."""
+    k = F.col("k")
+    seat = F.when(k % 2 == 0, k % 4).otherwise(F.expr("k div 4") % 4).cast("string")
+    types = F.when(k % 3 == 0, F.concat(F.lit('{"type":1},{"type":'), (2 + k % 10).cast("string"), F.lit("}"))).otherwise("")
+    raw = F.concat(F.lit('{"name":"m","data":{"data":{"operation":{"seat":'), seat, F.lit(',"operationList":['), types, F.lit("]}}}}"))
+    d = t.ev.withColumn("raw_liqi", F.when(k % 3 != 2, raw).when(k % 9 == 2, F.lit("{broken")))
+    return d.withColumn("ops", C.ops_from_record(F.col("raw_liqi"), F.col("syncing"), F.col("seat")))
+
+
+BTN = f"""list_filter({sql_list(dims.BUTTON_ORDER)}, lambda b: list_contains(list_transform(coalesce(ops, []), lambda o:
+  CASE o WHEN 2 THEN 'btn_chi' WHEN 3 THEN 'btn_pon' WHEN 4 THEN 'btn_kan' WHEN 5 THEN 'btn_kan' WHEN 6 THEN 'btn_kan' WHEN 7 THEN 'btn_riichi'
+  WHEN 8 THEN 'btn_tsumo' WHEN 9 THEN 'btn_ron' WHEN 10 THEN 'btn_kyushu' WHEN 11 THEN 'btn_babei' END), b))"""
+CTE["btn"] = f"""
+SELECT *, CASE WHEN len(b0) > 0 THEN list_append(b0, 'btn_skip') ELSE b0 END AS btn FROM (SELECT *, {BTN} AS b0 FROM opr)
+"""
+
+
+@query("p10_ops_from_record", "SELECT game, seq, array_to_string(ops, ',') AS ops FROM opr")
+def p10(t):
+    return _offers(t).select("game", "seq", F.when(F.col("ops").isNotNull(), F.concat_ws(",", F.col("ops").cast("array<string>"))).alias("ops"))
+
+
+@query("p11_buttons_for_ops", "SELECT game, seq, array_to_string(btn, ',') AS buttons FROM btn")
+def p11(t):
+    return _offers(t).select("game", "seq", F.concat_ws(",", C.buttons_for_ops(F.col("ops"))).alias("buttons"))
+
+
+@query("w13_extra_shots", f"""
+WITH a AS (SELECT game, seq, ts_us, NOT syncing AND (type IN {CALLS} OR len(btn) > 0) AS win,
+  lead(ts_us) OVER (PARTITION BY game ORDER BY seq) AS nx FROM btn),
+x AS (SELECT *, unnest([7200000, 14400000, 28800000]) AS offset_ms FROM a WHERE win)
+SELECT game, seq, offset_ms, ts_us + CAST(offset_ms AS BIGINT) * 1000 AS fire_us FROM x WHERE nx IS NULL OR ts_us + CAST(offset_ms AS BIGINT) * 1000 < nx
+""")
+def w13(t):
+    d = _offers(t).withColumn("window", C.opens_window(F.array("type"), F.col("ops"), F.col("syncing")))
+    return C.extra_shots(d.select("game", "seq", "ts_us", "window"), [7200000, 14400000, 28800000])
+
+
+@query("w14_spread_sample", """
+WITH n AS (SELECT game, seq, row_number() OVER (PARTITION BY game ORDER BY seq) - 1 AS rn, count(*) OVER (PARTITION BY game) AS n FROM ev),
+a AS (SELECT DISTINCT game, CAST(floor(i * (CAST(n AS DOUBLE) / 31)) AS BIGINT) AS rn FROM n, (SELECT unnest(range(31)) AS i) WHERE n > 31),
+b AS (SELECT DISTINCT game, CASE WHEN i = 39 THEN n - 1 ELSE CAST(floor(i * (CAST(n - 1 AS DOUBLE) / 39)) AS BIGINT) END AS rn
+  FROM n, (SELECT unnest(range(40)) AS i) WHERE n > 40)
+SELECT 'step' AS how, game, seq FROM n WHERE n <= 31 OR EXISTS (SELECT 1 FROM a WHERE a.game = n.game AND a.rn = n.rn)
+UNION ALL SELECT 'ends', game, seq FROM n WHERE n <= 40 OR EXISTS (SELECT 1 FROM b WHERE b.game = n.game AND b.rn = n.rn)
+""")
+def w14(t):
+    e = t.ev.select("game", "seq")
+    step = C.spread_sample(e, ["game"], ["seq"], 31, R.seq_chunk()).select(F.lit("step").alias("how"), "game", "seq")
+    ends = C.spread_sample(e, ["game"], ["seq"], 40, R.seq_chunk(), ends=True).select(F.lit("ends").alias("how"), "game", "seq")
+    return step.unionByName(ends)
+
+
+MAD = "list_sum(list_transform(list_zip({a}, {b}), lambda z: abs(z[1] - z[2]))) / len({a})"
+
+
+@query("w15_stability", f"""
+WITH l AS (SELECT key, game, v, lag(v) OVER (PARTITION BY game ORDER BY key) AS p FROM vec),
+d AS (SELECT key, game, CASE WHEN p IS NOT NULL THEN {MAD.format(a='v', b='p')} END AS dist FROM l)
+SELECT key, game, round_even(dist, 6) AS dist, coalesce(dist <= 0.12, false) AS stable,
+  min(CASE WHEN dist <= 0.12 THEN key END) OVER (PARTITION BY game) AS first_stable FROM d
+""")
+def w15(t):
+    d = C.stable_rows(t.vec, ["game"], ["key"], 0.12, R.seq_chunk("key"))
+    first = C.first_stable(d, ["game"], "key")
+    return d.join(first, "game").select("key", "game", r6(F.col("dist")).alias("dist"), "stable", "first_stable")
+
+
+@query("j3_latest_record", """
+WITH f AS (SELECT game, seq, ts_us FROM fr WHERE file IS NOT NULL),
+o AS (SELECT game, seq, ts_us, ops FROM opr WHERE seq % 2 = 0)
+SELECT f.game, f.seq, array_to_string(o.ops, ',') AS ops, f.ts_us - o.ts_us AS dt_us, o.seq AS event_seq
+FROM f ASOF LEFT JOIN o ON f.game = o.game AND f.seq >= o.seq
+""")
+def j3(t):
+    frames = t.fr.filter(F.col("file").isNotNull()).select("game", "seq", "ts_us")
+    recs = _offers(t).filter(F.col("seq") % 2 == 0).select(
+        "game", "seq", "ops", F.col("ts_us").alias("event_us"), F.col("seq").alias("event_seq"))
+    d = C.as_of(frames, recs, "game", "seq", ["ops", "event_us", "event_seq"])
+    return d.select("game", "seq", F.when(F.col("ops").isNotNull(), F.concat_ws(",", F.col("ops").cast("array<string>"))).alias("ops"),
+                    (F.col("ts_us") - F.col("event_us")).alias("dt_us"), "event_seq")
+
+
+@query("j4_successor_rescue", """
+WITH s AS (SELECT game, seq, true AS open, CASE WHEN k % 2 = 0 THEN pai END AS gdrawn, k % 3 AS gz FROM ev),
+n AS (SELECT *, lead(gdrawn) OVER w AS nd, lead(gz) OVER w AS nz, lead(open) OVER w AS no FROM s WINDOW w AS (PARTITION BY game ORDER BY seq)),
+o AS (SELECT n.*, CASE WHEN seq % 2 = 0 THEN coalesce(nd, gdrawn) END AS odrawn, CASE WHEN seq % 5 = 0 THEN gz ELSE nz END AS oz FROM n),
+r AS (SELECT *, coalesce(gdrawn IS NULL AND odrawn IS NOT NULL AND no AND nd = odrawn AND oz IS NOT DISTINCT FROM nz, false) AS rescued FROM o)
+SELECT game, seq, rescued, CASE WHEN rescued THEN nd ELSE gdrawn END AS drawn, CASE WHEN rescued THEN nz ELSE gz END AS zone FROM r
+""")
+def j4(t):
+    k = F.col("k")
+    s = t.ev.select("game", "seq", F.lit(True).alias("open"), F.struct(
+        F.when(k % 2 == 0, F.col("pai")).alias("drawn"), (k % 3).alias("zone")).alias("gt"))
+    # the observation shows the next state's draw and zone on part of the frames
+    nx = scan(s, ["game"], ["seq"], [Run("nx", "next", F.col("gt"), inclusive=False)], R.seq_chunk())
+    obs = F.struct(F.when(F.col("seq") % 2 == 0, F.coalesce("nx.drawn", "gt.drawn")).alias("drawn"),
+                   F.when(F.col("seq") % 5 == 0, F.col("gt.zone")).otherwise(F.col("nx.zone")).alias("zone"))
+    d = C.successor_rescue(nx.select("game", "seq", "open", "gt", obs.alias("obs")), ["zone"])
+    return d.select("game", "seq", "rescued", "gt.drawn", "gt.zone")
+
+
+@query("a1_sync_report", """
+WITH c AS (SELECT game, count(*) AS changing, count(f.seq) AS covered FROM (SELECT game, seq FROM ev WHERE k % 13 <> 0) e
+  LEFT JOIN (SELECT game, seq FROM fr WHERE file IS NOT NULL) f USING (game, seq) GROUP BY game),
+s AS (SELECT game, count(*) AS frames, count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status = 'timeout') AS n_timeout,
+  count(*) FILTER (status = 'extra') AS n_extra, count(*) FILTER (status = 'no_capture') AS n_no_capture FROM fr GROUP BY game)
+SELECT game, coalesce(changing, 0) AS changing, coalesce(covered, 0) AS covered, coalesce(frames, 0) AS frames, coalesce(n_ok, 0) AS n_ok,
+  coalesce(n_timeout, 0) AS n_timeout, coalesce(n_extra, 0) AS n_extra, coalesce(n_no_capture, 0) AS n_no_capture,
+  100 * coalesce(covered, 0) // greatest(1, coalesce(changing, 0)) AS covered_pct FROM c FULL JOIN s USING (game)
+""")
+def a1(t):
+    return C.sync_report(t.ev.filter(F.col("k") % 13 != 0), t.fr)
+
+
+@query("a2_offer_inventory", f"""
+WITH d AS (SELECT b.game, b.ops, b.btn, f.seq IS NOT NULL AS framed FROM btn b
+  LEFT JOIN (SELECT DISTINCT game, seq FROM fr WHERE status IN ('ok', 'timeout') AND file IS NOT NULL) f USING (game, seq))
+SELECT game, count(*) FILTER (ops IS NOT NULL) AS offers, count(*) FILTER (len(btn) > 0) AS with_buttons,
+  count(*) FILTER (len(btn) > 0 AND framed) AS with_frame,
+  {', '.join(f"count(*) FILTER (framed AND list_contains(btn, '{b}')) AS {b}" for b in dims.BUTTON_ORDER + ['btn_skip'])}
+FROM d GROUP BY ROLLUP (game)
+""")
+def a2(t):
+    return C.offer_inventory(_offers(t), t.fr)
+
+
+@query("j1_frame_state", """
+SELECT f.game, f.seq, f.file, d.kyoku_ord, d.n_discards, d.open AND d.n_discards = 0 AS deal
+FROM fr f JOIN dealw d USING (game, seq) WHERE f.status = 'ok'
+""")
+def j1(t):
+    state = R.in_round(R.with_round(t.mj))
+    frames = t.fr.filter(F.col("status") == "ok").select("game", "seq", "file")
+    return frames.join(state, ["game", "seq"]).select(
+        "game", "seq", "file", "kyoku_ord", "n_discards", R.deal_window(F.col("open"), F.col("n_discards")).alias("deal"))

@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 
 def _needed(text: str, seen: list[str]) -> list[str]:
     for name, body in CTE.items():
-        if name not in seen and re.search(rf"\b{name}\b", text):
+        if name not in seen and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
             _needed(body, seen)
             if name not in seen:
                 seen.append(name)

@@ -21,6 +21,7 @@ def build_session(cpus: int | str = "*", app: str = "boardlake", shuffle_partiti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BOARDLAKE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.codegen.cache.maxEntries", "1000")
         .getOrCreate()
     )

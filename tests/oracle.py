@@ -56,8 +56,10 @@ def main() -> int:
 
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     names = sys.argv[1:]
+    import logging
+    logging.disable(logging.CRITICAL)
     spark = build_session(8)
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = connect(sf)
     q, o = all_queries()
     bad = 0
@@ -75,7 +77,7 @@ def main() -> int:
             if n == 0:
                 ok, why = False, "no rows"
         except Exception as e:  # report and go on
-            ok, why, n = False, f"{type(e).__name__}: {str(e)[:600]}", -1
+            ok, why, n = False, f"{type(e).__name__}: {str(e)[:400]}", -1
         bad += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {name:28s} rows={n:<7d} {time.time() - t0:6.2f}s {why}", flush=True)
     print("failed:", bad)
