@@ -11,6 +11,11 @@ def r6(c: Column) -> Column:
     return F.bround(c.cast("double"), 6) + F.lit(0.0)
 
 
+def r9(c: Column) -> Column:
+    """Half-even to nine places, without negative zero."""
+    return F.bround(c.cast("double"), 9) + F.lit(0.0)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null when b is zero."""
     return F.try_divide(a.cast("double"), b.cast("double"))

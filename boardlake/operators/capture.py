@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.tiles import lit_array, lit_map
-from ..session import stage
-from .ordered import Run, numbered, scan, seq_chunk
+from .ordered import Run, greedy_islands, numbered, scan, seq_chunk
 
 OPS_SCHEMA = "data struct<data: struct<operation: struct<seat: int, operationList: array<struct<type: int>>>>>"
 
@@ -55,59 +54,19 @@ def debounce(events: DataFrame, quiet_us: int, cap_us: int, chunk: Column | None
     """One capture per quiet spell, or when a burst has run for ``cap_us``.
 
     Input ``game, seq, ts_us``.  A gap of at least ``quiet_us`` ends a burst.  Inside a burst
-    the pending time restarts at the first event after each forced capture.  Bursts no longer
-    than the cap yield one capture by windows alone; longer ones follow "first event later than
-    my start + cap" pointers, halving the remaining hops each pass, so no burst has to sit in
-    one task.
+    the pending time restarts at the first event after each forced capture; the newest key of
+    the pending time is the one captured.
     """
     ch = F.floor(F.col("ts_us") / F.lit(max(cap_us, quiet_us) * 64)) if chunk is None else chunk
-    order = ["ts_us", "seq"]
-    d = scan(events.select("game", "seq", "ts_us"), ["game"], order,
-             [Run("_prev", "last", F.col("ts_us"), inclusive=False)], ch)
-    opens = F.col("_prev").isNull() | (F.col("ts_us") - F.col("_prev") >= quiet_us)
-    d = stage(scan(d, ["game"], order, [Run("burst", "sum", F.when(opens, 1).otherwise(0))], ch).drop("_prev"), "bursts")
-    spans = d.groupBy("game", "burst").agg(F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1"),
-                                           F.min(F.struct(*order)).alias("head"), F.max("seq").alias("last_seq"))
-    short = spans.filter(F.col("t1") <= F.col("t0") + cap_us)
-    done = short.select("game", "burst", F.col("t0").alias("start_us"), F.col("last_seq").alias("key"),
-                        F.col("t1").alias("last_us"), F.lit(True).alias("tail"))
-    long_ = spans.filter(F.col("t1") > F.col("t0") + cap_us)
-    if not long_.isEmpty():
-        rows = d.join(long_.select("game", "burst", F.col("t1").alias("_t1")), ["game", "burst"])
-        done = done.unionByName(_capped(rows, cap_us, ch))
-    at = F.when(F.col("tail"), F.least(F.col("last_us") + quiet_us, F.col("start_us") + cap_us)) \
-        .otherwise(F.col("start_us") + cap_us)
-    capped = ~F.col("tail") | (F.col("start_us") + cap_us < F.col("last_us") + quiet_us)
-    return done.select("game", "key", "start_us", at.alias("capture_us"), capped.alias("capped"))
-
-
-def _capped(rows: DataFrame, cap_us: int, ch: Column) -> DataFrame:
-    keys, order = ["game", "burst"], ["ts_us", "side", "seq"]
-    points = rows.select(*keys, "seq", "ts_us", F.lit(1).alias("side"), F.lit(None).cast("long").alias("asker"),
-                         F.struct("seq", "ts_us").alias("_e"), F.lit(None).cast("struct<seq: bigint, ts_us: bigint>").alias("_b"))
-    asks = rows.select(*keys, "seq", (F.col("ts_us") + cap_us).alias("ts_us"), F.lit(2).alias("side"),
-                       F.col("seq").alias("asker"), F.lit(None).cast("struct<seq: bigint, ts_us: bigint>").alias("_e"),
-                       F.struct("seq", "ts_us").alias("_b"))
-    both = points.unionByName(asks)
-    hop = scan(both, keys, order, [Run("_nx", "next", F.col("_e"), inclusive=False),
-                                   Run("_in", "last", F.col("_e"), inclusive=False)], ch)
-    hop = hop.filter(F.col("side") == 2).select(
-        *keys, F.col("asker").alias("seq"), F.col("_b.ts_us").alias("ts_us"),
-        F.col("_nx.seq").alias("nx"), F.col("_in.seq").alias("last_seq"), F.col("_in.ts_us").alias("last_us"))
-    info = stage(hop, "hops")
-    jump = info.select(*keys, "seq", "nx")
-    starts = rows.groupBy(*keys).agg(F.min_by("seq", F.struct("ts_us", "seq")).alias("seq"))
-    while True:
-        step = starts.join(jump, keys + ["seq"]).filter(F.col("nx").isNotNull()).select(*keys, F.col("nx").alias("seq"))
-        grown = stage(starts.unionByName(step).distinct(), "starts")
-        far = jump.join(jump.select(*keys, F.col("seq").alias("nx"), F.col("nx").alias("nx2")), keys + ["nx"], "left")
-        jump = stage(far.select(*keys, "seq", F.col("nx2").alias("nx")), "jumps")
-        starts = grown
-        if jump.filter(F.col("nx").isNotNull()).isEmpty():
-            break
-    return starts.join(info, keys + ["seq"]).select(
-        *keys, F.col("ts_us").alias("start_us"), F.col("last_seq").alias("key"), "last_us",
-        F.col("nx").isNull().alias("tail"))
+    d = greedy_islands(events.select("game", "seq", "ts_us"), ["game"], "ts_us", "seq", quiet_us, cap_us + 1, ch)
+    pend = d.groupBy("game", "run", "head_no").agg(
+        F.min("ts_us").alias("start_us"), F.max("ts_us").alias("last_us"), F.max("seq").alias("key"))
+    tails = pend.groupBy("game", "run").agg(F.max("head_no").alias("_last"))
+    pend = pend.join(tails, ["game", "run"])
+    tail = F.col("head_no") == F.col("_last")
+    limit, still = F.col("start_us") + cap_us, F.col("last_us") + quiet_us
+    return pend.select("game", "key", "start_us", F.when(tail, F.least(still, limit)).otherwise(limit).alias("capture_us"),
+                       (~tail | (limit < still)).alias("capped"))
 
 
 def extra_shots(armed: DataFrame, offsets_ms: list[int], chunk: Column | None = None) -> DataFrame:

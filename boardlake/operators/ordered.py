@@ -186,6 +186,74 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Co
     return scan(df, keys, order, runs, chunk)
 
 
-def grouped(value: Column) -> Column:
-    """Wrap a value so that ``last``/``next`` also see rows whose value is null."""
-    return F.struct(value.alias("v"))
+def group_quantiles(df: DataFrame, keys: Sequence[str], col: str, quantiles: dict[str, float],
+                    chunk: Column) -> DataFrame:
+    """Exact quantiles with linear interpolation per group; ``median`` is ``0.5``.
+
+    Equal values are counted together first, then a running count over the distinct values
+    finds the ranks, so no group is gathered anywhere.  ``chunk`` must not decrease with ``col``.
+    """
+    keys = list(keys)
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_c"))
+    ranks = scan(counts, keys, [col], [Run("_cum", "sum", F.col("_c")), Run("_n", "total", F.col("_c"))], chunk)
+    aggs = []
+    for name, q in quantiles.items():
+        at = F.lit(float(q)) * (F.col("_n") - 1)
+        aggs += [F.min(F.when(F.col("_cum") > F.floor(at), F.col(col))).alias(f"_lo_{name}"),
+                 F.min(F.when(F.col("_cum") > F.ceil(at), F.col(col))).alias(f"_hi_{name}")]
+    got = ranks.groupBy(*keys).agg(F.max("_n").alias("_n"), *aggs)
+    out = {}
+    for name, q in quantiles.items():
+        at = F.lit(float(q)) * (F.col("_n") - 1)
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        out[name] = lo + (hi - lo) * (at - F.floor(at))
+    return got.select(*keys, *[c.alias(n) for n, c in out.items()])
+
+
+def greedy_islands(df: DataFrame, keys: Sequence[str], pos: str, tie: str, gap, span, chunk: Column) -> DataFrame:
+    """Cut each group, ordered by ``pos``, into islands led by their first row.
+
+    A gap of at least ``gap`` starts a new run.  Inside a run a head takes every row closer than
+    ``span`` to it, and the first row beyond becomes the next head.  ``tie`` must be unique in
+    a group.  Adds ``run`` (number of the gap-free run) and ``head_no`` (number of the island).
+
+    Runs shorter than ``span`` have one head, found by windows alone.  Longer runs follow
+    "first row beyond my span" pointers and double the pointers' reach in every pass, so the
+    number of passes is logarithmic and no run has to sit in one task.
+    """
+    from ..session import stage
+
+    keys, order = list(keys), [pos, tie]
+    d = scan(df, keys, order, [Run("_prev", "last", F.col(pos), inclusive=False)], chunk)
+    opens = F.col("_prev").isNull() | (F.col(pos) - F.col("_prev") >= gap)
+    d = d.withColumn("_open", opens).drop("_prev")
+    d = stage(scan(d, keys, order, [Run("run", "sum", F.when(F.col("_open"), 1).otherwise(0))], chunk), "runs")
+    ends = d.groupBy(*keys, "run").agg(F.min(pos).alias("_a"), F.max(pos).alias("_z"))
+    long_ = ends.filter(F.col("_z") - F.col("_a") >= span).select(*keys, "run")
+    d = d.withColumn("_head", F.col("_open"))
+    if not long_.isEmpty():
+        heads = _chain(d.join(long_, keys + ["run"], "left_semi"), keys + ["run"], pos, tie, span, chunk)
+        d = d.join(heads.withColumn("_more", F.lit(True)), keys + ["run", tie], "left") \
+            .withColumn("_head", F.col("_open") | F.coalesce("_more", F.lit(False))).drop("_more")
+    return scan(d, keys, order, [Run("head_no", "sum", F.when(F.col("_head"), 1).otherwise(0))], chunk) \
+        .withColumnRenamed("_head", "is_head").drop("_open")
+
+
+def _chain(rows: DataFrame, keys: list[str], pos: str, tie: str, span, chunk: Column) -> DataFrame:
+    """Heads of the given runs: the first row, then the first row beyond each head's span."""
+    from ..session import stage
+
+    none = F.lit(None).cast(rows.schema[tie].dataType)
+    points = rows.select(*keys, pos, tie, F.lit(1).alias("_side"), F.col(tie).alias("_e"), none.alias("_b"))
+    asks = rows.select(*keys, (F.col(pos) + span).alias(pos), tie, F.lit(0).alias("_side"), none.alias("_e"), F.col(tie).alias("_b"))
+    both = points.unionByName(asks)
+    hop = scan(both, keys, [pos, "_side", tie], [Run("_nx", "next", F.col("_e"), inclusive=False)], chunk)
+    jump = stage(hop.filter(F.col("_side") == 0).select(*keys, F.col("_b").alias(tie), F.col("_nx")), "hops")
+    heads = rows.groupBy(*keys).agg(F.min_by(tie, F.struct(pos, tie)).alias(tie))
+    while True:
+        step = heads.join(jump, keys + [tie]).filter(F.col("_nx").isNotNull()).select(*keys, F.col("_nx").alias(tie))
+        heads = stage(heads.unionByName(step).distinct(), "heads")
+        far = jump.select(*keys, F.col(tie).alias("_nx"), F.col("_nx").alias("_nx2"))
+        jump = stage(jump.join(far, keys + ["_nx"], "left").select(*keys, tie, F.col("_nx2").alias("_nx")), "jumps")
+        if jump.filter(F.col("_nx").isNotNull()).isEmpty():
+            return heads
