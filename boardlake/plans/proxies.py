@@ -40,7 +40,7 @@ SELECT l_orderkey AS frame, CAST(l_partkey % 97 AS DOUBLE) AS x0, CAST(l_suppkey
   CAST(l_suppkey % 89 + 12 + 5 * l_linenumber AS DOUBLE) AS y1,
   CAST(l_partkey % 38 AS INTEGER) AS cls,
   CAST(round(l_discount * 100) + round(l_tax * 100) AS INTEGER) AS score100,
-  l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag, l_linestatus
+  CAST(round(l_extendedprice * 100) AS BIGINT) AS det_id, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag, l_linestatus
 FROM lineitem
 """
 CTE["bag"] = f"""
@@ -134,7 +134,7 @@ class Tables:
             (s % 89 + 12 + 5 * F.col("l_linenumber")).cast("double").alias("y1"),
             (p % 38).cast("int").alias("cls"),
             (F.round(F.col("l_discount") * 100) + F.round(F.col("l_tax") * 100)).cast("int").alias("score100"),
-            "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
+            F.round(F.col("l_extendedprice") * 100).cast("long").alias("det_id"), "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
 
     @cached_property
     def bag(self) -> DataFrame:
