@@ -248,3 +248,12 @@ def grouped_ap(ap: DataFrame) -> DataFrame:
     """Mean over tile classes and over HUD classes."""
     kind = F.when(F.col("cls") < len(dims.TILES), "tile").otherwise("hud")
     return ap.groupBy(kind.alias("kind")).agg(F.avg("ap").alias("map"), F.count(F.lit(1)).alias("classes"))
+
+
+def button_rates(rows: DataFrame) -> DataFrame:
+    """A10: exact button sets on all frames, and on frames that show buttons. Input: ``want, got`` as text."""
+    same = F.col("want") == F.col("got")
+    d = rows.select(F.explode(F.array(F.struct(F.lit("buttons").alias("field"), F.lit(True).alias("use")),
+                                      F.struct(F.lit("button_recall").alias("field"), (F.col("want") != "").alias("use")))).alias("_f"), same.alias("_s"))
+    d = d.filter("_f.use").groupBy(F.col("_f.field").alias("field")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("_s")).alias("hit"))
+    return d.withColumn("rate", ratio(F.col("hit"), F.col("total")))

@@ -12,6 +12,6 @@ def all_queries():
     """(queries, oracle SQL) of every module."""
     for m in MODULES:
         importlib.import_module(f"{__name__}.{m}")
-    from .registry import ORACLES, QUERIES
+    from .registry import ORACLES, QUERIES, with_ctes
 
-    return QUERIES, ORACLES
+    return dict(QUERIES), {name: with_ctes(sql) for name, sql in ORACLES.items()}

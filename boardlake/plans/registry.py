@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .proxies import CTE, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {}  # without the shared table expressions
 
 
 def _needed(text: str, seen: list[str]) -> list[str]:
@@ -42,7 +42,7 @@ def query(name: str, sql: str | None = None):
         assert name not in QUERIES, name
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_ctes(sql)
+            ORACLES[name] = sql
         return fn
 
     return deco
