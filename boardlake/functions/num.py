@@ -29,3 +29,14 @@ def half_even_int(c: Column) -> Column:
 def mod(a: Column, n: int) -> Column:
     """Remainder that is never negative."""
     return F.pmod(a, F.lit(n))
+
+
+def seeded_hash(seed: int, *keys: Column) -> Column:
+    """A 60-bit number fixed by the seed and the key's text, the same in every engine."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def seeded_share(seed: int, *keys: Column) -> Column:
+    """``seeded_hash`` scaled to 0 <= x < 1 in millionths."""
+    return (seeded_hash(seed, *keys) % 1_000_000) / 1e6

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..session import stage
 from .ordered import Run, group_quantiles, numbered, scan
 
 CELL = 64  # measured values per chunk step
@@ -127,10 +128,11 @@ def robust_line(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y", p
     d = pairs.select(*keys, x, y)
     for _ in range(passes):
         r = d.join(d.groupBy(*keys).agg(*fit), keys).withColumn("_r", F.col(y) - (F.col("_a") * F.col(x) + F.col("_b")))
+        r = stage(r, "residuals")
         med = group_quantiles(r, keys, "_r", {"_m": 0.5}, _chunk("_r"))
         r = r.join(med, keys).withColumn("_keep", F.abs(F.col("_r") - F.col("_m")) < band)
         left = r.groupBy(*keys).agg(F.count_if(F.col("_keep")).alias("_k"))
-        d = r.join(left, keys).filter(F.col("_keep") | (F.col("_k") < at_least)).select(*keys, x, y)
+        d = stage(r.join(left, keys).filter(F.col("_keep") | (F.col("_k") < at_least)).select(*keys, x, y), "kept")
     last = d.groupBy(*keys).agg(*fit, F.count(F.lit(1)).alias("n_used"))
     err = d.join(last, keys).groupBy(*keys).agg(F.sqrt(F.avg(F.pow(F.col(y) - (F.col("_a") * F.col(x) + F.col("_b")), F.lit(2.0)))).alias("rmse"))
     off = group_quantiles(pairs.withColumn("_o", F.col(y) - F.col(x)), keys, "_o", {"_off": 0.5}, _chunk("_o"))

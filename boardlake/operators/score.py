@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.geometry import box_cols, iou
-from ..functions.num import ratio
+from ..functions.num import ratio, seeded_hash
 from ..functions.tiles import base_tile
 from .ordered import Run, group_quantiles, scan
 
@@ -133,7 +133,7 @@ def top_confusions(pairs: DataFrame, n: int, per_pair: int, key: str, seed: int
     """K1: the n most frequent confusions with up to ``per_pair`` examples each, in seeded order."""
     top = confusions(pairs).orderBy(F.desc("n"), "gt", "pred").limit(n)
     ex = pairs.join(F.broadcast(top), ["gt", "pred"])  # at most n rows
-    w = Window.partitionBy("gt", "pred").orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    w = Window.partitionBy("gt", "pred").orderBy(seeded_hash(seed, F.col(key)), key)
     return ex.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_pair)
 
 
