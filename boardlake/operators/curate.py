@@ -95,6 +95,12 @@ def covered(changing: DataFrame, saved: DataFrame, keys: list[str]) -> DataFrame
     return changing.select(*keys).intersect(saved.select(*keys))
 
 
+def annotation_frames(annotations: DataFrame, frames: DataFrame, states: DataFrame) -> DataFrame:
+    """Annotation records that have a frame, with the replayed state if there is one."""
+    keys = ["game", "seq"]
+    return annotations.join(frames, keys).join(states, keys, "left")
+
+
 # --- label text -------------------------------------------------------------------------
 
 

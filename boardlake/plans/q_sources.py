@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import geometry as G
 from ..functions import text as TX
-from ..functions.num import r6
+from ..functions.num import r9
 from ..functions.sqltext import sql_list
 from ..functions.tiles import lit_array
 from ..operators import curate as K
@@ -198,7 +198,7 @@ def s10(t):
 @query("s9_read_labels", """
 WITH f AS (SELECT frame, cls, string_split(CASE WHEN frame % 2 = 0 THEN hbb ELSE obb END, ' ') AS f, frame % 2 = 1 AS q FROM lbl)
 SELECT frame, CASE WHEN q THEN 'obb' ELSE 'hbb' END AS fmt, cls, CASE WHEN q THEN CAST(f[4] AS DOUBLE) END AS qx2, CASE WHEN q THEN CAST(f[9] AS DOUBLE) END AS qy4,
-  CASE WHEN NOT q THEN round_even(CAST(f[2] AS DOUBLE) - CAST(f[4] AS DOUBLE) / 2, 6) + 0e0 END AS x, CASE WHEN NOT q THEN CAST(f[5] AS DOUBLE) END AS h FROM f
+  CASE WHEN NOT q THEN round_even(CAST(f[2] AS DOUBLE) - CAST(f[4] AS DOUBLE) / 2, 9) + 0e0 END AS x, CASE WHEN NOT q THEN CAST(f[5] AS DOUBLE) END AS h FROM f
 """)
 def s9(t):
     path = fresh_path(t.spark, "labels")
@@ -207,7 +207,7 @@ def s9(t):
     D.write_label_text(files, path)
     back = t.spark.read.text(path).select(F.substring_index("value", "|", 1).cast("long").alias("frame"), F.regexp_replace(F.substring_index("value", "|", -1), ";", "\n").alias("text"))
     p = K.parse_labels(back, ["frame"])
-    return p.select("frame", "fmt", "cls", F.get("quad", F.lit(1))["x"].alias("qx2"), F.get("quad", F.lit(3))["y"].alias("qy4"), r6(F.col("x")).alias("x"), "h")
+    return p.select("frame", "fmt", "cls", F.get("quad", F.lit(1))["x"].alias("qx2"), F.get("quad", F.lit(3))["y"].alias("qy4"), r9(F.col("x")).alias("x"), "h")
 
 
 @query("s11_annotation_records", """
