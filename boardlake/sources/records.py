@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 SCHEMA_VERSION = 1
 
@@ -17,7 +16,7 @@ RECORD = (
     "seq long, ts double, flow_id string, seat int, last_op_step int, syncing boolean, method string, action_name string, "
     f"raw_liqi string, mjai array<{EVENT}>, screenshot string, meta map<string, string>"
 )
-RECORD_SCHEMA = StructType.fromDDL(RECORD)
+RECORD_FIELDS = ["seq", "ts", "flow_id", "seat", "last_op_step", "syncing", "method", "action_name", "raw_liqi", "mjai", "screenshot", "meta"]
 # what a line may hold beside the record: the header's version mark
 LINE = f"_schema int, {RECORD}"
 
@@ -44,7 +43,7 @@ def read_records(spark: SparkSession, *paths: str, game: Column | None = None) -
 
 def as_lines(records: DataFrame) -> DataFrame:
     """One JSON text per record in the log's field order; nulls are written, messages stay nested."""
-    cols = [F.try_parse_json(c).alias(c) if c == "raw_liqi" else F.col(c) for c in RECORD_SCHEMA.names if c in records.columns]
+    cols = [F.try_parse_json(c).alias(c) if c == "raw_liqi" else F.col(c) for c in RECORD_FIELDS if c in records.columns]
     return records.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))
 
 
