@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.geometry import box_cols, iou, river_axes, river_distance, strip_distance
+from ..functions.geometry import box_cols, corners, iou, river_axes, river_distance, strip_distance
 from ..functions.tiles import lit_array
 from ..session import stage
 from .layout import meld_cells
@@ -18,45 +18,40 @@ from .ordered import Run, greedy_islands, group_quantiles, scan
 # --- J5 ---------------------------------------------------------------------------------
 
 
-def nearest_zone(x: Column, y: Column, tile: Column, mode: str) -> Column:
-    """Closest of the eight zones as (dist, kind, seat); a tile back only fits meld strips.
-
-    The first zone wins ties: seats in order, river before strip.  The eight distances are
-    plain expressions of the row, so no join is needed.
-    """
-    zones = []
-    for seat in range(4):
-        river = river_distance(x, y, mode, seat)
-        zones.append(F.struct(F.when(tile != "back", river).otherwise(F.lit(1e18)).alias("dist"),
-                              F.lit(2 * seat).alias("ord"), F.lit("river").alias("kind"), F.lit(seat).alias("seat")))
-        zones.append(F.struct(strip_distance(x, y, mode, seat).alias("dist"), F.lit(2 * seat + 1).alias("ord"),
-                              F.lit("meld").alias("kind"), F.lit(seat).alias("seat")))
-    return F.array_min(F.array(*zones))
-
-
 def route(dets: DataFrame, mode: str) -> DataFrame:
-    """Zone and fate of each table detection.
+    """Closest of the eight zones of each table detection, and its fate.
 
-    Input: ``x, y`` (centre), ``tile, quad``.  Fates: ``kept``; ``stray`` (too far from any
+    Input: ``x, y`` (centre), ``tile, quad``.  A tile back only fits meld strips; the first zone
+    wins ties, seats in order, river before strip.  Fates: ``kept``; ``stray`` (too far from any
     zone); ``ignored`` (a stray back, which is expected); ``standing`` (an upright back of an
-    opponent's hand that reached a strip).
+    opponent's hand that reached a strip).  The eight distances are plain expressions of the
+    row, so no join is needed.
     """
-    d = dets.withColumn("_z", nearest_zone(F.col("x"), F.col("y"), F.col("tile"), mode))
-    back, seat = F.col("tile") == "back", F.col("_z.seat")
+    x, y, back = F.col("x"), F.col("y"), F.col("tile") == "back"
+    far = {}
+    for s in range(4):
+        far[f"_d{2 * s}"] = F.when(~back, river_distance(x, y, mode, s)).otherwise(F.lit(1e18))
+        far[f"_d{2 * s + 1}"] = strip_distance(x, y, mode, s)
+    d = dets.withColumns(far).withColumn("dist", F.least(*far))
+    zone = F.lit(7)
+    for i in range(6, -1, -1):
+        zone = F.when(F.col(f"_d{i}") == F.col("dist"), i).otherwise(zone)
+    d = d.withColumn("_zone", zone)
+    seat, strip = F.floor(F.col("_zone") / 2).cast("int"), F.col("_zone") % 2 == 1
     upright = F.lit(False)
     for s in (1, 2, 3):
         cfg = dims.STRIP[mode][s]
         ax = cfg["along"] if s in (1, 3) else cfg["cross"]
         upright = upright | ((seat == s) & (_reach(ax) > 1.15 * cfg["d"]))
-    fate = (F.when(F.col("_z.dist") > dims.ZONE_LIMIT, F.when(back, "ignored").otherwise("stray"))
-            .when(back & (F.col("_z.kind") == "meld") & upright, "standing").otherwise("kept"))
-    return d.withColumns({"dist": F.col("_z.dist"), "kind": F.col("_z.kind"), "seat": seat, "fate": fate}).drop("_z")
+    fate = (F.when(F.col("dist") > dims.ZONE_LIMIT, F.when(back, "ignored").otherwise("stray"))
+            .when(back & strip & upright, "standing").otherwise("kept"))
+    return d.withColumns({"kind": F.when(strip, "meld").otherwise("river"), "seat": seat, "fate": fate}).drop("_zone", *far)
 
 
 def _reach(axis: tuple[float, float]) -> Column:
     """Extent of the quad along an axis."""
-    along = F.transform("quad", lambda p: p["x"] * axis[0] + p["y"] * axis[1])
-    return F.array_max(along) - F.array_min(along)
+    along = [a * axis[0] + b * axis[1] for a, b in zip(corners(F.col("quad"), "x"), corners(F.col("quad"), "y"))]
+    return F.greatest(*along) - F.least(*along)
 
 
 # --- J6 ---------------------------------------------------------------------------------
@@ -154,16 +149,21 @@ def river_rows(dets: DataFrame, keys: list[str], mode: str, seat: str = "seat")
     Input: ``keys`` (with the seat), ``x, y`` and a unique ``det_id``.  ``off_grid`` marks
     detections too far from any row; they take no place in the order.
     """
-    row = None
+    axes = {c: None for c in ("ox", "oy", "ux", "uy", "vx", "vy", "o0", "o1", "o2", "pitch")}
     for s in range(4):
         r = river_axes(mode, s)
-        dx, dy = F.col("x") - r["o"][0], F.col("y") - r["o"][1]
-        v = dx * r["v"][0] + dy * r["v"][1]
-        best = F.array_min(F.array(*[F.struct(F.abs(v - o).alias("d"), F.lit(i).alias("r")) for i, o in enumerate(r["offs"])]))
-        vals = F.struct(best["r"].alias("row"), (best["d"] > 0.5 * (r["offs"][1] - r["offs"][0])).alias("off"),
-                        (dx * r["u"][0] + dy * r["u"][1]).alias("u"), F.lit(r["pitch"]).alias("pitch"))
-        row = F.when(F.col(seat) == s, vals) if row is None else row.when(F.col(seat) == s, vals)
-    d = dets.withColumn("_v", row).withColumns({"row": F.col("_v.row"), "off_grid": F.col("_v.off"), "u": F.col("_v.u"), "pitch": F.col("_v.pitch")}).drop("_v")
+        vals = dict(zip(axes, (*r["o"], *r["u"], *r["v"], *r["offs"], r["pitch"])))
+        for c, v in vals.items():
+            hit = F.col(seat) == s
+            axes[c] = F.when(hit, F.lit(float(v))) if axes[c] is None else axes[c].when(hit, F.lit(float(v)))
+    d = dets.withColumns({f"_{c}": v for c, v in axes.items()})
+    dx, dy = F.col("x") - F.col("_ox"), F.col("y") - F.col("_oy")
+    d = d.withColumns({"u": dx * F.col("_ux") + dy * F.col("_uy"), "_v": dx * F.col("_vx") + dy * F.col("_vy")})
+    d = d.withColumns({f"_r{i}": F.abs(F.col("_v") - F.col(f"_o{i}")) for i in range(3)})
+    best = F.least("_r0", "_r1", "_r2")
+    d = d.withColumns({"row": F.when(F.col("_r0") == best, 0).when(F.col("_r1") == best, 1).otherwise(2),
+                       "off_grid": best > 0.5 * (F.col("_o1") - F.col("_o0")), "pitch": F.col("_pitch")})
+    d = d.drop(*[f"_{c}" for c in axes], "_v", "_r0", "_r1", "_r2")
     good = ~F.col("off_grid")
     runs = [Run("pos_in_row", "sum", F.when(good, 1).otherwise(0)), Run("_prev", "last", F.when(good, F.col("u")), inclusive=False)]
     d = scan(d, keys + ["row"], ["u", "det_id"], runs, F.floor(F.col("u") / 16))

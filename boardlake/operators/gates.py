@@ -68,12 +68,16 @@ def check_observed() -> Column:
     flat_rivers, flat_melds = F.flatten(rivers), F.flatten(melds)
     seen = F.concat(hand, F.when(drawn.isNotNull(), F.array(drawn)).otherwise(F.array().cast("array<string>")),
                     F.transform(flat_rivers, lambda t: t["pai"]), F.flatten(F.transform(flat_melds, lambda m: m["tiles"])), dora)
-    seen = F.filter(seen, lambda p: (p != "back") & (p != ""))
+    seen = F.array_remove(F.array_remove(seen, "back"), "")
     valid = lit_array(dims.TILES)
-    unknown = F.transform(F.filter(seen, lambda p: ~F.array_contains(valid, p)), lambda p: _text("unknown tile name '", p, "'"))
-    bases = F.transform(F.filter(seen, lambda p: F.array_contains(valid, p)), base_tile)
-    counted = F.transform(F.array_distinct(bases), lambda b: F.struct(b.alias("b"), F.size(F.filter(bases, lambda x: x == b)).alias("n")))
-    many = F.transform(F.filter(counted, lambda c: c["n"] > 4), lambda c: _text("tile ", c["b"], " seen ", c["n"], ">4 times across visible zones"))
+    odd = F.size(F.array_except(seen, valid)) > 0
+    nothing = F.array().cast("array<string>")
+    unknown = F.when(odd, F.transform(F.filter(seen, lambda p: ~F.array_contains(valid, p)), lambda p: _text("unknown tile name '", p, "'"))).otherwise(nothing)
+    known = F.when(odd, F.filter(seen, lambda p: F.array_contains(valid, p))).otherwise(seen)
+    # equal tiles stand together once sorted, so a fifth copy sits four places after the first
+    bases = F.array_sort(F.transform(known, base_tile))
+    fifth = F.filter(bases, lambda b, i: (F.get(bases, i + 4) == b) & ~F.coalesce(F.get(bases, i - 1) == b, F.lit(False)))
+    many = F.transform(fifth, lambda b: _text("tile ", b, " seen ", F.size(bases) - F.size(F.array_remove(bases, b)), ">4 times across visible zones"))
 
     own = F.get(melds, F.lit(0))
     n_hand, n_melds = F.size(hand), F.size(own)

@@ -35,7 +35,7 @@ class Run:
 
 def seq_chunk(col: str = "seq", size: int = SEQ_CHUNK) -> Column:
     """Chunk key for a log ordered by an integer sequence number."""
-    return F.floor(F.col(col) / F.lit(size))
+    return F.expr(f"`{col}` div {size}")
 
 
 def _order_value(order: Sequence[str]) -> Column:

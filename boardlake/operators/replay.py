@@ -183,7 +183,7 @@ def hero_hand(changes: DataFrame, chunk: Column | None = None) -> DataFrame:
     plain = [t for t in dims.TILES if t not in dims.RED_FIVES and t != "back"]
 
     def count(col: str, tile: str) -> Column:
-        return F.size(F.filter(F.col(col), lambda x: x == tile))
+        return F.size(col) - F.size(F.array_remove(col, tile))
 
     red_cols = {f"n_{t}": count("added", t) - count("removed", t) for t in dims.RED_FIVES}
     d = clamped_sum(changes, ROUND, ORDER, red_cols, ch, before=True)

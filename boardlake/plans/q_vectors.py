@@ -138,7 +138,7 @@ l AS (SELECT *, list_filter(range(64), lambda i: i % 8 >= xa AND i % 8 < xb AND
 SELECT frame, ln, CASE WHEN len(idx) > 0 THEN round_even(CAST(list_sum(list_transform(idx, lambda i: p[i + 1])) AS DOUBLE) / len(idx), 6) ELSE 0e0 END AS fill FROM l
 """)
 def v8(t):
-    m = _pix(t).select("key", F.col("p").cast("array<double>").alias("p"))
+    m = _pix(t).select("key", V.integral(F.col("p").cast("array<double>"), W, H).alias("p"))
     d = _vbox(t).join(m, "key")
     f = V.box_mean(F.col("p"), W, H, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     return d.select("frame", "ln", r6(f).alias("fill"))
