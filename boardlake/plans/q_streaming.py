@@ -9,26 +9,21 @@ from ..session import fresh_path
 from ..sources import records as RC
 from ..streaming import pairs as P
 from ..streaming import replay_stream, timers
-from ..streaming.run import drain, land, source
+from ..streaming.run import drain_growing
 from . import q_sequences as QS
 from .q_sources import log_records
 from .registry import ORACLES, query
 
-SLICES = 3
+ROWS_PER_SLICE = 2_000_000  # what one micro-batch may bring to a game's state
 
 
-def _slices(d, col: str = "seq"):
-    """Three slices of a table in log order."""
-    top = F.lit(SLICES)
-    b = d.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi")).first()
-    step = (b["_hi"] - b["_lo"]) // SLICES + 1
-    no = F.least(top - 1, F.floor((F.col(col) - b["_lo"]) / step))
-    return [d.filter(no == i) for i in range(SLICES)]
-
-
-def _stream(t, d, name: str):
-    path, schema = land(_slices(d), name)
-    return source(t.spark, path, schema)
+def _slices(d, extra: list | None = None):
+    """The table in log order, cut into micro-batches of bounded size."""
+    b = d.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    k = max(3, -(-b["n"] // ROWS_PER_SLICE))
+    step = (b["hi"] - b["lo"]) // k + 1
+    no = F.floor((F.col("seq") - b["lo"]) / step)
+    return [d.filter(no == i) for i in range(k)] + (extra or [])
 
 
 def _ts(us):
@@ -53,43 +48,41 @@ def _g1_sql() -> str:
 @query("g1_live_replay", _g1_sql())
 def g1(t):
     d = t.mj.select("game", "seq", "ev_idx", "type", "actor", F.size("consumed").alias("n_consumed"), "kyotaku", "scores")
-    out = drain(replay_stream.replay(_stream(t, d, "events")), "snapshots").filter(~F.col("late"))
+    out = drain_growing([(p,) for p in _slices(d)], replay_stream.replay, "snapshots").filter(~F.col("late"))
     per = [F.col(src)[s].alias(f"{name}_{s}") for src, name in (("concealed", "concealed"), ("scores", "score"), ("reach", "reach")) for s in range(4)]
     return out.select("game", "seq", "kyoku_ord", *per, "sticks", "n_dora", "owed")
 
 
-def _with_end(d, lag_us: int):
+def _end(d):
     """A closing row of no game, late enough to let every timer run out."""
-    end = d.agg((F.max("ts_us") + lag_us).alias("ts_us"), (F.max("seq") + 1).alias("seq")).select(F.lit(-1).cast("long").alias("game"), "seq", "ts_us")
-    return d.unionByName(end, allowMissingColumns=True)
+    end = d.agg((F.max("ts_us") + 10 * QS.CAP).alias("ts_us"), (F.max("seq") + 1).alias("seq"))
+    return end.select(F.lit(-1).cast("long").alias("game"), "seq", "ts_us")
 
 
 @query("g2_live_debounce", ORACLES["w11_debounce"])
 def g2(t):
     d = t.ev.select("game", "seq", "ts_us")
-    parts = _slices(d) + [_with_end(d, 10 * QS.CAP).filter("game = -1")]
-    path, schema = land([p.withColumn("ts", _ts("ts_us")) for p in parts], "events")
-    s = source(t.spark, path, schema).withWatermark("ts", "0 seconds")
-    return drain(timers.debounce(s, QS.QUIET, QS.CAP), "captures").filter("game >= 0")
+    parts = [(p.withColumn("ts", _ts("ts_us")),) for p in _slices(d, [_end(d)])]
+    live = lambda s: timers.debounce(s.withWatermark("ts", "0 seconds"), QS.QUIET, QS.CAP)
+    return drain_growing(parts, live, "captures").filter("game >= 0")
 
 
 @query("g3_live_extra_shots", ORACLES["w13_extra_shots"])
 def g3(t):
     win = C.opens_window(F.array("type"), F.col("ops"), F.col("syncing"))
     d = QS._offers(t).select("game", "seq", "ts_us", win.alias("window"))
-    end = _with_end(d.select("game", "seq", "ts_us"), 10 * QS.CAP).filter("game = -1").withColumn("window", F.lit(False))
-    path, schema = land([p.withColumn("ts", _ts("ts_us")) for p in _slices(d) + [end]], "armed")
-    s = source(t.spark, path, schema).withWatermark("ts", "0 seconds")
-    return drain(timers.extra_shots(s, [7200000, 14400000, 28800000]), "shots").filter("game >= 0")
+    end = _end(d).withColumn("window", F.lit(False))
+    parts = [(p.withColumn("ts", _ts("ts_us")),) for p in _slices(d, [end])]
+    live = lambda s: timers.extra_shots(s.withWatermark("ts", "0 seconds"), [7200000, 14400000, 28800000])
+    return drain_growing(parts, live, "shots").filter("game >= 0")
 
 
 @query("g4_live_dedup", "SELECT CAST(game AS VARCHAR) AS flow_id, seq FROM ev WHERE NOT syncing")
 def g4(t):
     d = t.ev.select(F.col("game").cast("string").alias("flow_id"), "seq", "syncing", _ts("ts_us").alias("ts"))
     again = d.filter(F.col("seq") % 4 == 0)  # a reconnect sends part of the log twice
-    parts = [s.unionByName(again.join(s.select("seq"), "seq", "left_semi").select(*d.columns)) for s in _slices(d)]
-    path, schema = land(parts, "records")
-    return drain(P.first_offers(source(t.spark, path, schema), "2 days"), "offers").select("flow_id", "seq")
+    parts = [(s.unionByName(again.join(s.select("seq"), "seq", "left_semi").select(*d.columns)),) for s in _slices(d)]
+    return drain_growing(parts, lambda s: P.first_offers(s, "2 days"), "offers").select("flow_id", "seq")
 
 
 @query("g5_live_counters", """
@@ -98,8 +91,8 @@ SELECT ts_us // 86400000000 * 86400000000 AS start_us, status, count(*) AS n FRO
 def g5(t):
     d = t.fr.select("seq", "ts_us", "status")
     end = d.agg((F.max("seq") + 1).alias("seq"), (F.max("ts_us") + 10 * QS.CAP).alias("ts_us")).withColumn("status", F.lit("end"))
-    path, schema = land([p.withColumn("ts", _ts("ts_us")) for p in _slices(d) + [end]], "frames")
-    return drain(P.capture_counters(source(t.spark, path, schema), "1 hour", "1 day"), "counters").filter("status <> 'end'")
+    parts = [(p.withColumn("ts", _ts("ts_us")),) for p in _slices(d, [end])]
+    return drain_growing(parts, lambda s: P.capture_counters(s, "1 hour", "1 day"), "counters").filter("status <> 'end'")
 
 
 @query("g6_live_pairing", """
@@ -109,5 +102,5 @@ def g6(t):
     rec = t.ev.select("game", "seq", _ts("ts_us").alias("ts"))
     late = (F.col("seq") % 50) * 1_000_000
     frames = t.fr.filter(F.col("file").isNotNull()).select("game", "seq", _ts(F.col("ts_us") + late).alias("ts"), "file")
-    r, f = _stream(t, rec, "records"), _stream(t, frames, "frames")
-    return drain(P.pair_frames(r, f, "1 hour", "30 SECONDS"), "paired")
+    parts = list(zip(_slices(rec), _slices(frames)))
+    return drain_growing(parts, lambda r, f: P.pair_frames(r, f, "1 hour", "30 SECONDS"), "paired")

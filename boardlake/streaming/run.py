@@ -1,30 +1,41 @@
-"""Run a stream over what is available now into a Parquet table."""
+"""Run streams over a growing folder and read what they wrote."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ..session import fresh_path
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything available, with a checkpoint in the shared folder, and read the result."""
-    spark = stream.sparkSession
-    path, check = fresh_path(spark, name), fresh_path(spark, f"{name}-checkpoint")
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", check) \
-        .outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+def source(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Files of a folder as a stream; each run takes the files that came since the last one."""
+    return spark.readStream.schema(schema).parquet(path)
 
 
-def land(parts: list[DataFrame], name: str) -> tuple[str, StructType]:
-    """Write tables one after the other into one folder, as a growing source; returns folder and schema."""
-    path = fresh_path(parts[0].sparkSession, name)
-    for p in parts:
-        p.coalesce(1).write.mode("append").parquet(path)
-    return path, parts[0].schema
+def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Process everything available and append it to a Parquet table, each result once."""
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint) \
+        .outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
 
 
-def source(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def drain_growing(slices: list[tuple[DataFrame, ...]], build: Callable[..., DataFrame], name: str) -> DataFrame:
+    """Let one or more sources grow slice by slice and stream each slice as it lands.
+
+    ``build`` gets one stream per source.  Every slice is a micro-batch of its own; state and
+    progress live in a checkpoint in the shared folder, so a run can stop after any slice.
+    """
+    spark = slices[0][0].sparkSession
+    paths = [fresh_path(spark, f"{name}-in{i}") for i in range(len(slices[0]))]
+    out, check = fresh_path(spark, name), fresh_path(spark, f"{name}-checkpoint")
+    schema = None
+    for parts in slices:
+        for part, path in zip(parts, paths):
+            part.write.mode("append").parquet(path)
+        stream = build(*[source(spark, path, part.schema) for part, path in zip(parts, paths)])
+        schema = stream.schema
+        drain(stream, out, check)
+    return spark.read.schema(schema).parquet(out)

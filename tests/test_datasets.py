@@ -14,7 +14,7 @@ from boardlake.session import fresh_path
 from boardlake.sources import datasets as D
 from boardlake.sources import records as R
 from boardlake.streaming import pairs, replay_stream
-from boardlake.streaming.run import drain, land, source
+from boardlake.streaming.run import drain_growing
 
 
 def write_lines(spark, name, lines):
@@ -143,8 +143,7 @@ def test_live_replay_marks_late_events(spark):
     schema = "game long, seq long, ev_idx int, type string, actor int, n_consumed int, kyotaku int, scores array<int>"
     parts = [[ev(0, 0, "start_kyoku", kyotaku=1, scores=[25000] * 4), ev(1, 0, "tsumo", 0), ev(2, 0, "dahai", 0)],
              [ev(1, 0, "tsumo", 0), ev(3, 0, "reach_accepted", 2), ev(3, 1, "pon", 1, 2)]]
-    path, sch = land([spark.createDataFrame(p, schema) for p in parts], "live")
-    rows = drain(replay_stream.replay(source(spark, path, sch)), "snap").orderBy("seq", "late", "owed").collect()
+    rows = drain_growing([(spark.createDataFrame(p, schema),) for p in parts], replay_stream.replay, "snap").orderBy("seq", "late", "owed").collect()
     late = [r for r in rows if r.late]
     assert len(late) == 1 and late[0].seq == 1
     last = [r for r in rows if r.seq == 3 and r.owed == 1][0]
@@ -154,8 +153,8 @@ def test_live_replay_marks_late_events(spark):
 def test_live_offers_drop_replays(spark):
     rows = [("f", 1, False, "2024-01-01 00:00:00"), ("f", 1, False, "2024-01-01 00:00:01"), ("f", 2, True, "2024-01-01 00:00:02"), ("g", 1, None, "2024-01-01 00:00:02")]
     d = spark.createDataFrame(rows, "flow_id string, seq long, syncing boolean, t string").withColumn("ts", F.to_timestamp("t"))
-    path, sch = land([d.limit(2), d.filter("seq = 2 or flow_id = 'g'")], "offers")
-    got = drain(pairs.first_offers(source(spark, path, sch), "1 hour"), "o").collect()
+    parts = [(d.limit(2),), (d.filter("seq = 2 or flow_id = 'g'"),)]
+    got = drain_growing(parts, lambda s: pairs.first_offers(s, "1 hour"), "o").collect()
     assert sorted((r.flow_id, r.seq) for r in got) == [("f", 1), ("g", 1)]
 
 
