@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -98,28 +98,32 @@ def _fold(best: DataFrame, frame: str, limit: float) -> DataFrame:
     return d.select(frame, F.explode(kept).alias("_k")).select(frame, "_k.pr")
 
 
-def _settle(best: DataFrame, frame: str, limit: float) -> DataFrame:
-    """Rounds over a grid: the best undecided box of its neighbourhood is kept, what overlaps it goes.
+def _settle(best: DataFrame, frame: str, limit: float, prefix: int = FOLD_LIMIT) -> DataFrame:
+    """Frames too large for one row, settled in rounds.
 
-    Boxes that overlap enough have similar size and nearby corners, so each box sits in one cell
-    (by size class and corner) and looks only at the cells such a partner can be in.
+    A round first visits the best ``prefix`` undecided boxes of each frame in order, then keeps
+    every box that is the best of its whole neighbourhood, and after each step drops what
+    overlaps the kept ones.  The first step clears crowded places, the second works on all
+    places at once; both only keep what the plain order would keep.  Boxes that overlap enough
+    have similar size and nearby corners, so each box sits in one grid cell (by size class and
+    corner) and a kept box looks only into the cells such a partner can be in.
     """
     t = limit
     m = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    level = F.floor(F.log2(m)).cast("int")
+    box = ["x0", "y0", "x1", "y1"]
 
     def cell(size_class: Column, v: Column) -> Column:
         return F.floor(v / ((1 - t) * F.pow(F.lit(2.0), size_class + 1))).cast("long")
 
-    und = best.withColumns({"_m": m, "_lv": level})
+    und = best.withColumn("_lv", F.floor(F.log2(m)).cast("int"))
     und = und.withColumns({"_cx": cell(F.col("_lv"), F.col("x0")), "_cy": cell(F.col("_lv"), F.col("y0"))})
-    und = stage(und, "boxes")
+    und = stage(und.select(frame, "pr", *box, "_lv", "_cx", "_cy"), "boxes")
     here = [frame, "_lv", "_cx", "_cy"]
 
     def looks(d: DataFrame) -> DataFrame:
+        e = d.select(frame, F.col("pr").alias("_pr"), m.alias("_m"), *[F.col(c).alias(f"_{c}") for c in box])
         lo, hi = F.floor(F.log2(F.col("_m") * t)).cast("int"), F.floor(F.log2(F.col("_m") / t)).cast("int")
-        e = d.select(frame, "pr", "_m", *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")],
-                     F.explode(F.sequence(lo, hi)).alias("_lv"))
+        e = e.withColumn("_lv", F.explode(F.sequence(lo, hi)))
         r = (1 - t) * F.greatest(F.col("_m"), F.least(F.col("_m") / t, F.pow(F.lit(2.0), F.col("_lv") + 1)))
         e = e.withColumn("_r", r)
         for axis, name in (("_x0", "_cx"), ("_y0", "_cy")):
@@ -127,17 +131,27 @@ def _settle(best: DataFrame, frame: str, limit: float) -> DataFrame:
                                                         cell(F.col("_lv"), F.col(axis) + F.col("_r")))))
         return e
 
+    def without(d: DataFrame, decided: DataFrame, keep: DataFrame) -> DataFrame:
+        near = d.join(looks(keep), here).filter(iou(box_cols("_"), box_cols()) >= t).select(frame, "pr")
+        out = near.unionByName(decided.select(frame, "pr")).distinct()
+        return stage(d.join(out, [frame, "pr"], "left_anti").select(*d.columns), "undecided")
+
     kept = None
-    while not und.isEmpty():
-        tops = und.groupBy(*here).agg(F.min("pr").alias("_top"))
-        first = looks(und).join(tops, here).groupBy(frame, "pr").agg(F.min("_top").alias("_top"))
-        won = stage(und.join(first.filter(F.col("pr") == F.col("_top")).select(frame, "pr"), [frame, "pr"], "left_semi"), "won")
+    while True:
+        order = Window.partitionBy(frame).orderBy("pr")
+        first = stage(und.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= prefix).drop("_n"), "first")
+        if first.isEmpty():
+            return kept
+        won = stage(first.join(_fold(first, frame, t), [frame, "pr"], "left_semi").select(*first.columns), "won")
         kept = won.select(frame, "pr") if kept is None else kept.unionByName(won.select(frame, "pr"))
-        near = looks(und).join(won.select(*here, *[F.col(c) for c in ("x0", "y0", "x1", "y1")]), here)
-        gone = near.filter(iou(box_cols("_"), box_cols()) >= t).select(frame, "pr").distinct()
-        out = gone.unionByName(won.select(frame, "pr")).distinct()
-        und = stage(und.join(out, [frame, "pr"], "left_anti").select(*und.columns), "undecided")
-    return kept
+        und = without(und, first, won)
+        tops = und.groupBy(*here).agg(F.min("pr").alias("_top"))
+        heads = und.join(tops, here).filter(F.col("pr") == F.col("_top")).drop("_top")
+        rule = looks(heads).join(tops, here).groupBy(frame, "_pr").agg(F.min("_top").alias("_top"))
+        rule = rule.filter(F.col("_pr") == F.col("_top")).select(frame, F.col("_pr").alias("pr"))
+        won = stage(heads.join(rule, [frame, "pr"], "left_semi").select(*und.columns), "won")
+        kept = kept.unionByName(won.select(frame, "pr"))
+        und = without(und, won, won)
 
 
 # --- W19 --------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 SEQ_CHUNK = 1 << 16  # sequence numbers per chunk of a game log
 
@@ -42,7 +43,7 @@ def _order_value(order: Sequence[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
-def _local(run: Run, back, ahead) -> Column:
+def _local(run: Run, back: WindowSpec, ahead: WindowSpec) -> Column:
     if run.kind == "sum":
         return F.sum(run.col).over(back)
     if run.kind == "max":
@@ -52,7 +53,7 @@ def _local(run: Run, back, ahead) -> Column:
     if run.kind == "last":
         return F.last(run.col, ignorenulls=True).over(back)
     if run.kind == "next":
-        return F.first(run.col, ignorenulls=True).over(ahead)
+        return F.last(run.col, ignorenulls=True).over(ahead)
     raise ValueError(run.kind)
 
 
@@ -76,27 +77,23 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], runs: Sequenc
     """
     keys, order = list(keys), list(order)
     if chunk is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
         out = {}
         for r in runs:
             if r.kind == "total":
                 out[r.name] = F.sum(r.col).over(Window.partitionBy(*keys))
             else:
-                out[r.name] = _local(r, *_frames(w, r.inclusive))
+                out[r.name] = _local(r, *_frames(keys, order, r.inclusive))
                 if r.kind == "sum":
                     out[r.name] = F.coalesce(out[r.name], F.lit(0))
         return df.withColumns(out)
 
     df = df.withColumn("_chunk", chunk)
     parts = keys + ["_chunk"]
-    w = Window.partitionBy(*parts).orderBy(*order)
     at = _order_value(order)
-    local = df.withColumns({f"_l_{r.name}": _local(r, *_frames(w, r.inclusive))
+    local = df.withColumns({f"_l_{r.name}": _local(r, *_frames(parts, order, r.inclusive))
                             for r in runs if r.kind != "total"})
     per_chunk = df.groupBy(*parts).agg(*[_summary(r, at).alias(f"_s_{r.name}") for r in runs])
-    cw = Window.partitionBy(*keys).orderBy("_chunk")
-    past = cw.rowsBetween(Window.unboundedPreceding, -1)
-    future = cw.rowsBetween(1, Window.unboundedFollowing)
+    past, future = _frames(keys, ["_chunk"], inclusive=False)
     carries = []
     for r in runs:
         s = F.col(f"_s_{r.name}")
@@ -111,7 +108,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], runs: Sequenc
         elif r.kind == "last":
             c = F.last(s, ignorenulls=True).over(past)
         else:
-            c = F.first(s, ignorenulls=True).over(future)
+            c = F.last(s, ignorenulls=True).over(future)
         carries.append(c.alias(f"_c_{r.name}"))
     carried = per_chunk.select(*parts, *carries)
     joined = local.join(carried, parts, "left")
@@ -132,9 +129,16 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], runs: Sequenc
     return joined.withColumns(final).drop(*drop)
 
 
-def _frames(w, inclusive: bool):
-    lo, hi = (0, 0) if inclusive else (-1, 1)
-    return (w.rowsBetween(Window.unboundedPreceding, lo), w.rowsBetween(hi, Window.unboundedFollowing))
+def _frames(keys: Sequence[str], order: Sequence[str], inclusive: bool) -> tuple[WindowSpec, WindowSpec]:
+    """Growing frames that look back and ahead.
+
+    Looking ahead means looking back in the opposite order: a frame that shrinks towards the
+    end would be evaluated anew for every row.
+    """
+    edge = 0 if inclusive else -1
+    back = Window.partitionBy(*keys).orderBy(*order)
+    ahead = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    return back.rowsBetween(Window.unboundedPreceding, edge), ahead.rowsBetween(Window.unboundedPreceding, edge)
 
 
 def clamped_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], deltas: dict[str, Column],
