@@ -58,57 +58,71 @@ def check_invariants(states: DataFrame, zone_rows: DataFrame, keys: list[str]) -
 # --- F7 ---------------------------------------------------------------------------------
 
 
-def check_observed() -> Column:
-    """messages of one observed state.
+def check_observed(states: DataFrame) -> DataFrame:
+    """adds ``violations``, the messages of each observed state.
 
     Reads ``o_hand, drawn, o_rivers, o_melds, dora, o_concealed, o_reach, scores, kyotaku,
-    left_tiles``; HUD fields may be null and are then not checked.
+    left_tiles``; HUD fields may be null and are then not checked.  Lists that several rules read
+    are columns of their own, so they are built once per row.
     """
-    hand, drawn, rivers, melds, dora = (F.col(c) for c in ("o_hand", "drawn", "o_rivers", "o_melds", "dora"))
-    flat_rivers, flat_melds = F.flatten(rivers), F.flatten(melds)
-    seen = F.concat(hand, F.when(drawn.isNotNull(), F.array(drawn)).otherwise(F.array().cast("array<string>")),
-                    F.transform(flat_rivers, lambda t: t["pai"]), F.flatten(F.transform(flat_melds, lambda m: m["tiles"])), dora)
-    seen = F.array_remove(F.array_remove(seen, "back"), "")
-    valid = lit_array(dims.TILES)
-    odd = F.size(F.array_except(seen, valid)) > 0
     nothing = F.array().cast("array<string>")
-    unknown = F.when(odd, F.transform(F.filter(seen, lambda p: ~F.array_contains(valid, p)), lambda p: _text("unknown tile name '", p, "'"))).otherwise(nothing)
-    known = F.when(odd, F.filter(seen, lambda p: F.array_contains(valid, p))).otherwise(seen)
+    valid = lit_array(dims.TILES)
+    d = states.withColumns({"_tiles_river": F.flatten("o_rivers"), "_all_melds": F.flatten("o_melds"), "_own": F.get("o_melds", F.lit(0))})
+    seen = F.concat("o_hand", F.when(F.col("drawn").isNotNull(), F.array("drawn")).otherwise(nothing), F.col("_tiles_river")["pai"],
+                    F.flatten(F.col("_all_melds")["tiles"]), "dora")
+    d = d.withColumn("_seen", F.array_remove(F.array_remove(seen, "back"), ""))
+    d = d.withColumn("_odd", F.size(F.array_except("_seen", valid)) > 0)
+    known = F.when(F.col("_odd"), F.filter("_seen", lambda p: F.array_contains(valid, p))).otherwise(F.col("_seen"))
     # equal tiles stand together once sorted, so a fifth copy sits four places after the first
-    bases = F.array_sort(F.transform(known, base_tile))
-    fifth = F.filter(bases, lambda b, i: (F.get(bases, i + 4) == b) & ~F.coalesce(F.get(bases, i - 1) == b, F.lit(False)))
-    many = F.transform(fifth, lambda b: _text("tile ", b, " seen ", F.size(bases) - F.size(F.array_remove(bases, b)), ">4 times across visible zones"))
-
-    own = F.get(melds, F.lit(0))
-    n_hand, n_melds = F.size(hand), F.size(own)
-    total = n_hand + 3 * n_melds
-    pending = (total == 14) & drawn.isNull() & (n_melds > 0) & F.coalesce(F.get(own, n_melds - 1)["type"].isin("chi", "pon"), F.lit(False))
-    n_kans = F.size(F.filter(flat_melds, lambda m: m["type"].isin(dims.KAN_TYPES)))
-    n_dora = F.size(dora)
+    d = d.withColumn("_bases", F.array_sort(F.transform(known, base_tile)))
+    d = d.withColumn("_fifth", F.array_distinct(F.filter("_bases", lambda b, i: F.get("_bases", i + 4) == b)))
+    d = d.withColumns({"_n_river": F.size("_tiles_river"), "_n_hand": F.size("o_hand"), "_n_own": F.size("_own"), "_n_dora": F.size("dora"),
+                       "_n_kans": F.size(F.filter("_all_melds", lambda m: m["type"].isin(dims.KAN_TYPES))),
+                       "_n_reach": F.size(F.array_remove("o_reach", False))})
+    unknown = F.when(F.col("_odd"), F.transform(F.filter("_seen", lambda p: ~F.array_contains(valid, p)), lambda p: _text("unknown tile name '", p, "'"))).otherwise(nothing)
+    many = F.when(F.size("_fifth") > 0, F.transform("_fifth", lambda b: _text(
+        "tile ", b, " seen ", F.size("_bases") - F.size(F.array_remove("_bases", b)), ">4 times across visible zones"))).otherwise(nothing)
+
+    n_hand, n_own, n_dora, n_kans, n_reach = (F.col(c) for c in ("_n_hand", "_n_own", "_n_dora", "_n_kans", "_n_reach"))
+    drawn, sticks, left = F.col("drawn"), F.col("kyotaku"), F.col("left_tiles")
+    total = n_hand + 3 * n_own
+    pending = (total == 14) & drawn.isNull() & (n_own > 0) & F.coalesce(F.get("_own", n_own - 1)["type"].isin("chi", "pon"), F.lit(False))
     rules: list[Rule] = [
-        ("hand_size", (total != 13) & ~pending, _text("hero hand ", n_hand, " + 3*", n_melds, " melds != 13")),
+        ("hand_size", (total != 13) & ~pending, _text("hero hand ", n_hand, " + 3*", n_own, " melds != 13")),
         ("dora_none", n_dora == 0, F.lit("no dora marker visible")),
         ("dora_kans", (n_dora > 0) & (n_dora - 1 > n_kans), _text(n_dora, " dora markers but only ", n_kans, " kans")),
     ]
     for r in (1, 2, 3):
-        c, n = F.get("o_concealed", F.lit(r)), F.size(F.get(melds, F.lit(r)))
+        c, n = F.get("o_concealed", F.lit(r)), F.size(F.get("o_melds", F.lit(r)))
         want = 13 - 3 * n
         rules.append((f"concealed{r}", (c != want) & (c != want + 1), _text(f"seat {r} concealed ", c, " != ", want, "(+1) for ", n, " melds")))
-    sources = [_sources(F.get(melds, F.lit(r)), r) for r in range(4)]
-    n_reach = F.size(F.filter("o_reach", lambda x: x))
-    declared = F.exists(F.sequence(F.lit(0), F.lit(3)), lambda r: F.get("o_reach", r) & F.coalesce(
-        F.element_at(F.when(F.size(F.get(rivers, r)) > 0, F.get(rivers, r)), -1)["sideways"], F.lit(False)))
-    sticks = F.col("kyotaku")
+    declared = F.lit(False)
+    for r in range(4):
+        tiles = F.get("o_rivers", F.lit(r))
+        newest = F.get(tiles, F.size(tiles) - 1)["sideways"]
+        declared = declared | (F.get("o_reach", F.lit(r)) & F.coalesce(newest, F.lit(False)))
     rules.append(("sticks", (sticks < n_reach) & ~((sticks == n_reach - 1) & declared), _text("kyotaku ", sticks, " < visible riichi count ", n_reach)))
     points = F.aggregate("scores", F.lit(0).cast("long"), lambda a, x: a + x)
-    rules.append(("points", F.col("scores").isNotNull() & (points + 1000 * sticks != 100000), _text("scores sum ", points, " + 1000*", sticks, " kyotaku != 100000")))
-    wall = 70 - F.size(flat_rivers) - n_kans - F.when(drawn.isNotNull(), 1).otherwise(0)
-    left = F.col("left_tiles")
+    d = d.withColumn("_points", points)
+    points = F.col("_points")
+    rules.append(("points", points + 1000 * sticks != 100000, _text("scores sum ", points, " + 1000*", sticks, " kyotaku != 100000")))
+    wall = 70 - F.col("_n_river") - n_kans - F.when(drawn.isNotNull(), 1).otherwise(0)
     rules.append(("wall", F.abs(wall - left) > 1, _text("wall count ", left, " vs predicted ", wall, " (>1 off)")))
     for r in range(4):
-        rules.append((f"riichi{r}", F.get("o_reach", F.lit(r)) & F.exists(F.get(melds, F.lit(r)), lambda m: m["type"] != "ankan"),
+        rules.append((f"riichi{r}", F.get("o_reach", F.lit(r)) & F.exists(F.get("o_melds", F.lit(r)), lambda m: m["type"] != "ankan"),
                       F.lit(f"seat {r} riichi with open melds")))
-    return F.concat(unknown, many, failed(rules), *sources)
+    sources = [F.when(F.size(F.get("o_melds", F.lit(r))) > 0, _sources(F.get("o_melds", F.lit(r)), r)).otherwise(nothing) for r in range(4)]
+    d = d.withColumn("violations", F.concat(unknown, many, failed(rules), *sources))
+    return d.select(*states.columns, "violations")
+
+
+def violation_rows(checked: DataFrame, keep: list[str]) -> DataFrame:
+    """one row per message.
+
+    The outer form keeps the optimizer from asking for "has any message" first, which would
+    build the messages a second time, inlined.
+    """
+    return checked.select(*keep, F.explode_outer("violations").alias("message")).filter(F.col("message").isNotNull())
 
 
 def _sources(melds: Column, r: int) -> Column:

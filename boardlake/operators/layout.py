@@ -319,7 +319,8 @@ def label_rows(states: DataFrame, keep: list[str], zones: list[str]) -> DataFram
     meta = F.array(*[made("meta", F.lit(i), F.col(c), "text", field(n)) for i, (c, n) in enumerate(texts)])
     parts["meta"] = F.when(F.col("bakaze").isNotNull(), meta).otherwise(none)
     rows = F.concat(*[F.coalesce(parts[z].cast(row), none) for z in zones])
-    d = states.select(*keep, "region", F.explode(rows).alias("_r")).select(*keep, "region", "_r.*")
+    # the outer form keeps the rows from being built twice, once to see whether there are any
+    d = states.select(*keep, "region", F.explode_outer(rows).alias("_r")).filter(F.col("_r").isNotNull()).select(*keep, "region", "_r.*")
     return d.withColumns({"px": norm_to_px(F.col("region"), F.col("box")),
                           "cls": F.when(F.col("kind") == "tile", class_id(F.col("label")))}).drop("region")
 
@@ -344,7 +345,9 @@ def flatten_boxes(records: DataFrame, keep: list[str]) -> DataFrame:
                     flat("oppback", all_of("back_boxes"), "poly", None, None),
                     flat("hand", F.col("hand_boxes"), None, "px_box", None),
                     flat("dora", F.col("dora_boxes"), None, "px_box", None))
-    return records.select(*keep, F.posexplode(rows).alias("box_id", "_b")).select(*keep, "box_id", "_b.*")
+    # the outer form keeps the rows from being built twice, once to see whether there are any
+    d = records.select(*keep, F.posexplode_outer(rows).alias("box_id", "_b")).filter(F.col("_b").isNotNull())
+    return d.select(*keep, "box_id", "_b.*")
 
 
 def flatten_hud(records: DataFrame, keep: list[str]) -> DataFrame:

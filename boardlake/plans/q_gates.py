@@ -71,7 +71,7 @@ def f7(t):
         F.array(F.lit(None).cast("int"), k % 15, F.lit(13), F.lit(None).cast("int")).alias("o_concealed"),
         F.array(k % 2 == 0, k % 5 == 0, F.lit(False), F.lit(False)).alias("o_reach"), F.when(k % 11 > 0, k % 3).alias("kyotaku"),
         F.when(k % 6 > 0, F.array(q, q, q, q)).alias("scores"), F.when(k % 4 > 0, 70 - k % 9).alias("left_tiles"))
-    return d.select("game", "seq", F.explode(GT.check_observed()).alias("message"))
+    return GT.violation_rows(GT.check_observed(d), ["game", "seq"])
 
 
 CTE["ver"] = f"""
