@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dedup, mixing, quality, secrets, sharding, urls
-from .common import read
+from . import decontaminate, dedup, mixing, quality, secrets, sharding, toxicity, urls, warc
+from .common import fresh_path, read
 from .sql import ORACLES
 
 #: The rules that `op3_url_filters` applies, (host, path, verdict).
@@ -30,6 +30,16 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"), rules)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(read(spark, sf_dir, "pages"), fresh_path(spark, "archives"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
@@ -54,6 +64,6 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_mixing, op3_url_filters, op6_quality_rules, op8_decontamination, op9_sharding, op10_secret_scans)}
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_mixing, op3_url_filters, op4_toxicity, op5_warc, op6_quality_rules, op8_decontamination, op9_sharding, op10_secret_scans)}
 
 __all__ = ["ORACLES", "QUERIES"]
