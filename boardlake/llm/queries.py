@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dedup, mixing, quality, secrets, sharding, toxicity, urls, warc
+from . import decontaminate, dedup, mixing, quality, secrets, sharding, substrings, toxicity, urls, warc
 from .common import fresh_path, read
 from .sql import ORACLES
 
@@ -45,6 +45,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -64,6 +68,6 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_mixing, op3_url_filters, op4_toxicity, op5_warc, op6_quality_rules, op8_decontamination, op9_sharding, op10_secret_scans)}
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_mixing, op3_url_filters, op4_toxicity, op5_warc, op6_quality_rules, op7_suffix_array_dedup, op8_decontamination, op9_sharding, op10_secret_scans)}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -61,5 +61,5 @@ def remove_repeats(rows: list[tuple], length: int) -> dict:
             if first[t[p:p + length]] < i:
                 gone[p:p + length] = b"\1" * length
         kept = bytes(b for b, g in zip(t, gone) if not g)
-        out[i] = (len(t), sum(gone), len(re.findall(rb"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
+        out[i] = (len(t), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest())
     return out
