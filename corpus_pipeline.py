@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from boardlake.llm import decontaminate, dedup, mixing, quality, sharding
 from boardlake.llm.common import read, stage
 
-_ROW = "_row"
+_ROW = "_row_of_corpus_pipeline"  # no table has a column of this name
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
