@@ -156,18 +156,55 @@ PILE_3P = {
     2: dict(anchor=(945.6, 349.0), step=(72.46, 0.0), foot=(73.0, 92.0)),
     3: dict(anchor=(860.2, 1487.4), step=(0.12, -78.23), foot=(86.0, 72.0)),
 }
-# End quads of the opponents' concealed rows and the drawn-tile quad; the slots
-# between the two ends are placed at even steps (or pass your own measured slot table).
+
+# Measured slot quads of the opponents' rows (slot 0 is the anchored end), the drawn
+# tile's quad beyond slot 12, the axis the row runs along and the side to which it grows.
 BACK_ROW = {
-    1: dict(first=[(2421.0, 1462.8), (2420.7, 1520.8), (2386.3, 1587.6), (2384.6, 1526.3)],
-            last=[(2423.8, 592.5), (2423.7, 653.9), (2386.0, 750.0), (2385.1, 690.3)],
-            drawn=[(2421.4, 484.6), (2422.7, 542.3), (2386.5, 645.4), (2385.2, 587.5)], axis=1, sign=-1),
-    2: dict(first=[(2056.1, 103.5), (2120.8, 104.3), (2096.9, 224.7), (2034.7, 222.9)],
-            last=[(1180.0, 103.3), (1249.2, 101.9), (1258.0, 224.2), (1196.8, 224.0)],
-            drawn=[(1071.3, 105.1), (1136.3, 104.6), (1152.3, 225.0), (1091.0, 223.5)], axis=0, sign=-1),
-    3: dict(first=[(650.3, 286.1), (685.8, 393.2), (684.8, 452.4), (648.7, 347.1)],
-            last=[(648.8, 1156.8), (687.4, 1232.2), (683.4, 1290.7), (649.5, 1216.9)],
-            drawn=[(650.7, 1269.1), (687.1, 1335.7), (684.9, 1392.7), (649.5, 1325.6)], axis=1, sign=1),
+    1: dict(slots=[
+        [(2421.0, 1462.8), (2420.7, 1520.8), (2386.3, 1587.6), (2384.6, 1526.3)],
+        [(2421.3, 1391.4), (2422.9, 1453.4), (2385.6, 1514.0), (2384.9, 1456.5)],
+        [(2422.5, 1316.5), (2423.7, 1381.5), (2387.2, 1444.3), (2384.3, 1387.2)],
+        [(2422.2, 1246.2), (2422.9, 1306.8), (2386.9, 1377.9), (2384.7, 1317.1)],
+        [(2422.6, 1174.2), (2423.6, 1236.2), (2385.8, 1306.0), (2385.2, 1247.0)],
+        [(2423.8, 1101.0), (2424.0, 1163.0), (2386.5, 1236.1), (2385.1, 1177.4)],
+        [(2423.0, 1027.8), (2422.7, 1086.9), (2386.3, 1166.0), (2384.8, 1108.5)],
+        [(2422.7, 956.0), (2421.9, 1011.1), (2387.4, 1097.9), (2384.1, 1038.0)],
+        [(2424.1, 881.2), (2422.6, 942.2), (2387.6, 1026.6), (2385.5, 969.2)],
+        [(2423.2, 811.3), (2424.2, 872.1), (2387.3, 958.4), (2386.0, 898.7)],
+        [(2422.3, 737.0), (2423.3, 798.0), (2386.5, 889.4), (2385.7, 829.7)],
+        [(2423.9, 664.7), (2422.8, 725.7), (2386.2, 818.7), (2385.5, 761.0)],
+        [(2423.8, 592.5), (2423.7, 653.9), (2386.0, 750.0), (2385.1, 690.3)],
+    ], drawn=[(2421.4, 484.6), (2422.7, 542.3), (2386.5, 645.4), (2385.2, 587.5)], axis=1, sign=-1),
+    2: dict(slots=[
+        [(2056.1, 103.5), (2120.8, 104.3), (2096.9, 224.7), (2034.7, 222.9)],
+        [(1982.1, 101.4), (2049.4, 102.7), (2026.1, 224.5), (1965.1, 222.7)],
+        [(1909.0, 101.6), (1976.4, 101.9), (1957.1, 225.3), (1894.7, 224.2)],
+        [(1835.8, 101.4), (1904.1, 101.4), (1888.0, 223.7), (1824.4, 224.0)],
+        [(1764.8, 102.4), (1831.2, 100.5), (1817.1, 226.3), (1756.0, 223.2)],
+        [(1687.9, 102.7), (1756.6, 101.6), (1746.9, 223.5), (1684.4, 221.1)],
+        [(1616.0, 104.9), (1682.7, 101.9), (1676.9, 224.5), (1614.5, 222.7)],
+        [(1546.4, 106.5), (1611.0, 103.8), (1607.1, 226.8), (1545.9, 223.7)],
+        [(1473.8, 103.8), (1537.8, 102.4), (1537.5, 222.7), (1475.3, 223.5)],
+        [(1399.5, 100.3), (1465.6, 101.4), (1468.4, 225.0), (1405.8, 222.7)],
+        [(1326.0, 102.7), (1394.2, 103.8), (1397.8, 224.0), (1336.2, 223.7)],
+        [(1254.2, 103.0), (1320.5, 103.3), (1329.5, 222.9), (1265.7, 222.7)],
+        [(1180.0, 103.3), (1249.2, 101.9), (1258.0, 224.2), (1196.8, 224.0)],
+    ], drawn=[(1071.3, 105.1), (1136.3, 104.6), (1152.3, 225.0), (1091.0, 223.5)], axis=0, sign=-1),
+    3: dict(slots=[
+        [(650.3, 286.1), (685.8, 393.2), (684.8, 452.4), (648.7, 347.1)],
+        [(649.9, 360.3), (686.4, 463.8), (685.6, 523.2), (649.0, 420.8)],
+        [(649.9, 430.9), (686.5, 532.7), (684.8, 594.0), (647.6, 492.6)],
+        [(650.2, 507.6), (686.0, 603.6), (685.8, 662.6), (648.3, 565.0)],
+        [(649.5, 578.2), (686.9, 672.9), (685.2, 731.3), (648.7, 639.0)],
+        [(650.2, 653.0), (685.5, 740.7), (687.0, 801.4), (648.4, 710.5)],
+        [(648.7, 721.0), (686.7, 812.4), (685.5, 869.6), (647.2, 784.5)],
+        [(648.2, 794.2), (687.1, 883.9), (685.2, 940.4), (646.8, 855.3)],
+        [(649.5, 866.1), (687.6, 953.8), (685.5, 1010.4), (646.5, 927.2)],
+        [(650.0, 940.9), (686.0, 1021.2), (685.7, 1080.7), (646.4, 1000.0)],
+        [(649.3, 1013.9), (687.4, 1092.9), (684.8, 1152.1), (647.6, 1074.9)],
+        [(649.7, 1084.5), (687.8, 1162.4), (684.9, 1219.2), (647.9, 1146.8)],
+        [(648.8, 1156.8), (687.4, 1232.2), (683.4, 1290.7), (649.5, 1216.9)],
+    ], drawn=[(650.7, 1269.1), (687.1, 1335.7), (684.9, 1392.7), (649.5, 1325.6)], axis=1, sign=1),
 }
 BACK_SLOTS = 13
 

@@ -216,7 +216,7 @@ def best_offset(fills: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def back_template(spark: SparkSession) -> DataFrame:
-    """Slot quads of the opponents' rows, spaced evenly between the fixed end quads.
+    """The measured slot quads of the opponents' rows.
 
     Rows: ``pos, slot, quad, drawn_quad``; ``drawn_quad`` is where the drawn tile stands when
     ``slot`` is the last of the row.  A measured table of the same shape may be used instead.
@@ -224,8 +224,7 @@ def back_template(spark: SparkSession) -> DataFrame:
     rows = []
     for pos, r in dims.BACK_ROW.items():
         last = dims.BACK_SLOTS - 1
-        quads = [[tuple(a + (b - a) * s / last for a, b in zip(p, q)) for p, q in zip(r["first"], r["last"])]
-                 for s in range(dims.BACK_SLOTS)]
+        quads = r["slots"]
         ax, sign = r["axis"], r["sign"]
         coords = [p[ax] for q in quads for p in q]
         anchor = max(coords) if sign < 0 else min(coords)

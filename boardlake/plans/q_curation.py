@@ -31,11 +31,11 @@ def _round_keys(t):
 
 
 @query("j2_annotation_state", """
-WITH a AS (SELECT game, seq, k % 9 AS n_boxes FROM ev WHERE k % 3 > 0), f AS (SELECT game, seq, file FROM fr WHERE status IN ('ok', 'timeout') AND seq % 4 > 0), s AS (SELECT game, seq, kyoku_ord FROM dealw WHERE seq % 5 > 0)
+WITH a AS (SELECT game, seq, k % 9 AS n_boxes FROM ev), f AS (SELECT game, seq, file FROM fr WHERE status IN ('ok', 'timeout') AND seq % 4 > 0), s AS (SELECT game, seq, kyoku_ord FROM dealw WHERE seq % 5 > 0)
 SELECT a.game, a.seq, n_boxes, file, kyoku_ord FROM a JOIN f USING (game, seq) LEFT JOIN s USING (game, seq)
 """)
 def j2(t):
-    ann = t.ev.filter(F.col("k") % 3 > 0).select("game", "seq", (F.col("k") % 9).alias("n_boxes"))
+    ann = t.ev.select("game", "seq", (F.col("k") % 9).alias("n_boxes"))
     frames = t.fr.filter(F.col("status").isin("ok", "timeout") & (F.col("seq") % 4 > 0)).select("game", "seq", "file")
     states = R.in_round(R.with_round(t.mj)).filter(F.col("seq") % 5 > 0).select("game", "seq", "kyoku_ord")
     return K.annotation_frames(ann, frames, states)
@@ -67,11 +67,11 @@ def j7(t):
 
 
 @query("j20_holdout_leaks", """
-WITH s AS (SELECT game, cls, CASE WHEN n_chars % 2 = 0 THEN 'train' ELSE 'val' END AS split FROM docs WHERE n_chars % 7 = 0)
+WITH s AS (SELECT game, cls, CASE WHEN n_chars % 2 = 0 THEN 'train' ELSE 'val' END AS split FROM docs)
 SELECT game, cls FROM s WHERE split = 'train' INTERSECT SELECT game, cls FROM s WHERE split = 'val'
 """)
 def j20(t):
-    d = t.docs.filter(F.col("n_chars") % 7 == 0).select("game", "cls", F.when(F.col("n_chars") % 2 == 0, "train").otherwise("val").alias("split"))
+    d = t.docs.select("game", "cls", F.when(F.col("n_chars") % 2 == 0, "train").otherwise("val").alias("split"))
     return K.holdout_leaks(d, ["game", "cls"])
 
 

@@ -527,7 +527,7 @@ def _back_values() -> str:
     rows = []
     for pos, r in dims.BACK_ROW.items():
         ax, sign = r["axis"], r["sign"]
-        quads = [[tuple(a + (b - a) * s / 12 for a, b in zip(p, q)) for p, q in zip(r["first"], r["last"])] for s in range(13)]
+        quads = r["slots"]
         cs = [p[ax] for q in quads for p in q]
         anchor = max(cs) if sign < 0 else min(cs)
         for s, q in enumerate(quads):

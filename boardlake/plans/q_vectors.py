@@ -23,14 +23,14 @@ def _pix(t):
 
 
 @query("v1_coverage", """
-WITH c AS (SELECT key, p[1:20] AS b, p[21:40] AS g, p[41:60] AS r FROM pix),
-s AS (SELECT key, list_sum(list_transform(range(1, 21), lambda i: CASE WHEN least(b[i], g[i], r[i]) >= 70 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) / 20 AS face,
-  list_sum(list_transform(range(1, 21), lambda i: CASE WHEN r[i] - b[i] >= 60 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) / 20 AS back,
-  list_sum(list_transform(range(1, 21), lambda i: CASE WHEN b[i] > 60 OR g[i] > 110 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) / 20 AS live FROM c)
+WITH c AS (SELECT key, p AS b, list_reverse(p) AS g, list_concat(p[33:64], p[1:32]) AS r FROM pix),
+s AS (SELECT key, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN least(b[i], g[i], r[i]) >= 70 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) / 64 AS face,
+  list_sum(list_transform(range(1, 65), lambda i: CASE WHEN r[i] - b[i] >= 60 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) / 64 AS back,
+  list_sum(list_transform(range(1, 65), lambda i: CASE WHEN b[i] > 60 OR g[i] > 110 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) / 64 AS live FROM c)
 SELECT key, round_even(face, 6) AS face, round_even(back, 6) AS back, round_even(live, 6) AS live, face >= 0.35 OR back >= 0.35 AS present FROM s
 """)
 def v1(t):
-    b, g, r = (F.slice("p", i, 20) for i in (1, 21, 41))
+    b, g, r = F.col("p"), F.reverse("p"), F.concat(F.slice("p", 33, 32), F.slice("p", 1, 32))
     d = _pix(t).select("key", b.alias("b"), g.alias("g"), r.alias("r"))
     d = d.select("key", V.face_share(F.col("b"), F.col("g"), F.col("r"), 70).alias("face"),
                  V.back_share(F.col("b"), F.col("r")).alias("back"),
@@ -97,37 +97,38 @@ def v5(t):
 
 
 @query("v6_dark_line", """
-WITH m AS (SELECT key, v, list_position(v, list_min(v)) AS i FROM (SELECT key, list_transform(v[1:21], lambda x: abs(x)) AS v FROM vec)),
+WITH m AS (SELECT key, v, list_position(v, list_min(v)) AS i FROM (SELECT key, list_transform(v, lambda x: abs(x)) AS v FROM vec)),
 d AS (SELECT *, (v[i - 1] - v[i + 1]) / (2e0 * (v[i - 1] - 2 * v[i] + v[i + 1]) + 1e-9) AS d FROM m)
-SELECT key, round_even(key - 10 + CASE WHEN i > 1 AND i < 21 THEN (i - 1) + greatest(-1e0, least(1e0, d)) ELSE i - 1 END, 6) AS pos,
-  round_even(greatest(v[1], v[21]) - v[i], 6) AS contrast FROM d
+SELECT key, round_even(key - 10 + CASE WHEN i > 1 AND i < 64 THEN (i - 1) + greatest(-1e0, least(1e0, d)) ELSE i - 1 END, 6) AS pos,
+  round_even(greatest(v[1], v[64]) - v[i], 6) AS contrast FROM d
 """)
 def v6(t):
-    p = F.transform(F.slice("v", 1, 21), lambda x: F.abs(x))
+    p = F.transform("v", lambda x: F.abs(x))
     d = t.vec.select("key", V.dark_line(p, F.col("key"), 10).alias("d"))
     return d.select("key", r6(F.col("d.pos")).alias("pos"), r6(F.col("d.contrast")).alias("contrast"))
 
 
 @query("v7_face_edge", """
-WITH q AS (SELECT key, game, CASE WHEN key % 2 = 0 THEN a ELSE list_reverse(a) END AS q FROM (SELECT key, game, list_transform(v[1:30], lambda x: abs(x)) AS a FROM vec)),
-g AS (SELECT *, list_transform(range(0, 16), lambda j: list_sum(q[j + 11:j + 15]) / 5 - list_sum(q[j + 1:j + 10]) / 10) AS g FROM q),
-i AS (SELECT *, list_position(g, list_max(g)) - 1 + 10 - 0.5e0 AS pos FROM g)
-SELECT key, round_even(key - 14 + CASE WHEN key % 2 = 0 THEN pos ELSE 29 - pos END, 6) AS pos, round_even(list_max(g), 6) AS gain FROM i
+WITH q AS (SELECT key, game, CASE WHEN key % 2 = 0 THEN a ELSE list_reverse(a) END AS q FROM (SELECT key, game, list_transform(v, lambda x: abs(x)) AS a FROM vec)),
+g AS (SELECT *, list_transform(range(0, 48), lambda j: list_sum(q[j + 13:j + 17]) / 5 - list_sum(q[j + 1:j + 12]) / 12) AS g FROM q),
+i AS (SELECT *, list_position(g, list_max(g)) - 1 + 12 - 0.5e0 AS pos FROM g)
+SELECT key, round_even(key - 14 + CASE WHEN key % 2 = 0 THEN pos ELSE 63 - pos END, 6) AS pos, round_even(list_max(g), 6) AS gain FROM i
 """)
 def v7(t):
-    p = F.transform(F.slice("v", 1, 30), lambda x: F.abs(x))
+    p = F.transform("v", lambda x: F.abs(x))
     up, down = V.face_edge(p, F.col("key"), 1, 14), V.face_edge(p, F.col("key"), -1, 14)
     d = t.vec.select("key", F.when(F.col("key") % 2 == 0, up).otherwise(down).alias("e"))
     return d.select("key", r6(F.col("e.pos")).alias("pos"), r6(F.col("e.gain")).alias("gain"))
 
 
 CTE["vbox"] = """
-SELECT frame % 500 AS key, frame, l_linenumber AS ln, x0 / 12 - 1.5e0 AS x1, y0 / 11 - 1.5e0 AS y1, x1 / 14 AS x2, y1 / 13 AS y2 FROM bx
+SELECT frame % (SELECT count(*) FROM vec) AS key, frame, l_linenumber AS ln, x0 / 12 - 1.5e0 AS x1, y0 / 11 - 1.5e0 AS y1, x1 / 14 AS x2, y1 / 13 AS y2 FROM bx
 """
 
 
 def _vbox(t):
-    return t.bx.select((F.col("frame") % 500).alias("key"), "frame", F.col("l_linenumber").alias("ln"), (F.col("x0") / 12 - 1.5).alias("x1"),
+    n = t.vec.count()  # every vector is read by some frame
+    return t.bx.select((F.col("frame") % n).alias("key"), "frame", F.col("l_linenumber").alias("ln"), (F.col("x0") / 12 - 1.5).alias("x1"),
                        (F.col("y0") / 11 - 1.5).alias("y1"), (F.col("x1") / 14).alias("x2"), (F.col("y1") / 13).alias("y2"))
 
 
@@ -193,12 +194,12 @@ def v10(t):
 
 
 @query("f22_sorting_suspect", """
-WITH s AS (SELECT key, list_transform(range(12), lambda j: v[j * 2 + 1]) AS m, list_transform(range(12), lambda j: abs(v[j * 2 + 2])) AS d, v[30] AS em, abs(v[31]) AS ed FROM vec),
+WITH s AS (SELECT key, list_transform(range(31), lambda j: v[j * 2 + 1]) AS m, list_transform(range(31), lambda j: abs(v[j * 2 + 2])) AS d, v[63] AS em, abs(v[64]) AS ed FROM vec),
 t AS (SELECT *, list_median(m) AS mm, list_median(d) AS md FROM s)
-SELECT key, len(list_filter(range(1, 13), lambda i: abs(m[i] - em) + abs(d[i] - ed) < 0.7e0 * (abs(m[i] - mm) + abs(d[i] - md)))) > 0 AS suspect FROM t
+SELECT key, len(list_filter(range(1, 32), lambda i: abs(m[i] - em) + abs(d[i] - ed) < 0.7e0 * (abs(m[i] - mm) + abs(d[i] - md)))) > 0 AS suspect FROM t
 """)
 def f22(t):
-    slots = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda j: F.struct(
+    slots = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda j: F.struct(
         F.get("v", j * 2).alias("mean"), F.abs(F.get("v", j * 2 + 1)).alias("std")))
-    empty = F.struct(F.get("v", F.lit(29)).alias("mean"), F.abs(F.get("v", F.lit(30))).alias("std"))
+    empty = F.struct(F.get("v", F.lit(62)).alias("mean"), F.abs(F.get("v", F.lit(63))).alias("std"))
     return t.vec.select("key", V.sorting_suspect(slots, empty).alias("suspect"))
