@@ -124,37 +124,36 @@ def claim_levels(rounds: DataFrame, chunk: Column | None = None) -> DataFrame:
         "called": F.coalesce(taken, F.lit(False)),
         "called_seq": F.when(taken, F.col("_next.seq")), "called_by": F.when(taken, F.col("_next.actor")),
         "takes_seq": F.when(takes, F.col("_prev.seq")), "takes_idx": F.when(takes, F.col("_prev.ev_idx")),
-    }).drop("_prev", "_next", "_level")
+    }).drop("_prev", "_next").withColumnRenamed("_level", "level")
 
 
 def river(rounds: DataFrame, chunk: Column | None = None) -> DataFrame:
-    """Discards of each seat with their order and their index among the visible ones.
+    """Discards of each seat with their order and their index in the visible river.
 
-    ``visible_idx`` is the position among discards that are never called in the round (null for
-    called ones); ``called_seq`` says when a discard left the river.
+    ``visible_idx`` is the place at which the discard lies from its own record until a claim takes
+    it at ``called_seq``: a claim only takes the top of the river, so what is below never moves.
     """
     ch = seq_chunk() if chunk is None else chunk
     d = claim_levels(rounds, chunk).filter(F.col("type") == "dahai")
-    d = scan(d, ROUND + ["river_seat"], ORDER, [
-        Run("river_idx", "sum", F.lit(1)),
-        Run("visible_idx", "sum", F.when(F.col("called"), 0).otherwise(1)),
-    ], ch)
-    return d.withColumns({"river_idx": F.col("river_idx") - 1,
-                          "visible_idx": F.when(~F.col("called"), F.col("visible_idx") - 1)})
+    d = scan(d, ROUND + ["river_seat"], ORDER, [Run("river_idx", "sum", F.lit(1))], ch)
+    return d.withColumns({"river_idx": F.col("river_idx") - 1, "visible_idx": F.col("level") - 1}).drop("level")
 
 
-def sideways_index(discards: DataFrame, keys: list[str], order: list[str], chunk: Column | None) -> DataFrame:
-    """Visible index of the sideways tile per river.
+def sideways_index(changes: DataFrame, keys: list[str], order: list[str], chunk: Column | None) -> DataFrame:
+    """After each change of a river, the visible index of its sideways tile.
 
-    It is the first discard at or after the riichi discard that was not called; null when a
-    riichi was declared and no such discard exists yet.  Needs ``riichi`` and ``called``.
+    It is the first discard at or after the riichi discard that lies in the river as of that
+    record; null before a riichi and while that tile is claimed and not yet replaced. Needs the
+    rows of `claim_levels` with ``riichi`` on discards. The tile lies at the lowest level that the
+    river has had room for since the riichi.
     """
-    d = scan(discards, keys, order, [
-        Run("_riichi", "max", F.col("riichi")),
-        Run("_vis", "sum", F.when(F.col("called"), 0).otherwise(1))], chunk)
-    return d.groupBy(*keys).agg(
-        F.max("riichi").alias("has_riichi"),
-        F.min(F.when(F.col("_riichi") & ~F.col("called"), F.col("_vis") - 1)).alias("sideways_idx"))
+    push = F.col("type") == "dahai"
+    d = changes.withColumn("_h", F.col("level") - F.when(push, 0).otherwise(1))
+    d = scan(d, keys, order, [Run("has_riichi", "max", push & F.col("riichi"))], chunk)
+    floor = F.when(push & F.col("riichi"), F.col("_h")).when(F.col("has_riichi"), F.col("_h") + 1)
+    d = scan(d, keys, order, [Run("_low", "min", floor)], chunk)
+    at = F.when(F.col("_h") >= F.col("_low"), F.col("_low") - 1)
+    return d.select(*keys, *order, F.coalesce("has_riichi", F.lit(False)).alias("has_riichi"), at.alias("sideways_idx"))
 
 
 def hero_events(rounds: DataFrame, hero: Column) -> DataFrame:

@@ -89,11 +89,16 @@ WINDOW w AS (PARTITION BY game, kyoku_ord, rseat, lvl ORDER BY seq)
 """
 
 
+CTE["lies"] = """
+SELECT e.game, e.kyoku_ord, e.rseat, e.seq, d.seq AS dseq, row_number() OVER (PARTITION BY e.game, e.kyoku_ord, e.rseat, e.seq ORDER BY d.seq) - 1 AS idx
+FROM riv e JOIN riv d ON e.game = d.game AND e.kyoku_ord = d.kyoku_ord AND e.rseat = d.rseat AND d.type = 'dahai' AND d.seq <= e.seq AND (d.called_seq IS NULL OR d.called_seq > e.seq)
+"""
+
+
 @query("w3_river_visible_index", """
-SELECT game, kyoku_ord, rseat AS river_seat, seq, pai, called, called_seq,
-  CAST(row_number() OVER (PARTITION BY game, kyoku_ord, rseat ORDER BY seq) - 1 AS BIGINT) AS river_idx,
-  CASE WHEN NOT called THEN CAST(sum(CASE WHEN called THEN 0 ELSE 1 END) OVER (PARTITION BY game, kyoku_ord, rseat ORDER BY seq ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) END AS visible_idx
-FROM riv WHERE type = 'dahai'
+SELECT r.game, r.kyoku_ord, r.rseat AS river_seat, r.seq, pai, called, called_seq,
+  CAST(row_number() OVER (PARTITION BY r.game, r.kyoku_ord, r.rseat ORDER BY r.seq) - 1 AS BIGINT) AS river_idx, CAST(l.idx AS BIGINT) AS visible_idx
+FROM riv r JOIN lies l ON l.game = r.game AND l.kyoku_ord = r.kyoku_ord AND l.rseat = r.rseat AND l.seq = r.seq AND l.dseq = r.seq WHERE type = 'dahai'
 """)
 def w3(t):
     rounds = stage(R.with_round(t.mj), "rounds")
@@ -121,20 +126,16 @@ def w4(t):
 
 
 @query("w5_sideways_index", """
-WITH d AS (SELECT r.game, r.kyoku_ord, r.rseat AS river_seat, r.seq, r.called, f.riichi
-  FROM riv r JOIN rdis f ON r.game = f.game AND r.seq = f.seq WHERE r.type = 'dahai'),
-e AS (SELECT *, bool_or(riichi) OVER w AS seen, sum(CASE WHEN called THEN 0 ELSE 1 END) OVER w AS vis FROM d
-  WINDOW w AS (PARTITION BY game, kyoku_ord, river_seat ORDER BY seq ROWS UNBOUNDED PRECEDING))
-SELECT game, kyoku_ord, river_seat, bool_or(riichi) AS has_riichi,
-  CAST(min(CASE WHEN seen AND NOT called THEN vis - 1 END) AS BIGINT) AS sideways_idx
-FROM e GROUP BY ALL
+WITH e AS (SELECT r.game, r.kyoku_ord, r.rseat, r.seq, min(CASE WHEN f.riichi THEN r.seq END) OVER (PARTITION BY r.game, r.kyoku_ord, r.rseat ORDER BY r.seq ROWS UNBOUNDED PRECEDING) AS rs
+  FROM riv r LEFT JOIN rdis f ON r.game = f.game AND r.seq = f.seq)
+SELECT e.game, e.kyoku_ord, e.rseat AS river_seat, e.seq, e.rs IS NOT NULL AS has_riichi, CAST(min(l.idx) AS BIGINT) AS sideways_idx
+FROM e LEFT JOIN lies l ON l.game = e.game AND l.kyoku_ord = e.kyoku_ord AND l.rseat = e.rseat AND l.seq = e.seq AND l.dseq >= e.rs GROUP BY e.game, e.kyoku_ord, e.rseat, e.seq, e.rs
 """)
 def w5(t):
     rounds = stage(R.with_round(t.mj), "rounds")
-    called = R.claim_levels(rounds).filter(F.col("type") == "dahai").select("game", "kyoku_ord", "river_seat", *R.ORDER, "called")
     flags = R.riichi_discards(rounds).select("game", *R.ORDER, "riichi")
-    d = called.join(flags, ["game", *R.ORDER])
-    return R.sideways_index(d, ["game", "kyoku_ord", "river_seat"], R.ORDER, R.seq_chunk())
+    d = R.claim_levels(rounds).select("game", "kyoku_ord", "river_seat", *R.ORDER, "type", "level").join(flags, ["game", *R.ORDER], "left")
+    return R.sideways_index(d, ["game", "kyoku_ord", "river_seat"], R.ORDER, R.seq_chunk()).select("game", "kyoku_ord", "river_seat", "seq", "has_riichi", "sideways_idx")
 
 
 @query("w6_hero_hand", f"""

@@ -174,13 +174,24 @@ def test_claims_rivers_and_sideways(log, size):
         assert [(r.seq, r.ev_idx) for r in rows] == [d["at"] for d in want]
         assert [r.called for r in rows] == [d["called"] for d in want]
         assert [flags[(r.game, r.seq, r.ev_idx)] for r in rows] == [d["riichi"] for d in want]
-    called = R.claim_levels(rounds, ch).filter("type = 'dahai'").select("game", "kyoku_ord", "river_seat", *R.ORDER, "called")
-    d = called.join(R.riichi_discards(rounds, ch).select("game", *R.ORDER, "riichi"), ["game", *R.ORDER])
-    for r in R.sideways_index(d, ["game", "kyoku_ord", "river_seat"], R.ORDER, ch).collect():
-        want = rivers[(r.game, r.kyoku_ord, r.river_seat)]
-        first = next((i for i, x in enumerate(want) if x["riichi"]), None)
-        at = None if first is None else next((i for i in range(first, len(want)) if not want[i]["called"]), None)
-        assert r.sideways_idx == (None if at is None else sum(not x["called"] for x in want[:at]))
+    changes = R.claim_levels(rounds, ch).select("game", "kyoku_ord", "river_seat", *R.ORDER, "type", "level", "takes_seq")
+    d = changes.join(R.riichi_discards(rounds, ch).select("game", *R.ORDER, "riichi"), ["game", *R.ORDER], "left")
+    sideways = {(r.game, r.kyoku_ord, r.river_seat, r.seq, r.ev_idx): r.sideways_idx for r in R.sideways_index(d, ["game", "kyoku_ord", "river_seat"], R.ORDER, ch).collect()}
+    places = {(r.game, r.seq, r.ev_idx): r.visible_idx for rows in got.values() for r in rows}
+    lying: dict = {}
+    for r in sorted(d.collect(), key=lambda r: (r.game, r.kyoku_ord, r.seq, r.ev_idx)):
+        key = (r.game, r.kyoku_ord, r.river_seat)
+        tiles, state = lying.setdefault(key, ([], {"n": 0, "riichi": None}))
+        if r.type == "dahai":
+            if r.riichi and state["riichi"] is None:
+                state["riichi"] = state["n"]
+            tiles.append(state["n"])
+            state["n"] += 1
+            assert places[(r.game, r.seq, r.ev_idx)] == len(tiles) - 1
+        elif r.takes_seq is not None:
+            tiles.pop()
+        want = None if state["riichi"] is None else next((i for i, n in enumerate(tiles) if n >= state["riichi"]), None)
+        assert sideways[(*key, r.seq, r.ev_idx)] == want
 
 
 def test_added_kans(log):
