@@ -26,18 +26,20 @@ def load_frames(rows: DataFrame, statuses: list[str]) -> DataFrame:
     return d.groupBy("game", F.coalesce("seq", "step").alias("seq")).agg(F.max_by("file", "line_no").alias("file"))
 
 
-def discover_games(listing: DataFrame, root: str) -> DataFrame:
-    """Captures below a source root, from a listing of (path, size).
+def discover_games(listing: DataFrame, *roots: str) -> DataFrame:
+    """Captures below the source roots, from a listing of (path, size).
 
     A capture inside a folder of its own name wins over its older sibling form; captures whose
-    frame index exists but is empty are left out; a name found twice, or none at all, is an error.
+    frame index exists but is empty are left out. A name found twice, in one root or in two, is an
+    error, and so is a root without any game.
     """
-    rel = F.regexp_replace("path", "^" + root.rstrip("/") + "/", "")
-    d = listing.filter(F.col("path").startswith(root.rstrip("/") + "/")).withColumn("_rel", rel)
+    bases = [r.rstrip("/") + "/" for r in roots]
+    root = F.coalesce(*[F.when(F.col("path").startswith(b), b) for b in bases])
+    d = listing.withColumn("_root", root).filter(F.col("_root").isNotNull()).withColumn("_rel", F.expr("substring(path, length(_root) + 1)"))
     nested = F.col("_rel").rlike(r"^run_[^/]*/(game[^/]*)/\1\.jsonl$") | F.col("_rel").rlike(r"^(run_[^/]*)/\1\.jsonl$")
     sibling = F.col("_rel").rlike(r"^run_[^/]*/game[^/]*\.jsonl$") | F.col("_rel").rlike(r"^run_[^/]*\.jsonl$")
     manual = F.col("_rel").rlike(r"^session[^/]*\.jsonl$")
-    caps = d.filter(nested | sibling | manual).select(F.col("path").alias("capture"), nested.alias("nested"), manual.alias("manual"))
+    caps = d.filter(nested | sibling | manual).select(F.col("path").alias("capture"), nested.alias("nested"), manual.alias("manual"), "_root")
     twin = F.concat(F.regexp_replace("capture", r"\.jsonl$", "/"), F.element_at(F.split("capture", "/"), -1))
     have = d.select(F.col("path").alias("_twin"))
     old = caps.filter(~F.col("nested")).withColumn("_twin", twin)
@@ -46,11 +48,15 @@ def discover_games(listing: DataFrame, root: str) -> DataFrame:
     games = games.withColumns({"name": game_name(F.col("capture")), "frames_dir": frames_dir(F.col("capture"))})
     empty = d.filter((F.col("size") == 0) & F.col("path").endswith("/frames.jsonl")).select(F.regexp_replace("path", "/frames.jsonl$", "").alias("frames_dir"))
     games = games.join(empty, "frames_dir", "left_anti")
-    twice = duplicate_names(games, "name", "capture")
-    games = games.join(twice, "name", "left")
-    stop = F.raise_error(F.concat(F.lit("duplicate game name "), F.col("name"), F.lit(" from "), F.array_join("origins", " and ")))
-    return games.select(F.when(F.col("origins").isNotNull(), stop).otherwise(F.col("name")).alias("name"), F.col("name").alias("dir"),
-                        F.when(F.col("manual"), "manual").otherwise("ai").alias("kind"), "capture", "frames_dir")
+    twice = games.groupBy("name").agg(F.min("capture").alias("_a"), F.max("capture").alias("_b"), F.count(F.lit(1)).alias("_n"))
+    stop = F.raise_error(F.concat(F.lit("duplicate game name "), F.col("name"), F.lit(" from "), F.col("_a"), F.lit(" and "), F.col("_b")))
+    out = games.join(twice, "name").select(
+        F.when(F.col("_n") > 1, stop).otherwise(F.col("name")).alias("name"), F.col("name").alias("dir"),
+        F.when(F.col("manual"), "manual").otherwise("ai").alias("kind"), "capture", "frames_dir")
+    asked = listing.sparkSession.createDataFrame([(b,) for b in bases], "_root string")
+    bare = asked.join(games.select("_root").distinct(), "_root", "left_anti")
+    none = F.raise_error(F.concat(F.lit("no games below "), F.col("_root"))).cast("string")
+    return out.unionByName(bare.select(none.alias("name"), *[F.lit(None).cast("string").alias(c) for c in ("dir", "kind", "capture", "frames_dir")]))
 
 
 def resolve_paths(files: DataFrame, listing: DataFrame, roots: list[str]) -> DataFrame:
@@ -73,9 +79,9 @@ def resolve_paths(files: DataFrame, listing: DataFrame, roots: list[str]) -> Dat
 
 
 def duplicate_names(rows: DataFrame, name: str, origin: str) -> DataFrame:
-    """Names that occur more than once, with the first and last origin."""
-    d = rows.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.min(origin).alias("_a"), F.max(origin).alias("_b")).filter("n > 1")
-    return d.select(name, "n", F.array("_a", "_b").alias("origins"))
+    """Names that occur more than once, with how often, and every origin in a row of its own."""
+    d = rows.groupBy(name).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return rows.join(d, name).select(name, "n", F.col(origin).alias("origin"))
 
 
 def union_sources(sources: list[DataFrame]) -> DataFrame:
@@ -120,10 +126,12 @@ def obb_line(cls: Column, quad: Column, w: Column, h: Column) -> Column:
     return F.concat(cls.cast("string"), F.lit(" "), F.array_join(pts, " "))
 
 
-def label_files(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Text of one label file per frame, rows in order."""
-    d = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "line"))).alias("_l"))
-    return d.select(*keys, F.concat(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
+def label_files(lines: DataFrame, keys: list[str], order: str, line: dict[str, str] | None = None) -> DataFrame:
+    """Text of one label file per frame, rows in order; ``line`` maps line columns to text columns."""
+    line = line or {"line": "text"}
+    d = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *line))).alias("_l"))
+    text = lambda c: F.concat(F.array_join(F.transform("_l", lambda x: x[c]), "\n"), F.lit("\n"))
+    return d.select(*keys, *[text(c).alias(t) for c, t in line.items()])
 
 
 def parse_labels(files: DataFrame, keep: list[str]) -> DataFrame:

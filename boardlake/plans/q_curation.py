@@ -176,11 +176,10 @@ def u4(t):
 
 
 @query("u5_duplicate_names", """
-SELECT regexp_extract(url, '://([^/]+)/', 1) AS name, count(*) AS n, min(url) AS a, max(url) AS b FROM pages GROUP BY ALL HAVING count(*) > 1
+SELECT * FROM (SELECT name, count(*) OVER (PARTITION BY name) AS n, url AS origin FROM (SELECT regexp_extract(url, '://([^/]+)/', 1) AS name, url FROM pages)) WHERE n > 1
 """)
 def u5(t):
-    d = K.duplicate_names(t.raw("pages").select(F.regexp_extract("url", "://([^/]+)/", 1).alias("name"), "url"), "name", "url")
-    return d.select("name", "n", F.col("origins")[0].alias("a"), F.col("origins")[1].alias("b"))
+    return K.duplicate_names(t.raw("pages").select(F.regexp_extract("url", "://([^/]+)/", 1).alias("name"), "url"), "name", "url")
 
 
 @query("u6_missing_holdouts", """

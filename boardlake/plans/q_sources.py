@@ -190,9 +190,7 @@ SELECT frame, string_agg(hbb, chr(10) ORDER BY det_id) || chr(10) AS hbb, string
 def s10(t):
     d = _label_lines(t)
     # one file per frame: a frame's rows are its text
-    a = K.label_files(d.withColumnRenamed("hbb", "line"), ["frame"], "det_id").withColumnRenamed("text", "hbb")
-    b = K.label_files(d.withColumnRenamed("obb", "line"), ["frame"], "det_id").withColumnRenamed("text", "obb")
-    return a.join(b, "frame")
+    return K.label_files(d, ["frame"], "det_id", {"hbb": "hbb", "obb": "obb"})
 
 
 @query("s9_read_labels", """

@@ -23,6 +23,8 @@ def build_session(cpus: int | str = "*", app: str = "boardlake", shuffle_partiti
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.codegen.cache.maxEntries", "1000")
+        # longer generated methods are never compiled by the JVM; Spark then splits them
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
 

@@ -49,6 +49,15 @@ def test_discovery_stops_on_duplicates(spark):
     dup = spark.createDataFrame([("/r/run_1/game1.jsonl", 1), ("/r/run_1/game1.jsonl", 1)], "path string, size int")
     with pytest.raises(Exception, match="duplicate game name"):
         K.discover_games(dup, "/r").collect()
+    listing = spark.createDataFrame(ok + [("/q/run_7/game1.jsonl", 3)], "path string, size int")
+    assert {r.name for r in K.discover_games(listing, "/r", "/q/").collect()} == {"r_run_1_game1", "r_run_1_game2", "session4", "r_run_2", "q_run_7_game1"}
+    with pytest.raises(Exception, match="no games below /none/"):
+        K.discover_games(listing, "/r", "/none").collect()
+
+
+def test_every_origin_of_a_name_is_told(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "z"), ("b", "x")], "name string, origin string")
+    assert sorted(tuple(r) for r in K.duplicate_names(rows, "name", "origin").collect()) == [("a", 3, "x"), ("a", 3, "y"), ("a", 3, "z")]
 
 
 def test_names_and_folders(spark):
