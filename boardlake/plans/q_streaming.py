@@ -17,13 +17,17 @@ from .registry import ORACLES, query
 ROWS_PER_SLICE = 2_000_000  # what one micro-batch may bring to a game's state
 
 
-def _slices(d, extra: list | None = None):
-    """The table in log order, cut into micro-batches of bounded size."""
+def _slices(d, extra: list | None = None, lag: bool = False):
+    """The table in log order, cut into micro-batches of bounded size; with ``lag`` every other game
+    comes one slice later than the others. Written once, a folder per slice."""
     b = d.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     k = max(3, -(-b["n"] // ROWS_PER_SLICE))
     step = (b["hi"] - b["lo"]) // k + 1
-    no = F.floor((F.col("seq") - b["lo"]) / step)
-    return [d.filter(no == i) for i in range(k)] + (extra or [])
+    no = F.floor((F.col("seq") - b["lo"]) / step) + (F.col("game") % 2 if lag else 0)
+    path = fresh_path(d.sparkSession, "slices")
+    d.withColumn("_slice", no.cast("int")).write.partitionBy("_slice").parquet(path)
+    cut = d.sparkSession.read.parquet(path)
+    return [cut.filter(F.col("_slice") == i).drop("_slice") for i in range(k + lag)] + (extra or [])
 
 
 def _ts(us):
@@ -54,27 +58,27 @@ def g1(t):
 
 
 def _end(d):
-    """A closing row of no game, late enough to let every timer run out."""
-    end = d.agg((F.max("ts_us") + 10 * QS.CAP).alias("ts_us"), (F.max("seq") + 1).alias("seq"))
-    return end.select(F.lit(-1).cast("long").alias("game"), "seq", "ts_us")
+    """A row per game that closes it."""
+    top = d.agg((F.max("ts_us") + 10 * QS.CAP).alias("ts_us"), (F.max("seq") + 1).alias("seq"))
+    return d.select("game").distinct().crossJoin(F.broadcast(top)).select("game", "seq", "ts_us").withColumn("closing", F.lit(True))  # one row
 
 
 @query("g2_live_debounce", ORACLES["w11_debounce"])
 def g2(t):
-    d = t.ev.select("game", "seq", "ts_us")
-    parts = [(p.withColumn("ts", _ts("ts_us")),) for p in _slices(d, [_end(d)])]
-    live = lambda s: timers.debounce(s.withWatermark("ts", "0 seconds"), QS.QUIET, QS.CAP)
-    return drain_growing(parts, live, "captures").filter("game >= 0")
+    d = t.ev.select("game", "seq", "ts_us", F.lit(False).alias("closing"))
+    parts = [(p,) for p in _slices(d, [_end(d)], lag=True)]
+    out = drain_growing(parts, lambda s: timers.debounce(s, QS.QUIET, QS.CAP), "captures")
+    return out.filter("NOT late").drop("late")
 
 
 @query("g3_live_extra_shots", ORACLES["w13_extra_shots"])
 def g3(t):
     win = C.opens_window(F.array("type"), F.col("ops"), F.col("syncing"))
-    d = QS._offers(t).select("game", "seq", "ts_us", win.alias("window"))
-    end = _end(d).withColumn("window", F.lit(False))
-    parts = [(p.withColumn("ts", _ts("ts_us")),) for p in _slices(d, [end])]
-    live = lambda s: timers.extra_shots(s.withWatermark("ts", "0 seconds"), [7200000, 14400000, 28800000])
-    return drain_growing(parts, live, "shots").filter("game >= 0")
+    d = QS._offers(t).select("game", "seq", "ts_us", win.alias("window"), F.lit(False).alias("closing"))
+    end = _end(d).select("game", "seq", "ts_us", F.lit(False).alias("window"), "closing")
+    parts = [(p,) for p in _slices(d, [end], lag=True)]
+    out = drain_growing(parts, lambda s: timers.extra_shots(s, [7200000, 14400000, 28800000]), "shots")
+    return out.filter("NOT late").drop("late")
 
 
 @query("g4_live_dedup", "SELECT CAST(game AS VARCHAR) AS flow_id, seq FROM ev WHERE NOT syncing")

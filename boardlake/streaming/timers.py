@@ -1,4 +1,13 @@
-"""Screenshot timing over a live log with event-time timers."""
+"""Screenshot timing over a live log.
+
+Every game has its own clock, the time of its newest row, so a game that lags behind others loses
+nothing. What a game still holds is released by its next row, by a closing row, or once it has been
+idle for ``idle_ms`` of wall-clock time. Rows older than what their game has shown come out
+marked ``late`` and change no state.
+
+A game's rows of one micro-batch are handled in one call; bound a batch at its source
+(``maxFilesPerTrigger``). State is a few numbers per game.
+"""
 
 from __future__ import annotations
 
@@ -6,82 +15,95 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-CAPTURE = "game long, key long, start_us long, capture_us long, capped boolean"
-PENDING = "key long, start_us long, last_us long"
-SHOT = "game long, seq long, offset_ms int, fire_us long"
+CAPTURE = "game long, key long, start_us long, capture_us long, capped boolean, late boolean"
+PENDING = "open boolean, key long, start_us long, last_us long"
+SHOT = "game long, seq long, offset_ms int, fire_us long, late boolean"
 ARMED = "seq long, ts_us long, offsets array<int>"
 
 
-def _set_timer(state, at_us: int) -> None:
-    """Wake the group once the watermark has passed ``at_us``."""
-    ms = -(-at_us // 1000)
-    state.setTimeoutTimestamp(max(ms, state.getCurrentWatermarkMs() + 1))
+def _stateful(rows: DataFrame, columns: list[str], run, shape: str, state: str, idle_ms: int | None) -> DataFrame:
+    closing = F.col("closing") if "closing" in rows.columns else F.lit(False)
+    d = rows.select(*columns, closing.alias("closing")).groupBy("game")
+    return d.applyInPandasWithState(run, shape, state, "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")
+
+
+def _frame(rows: list[tuple], shape: str) -> pd.DataFrame:
+    names = [c.split()[0] for c in shape.split(", ")]
+    return pd.DataFrame({n: pd.array([r[i] for r in rows], dtype="boolean" if f" {n} boolean" in f" {shape}" else "Int64") for i, n in enumerate(names)})
 
 
-def debounce(events: DataFrame, quiet_us: int, cap_us: int) -> DataFrame:
+def debounce(events: DataFrame, quiet_us: int, cap_us: int, idle_ms: int | None = None) -> DataFrame:
     """One capture per quiet spell, or when a burst has run for ``cap_us``.
 
-    Input ``game, seq, ts_us`` and a watermarked timestamp ``ts``; a game's events must arrive
-    in order.  What is still pending is captured when the watermark passes its time.
+    Input ``game, seq, ts_us`` and perhaps ``closing``, true on a row that only ends its game. Late
+    rows come out with their seq and time and without a capture.
     """
-    def due(p: tuple) -> tuple[int, bool]:
-        key, start, last = p
-        return min(last + quiet_us, start + cap_us), start + cap_us < last + quiet_us
-
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pend = tuple(state.get) if state.exists else None
-        out = []
+        open_, first, start, last = tuple(state.get) if state.exists else (False, 0, 0, -1)
+        out: list[tuple] = []
 
-        def emit(p: tuple) -> None:
-            at, capped = due(p)
-            out.append((key[0], p[0], p[1], at, capped))
+        def emit() -> None:
+            at = min(last + quiet_us, start + cap_us)
+            out.append((key[0], first, start, at, start + cap_us < last + quiet_us, False))
 
         if state.hasTimedOut:
-            emit(pend)
-            state.remove()
+            if open_:
+                emit()
+            state.update((False, first, start, last))
         else:
             rows = pd.concat(list(frames)).sort_values(["ts_us", "seq"])
-            for seq, ts in zip(rows["seq"].tolist(), rows["ts_us"].tolist()):
-                if pend is not None and (ts - pend[2] >= quiet_us or ts > pend[1] + cap_us):
-                    emit(pend)
-                    pend = None
-                pend = (seq, ts, ts) if pend is None else (max(seq, pend[0]), pend[1], ts)
-            state.update(pend)
-            _set_timer(state, due(pend)[0])
-        yield pd.DataFrame(out, columns=["game", "key", "start_us", "capture_us", "capped"])
-
-    return events.select("game", "seq", "ts_us", "ts").groupBy("game").applyInPandasWithState(run, CAPTURE, PENDING, "append", "EventTimeTimeout")
-
-
-def extra_shots(armed: DataFrame, offsets_ms: list[int]) -> DataFrame:
+            for seq, ts, closing in zip(rows["seq"].tolist(), rows["ts_us"].tolist(), rows["closing"].tolist()):
+                if ts < last:
+                    out.append((key[0], seq, ts, None, None, True))
+                    continue
+                if open_ and (closing or ts - last >= quiet_us or ts > start + cap_us):
+                    emit()
+                    open_ = False
+                if not closing:
+                    first, start = (max(seq, first), start) if open_ else (seq, ts)
+                    open_ = True
+                last = ts
+            state.update((open_, first, start, last))
+            if idle_ms is not None and open_:
+                state.setTimeoutDuration(idle_ms)
+        yield _frame(out, CAPTURE)
+
+    return _stateful(events, ["game", "seq", "ts_us"], run, CAPTURE, PENDING, idle_ms)
+
+
+def extra_shots(armed: DataFrame, offsets_ms: list[int], idle_ms: int | None = None) -> DataFrame:
     """Planned extra screenshots; the next record of the game cancels the rest.
 
-    Input ``game, seq, ts_us, window`` and a watermarked timestamp ``ts``.
+    Input ``game, seq, ts_us, window`` and perhaps ``closing``. Late rows (by seq) come out
+    without an offset and arm nothing.
     """
     plan = sorted(offsets_ms)
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = tuple(state.get) if state.exists else None
-        out = []
+        seq, at, held = tuple(state.get) if state.exists else (-1, 0, [])
+        out: list[tuple] = []
 
         def fire(before: int | None) -> None:
-            for off in held[2] if held else ():
-                at = held[1] + int(off) * 1000
-                if before is None or at < before:
-                    out.append((key[0], held[0], int(off), at))
+            for off in held:
+                if before is None or at + int(off) * 1000 < before:
+                    out.append((key[0], seq, int(off), at + int(off) * 1000, False))
 
         if state.hasTimedOut:
             fire(None)
-            state.remove()
+            state.update((seq, at, []))
         else:
             rows = pd.concat(list(frames)).sort_values("seq")
-            for seq, ts, window in zip(rows["seq"].tolist(), rows["ts_us"].tolist(), rows["window"].tolist()):
-                fire(ts)
-                held = (seq, ts, plan if window else [])
-            state.update((held[0], held[1], list(held[2])))
-            if held[2]:
-                _set_timer(state, held[1] + held[2][-1] * 1000)
-        yield pd.DataFrame(out, columns=["game", "seq", "offset_ms", "fire_us"])
-
-    return armed.select("game", "seq", "ts_us", "window", "ts").groupBy("game").applyInPandasWithState(run, SHOT, ARMED, "append", "EventTimeTimeout")
+            for n, ts, window, closing in zip(*[rows[c].tolist() for c in ("seq", "ts_us", "window", "closing")]):
+                if n < seq:
+                    out.append((key[0], n, None, None, True))
+                    continue
+                fire(None if closing else ts)
+                seq, at, held = n, ts, plan if window and not closing else []
+            state.update((seq, at, list(held)))
+            if idle_ms is not None and len(held):
+                state.setTimeoutDuration(idle_ms)
+        yield _frame(out, SHOT)
+
+    return _stateful(armed, ["game", "seq", "ts_us", "window"], run, SHOT, ARMED, idle_ms)

@@ -159,6 +159,23 @@ def test_live_replay_marks_late_events(spark):
     assert (last.concealed, last.scores[2], last.sticks, last.reach, last.kyoku_ord) == ([13, 11, 13, 13], 24000, 2, [False, False, True, False], 1)
 
 
+def test_live_timers_lose_no_row_of_a_lagging_game(spark):
+    from boardlake.streaming import timers
+
+    sec = 1_000_000
+    shape = "game long, seq long, ts_us long, window boolean, closing boolean"
+    batches = [[(1, 1, 100 * sec, True, False), (1, 2, 101 * sec, False, False)], [(2, 1, 50 * sec, True, False), (2, 2, 51 * sec, True, False)],
+               [(2, 1, 49 * sec, True, False), (1, 3, 200 * sec, False, True), (2, 3, 200 * sec, False, True)]]
+    parts = [(spark.createDataFrame(b, shape),) for b in batches]
+    got = drain_growing(parts, lambda s: timers.debounce(s, sec // 2, 10 * sec), "c").collect()
+    assert sorted(tuple(r) for r in got if not r.late) == [(1, 1, 100 * sec, 100 * sec + sec // 2, False, False), (1, 2, 101 * sec, 101 * sec + sec // 2, False, False),
+                                                          (2, 1, 50 * sec, 50 * sec + sec // 2, False, False), (2, 2, 51 * sec, 51 * sec + sec // 2, False, False)]
+    assert [(r.game, r.key, r.start_us) for r in got if r.late] == [(2, 1, 49 * sec)]
+    shots = drain_growing(parts, lambda s: timers.extra_shots(s, [500, 2000]), "s").collect()
+    assert sorted((r.game, r.seq, r.offset_ms) for r in shots if not r.late) == [(1, 1, 500), (2, 1, 500), (2, 2, 500), (2, 2, 2000)]
+    assert [(r.game, r.seq) for r in shots if r.late] == [(2, 1)]
+
+
 def test_live_offers_drop_replays(spark):
     rows = [("f", 1, False, "2024-01-01 00:00:00"), ("f", 1, False, "2024-01-01 00:00:01"), ("f", 2, True, "2024-01-01 00:00:02"), ("g", 1, None, "2024-01-01 00:00:02")]
     d = spark.createDataFrame(rows, "flow_id string, seq long, syncing boolean, t string").withColumn("ts", F.to_timestamp("t"))
