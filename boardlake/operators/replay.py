@@ -93,6 +93,17 @@ def seat_scalars(rounds: DataFrame, chunk: Column | None = None) -> DataFrame:
     return out.withColumns(base)
 
 
+def dora_list(rounds: DataFrame) -> DataFrame:
+    """``dora``, the indicators turned so far in the round, in order.
+
+    A round turns five indicators at most, so they are gathered per round and cut per record.
+    """
+    turned = rounds.filter(F.col("type").isin("start_kyoku", "dora") & F.col("dora_marker").isNotNull())
+    per = turned.groupBy(*ROUND).agg(F.array_sort(F.collect_list(F.struct(*ORDER, "dora_marker"))).alias("_turned"))
+    so_far = F.filter(F.coalesce("_turned", F.array().cast(per.schema["_turned"].dataType)), lambda x: F.struct(*[x[c] for c in ORDER]) <= F.struct(*ORDER))
+    return rounds.join(per, ROUND, "left").withColumn("dora", F.transform(so_far, lambda x: x["dora_marker"])).drop("_turned")
+
+
 def riichi_discards(rounds: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Discards with the flag "this seat declared reach since its previous discard"."""
     d = rounds.filter(F.col("type").isin("reach", "dahai"))

@@ -64,15 +64,16 @@ def _w2_sql() -> str:
     cols += [
         f"CAST(sum(CASE WHEN is_start THEN kyotaku WHEN type = 'reach_accepted' THEN 1 ELSE 0 END) {RW} AS BIGINT) AS sticks",
         f"CAST(sum(CASE WHEN is_start OR type = 'dora' THEN 1 ELSE 0 END) {RW} AS BIGINT) AS n_dora",
+        f"coalesce(string_agg(CASE WHEN is_start OR type = 'dora' THEN pai END, ',') {RW}, '') AS dora",
     ]
     return f"SELECT game, seq, kyoku_ord, {', '.join(cols)} FROM rnd"
 
 
 @query("w2_seat_scalars", _w2_sql())
 def w2(t):
-    d = R.seat_scalars(R.with_round(t.mj))
+    d = R.dora_list(R.seat_scalars(R.with_round(t.mj)))
     per_seat = [f"{c}_{s}" for s in range(4) for c in ("concealed", "score", "side", "reach")]
-    return d.select("game", "seq", "kyoku_ord", *per_seat, "sticks", "n_dora")
+    return d.select("game", "seq", "kyoku_ord", *per_seat, "sticks", "n_dora", F.array_join("dora", ",").alias("dora"))
 
 
 CTE["stk"] = f"""

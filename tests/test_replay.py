@@ -194,6 +194,14 @@ def test_claims_rivers_and_sideways(log, size):
         assert sideways[(*key, r.seq, r.ev_idx)] == want
 
 
+def test_indicators_as_of_each_record(spark):
+    start = dict(bakaze="E", kyoku=1, honba=0, kyotaku=0, oya=0, dora_marker="1m", scores=[25000] * 4)
+    rows = [row(1, 0, 0, "start_kyoku", **start), row(1, 1, 0, "dahai", actor=0, pai="1m"), row(1, 2, 0, "dora", dora_marker="9p"), row(1, 2, 1, "dahai", actor=1, pai="2m"),
+            row(1, 3, 0, "start_kyoku", **(start | {"dora_marker": "E"}))]
+    got = R.dora_list(R.with_round(spark.createDataFrame(rows, SCHEMA))).orderBy("seq", "ev_idx").collect()
+    assert [r.dora for r in got] == [["1m"], ["1m"], ["1m", "9p"], ["1m", "9p"], ["E"]]
+
+
 def test_added_kans(log):
     events, _, takes, _ = log
     ch = seq_chunk("seq", 6)
