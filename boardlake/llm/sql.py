@@ -61,3 +61,13 @@ SELECT q.doc_id, q.source, q.size, t.source_size, t.target, CAST(greatest(0, lea
     + greatest(0, least(q.size, floor(t.target) - start - 2 * source_size)) AS BIGINT) AS taken
 FROM q JOIN tgt t ON q.source IS NOT DISTINCT FROM t.source
 """
+
+ORACLES["op9_sharding"] = r"""
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, coalesce(text, '') AS text, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size FROM documents),
+x AS (SELECT *, list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT))) AS b FROM d),
+c AS (SELECT doc_id, size, xor(list_reduce(b, lambda c, v: xor(c >> 8, t[xor(c, v) % 256 + 1])), 4294967295) AS text_crc32 FROM x, tab),
+p AS (SELECT *, CAST(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e, CAST(sum(size) OVER () AS BIGINT) AS total, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) AS n FROM c),
+s AS (SELECT *, CAST((2 * e - size) * 24 // (2 * total) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, n - min(n) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
