@@ -179,42 +179,35 @@ def confidence_percentiles(verdicts: DataFrame, step: float = 1 / 4096) -> DataF
 
 # --- A20 --------------------------------------------------------------------------------
 
-PAIR_LIMIT = 250_000  # candidate pairs of one (frame, class) that are compared directly
-
-
-def overlap_pairs(dets: DataFrame, gts: DataFrame, keys: list[str], t: float, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def overlap_pairs(dets: DataFrame, gts: DataFrame, keys: list[str], t: float) -> DataFrame:
     """Pairs of distinct boxes in the same group that overlap by at least ``t``.
 
-    Groups with many candidate pairs meet on a grid by size class and corner instead of all
-    against all.  Boxes carry ``x0..y1`` and ``_d`` / ``_g`` payloads.
+    Boxes meet on a grid by size class and corner, so a group of any size never pairs all with
+    all: overlap by ``t`` bounds how much sides and corners can differ. Boxes carry ``x0..y1``
+    and ``_d`` / ``_g`` payloads; boxes without extent overlap nothing.
     """
     d = dets.select(*keys, *[F.col(c).alias(f"d_{c}") for c in ("x0", "y0", "x1", "y1")], "_d")
     g = gts.select(*keys, *[F.col(c).alias(f"g_{c}") for c in ("x0", "y0", "x1", "y1")], "_g")
-    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nd")).join(g.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ng")), keys)
-    big = n.filter(F.col("_nd") * F.col("_ng") > pair_limit).select(*keys)
-    hit = iou(box_cols("d_"), box_cols("g_"))
-    cols = keys + ["_d", "_g", "iou"]
-    if big.isEmpty():
-        return d.join(g, keys).withColumn("iou", hit).filter(F.col("iou") >= t).select(*cols)
-    small = d.join(big, keys, "left_anti").join(g, keys).withColumn("iou", hit).filter(F.col("iou") >= t).select(*cols)
     m = lambda p: F.greatest(F.col(f"{p}_x1") - F.col(f"{p}_x0"), F.col(f"{p}_y1") - F.col(f"{p}_y0"))
     cell = lambda lv, v: F.floor(v / ((1 - t) * F.pow(F.lit(2.0), lv + 1))).cast("long")
-    gg = g.join(big, keys, "left_semi").withColumn("_lv", F.floor(F.log2(m("g"))).cast("int"))
+    gg = g.filter(m("g") > 0).withColumn("_lv", F.floor(F.log2(m("g"))).cast("int"))
     gg = gg.withColumns({"_cx": cell(F.col("_lv"), F.col("g_x0")), "_cy": cell(F.col("_lv"), F.col("g_y0"))})
-    dd = d.join(big, keys, "left_semi").withColumn("_m", m("d"))
+    dd = d.withColumn("_m", m("d")).filter("_m > 0")
     dd = dd.withColumn("_lv", F.explode(F.sequence(F.floor(F.log2(F.col("_m") * t)).cast("int"), F.floor(F.log2(F.col("_m") / t)).cast("int"))))
     dd = dd.withColumn("_r", (1 - t) * F.greatest(F.col("_m"), F.least(F.col("_m") / t, F.pow(F.lit(2.0), F.col("_lv") + 1))))
     for axis, name in (("d_x0", "_cx"), ("d_y0", "_cy")):
         dd = dd.withColumn(name, F.explode(F.sequence(cell(F.col("_lv"), F.col(axis) - F.col("_r")), cell(F.col("_lv"), F.col(axis) + F.col("_r")))))
-    near = dd.join(gg, keys + ["_lv", "_cx", "_cy"]).withColumn("iou", hit).filter(F.col("iou") >= t).select(*cols)
-    return small.unionByName(near)
+    near = dd.join(gg, keys + ["_lv", "_cx", "_cy"]).withColumn("iou", iou(box_cols("d_"), box_cols("g_")))
+    return near.filter(F.col("iou") >= t).select(*keys, "_d", "_g", "iou")
 
 
 def match_detections(dets: DataFrame, gts: DataFrame, t: float = 0.5) -> DataFrame:
     """True or false positive for every detection.
 
     Each detection points at the truth box of its class it overlaps best; each truth box accepts
-    the best-scored detection.  Copies of a box share one candidate, so they never pair up.
+    the best-scored detection, and one that comes second there is a miss even if another box
+    would do, which pairing by descending overlap would grant.  Copies of a box share one
+    candidate, so they never pair up.
     Input: ``frame, cls, x0..y1`` and ``det_id, score`` or ``gt_id``.
     """
     keys, place = ["frame", "cls"], ["x0", "y0", "x1", "y1"]

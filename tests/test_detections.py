@@ -127,9 +127,15 @@ def test_dense_overlap_pairs_equal_all_pairs(spark):
     d = spark.createDataFrame(rows, "frame int, det_id long, score double, x0 double, y0 double, x1 double, y1 double").withColumn("cls", F.lit(1))
     d1, g1 = d.withColumn("_d", F.col("det_id")), d.filter("det_id % 2 = 0 and x1 > x0").withColumn("_g", F.col("det_id"))
     d1 = d1.filter("x1 > x0")
-    a = {(r._d, r._g) for r in S.overlap_pairs(d1, g1, ["frame", "cls"], 0.5).collect()}
-    b = {(r._d, r._g) for r in S.overlap_pairs(d1, g1, ["frame", "cls"], 0.5, pair_limit=10).collect()}
-    assert a == b and len(a) > 100
+    got = {(r._d, r._g) for r in S.overlap_pairs(d1, g1, ["frame", "cls"], 0.5).collect()}
+    boxes = [(r[0], r[1], r[3], r[4], r[5], r[6]) for r in rows if r[5] > r[3]]
+    want = set()
+    for f, i, ax0, ay0, ax1, ay1 in boxes:
+        for g, j, bx0, by0, bx1, by1 in boxes:
+            w, h = min(ax1, bx1) - max(ax0, bx0), min(ay1, by1) - max(ay0, by0)
+            if f == g and j % 2 == 0 and w > 0 and h > 0 and w * h >= 0.5 * ((ax1 - ax0) * (ay1 - ay0) + (bx1 - bx0) * (by1 - by0) - w * h):
+                want.add((i, j))
+    assert got == want and len(got) > 100
 
 
 def test_average_precision_by_hand(spark):
