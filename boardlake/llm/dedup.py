@@ -1,9 +1,10 @@
 """Near-duplicate documents by min-max hashing.
 
 Under every permutation a shingle set keeps its smallest and its largest hash, two signature
-values for one hash evaluation. Bands of ``BAND_ROWS`` values make buckets; inside a bucket
-documents are compared with pivots on their full sets, in rounds, until every pair of the bucket is
-compared or already connected. Confirmed links are joined to components by star contraction.
+values for one hash evaluation. Bands of ``BAND_ROWS`` values make buckets; a bucket's documents are
+compared with one of them on their full sets, and confirmed links are joined to components by star
+contraction. Where a bucket isn't all connected by then, its documents meet again by their rarest
+shingles, in rounds, until every pair that can be similar is compared or connected.
 """
 
 from __future__ import annotations
@@ -144,6 +145,65 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(fits).filter(100 * both >= percent * (sizes - both)).select("a", "b")
 
 
+class Comparison:
+    """Comparison of the documents of buckets on their full sets, and what is connected so far."""
+
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
+        self.links: DataFrame | None = None
+        self.tried: DataFrame | None = None
+        self.roots: DataFrame | None = None
+
+    def mixed(self, buckets: DataFrame) -> DataFrame:
+        """The rows of those buckets whose documents aren't all connected yet, with what they are connected to."""
+        named = buckets.join(self.roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        several = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
+        return stage(named.join(several, "bucket").select("bucket", "rep", "root"), "buckets")
+
+    def compare(self, buckets: DataFrame, pivots: int) -> DataFrame:
+        """Compare each bucket (rows of bucket, rep, root) with ``pivots`` of its documents; the rows still open.
+
+        Pivots come from a bucket's smallest components first, so that a large one needs none of its
+        own, and the best connected of them first, so that a family's centre comes early. A
+        pivot leaves its bucket, as it has met all others; pairs that are connected or were
+        compared in another bucket are left out.
+        """
+        ranked = buckets.withColumns({"same": F.lit(1).cast("long"), "degree": F.lit(0).cast("long")})
+        if self.links is not None:
+            degree = self.links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
+            same = buckets.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("same"))
+            ranked = buckets.join(same, ["bucket", "root"]).join(degree, "rep", "left").fillna(0, ["degree"])
+        best = F.struct("same", (-F.col("degree")).alias("d"), F.col("rep").alias("pivot"), F.col("root").alias("pivot_root"))
+        lead = (ranked.groupBy("bucket").agg(F.min(best).alias("best")) if pivots == 1 else
+                ranked.select("bucket", best.alias("best")).withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("best"))).filter(F.col("r") <= pivots))
+        lead = stage(lead.select(F.col("bucket").alias("of"), "best.pivot", "best.pivot_root"), "pivots")
+        meet = (F.col("bucket") == F.col("of")) & (F.col("root") != F.col("pivot_root"))
+        pairs = buckets.join(lead, meet).select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = stage(pairs, "pairs")
+        found = stage(confirmed(pairs, self.sets, self.percent), "confirmed")
+        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+        self.links = found if self.links is None else self.links.union(found)
+        self.roots = components(self.links)
+        done = lead.select(F.col("of").alias("bucket"), F.col("pivot").alias("rep"))
+        return self.mixed(buckets.select("bucket", "rep").join(done, ["bucket", "rep"], "left_anti"))
+
+    def rare(self, buckets: DataFrame) -> DataFrame:
+        """Finer buckets that hold every similar pair of the documents in ``buckets``.
+
+        A passage that many documents share puts unlike ones in one bucket. Of two sets with
+        similarity p %, each shares one of its rarest n - ceil(p % of n) + 1 shingles with the other's,
+        so the buckets are those shingles, rarity counted among the documents that are left.
+        """
+        some = self.sets.join(buckets.select(F.col("rep").alias("id")).distinct(), "id")
+        each = stage(some.select("id", F.size("set").alias("n"), F.explode("set").alias("bucket")), "open-shingles")
+        known = stage(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")), "open-counts")
+        place = F.row_number().over(Window.partitionBy("id").orderBy("df", "bucket"))  # one document's shingles
+        first = F.col("n") - F.expr(f"({self.percent} * n + 99) div 100") + 1
+        return each.join(known, "bucket").withColumn("place", place).filter((F.col("place") <= first) & (F.col("df") > 1)).select("bucket", F.col("id").alias("rep"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept), one row per row of ``docs``.
 
@@ -165,40 +225,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     buckets = stage(banded.join(shared, "bucket").select("bucket", "rep"), "buckets")
     members = buckets.select(F.col("rep").alias("id")).distinct()
     sets = stage(rows.filter("id IS NOT NULL").join(members, "id").dropDuplicates(["id"]).mapInArrow(_hash_sets(words), f"id {kind}, set array<long>"), "sets")
-    links, tried, pivots, roots = None, None, 1, None
-    while True:
-        # Documents that serve as pivots this round: best connected first, so a family's centre comes early.
-        if links is not None:
-            degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
-            ranked = buckets.join(degree, "rep", "left").fillna(0, ["degree"])
-        else:
-            ranked = buckets.withColumn("degree", F.lit(0).cast("long"))
-        best = F.struct((-F.col("degree")).alias("d"), F.col("rep").alias("p"))
-        lead = stage(ranked.groupBy("bucket").agg(F.min(best)["p"].alias("pivot")) if pivots == 1 else
-                     ranked.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(best))).filter(F.col("r") <= pivots)
-                     .select("bucket", F.col("rep").alias("pivot")), "pivots")
-        pairs = buckets.join(lead, "bucket").filter("rep <> pivot")
-        if roots is not None:  # those already connected need no comparison
-            r = roots.select(F.col("node").alias("rep"), "root")
-            pairs = (pairs.join(r, "rep", "left").withColumn("ra", F.coalesce("root", "rep")).drop("root")
-                     .join(r.toDF("pivot", "root"), "pivot", "left").withColumn("rb", F.coalesce("root", "pivot")).filter("ra <> rb"))
-        pairs = pairs.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        found = stage(confirmed(pairs, sets, percent), "confirmed")
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        roots = components(links)
-        # A bucket is done with its pivots; what is left of it, if all connected, is done too.
-        left = buckets.join(lead.withColumnRenamed("pivot", "rep"), ["bucket", "rep"], "left_anti")
-        named = left.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-        buckets = stage(left.join(mixed, "bucket").select("bucket", "rep"), "buckets")
-        if buckets.isEmpty():
-            break
-        pivots *= 2
-    named = classes.select("sa", "sb", F.col("n_shingles").alias("n"), "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    work = Comparison(sets, percent)
+    left = work.compare(buckets.withColumn("root", F.col("rep")), 1)
+    if not left.isEmpty():
+        left, pivots = work.mixed(work.rare(left)), 1
+        while not left.isEmpty():
+            left = work.compare(left, pivots)
+            pivots *= 4
+    named = classes.select("sa", "sb", F.col("n_shingles").alias("n"), "rep").join(work.roots.withColumnRenamed("node", "rep"), "rep", "left")
     named = stage(named.select("sa", "sb", "n", F.coalesce("root", "rep").alias("component")), "components")
     s = summary.select("id", "n_shingles", "sa", "sb")
     own = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
