@@ -70,16 +70,18 @@ def _packed(buckets: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, where, owners, base = [], [], [], 0
+            keys, where, owners, whole, base = [], [], [], [], 0
             for b in bt.blocks(batch, "text"):
-                h, of, _, _ = anchor_runs(*bt.texts(b, "text"), length)
+                data, offsets = bt.texts(b, "text")
+                h, of, _, _ = anchor_runs(data, offsets, length)
+                whole.append(bt.span_hash(bt.prefix_hash(data), offsets[:-1], offsets[1:]))
                 bucket, key = _named(h, buckets)
                 keys.append(key), where.append(bucket), owners.append(of + base)
                 base += b.num_rows
             if not keys:
                 continue
             key, bucket, of = np.concatenate(keys), np.concatenate(where), np.concatenate(owners)
-            ids = np.asarray(batch.column("id"), dtype=np.int64)
+            ids, whole = np.asarray(batch.column("id"), dtype=np.int64), np.concatenate(whole)
             order = np.argsort(bucket, kind="stable")
             key, bucket, of = key[order], bucket[order], of[order]
             cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else [], len(bucket)).astype(int)
@@ -87,33 +89,33 @@ def _packed(buckets: int, length: int):
             for lo, hi in zip(cut[:-1], cut[1:]):
                 docs, at = np.unique(of[lo:hi], return_inverse=True)
                 k = key[lo:hi]
-                rows.append((int(bucket[lo]), ids[docs].tobytes(), (k & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (k >> np.uint64(32)).astype(np.uint8).tobytes(), at.astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)]],
-                                             ["bucket", "ids", "low", "high", "at"])
+                rows.append((int(bucket[lo]), ids[docs].tobytes(), whole[docs].tobytes(), (k & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (k >> np.uint64(32)).astype(np.uint8).tobytes(), at.astype(np.uint32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 6)]],
+                                             ["bucket", "ids", "texts", "low", "high", "at"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, anchor) of the anchors that two documents or more have; rows come sorted by bucket."""
+    """(id, anchor) of the anchors that two different texts or more have; rows come sorted by bucket."""
     held: list[tuple] = []
     current = None
 
     def settle() -> Iterator[pa.RecordBatch]:
-        key = np.concatenate([np.frombuffer(r[1], np.uint32).astype(np.uint64) | np.frombuffer(r[2], np.uint8).astype(np.uint64) << np.uint64(32) for r in held])
-        doc = np.concatenate([np.frombuffer(r[0], np.int64)[np.frombuffer(r[3], np.uint32)] for r in held])
+        key = np.concatenate([np.frombuffer(r[2], np.uint32).astype(np.uint64) | np.frombuffer(r[3], np.uint8).astype(np.uint64) << np.uint64(32) for r in held])
+        doc, text = (np.concatenate([np.frombuffer(r[i], kind)[np.frombuffer(r[4], np.uint32)] for r in held]) for i, kind in ((0, np.int64), (1, np.uint64)))
         order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
+        key, doc, text = key[order], doc[order], text[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(first, len(key)))
-        several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+        several = np.minimum.reduceat(text, first) < np.maximum.reduceat(text, first)
         keep = np.repeat(several, size)
         name = (key[keep] | np.uint64(current) << np.uint64(40)).view(np.int64)
         pairs = np.unique(np.stack([doc[keep], name]), axis=1) if keep.any() else np.zeros((2, 0), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["id", "anchor"])
 
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("bucket", "ids", "low", "high", "at")]
+        cols = [b.column(c).to_pylist() for c in ("bucket", "ids", "texts", "low", "high", "at")]
         for bucket, *rest in zip(*cols):
             if bucket != current:
                 if held:
@@ -302,7 +304,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     known = stage(known.join(least, (F.col("a") == F.col("ra")) & (F.col("b") == F.col("rb")), "left").withColumn("copy", F.coalesce(F.col("id") > F.col("rep"), F.lit(False)))
                   .select("id", "a", "n_bytes", "sha", "copy"), "marked-texts")
     usable = rows.filter("id IS NOT NULL").filter(F.octet_length("text") >= length)
-    packed = usable.mapInArrow(_packed(buckets, length), "bucket long, ids binary, low binary, high binary, at binary")
+    packed = usable.mapInArrow(_packed(buckets, length), "bucket long, ids binary, texts binary, low binary, high binary, at binary")
     n = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shared = packed.repartition(min(n, buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "id long, anchor long")
     copies = known.filter("copy").select("id").distinct()
