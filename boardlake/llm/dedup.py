@@ -117,7 +117,7 @@ def components(links: DataFrame) -> DataFrame:
     Alternating star contraction: every node hooks its larger neighbours to the smallest one, then
     its smaller ones, until nothing changes. Each step is a written table.
     """
-    edges = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
     while True:
         # large star: larger neighbours of a node hang on the smallest of its neighbours and itself
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
