@@ -157,6 +157,73 @@ def j19(t):
         "game", "rec", "no", "m.type", F.concat_ws(" ", "m.tiles").alias("tiles"), "m.called", F.col("m.rel").alias("from_rel"))
 
 
+CTE["calls"] = """
+SELECT *, CASE WHEN rel = 3 THEN 0 WHEN rel = 2 THEN least(1, len(rest)) ELSE len(rest) END AS lo FROM (
+SELECT game, rec, seq, type, base, red_of, CASE WHEN type = 'chi' THEN 3 ELSE k // 6 % 3 + 1 END AS rel, CASE WHEN type = 'kakan' THEN pai END AS stacked,
+  CASE WHEN type = 'kakan' AND five THEN CASE WHEN pai = base AND red THEN red_of ELSE base END ELSE pai END AS claimed,
+  CASE type WHEN 'chi' THEN list_transform(list_filter([rank + 1, rank + 2], lambda x: x <= 9), lambda x: CAST(x AS VARCHAR) || right(base, 1) || CASE WHEN x = 5 AND red THEN 'r' ELSE '' END)
+    WHEN 'pon' THEN [base, CASE WHEN five AND pai = base AND red THEN red_of ELSE base END]
+    WHEN 'kakan' THEN [base, CASE WHEN five AND pai = base AND NOT red THEN red_of ELSE base END]
+    ELSE [base, base, CASE WHEN five AND pai = base THEN red_of ELSE base END] END AS rest
+FROM (SELECT *, rtrim(pai, 'r') AS base, rtrim(pai, 'r') || 'r' AS red_of, pai LIKE '5%' AS five, k // 18 % 2 = 0 AS red, coalesce(TRY_CAST(left(pai, 1) AS INTEGER), 9) AS rank
+  FROM ev WHERE type IN ('chi', 'pon', 'daiminkan', 'ankan', 'kakan')))
+"""
+CTE["allstrips"] = """
+SELECT game, rec, flatten(list(cells ORDER BY seq)) AS c FROM (
+SELECT game, rec, seq, CASE WHEN type = 'ankan' THEN [{'l': 'back', 's': false, 't': NULL}, {'l': base, 's': false, 't': NULL}, {'l': CASE WHEN base LIKE '5%' THEN red_of ELSE base END, 's': false, 't': NULL}, {'l': 'back', 's': false, 't': NULL}]
+  ELSE list_reverse(list_concat(list_transform(rest[1:lo], lambda x: {'l': x, 's': false, 't': NULL}), [{'l': claimed, 's': true, 't': stacked}], list_transform(rest[lo + 1:], lambda x: {'l': x, 's': false, 't': NULL}))) END AS cells
+FROM calls) GROUP BY ALL
+"""
+
+
+@query("j19_meld_parse_all", """
+WITH RECURSIVE cut AS (SELECT game, rec, i AS lo, i + z AS till, z, c[i + 1:i + z] AS g
+  FROM (SELECT game, rec, c, z, unnest(range(0, len(c) - z + 1)) AS i FROM allstrips, (VALUES (3), (4)) v(z))),
+seen AS (SELECT *, list_transform(g, lambda x: rtrim(x.l, 'r')) AS b, list_filter(range(1, z + 1), lambda i: g[i].s) AS lying, list_transform(list_filter(g, lambda x: NOT x.s), lambda x: x.l) AS up FROM cut),
+one AS (SELECT *, lying[1] AS pos, g[lying[1]] AS claim, len(list_distinct(b)) = 1 AS same, up = list_reverse_sort(up) AS sorted,
+  list_sort(list_transform(b, lambda x: TRY_CAST(left(x, 1) AS INTEGER))) AS ranks, len(list_distinct(list_transform(b, lambda x: right(x, 1)))) = 1 AS suited FROM seen),
+kind AS (SELECT *, CASE
+  WHEN z = 4 AND len(lying) = 0 AND g[1].l = 'back' AND g[4].l = 'back' AND b[2] = b[3] AND b[2] <> 'back' AND g[2].l = b[2] AND (g[3].l <> b[3]) = (b[2] LIKE '5%') THEN 'ankan'
+  WHEN len(lying) <> 1 OR NOT sorted THEN NULL
+  WHEN same AND claim.t IS NOT NULL THEN CASE WHEN z = 3 AND rtrim(claim.t, 'r') = b[1] THEN 'kakan' END
+  WHEN same THEN CASE WHEN z = 3 THEN 'pon' WHEN pos <> 2 THEN 'daiminkan' END
+  WHEN z = 3 AND pos = 3 AND claim.t IS NULL AND suited AND ranks[2] = ranks[1] + 1 AND ranks[3] = ranks[1] + 2 THEN 'chi' END AS type FROM one),
+meld AS (SELECT game, rec, lo, till, {'type': type,
+  'tiles': array_to_string(CASE WHEN type = 'ankan' THEN [b[2], b[2], b[2], g[3].l] ELSE list_sort(list_filter(list_concat(list_transform(g, lambda x: x.l), [claim.t]), lambda x: x IS NOT NULL)) END, ' '),
+  'called': CASE WHEN type = 'ankan' THEN '' ELSE claim.l END, 'added': coalesce(claim.t, ''),
+  'rel': CASE WHEN type = 'ankan' THEN 0 WHEN pos = z THEN 3 WHEN pos = 1 THEN 1 ELSE 2 END} AS m FROM kind WHERE type IS NOT NULL),
+walk AS (SELECT game, rec, CAST(0 AS BIGINT) AS lo, CAST([] AS STRUCT("type" VARCHAR, tiles VARCHAR, called VARCHAR, added VARCHAR, rel INTEGER)[]) AS melds FROM allstrips
+  UNION ALL SELECT w.game, w.rec, m.till, list_append(w.melds, m.m) FROM walk w JOIN meld m ON m.game = w.game AND m.rec = w.rec AND m.lo = w.lo),
+fin AS (SELECT s.game, s.rec, count(w.lo) AS ways, any_value(w.melds) AS melds FROM allstrips s LEFT JOIN walk w ON w.game = s.game AND w.rec = s.rec AND w.lo = len(s.c) GROUP BY ALL)
+SELECT game, rec, CAST(no - 1 AS INTEGER) AS no, melds[no].type AS type, melds[no].tiles AS tiles, melds[no].called AS called, melds[no].added AS added, melds[no].rel AS from_rel, NULL AS problem
+FROM (SELECT *, unnest(range(1, len(melds) + 1)) AS no FROM fin WHERE ways = 1)
+UNION ALL SELECT game, rec, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN ways = 0 THEN 'unparsable' ELSE 'ambiguous' END FROM fin WHERE ways <> 1
+""")
+def j19_all(t):
+    """J19 on every call: all five types and all tiles. A chi that has no higher tiles draws only those there are, so its strip is broken."""
+    k, typ, pai = F.col("k"), F.col("type"), F.col("pai")
+    base, five, red = F.regexp_replace(pai, "r$", ""), pai.startswith("5"), F.expr("k div 18") % 2 == 0
+    reds = F.concat(base, F.lit("r"))
+    rank = F.coalesce(F.substring(pai, 1, 1).try_cast("int"), F.lit(9))
+    up = lambda n: F.concat((rank + n).cast("string"), F.substring(pai, 2, 1), F.when((rank + n == 5) & red, "r").otherwise(""))
+    plain = five & (pai == base)  # the red five is in the hand, or drawn later
+    chi = F.when(rank <= 7, F.array(pai, up(1), up(2))).when(rank == 8, F.array(pai, up(1))).otherwise(F.array(pai))
+    pon = F.array(base, F.when(plain & red, reds).otherwise(base), pai)
+    kan = F.array(base, base, F.when(plain, reds).otherwise(base), pai)
+    tiles = F.array_sort(F.when(typ == "chi", chi).when(typ == "pon", pon).when((typ == "ankan") & five, F.array(base, base, base, reds)).otherwise(kan))
+    called = F.when(typ == "ankan", "").when((typ == "kakan") & five, F.when(plain & red, reds).otherwise(base)).otherwise(pai)
+    rel = F.when(typ == "chi", 3).otherwise(F.expr("k div 6") % 3 + 1)
+    d = t.ev.filter(typ.isin("chi", "pon", "daiminkan", "ankan", "kakan"))
+    cells = L.meld_cells(typ, tiles, called, F.when(typ == "kakan", pai).otherwise(""), rel)
+    # a strip holds one record's calls
+    strips = d.select("game", "rec", "seq", cells.alias("cells")).groupBy("game", "rec").agg(F.array_sort(F.collect_list(F.struct("seq", "cells"))).alias("s"))
+    strips = strips.select("game", "rec", F.flatten(F.transform("s", lambda x: x["cells"])).alias("cells"))
+    p = A.parse_strips(strips, ["game", "rec"], A.meld_hypotheses(t.spark))
+    return p.select("game", "rec", "problem", F.posexplode_outer("melds").alias("no", "m")).select(
+        "game", "rec", "no", "m.type", F.concat_ws(" ", "m.tiles").alias("tiles"), "m.called", "m.added", F.col("m.rel").alias("from_rel"), "problem").withColumn(
+        "tiles", F.when(F.col("type").isNotNull(), F.col("tiles")))
+
+
 def _river_case(f) -> str:
     return "(CASE seat " + " ".join(f"WHEN {s} THEN {f(G.river_axes('4p', s), s)}" for s in range(4)) + " END)"
 
