@@ -52,7 +52,7 @@ def fill_targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
 
 
 def schedule(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: DataFrame | None = None,
-             budget: Column | int | None = None, max_repeats: int = MAX_REPEATS, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+             budget: Column | int | None = None, max_repeats: int = MAX_REPEATS, seed: str = "mix", keep: tuple[str, ...] = (), count: str | None = None) -> DataFrame:
     """One row per document: key, ``size``, ``source_size``, ``target``, ``start`` (words of its source
     before it), ``copies`` (array of virtual finish time and words taken, in queue order) and ``taken``.
 
@@ -60,10 +60,12 @@ def schedule(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     all words) is cut off at virtual time budget / all words. The order inside a source is by
     MD5 of seed and key, then key and size, so reruns agree. Null text has 0 words and takes none;
     null sources are one source; repeated rows are queued as many times as they come. Columns named
-    in ``keep`` are carried along; all others are dropped, so clashing names do no harm.
+    in ``keep`` are carried along; all others are dropped, so clashing names do no harm. ``count`` names
+    the number of equal rows that a row stands for: they are queued one behind another, ``size`` is the
+    words of all of them, and their number is carried along as ``rows``.
     """
-    rows = docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-                       *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    rows = docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), (word_count(F.col(text)) * (F.col(count) if count else F.lit(1))).alias("size"),
+                       *([F.col(count).alias("rows")] if count else []), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     rows = rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("_key").cast("string"), F.lit("null")))))
     rows = rows.withColumn("_part", (F.conv(F.substring("_h", 1, 6), 16, 10).cast("long") % PARTS))
     rows = rows.withColumn("_h", F.concat(F.lpad(F.col("_part").cast("string"), 6, "0"), F.col("_h")))
@@ -82,7 +84,7 @@ def schedule(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
         for i in range(max_repeats)])
     out = out.withColumn("copies", copies)
     taken = sum((F.col("copies")[i]["words"] for i in range(1, max_repeats)), F.col("copies")[0]["words"])
-    return out.select(F.col("_key").alias(key), "source", "size", "source_size", "target", "start", "copies", taken.alias("taken"),
+    return out.select(F.col("_key").alias(key), "source", "size", "source_size", "target", "start", "copies", taken.alias("taken"), *(["rows"] if count else []),
                       *[F.col(f"_keep_{c}").alias(c) for c in keep])
 
 
@@ -93,12 +95,15 @@ def mix(scheduled: DataFrame, whole: bool = False, slots: int = 4096) -> DataFra
     Since every queue is served at the rate of its target, words are spread evenly over virtual
     time: equal slots of it hold about equally many words, and positions are running sums over
     slots and inside a slot. Rows come range-sorted by position. ``whole`` keeps only copies
-    that are taken to their end.
+    that are taken to their end; of a row that stands for several, the words of those taken to their end.
     """
     n_cols = [c for c in scheduled.columns if c != "copies"]
     rows = scheduled.select(*n_cols, F.posexplode("copies").alias("copy", "_c")).select(
         *n_cols, "copy", F.col("_c.finish").alias("finish"), F.col("_c.words").alias("words"))
-    rows = rows.filter((F.col("words") == F.col("size")) & (F.col("size") > 0) if whole else F.col("words") > 0)
+    if whole:
+        one = F.expr("size div rows") if "rows" in n_cols else F.col("size")
+        rows = rows.withColumn("words", F.col("words") - F.col("words") % F.nullif(one, F.lit(0)))
+    rows = rows.filter(F.col("words") > 0)
     rows = rows.withColumn("_slot", F.floor(F.col("finish") * slots)).withColumn("_all", F.lit(0))
     out = running_total(rows, ["_all"], "_slot", ["finish", "source", n_cols[0], "copy"], "words", "position")
     return out.drop("_slot", "_all").repartitionByRange(F.col("position")).sortWithinPartitions("position")

@@ -2,27 +2,32 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; `run` writes
 each result as Parquet and reads it again. All stages but the last return the columns of docs.
-Rows are told apart by a hash of id and text, so null and repeated ids do no harm; rows that
-agree in both share each decision.
+Null and repeated ids do no harm. Quality rules and decontamination tell rows apart by a hash of id and
+text: rows that agree in both share each decision. Near-dedup and mixing tell them apart by all columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardlake.llm import decontaminate, dedup, mixing, quality, sharding
 from boardlake.llm.common import read, stage
 
-_ROW = "_row_of_corpus_pipeline"  # no table has a column of this name
+_ROW, _COUNT = "_row_of_corpus_pipeline", "_count_of_corpus_pipeline"  # no table has a column of these names
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
     return docs.withColumn(_ROW, F.xxhash64("doc_id", "text"))
 
 
+def _row(docs: DataFrame) -> Column:
+    """A hash of all columns; a null hashes to nothing, so it says which are null."""
+    return F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and that the isolation forest does not reject."""
     tagged = _tagged(docs)
@@ -33,11 +38,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group (five-word shingles, similarity 0.8); one row
-    of those repeated under one id. Rows without an id stay."""
-    found = dedup.near_duplicates(docs, words=5)
-    kept = found.filter("kept AND doc_id IS NOT NULL").select("doc_id")
-    own = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest id of each group (five-word shingles, similarity 0.8). Unlike texts
+    under one id are documents of their own; equal rows are one. Rows without an id stay."""
+    tagged = docs.withColumn(_ROW, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", _row(docs).alias("row"))))
+    kept = dedup.near_duplicates(tagged.select(_ROW, "text"), key=_ROW, words=5).filter(F.col("kept") & F.col(_ROW).isNotNull()).select(_ROW)
+    own = tagged.filter(F.col(_ROW).isNotNull()).join(kept, _ROW, "left_semi").dropDuplicates([_ROW])
     return own.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
@@ -49,10 +54,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as the mix takes them: rows repeat, and some documents go."""
-    tagged = _tagged(docs).dropDuplicates([_ROW])
-    plan = mixing.schedule(tagged.select(_ROW, "text", "source"), key=_ROW)
-    copies = mixing.mix(plan, whole=True).select(_ROW, "position")
+    """Whole documents as often as the mix takes them: rows repeat, and some documents go. Equal rows are
+    counted and queued as often as they come."""
+    tagged = docs.withColumn(_ROW, _row(docs)).groupBy(_ROW).agg(F.count(F.lit(1)).alias(_COUNT), *[F.first(c).alias(c) for c in docs.columns])
+    plan = mixing.schedule(tagged.select(_ROW, "text", "source", _COUNT), key=_ROW, count=_COUNT)
+    copies = mixing.mix(plan, whole=True).select(_ROW, F.explode(F.sequence(F.lit(1), F.expr("words div (size div rows)"))).alias(_COUNT)).select(_ROW)
     return tagged.join(copies, _ROW).select(*docs.columns)
 
 
