@@ -71,3 +71,38 @@ p AS (SELECT *, CAST(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, si
 s AS (SELECT *, CAST((2 * e - size) * 24 // (2 * total) AS INTEGER) AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, n - min(n) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
 """
+
+
+def _tree(name: str, leaves: str) -> str:
+    """CTEs of a tree per ``src`` over ``leaves`` (src, i, d, n): all nodes, and each node's siblings."""
+    return f"""
+{name} AS (SELECT src, 0 AS lvl, CAST(i AS BIGINT) AS i, d, CAST(n AS BIGINT) AS n FROM {leaves}
+    UNION ALL SELECT src, lvl + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (max(n) + 2) // 3 FROM {name} WHERE n > 1 GROUP BY src, lvl, i // 3),
+{name}_s AS (SELECT a.src, a.lvl, a.i, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS b, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS a
+    FROM {name} a JOIN {name} b ON a.src = b.src AND a.lvl = b.lvl AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY a.src, a.lvl, a.i)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+_LEAF = "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+ORACLES["op11_merkle_manifest"] = (r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+x AS (SELECT *, list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda h: CAST('0x' || h AS BIGINT))) AS bytes FROM documents),
+d AS (SELECT doc_id, coalesce('=' || source, '-') AS src, row_number() OVER () AS rid, """ + _LEAF.format(text="text") + r""" AS leaf,
+    CASE WHEN xor(list_reduce(bytes, lambda c, v: xor(c >> 8, t[xor(c, v) % 256 + 1])), 4294967295) % 2 = 0 THEN """ + _LEAF.format(text="replace(text, chr(10), '')") + r""" END AS given FROM x, tab),
+p AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS d, count(*) OVER (PARTITION BY src) AS n FROM d),"""
++ _tree("low", "p") + r""",
+subs AS (SELECT '' AS src, low.src AS name, row_number() OVER (ORDER BY encode(low.src)) - 1 AS i, low.d, count(*) OVER () AS n FROM low WHERE n = 1),"""
++ _tree("top", "subs") + r""",
+walk AS (SELECT rid, src, i, 0 AS lvl, coalesce(given, leaf) AS acc, '' AS sibs FROM p
+    UNION ALL SELECT rid, src, w.i // 3, lvl + 1, sha256(s.b || acc || s.a), sibs || s.b || s.a FROM walk w JOIN low_s s USING (src, lvl, i)),
+mid AS (SELECT rid, arg_max(acc, lvl) AS acc, arg_max(sibs, lvl) AS sibs FROM walk GROUP BY rid),
+climb AS (SELECT p.rid, subs.i, 0 AS lvl, mid.acc, mid.sibs FROM p JOIN mid USING (rid) JOIN subs ON p.src = subs.name
+    UNION ALL SELECT rid, c.i // 3, c.lvl + 1, sha256(s.b || acc || s.a), sibs || s.b || s.a FROM climb c JOIN top_s s ON c.lvl = s.lvl AND c.i = s.i),
+fin AS (SELECT rid, arg_max(acc, lvl) AS acc, arg_max(sibs, lvl) AS sibs FROM climb GROUP BY rid)
+SELECT p.doc_id, p.leaf, subs.d AS subroot, (SELECT d FROM top WHERE n = 1) AS root, sha256(fin.sibs) AS proof_sha256, fin.acc AS folded_root, fin.acc = (SELECT d FROM top WHERE n = 1) AS verified
+FROM p JOIN subs ON p.src = subs.name JOIN fin USING (rid)
+""")
