@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dedup, merkle, mixing, quality, secrets, sharding, substrings, toxicity, urls, warc
+from . import decontaminate, dedup, merkle, mixing, quality, recompress, secrets, sharding, substrings, toxicity, urls, warc
 from .common import fresh_path, read
 from .sql import ORACLES
 
@@ -71,8 +71,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.repeats(read(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_minhash_near_dedup, op2_mixing, op3_url_filters, op4_toxicity, op5_warc, op6_quality_rules, op7_suffix_array_dedup, op8_decontamination, op9_sharding, op10_secret_scans,
-                              op11_merkle_manifest)}
+                              op11_merkle_manifest, op12_substring_dedup)}
 
 __all__ = ["ORACLES", "QUERIES"]
