@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dedup, merkle, mixing, quality, recompress, secrets, sharding, substrings, toxicity, urls, warc
+from . import alignment, decontaminate, dedup, merkle, mixing, quality, recompress, secrets, sharding, substrings, toxicity, urls, warc
 from .common import fresh_path, read
 from .sql import ORACLES
 
@@ -16,6 +16,10 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+#: Folder of the public tokenizer files that `op13_cross_tokenizer_alignment` reads.
+TOKENIZERS = "/opt/tokenizers"
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(read(spark, sf_dir, "documents"), words=2)
 
@@ -75,8 +79,12 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.repeats(read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_minhash_near_dedup, op2_mixing, op3_url_filters, op4_toxicity, op5_warc, op6_quality_rules, op7_suffix_array_dedup, op8_decontamination, op9_sharding, op10_secret_scans,
-                              op11_merkle_manifest, op12_substring_dedup)}
+                              op11_merkle_manifest, op12_substring_dedup, op13_cross_tokenizer_alignment)}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -24,14 +24,15 @@ from . import bytetext as bt
 from .common import stage
 
 WINDOW = 13
-#: Rounds after which symbols (about 2.5 words) tell whether a window can repeat.
-ROUNDS = 3
+#: Rounds after which two neighbouring symbols (about 3.7 words) tell whether a window can repeat.
+ROUNDS = 2
+#: Share of such neighbours, chosen by name, that are told: fewer cost less, more leave fewer windows open.
+TOLD = 0.75
 #: Rounds after which symbols (about 14 words) cut what may repeat into phrases.
 PHRASE_ROUNDS = 9
 #: Bytes of text per bucket of symbols; a task sorts one bucket at a time.
 BUCKET_BYTES = 16 << 20
-_KEY = np.uint64((1 << 40) - 1)
-_OUT = 1 << 62
+_KEY = np.uint64((1 << 32) - 1)
 
 
 class Symbols(NamedTuple):
@@ -155,14 +156,27 @@ def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(w.first)), bt.signed(da), bt.signed(db), pa.array(sha, pa.string())], ["id", "n_words", "da", "db", "sha"])
 
 
-def _telling(w: Words, s: Symbols, window: int) -> np.ndarray:
-    """The symbols whose parse a window can decide."""
-    return np.flatnonzero((s.high - s.low <= window) & (s.low >= w.first[s.owner]) & (s.high <= w.first[s.owner + 1]))
+def _telling(w: Words, s: Symbols, window: int) -> Symbols:
+    """Neighbouring symbols whose parse a window can decide, of the names that are told."""
+    at = np.flatnonzero(s.owner[1:] == s.owner[:-1])
+    name = bt.mix(s.name[at] * bt._BASE + bt.mix(s.name[at + 1] ^ bt._MIX))
+    both = Symbols(name, s.start[at], s.end[at + 1], np.minimum(s.low[at], s.low[at + 1]), np.maximum(s.high[at], s.high[at + 1]), s.owner[at])
+    told = bt.mix(name) < np.uint64(int(TOLD * 2.0 ** 64))
+    return both.take(np.flatnonzero(told & (both.high - both.low <= window) & (both.low >= w.first[both.owner]) & (both.high <= w.first[both.owner + 1])))
 
 
 def _named(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, 40-bit key in it) of symbols."""
-    return ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), h & _KEY
+    """(bucket, 32-bit key in it) of names. Names that fall together only leave windows open."""
+    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), h & _KEY
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as differences, byte by byte, so that compression drops the empty bytes."""
+    return np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplaned(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n).T).view(np.uint32).ravel(), dtype=np.uint64)
 
 
 _PACKED = ["bucket", "ids", "texts", "keys", "known"]
@@ -182,8 +196,7 @@ def _packed(buckets: int, window: int):
             base = 0
             for b in bt.blocks(batch, "text"):
                 w = Words.of(b)
-                s = parse(w.a, w.owner)
-                s = s.take(_telling(w, s, window))
+                s = _telling(w, parse(w.a, w.owner), window)
                 bucket, key = _named(s.name, buckets)
                 got.append((bucket, key, ids[base + s.owner], w.digests()[0][s.owner]))
                 base += b.num_rows
@@ -207,13 +220,12 @@ def _packed(buckets: int, window: int):
                 at = send[lo:hi]
                 bk = int(bucket[at[0]])
                 more = rest[bucket[rest] == bk] if len(rest) else rest
-                names = key[more] | np.uint64(bk) << np.uint64(40)
-                keys = np.ascontiguousarray(key[at].view(np.uint8).reshape(-1, 8)[:, :5])
+                names = key[more] | np.uint64(bk) << np.uint64(32)
                 docs, place = np.unique(of[at], return_inverse=True)
                 some = np.zeros(len(docs), np.uint64)
                 some[place] = text[at]
                 where = place.astype(np.uint16 if len(docs) < 1 << 16 else np.uint32)
-                rows.append((bk, docs.tobytes(), some.tobytes(), keys.tobytes() + where.tobytes(), np.stack([of[more].view(np.uint64), names]).tobytes()))
+                rows.append((bk, docs.tobytes(), some.tobytes(), _planes(key[at]) + where.tobytes(), np.stack([of[more].view(np.uint64), names]).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)]], _PACKED)
 
     return run
@@ -229,18 +241,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, some, packed, _known in held:
             ids, some = np.frombuffer(ids, np.int64), np.frombuffer(some, np.uint64)
             wide = np.uint16 if len(ids) < 1 << 16 else np.uint32
-            n = len(packed) // (5 + np.dtype(wide).itemsize)
-            full = np.zeros((n, 8), np.uint8)
-            full[:, :5] = np.frombuffer(packed, np.uint8, 5 * n).reshape(n, 5)
-            place = np.frombuffer(packed, wide, n, 5 * n)
-            keys.append(full.view(np.uint64).ravel()), docs.append(ids[place]), texts.append(some[place])
+            n = len(packed) // (4 + np.dtype(wide).itemsize)
+            place = np.frombuffer(packed, wide, n, 4 * n)
+            keys.append(_unplaned(packed, n)), docs.append(ids[place]), texts.append(some[place])
         key, doc, text = np.concatenate(keys), np.concatenate(docs), np.concatenate(texts)
         order = np.argsort(key, kind="stable")
         key, doc, text = key[order], doc[order], text[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(first, len(key)))
         keep = np.repeat(np.minimum.reduceat(text, first) < np.maximum.reduceat(text, first), size)
-        name = key[keep] | np.uint64(current) << np.uint64(40)
+        name = key[keep] | np.uint64(current) << np.uint64(32)
         yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), bt.signed(name)], ["id", "symbol"])
 
     for b in batches:
@@ -264,13 +274,13 @@ def _phrases(buckets: int, window: int):
             for b in bt.blocks(batch, "text"):
                 w = Words.of(b)
                 low = parse(w.a, w.owner)
-                s = low.take(_telling(w, low, window))
+                s = _telling(w, low, window)
                 bucket, key = _named(s.name, buckets)
                 salt = lambda h, o: bt.mix(h ^ bt.mix(o.astype(np.uint64) + np.uint64(1)))
                 lists = b.column("symbols")
                 have = np.asarray(lists.flatten(), dtype=np.int64).view(np.uint64)
                 whose = np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths()))
-                lone = ~np.isin(salt(key | bucket.astype(np.uint64) << np.uint64(40), s.owner), salt(have, whose))
+                lone = ~np.isin(salt(key | bucket.astype(np.uint64) << np.uint64(32), s.owner), salt(have, whose))
                 # a window that holds all a lone symbol depends on has no like in another text
                 dead = np.zeros(len(w.owner) + 1, np.int64)
                 np.add.at(dead, np.maximum(s.high[lone] - window, w.first[s.owner[lone]]), 1)
@@ -289,11 +299,18 @@ def _phrases(buckets: int, window: int):
                 place = bt.mix((np.arange(len(at)) - np.repeat(head, n)).astype(np.uint64) + np.uint64(1))
                 digest = [bt.mix(np.add.reduceat(bt.mix(h + place), head)) for h in (a, bb)]
                 of = w.owner[at[head]]
-                offsets = pa.array(np.append(head, len(at)).astype(np.int32))
+                # the windows of a phrase go with its first place in a text
+                _, once = np.unique(np.stack([digest[0], of.astype(np.uint64)]), axis=1, return_index=True)
+                again = np.ones(len(head), bool)
+                again[once] = False
+                sizes = np.where(again, 0, n)
+                full = np.flatnonzero(np.repeat(~again, n))
+                offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32), mask=np.append(again, False))
                 ids = np.asarray(b.column("id"), dtype=np.int64)[of]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids), bt.signed(w.digests()[0][of]), pa.array(at[head] - w.first[of]), pa.array(n), bt.signed(digest[0]), bt.signed(digest[1]),
-                     pa.ListArray.from_arrays(offsets, bt.signed(a)), pa.ListArray.from_arrays(offsets, bt.signed(bb))], ["id", "text", "start", "n", "pa", "pb", "ha", "hb"])
+                     pa.ListArray.from_arrays(offsets, bt.signed(a[full])),
+                     pa.ListArray.from_arrays(offsets, pa.array((bb[full] >> np.uint64(32)).astype(np.uint32).view(np.int32)))], ["id", "text", "start", "n", "pa", "pb", "ha", "hb"])
 
     return run
 
@@ -353,9 +370,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     # A document's symbols: fewer than its words.
     lists = stage(own.join(shared.groupBy("id").agg(F.collect_list("symbol").alias("symbols")), "id", "left")
                   .select("id", F.coalesce("symbols", F.array().cast("array<long>")).alias("symbols")), "shared-symbols")
-    shape = "id long, text long, start long, n long, pa long, pb long, ha array<long>, hb array<long>"
+    shape = "id long, text long, start long, n long, pa long, pb long, ha array<long>, hb array<int>"
     phrases = stage(usable.join(lists, "id").mapInArrow(_phrases(buckets, window), shape), "phrases")
-    first = stage(phrases.groupBy("pa", "pb").agg(F.min("id").alias("low"), F.any_value("ha").alias("ha"), F.any_value("hb").alias("hb")), "distinct-phrases")
+    first = stage(phrases.groupBy("pa", "pb").agg(F.min("id").alias("low"), F.any_value("ha", True).alias("ha"), F.any_value("hb", True).alias("hb")), "distinct-phrases")
     single = first.select("pa", "pb", "low", F.posexplode(F.arrays_zip("ha", "hb")).alias("at", "w")).select("pa", "pb", "low", "at", "w.ha", "w.hb")
     twice = single.groupBy("ha", "hb").agg(F.min("low").alias("first"), F.max("low").alias("last")).filter("first < last").select("ha", "hb", "first")
     # One phrase's windows: as many as its words.
