@@ -1,10 +1,12 @@
 """Alignment of the tokens of two tokenizers over the same texts.
 
-A block of texts is two Arrow lists of token ids. Flattening them, with the index of the parent text, and
-summing token lengths inside each text gives every token's end byte. An Acero hash join on (text, end) finds
+Both tokenizers end a token before a single space, so a block of texts is cut into words there, and each distinct word
+is aligned once; texts with other white space around a space stay whole. The tokens of the words are
+two Arrow lists of ids. Flattening them, with the index of the parent word, and
+summing token lengths inside each word gives every token's end byte. An Acero hash join on (word, end) finds
 where both tokenizers end a token; those places cut the tokens into groups. Between two neighbouring ends lie
-exactly one token of each side, so every end is one link. ``Table.group_by`` counts the links of a block, Spark
-merges the counts, and a second reading of the texts looks them up.
+exactly one token of each side, so every end is one link. Texts take the groups and links of their words.
+``Table.group_by`` counts the links of a block, Spark merges the counts, and a second reading of the texts looks them up.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql.window import Window
 from . import bytetext as bt
 from .common import stage
 
-#: Bytes of text whose tokens are aligned at once (one text at least).
-BLOCK_BYTES = 2 << 20
+#: Bytes of text that are aligned at once (one text at least).
+BLOCK_BYTES = 8 << 20
 #: Partial counts a task holds before it hands them on.
 HELD_PAIRS = 1 << 20
 #: Commonest pairs that every task gets as a table (20 bytes each); all others are joined by Spark.
@@ -34,6 +36,9 @@ COMMON_PAIRS = 1 << 18
 #: Fixed value: the split rule of the byte-level vocabulary.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space of any kind at the start, after a space, or a space at the end: no safe cut for both sides.
+_UNSAFE = "^[{0}]| [{0}]| $".format("\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000")
+
 
 def byte_table() -> dict[str, int]:
     """Byte-level decoding: printable Latin-1 characters stand for themselves, the other bytes for U+0100 on."""
@@ -74,33 +79,11 @@ class PieceBPE:
             piece = self._model.id_to_piece(i)
             self.pieces.append(bytes([int(piece[3:5], 16)]) if self._model.is_byte(i) else piece.replace("▁", " ").encode())
         names = [self._model.id_to_piece(i) for i in range(len(self.pieces))]
-        # No piece has a space behind another character: words with the spaces before them are encoded alone.
+        # No piece has a space behind another character: words with the space before them are encoded alone.
         self.by_word = all("▁" not in p.lstrip("▁") for p in names)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text. Words that a block has several times are encoded once."""
-        if not self.by_word:
-            return self._model.encode(texts, num_threads=1)
-        split = [_words(t) for t in texts]
-        fresh = list(dict.fromkeys(w for words in split for w in words))
-        known = dict(zip(fresh, self._model.encode(fresh, num_threads=1)))
-        known[""] = [self._model.piece_to_id("▁")]  # a space that no word follows
-        return [[i for w in words for i in known[w]] for words in split]
-
-
-def _words(text: str) -> list[str]:
-    """``text`` cut before each run of spaces; a piece lacks its first space, which the model puts back."""
-    out: list[str] = []
-    lead = ""
-    for part in text.split(" "):
-        if part:
-            out.append(lead + part)
-            lead = ""
-        else:
-            lead += " "
-    if lead:  # spaces at the end follow no word: one more was split off
-        out.append(lead[:-1])
-    return out
+        return self._model.encode(texts, num_threads=1)
 
 
 @lru_cache(maxsize=4)
@@ -135,38 +118,42 @@ def _side(lists: pa.ListArray, pieces: pa.Array) -> tuple[Side, np.ndarray, np.n
 
 
 class Aligned(NamedTuple):
+    """Tokens of distinct words, the places in a and b of those that end together, links by word, and faithful words."""
+
     a: Side
     b: Side
-    #: Places in a and b of the tokens that end together.
     both_a: np.ndarray
     both_b: np.ndarray
-    link_text: np.ndarray
-    link_a: np.ndarray
-    link_b: np.ndarray
+    link_word: np.ndarray
+    link: np.ndarray
+    good: np.ndarray
 
 
-def align(texts: list[str | None], left, right) -> Aligned:
-    """Align the tokens of some texts. Texts that a side does not give back byte by byte have no tokens."""
-    given = [(" " + t) if t else "" for t in texts]
-    raw = [t.encode() for t in given]
+def align(words: list[str], left, right) -> Aligned:
+    """Align the tokens of some words, given without the space before them. Those that a side does not give back
+    byte by byte have no tokens and aren't ``good``."""
+    raw = [(" " + t).encode() for t in words]
     sizes = np.array([len(t) for t in raw], np.int64)
     whole = np.frombuffer(b"".join(raw), np.uint8)
     starts = np.append(0, np.cumsum(sizes))
-    lists = [left.encode(given), [ids if t else [] for t, ids in zip(given, right.encode([t[1:] for t in given]))]]
-    good = sizes > 0
+    lists = [left.encode([" " + t for t in words]), right.encode(words)]
+    good = np.ones(len(words), bool)
     tables = [_bytes_of(t.pieces) for t in (left, right)]
+    sides = []
     for ids, table in zip(lists, tables):
-        _, said, lengths = _side(pa.array(ids, pa.list_(pa.int32())), table)
-        good &= lengths == sizes
-        at = np.append(0, np.cumsum(lengths))
-        if len(said) == len(whole) and (lengths == sizes).all():
-            wrong = np.flatnonzero(said != whole)
-            good[np.searchsorted(starts, wrong, side="right") - 1] = False
+        side, said, lengths = _side(pa.array(ids, pa.list_(pa.int32())), table)
+        sides.append(side)
+        if (lengths == sizes).all():
+            good[np.searchsorted(starts, np.flatnonzero(said != whole), side="right") - 1] = False
         else:
+            at = np.append(0, np.cumsum(lengths))
+            good &= lengths == sizes
             for i in np.flatnonzero(good):
                 good[i] = (said[at[i]:at[i + 1]] == whole[starts[i]:starts[i + 1]]).all()
-    a, b = (_side(pa.array([x if g else [] for x, g in zip(ids, good)], pa.list_(pa.int32())), table)[0] for ids, table in zip(lists, tables))
-    keys = [(np.asarray(s.parent, dtype=np.int64) << 40) + s.end for s in (a, b)]
+    if not good.all():
+        sides = [_side(pa.array([x if g else [] for x, g in zip(ids, good)], pa.list_(pa.int32())), table)[0] for ids, table in zip(lists, tables)]
+    a, b = sides
+    keys = [(np.asarray(s.parent, dtype=np.int64) << 32) + s.end for s in (a, b)]
     tables = [pa.table({"key": k, n: np.arange(len(k))}) for k, n in zip(keys, ("a", "b"))]
     both = tables[0].join(tables[1], "key", join_type="inner", use_threads=False)
     both_a, both_b = (np.sort(np.asarray(both.column(n))) for n in ("a", "b"))
@@ -176,47 +163,92 @@ def align(texts: list[str | None], left, right) -> Aligned:
     only = np.flatnonzero(only)
     link_a = np.append(np.arange(len(keys[0])), np.searchsorted(keys[0], keys[1][only]))
     link_b = np.append(np.searchsorted(keys[1], keys[0]), only)
-    return Aligned(a, b, both_a, both_b, np.asarray(a.parent, dtype=np.int64)[link_a], np.asarray(a.ids, dtype=np.int64)[link_a], np.asarray(b.ids, dtype=np.int64)[link_b])
+    word = np.asarray(a.parent, dtype=np.int64)[link_a]
+    order = np.argsort(word, kind="stable")
+    link = np.asarray(a.ids, dtype=np.int64)[link_a] * len(right.pieces) + np.asarray(b.ids, dtype=np.int64)[link_b]
+    return Aligned(a, b, both_a, both_b, word[order], link[order], good)
 
 
-def _links(found: Aligned, wide: int) -> pa.Table:
-    """(text, pair, times): how often each text links each pair of ids."""
-    key = (found.link_text << 32) | (found.link_a * wide + found.link_b)
-    counted = pa.table({"key": key}).group_by("key", use_threads=False).aggregate([([], "count_all")])
-    key = np.asarray(counted.column("key"), dtype=np.int64)
-    return pa.table({"text": key >> 32, "pair": key & 0xFFFFFFFF, "times": counted.column("count_all")})
+class Texts(NamedTuple):
+    """The distinct words of a block, and each text's words in order: indices, offsets. Unfaithful texts have none."""
 
+    found: Aligned
+    words: pa.Array
+    first: np.ndarray
 
-def _written(found: Aligned, n: int, digits: list[pa.Array]) -> list[str]:
-    """Per text the digest of its groups, as ``a1,a2|b1;a3|b2``; '' without tokens."""
+    @classmethod
+    def of(cls, column: pa.Array, left, right) -> Texts:
+        texts = pc.fill_null(column, "").cast(pa.large_string())
+        empty = np.asarray(pc.equal(pc.binary_length(texts), 0))
+        odd = np.asarray(pc.match_substring_regex(texts, _UNSAFE)) if right.by_word else ~empty
+        plain = np.flatnonzero(~odd & ~empty)
+        odd = np.flatnonzero(odd)
+        parts = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        coded = pc.list_flatten(parts).dictionary_encode()
+        found = align(coded.dictionary.to_pylist() + texts.take(pa.array(odd)).to_pylist(), left, right)
+        n = np.zeros(len(texts), np.int64)
+        n[plain], n[odd] = np.asarray(pc.list_value_length(parts)), 1
+        words = np.zeros(n.sum(), np.int64)
+        single = np.zeros(len(texts), bool)
+        single[odd] = True
+        lone = np.repeat(single, n)
+        words[lone] = len(coded.dictionary) + np.arange(len(odd))
+        words[~lone] = np.asarray(coded.indices)
+        owner = np.repeat(np.arange(len(texts)), n)
+        good = np.ones(len(texts), bool)
+        good[owner[~found.good[words]]] = False
+        keep = good[owner]
+        return cls(found, pa.array(words[keep]), np.append(0, np.cumsum(np.where(good, n, 0))))
+
+    def total(self, per_word: np.ndarray) -> np.ndarray:
+        """Sum over each text's words."""
+        sums = np.append(0, np.cumsum(per_word[np.asarray(self.words)]))
+        return np.diff(sums[self.first])
+
+    def links(self) -> pa.Table:
+        """(text, pair, times): how often each text links each pair of ids."""
+        owner = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        seen = pa.table({"key": owner << 32 | np.asarray(self.words)}).group_by("key", use_threads=False).aggregate([([], "count_all")])
+        key, times = np.asarray(seen.column("key"), dtype=np.int64), np.asarray(seen.column("count_all"), dtype=np.int64)
+        word = key & 0xFFFFFFFF
+        first = np.searchsorted(self.found.link_word, np.arange(len(self.found.good) + 1))
+        size = np.diff(first)[word]
+        at = np.arange(size.sum()) + np.repeat(first[word] - (np.cumsum(size) - size), size)
+        links = pa.table({"key": np.repeat(key >> 32, size) << 32 | self.found.link[at], "times": np.repeat(times, size)})
+        links = links.group_by("key", use_threads=False).aggregate([("times", "sum")])
+        key = np.asarray(links.column("key"), dtype=np.int64)
+        return pa.table({"text": key >> 32, "pair": key & 0xFFFFFFFF, "times": links.column("times_sum")})
+
+
+def _groups(found: Aligned, digits: list[pa.Array]) -> pa.Array:
+    """The groups of each word, as ``a1,a2|b1;a3|b2;``."""
     sides, both = (found.a, found.b), (found.both_a, found.both_b)
     last = [np.zeros(len(s.ids), bool) for s in sides]
     for flags, at in zip(last, both):
         flags[at] = True
     group = [np.cumsum(x) - x for x in last]
+    before = [np.append(0, np.cumsum(np.bincount(g, minlength=len(found.both_a)))) for g in group]
     # a group's tokens of one side stand before those of the other
-    count = [np.bincount(g, minlength=len(found.both_a)) for g in group]
-    before = [np.append(0, np.cumsum(c)) for c in count]
     place = (np.arange(len(group[0])) + before[1][group[0]], np.arange(len(group[1])) + before[0][group[1] + 1])
     code = np.zeros(len(group[0]) + len(group[1]), np.int64)
-    top = [np.zeros(len(s.ids), bool) for s in sides]
-    ends = [s.first[1:][np.diff(s.first) > 0] - 1 for s in sides]
-    top[1][ends[1]] = True  # nothing follows a text's last group
-    # separators: 0 ',' between tokens of one side, 1 '|' after the left ones, 1 ';' after the right ones, 2 nothing
     for i in (0, 1):
-        sep = np.where(last[i], 1, 0)
-        if i:
-            sep = np.where(top[1], 2, sep)
-        code[place[i]] = np.asarray(sides[i].ids, dtype=np.int64) * 3 + sep + (0 if i == 0 else len(digits[0]))
+        code[place[i]] = np.asarray(sides[i].ids, dtype=np.int64) * 2 + last[i] + (0 if i == 0 else len(digits[0]))
     parts = pc.take(pa.concat_arrays(digits), pa.array(code))
     offsets = np.frombuffer(parts.buffers()[1], np.int64, len(parts) + 1, 8 * parts.offset)
+    bounds = np.ascontiguousarray(offsets[sides[0].first + sides[1].first])
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), parts.buffers()[2]])
+
+
+def _written(texts: Texts, groups: pa.Array) -> list[str]:
+    """Per text the digest of its groups; '' without tokens."""
+    parts = pc.take(groups, texts.words)
+    bounds = np.frombuffer(parts.buffers()[1], np.int64, len(parts) + 1, 8 * parts.offset)[texts.first]
     body = memoryview(parts.buffers()[2] or b"")
-    bounds = offsets[sides[0].first + sides[1].first]
-    return [hashlib.sha256(body[lo:hi]).hexdigest() if hi > lo else "" for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    return [hashlib.sha256(body[lo:hi - 1]).hexdigest() if hi > lo else "" for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def _digits(n: int, after: str) -> pa.Array:
-    return pa.array([f"{i}{sep}".encode() for i in range(n) for sep in (",", after, "")], pa.large_binary())
+    return pa.array([f"{i}{sep}".encode() for i in range(n) for sep in (",", after)], pa.large_binary())
 
 
 def _merged(tables: list[pa.Table]) -> pa.Table:
@@ -241,7 +273,7 @@ def _counts(tokenizers: Pair):
         held: list[pa.Table] = []
         for batch in batches:
             for b in bt.blocks(batch, "text", BLOCK_BYTES):
-                one = _links(align(b.column("text").to_pylist(), left, right), len(right.pieces))
+                one = Texts.of(b.column("text"), left, right).links()
                 held.append(_merged([pa.table({"pair": one.column("pair"), "docs": pa.array(np.ones(one.num_rows, np.int64))})]))
                 if sum(t.num_rows for t in held) > HELD_PAIRS:
                     held = [_merged(held)]
@@ -267,8 +299,9 @@ def _looked_up(tokenizers: Pair, common):
         for batch in batches:
             for b in bt.blocks(batch, "text", BLOCK_BYTES):
                 n = b.num_rows
-                found = align(b.column("text").to_pylist(), left, right)
-                links = _links(found, len(right.pieces)).join(table, "pair", join_type="left outer", use_threads=False)
+                texts = Texts.of(b.column("text"), left, right)
+                found = texts.found
+                links = texts.links().join(table, "pair", join_type="left outer", use_threads=False)
                 text, times = (np.asarray(links.column(c), dtype=np.int64) for c in ("text", "times"))
                 known = np.asarray(pc.is_valid(links.column("docs")))
                 d = np.asarray(pc.fill_null(links.column("docs"), 0), dtype=np.int64) * times
@@ -280,10 +313,10 @@ def _looked_up(tokenizers: Pair, common):
                 rest = rest[np.argsort(text[rest], kind="stable")]
                 offsets = pa.array(np.searchsorted(text[rest], np.arange(n + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, links.column(c).combine_chunks().take(pa.array(rest)).cast(pa.int64())) for c in ("pair", "times")]
-                groups = np.bincount(np.asarray(found.a.parent, dtype=np.int64)[found.both_a], minlength=n)
+                many = [np.diff(found.a.first), np.diff(found.b.first), np.bincount(np.asarray(found.a.parent, dtype=np.int64)[found.both_a], minlength=len(found.good))]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("row"), b.column("id"), pa.array(np.diff(found.a.first)), pa.array(np.diff(found.b.first)), pa.array(groups), pa.array(sums[2]),
-                     pa.array(_written(found, n, digits), pa.string()), pa.array(sums[1]), pa.array(sums[0]), *lists], _SHAPE)
+                    [b.column("row"), b.column("id"), *[pa.array(texts.total(m)) for m in many], pa.array(sums[2]),
+                     pa.array(_written(texts, _groups(found, digits)), pa.string()), pa.array(sums[1]), pa.array(sums[0]), *lists], _SHAPE)
 
     return run
 
