@@ -28,7 +28,7 @@ from . import bytetext as bt
 from .common import stage
 
 #: Bytes of text that are aligned at once (one text at least).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Partial counts a task holds before it hands them on.
 HELD_PAIRS = 1 << 20
 #: Commonest pairs that every task gets as a table (20 bytes each); all others are joined by Spark.
