@@ -23,8 +23,9 @@ SEQ_CHUNK = 1 << 16  # sequence numbers per chunk of a game log
 class Run:
     """One running value.
 
-    kind: ``sum``/``max``/``min``/``last`` look back, ``next`` looks ahead (first value that is
-    not null), ``total`` is the sum over the whole group.  ``inclusive`` says whether the
+    kind: ``sum``/``max``/``min``/``last``/``list`` look back, ``next`` looks ahead (first value that is
+    not null), ``total`` is the sum over the whole group. ``list`` gathers the values that are not null;
+    only `segmented` takes it, `next` and `total` only `scan`.  ``inclusive`` says whether the
     current row takes part.
     """
 
@@ -54,6 +55,8 @@ def _local(run: Run, back: WindowSpec, ahead: WindowSpec) -> Column:
         return F.last(run.col, ignorenulls=True).over(back)
     if run.kind == "next":
         return F.last(run.col, ignorenulls=True).over(ahead)
+    if run.kind == "list":
+        return F.collect_list(run.col).over(back)
     raise ValueError(run.kind)
 
 
@@ -129,6 +132,53 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], runs: Sequenc
     return joined.withColumns(final).drop(*drop)
 
 
+def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Column, runs: Sequence[Run], number: str,
+              chunk: Column) -> DataFrame:
+    """Add the running columns ``runs``, which begin anew at every row where ``start`` holds, and ``number``,
+    how many such rows there were.
+
+    The start is part of the running value, so the segments need not be numbered before they are scanned:
+    one exchange by chunk serves all windows, and one summary row per chunk carries what its last segment
+    holds to the chunks up to the next start. The result is the same for any choice of ``chunk``.
+    """
+    keys, order = list(keys), list(order)
+    parts = keys + ["_chunk"]
+    back, _ = _frames(parts, order, True)
+    d = df.withColumn("_chunk", chunk).withColumn("_seg", F.sum(F.when(start, 1).otherwise(0)).over(back))
+    names = [r.name for r in runs]
+    with_own, without = (_frames(parts + ["_seg"], order, i) for i in (True, False))
+    d = d.withColumns({f"_s_{r.name}": _local(r, *with_own) for r in runs})
+    d = d.withColumns({f"_l_{r.name}": _local(r, *without) for r in runs if not r.inclusive})
+    tip = F.struct("_seg", *[f"_s_{n}" for n in names])
+    tips = d.groupBy(*parts).agg(F.max_by(tip, _order_value(order)).alias("_z")).select(*parts, "_z.*")
+    # A chunk with a start begins a new stretch of chunks that share a segment.
+    upto, past = _frames(keys, ["_chunk"], True)[0], _frames(keys, ["_chunk"], False)[0]
+    tips = tips.withColumn("_before", F.coalesce(F.sum("_seg").over(past), F.lit(0))).withColumn("_stretch", F.sum(F.when(F.col("_seg") > 0, 1).otherwise(0)).over(upto))
+    same = _frames(keys + ["_stretch"], ["_chunk"], True)[0]
+    kinds = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True), "list": lambda c: F.collect_list(c)}
+    held = {f"_h_{r.name}": kinds[r.kind](f"_s_{r.name}").over(same) for r in runs}
+    held |= {f"_h_{r.name}": F.flatten(held[f"_h_{r.name}"]) for r in runs if r.kind == "list"}
+    tips = tips.withColumns(held)
+    before = Window.partitionBy(*keys).orderBy("_chunk")
+    carried = tips.select(*parts, "_before", *[F.lag(f"_h_{n}").over(before).alias(f"_c_{n}") for n in names])
+    joined = d.join(carried, parts, "left")
+    first = F.col("_seg") == 0  # the segment goes on from the chunk before
+    final = {number: F.col("_seg") + F.coalesce("_before", F.lit(0))}
+    for r in runs:
+        here, came = F.col(f"_s_{r.name}" if r.inclusive else f"_l_{r.name}"), F.when(first, F.col(f"_c_{r.name}"))
+        if r.kind == "sum":
+            final[r.name] = F.coalesce(here, F.lit(0)) + F.coalesce(came, F.lit(0))
+        elif r.kind == "max":
+            final[r.name] = F.greatest(here, came)
+        elif r.kind == "min":
+            final[r.name] = F.least(here, came)
+        elif r.kind == "list":
+            final[r.name] = F.concat(F.coalesce(came, F.slice(here, 1, 0)), here)
+        else:
+            final[r.name] = F.coalesce(here, came)
+    return joined.withColumns(final).drop("_chunk", "_seg", "_before", *[f"_{p}_{n}" for n in names for p in "slc"])
+
+
 def _frames(keys: Sequence[str], order: Sequence[str], inclusive: bool) -> tuple[WindowSpec, WindowSpec]:
     """Growing frames that look back and ahead.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.tiles import base_tile
-from .ordered import Run, clamped_sum, scan, seq_chunk
+from .ordered import Run, clamped_sum, scan, segmented, seq_chunk
 
 ORDER = ["seq", "ev_idx"]
 ROUND = ["game", "kyoku_ord"]
@@ -65,12 +65,8 @@ def _consumed() -> Column:
             .when(t.isin("kakan", "nukidora"), 1).otherwise(0))
 
 
-def seat_scalars(rounds: DataFrame, chunk: Column | None = None) -> DataFrame:
-    """Concealed count, score, side tiles and reach flag per seat, sticks and indicator count.
-
-    One scan; before the first round start the default state applies (13 tiles, 25000 points).
-    """
-    t, actor, first = F.col("type"), F.col("actor"), F.col("kyoku_ord") == 0
+def _seat_runs() -> list[Run]:
+    t, actor = F.col("type"), F.col("actor")
     start = t == "start_kyoku"
     runs = []
     for s in range(4):
@@ -82,26 +78,80 @@ def seat_scalars(rounds: DataFrame, chunk: Column | None = None) -> DataFrame:
         runs += [Run(f"concealed_{s}", "sum", conceal), Run(f"score_{s}", "sum", score),
                  Run(f"side_{s}", "sum", F.when(mine & (t == "nukidora"), 1).otherwise(0)),
                  Run(f"reach_{s}", "max", mine & (t == "reach_accepted"))]
-    runs += [Run("sticks", "sum", F.when(start, F.col("kyotaku")).when(t == "reach_accepted", 1).otherwise(0)),
-             Run("n_dora", "sum", F.when(start | (t == "dora"), 1).otherwise(0))]
-    out = scan(rounds, ROUND, ORDER, runs, seq_chunk() if chunk is None else chunk)
+    return runs + [Run("sticks", "sum", F.when(start, F.col("kyotaku")).when(t == "reach_accepted", 1).otherwise(0)),
+                   Run("n_dora", "sum", F.when(start | (t == "dora"), 1).otherwise(0))]
+
+
+def _seat_values(d: DataFrame) -> DataFrame:
+    first = F.col("kyoku_ord") == 0
     base = {}
     for s in range(4):
         base[f"concealed_{s}"] = F.col(f"concealed_{s}") + F.when(first, 13).otherwise(0)
         base[f"score_{s}"] = F.col(f"score_{s}") + F.when(first, 25000).otherwise(0)
         base[f"reach_{s}"] = F.coalesce(F.col(f"reach_{s}"), F.lit(False))
-    return out.withColumns(base)
+    return d.withColumns(base)
+
+
+def seat_scalars(rounds: DataFrame, chunk: Column | None = None) -> DataFrame:
+    """Concealed count, score, side tiles and reach flag per seat, sticks and indicator count.
+
+    One scan; before the first round start the default state applies (13 tiles, 25000 points).
+    """
+    return _seat_values(scan(rounds, ROUND, ORDER, _seat_runs(), seq_chunk() if chunk is None else chunk))
+
+
+def _round_runs() -> list[Run]:
+    start = F.col("type") == "start_kyoku"
+    return [Run("_round", "last", F.when(start, F.struct(*[F.col(c).alias(c) for c in ("bakaze", "kyoku", "honba", "oya")])))]
+
+
+def _dora_runs() -> list[Run]:
+    turned = F.col("type").isin("start_kyoku", "dora")
+    return [Run("dora", "list", F.when(turned, F.col("dora_marker")))]
+
+
+#: What `replayed` can add; each is a set of running values and what follows from them.
+_PARTS = ("round", "seats", "dora", "drawn", "owed", "open", "actor")
 
 
-def dora_list(rounds: DataFrame) -> DataFrame:
-    """``dora``, the indicators turned so far in the round, in order.
+def replayed(events: DataFrame, parts: tuple[str, ...] = _PARTS, hero: Column | None = None, chunk: Column | None = None,
+             more: tuple[Run, ...] = ()) -> DataFrame:
+    """W1, W2, W7, W8 and the facts of F2 in one pass over the log of a game.
 
-    A round turns five indicators at most, so they are gathered per round and cut per record.
+    ``round``: ``r_bakaze, r_kyoku, r_honba, r_oya`` of the round; ``seats``: as `seat_scalars`; ``dora``: the
+    indicators turned so far, in order; ``drawn``: as `drawn_tile` (needs ``hero``); ``owed``: as `owed_discard`; ``open``: as `in_round`;
+    ``actor``: the seat that acted last in the round, -1 before. ``kyoku_ord`` is always added. Every value begins anew with a round, so the round number needs no scan of its own.
     """
-    turned = rounds.filter(F.col("type").isin("start_kyoku", "dora") & F.col("dora_marker").isNotNull())
-    per = turned.groupBy(*ROUND).agg(F.array_sort(F.collect_list(F.struct(*ORDER, "dora_marker"))).alias("_turned"))
-    so_far = F.filter(F.coalesce("_turned", F.array().cast(per.schema["_turned"].dataType)), lambda x: F.struct(*[x[c] for c in ORDER]) <= F.struct(*ORDER))
-    return rounds.join(per, ROUND, "left").withColumn("dora", F.transform(so_far, lambda x: x["dora_marker"])).drop("_turned")
+    t, start = F.col("type"), F.col("type") == "start_kyoku"
+    runs: list[Run] = list(more)
+    if "round" in parts:
+        runs += _round_runs()
+    if "seats" in parts:
+        runs += _seat_runs()
+    if "dora" in parts:
+        runs += _dora_runs()
+    if "drawn" in parts:
+        runs += [Run("drawn", "last", _drawn_mark(hero))]
+    if "owed" in parts:
+        runs += _owed_runs()
+    if "open" in parts:
+        runs += _open_runs()
+    if "actor" in parts:
+        runs += [Run("last_actor", "last", F.when(t.isin("tsumo", "dahai", *dims.CALL_EVENTS), F.col("actor")))]
+    d = segmented(events, ["game"], ORDER, start, runs, "kyoku_ord", seq_chunk() if chunk is None else chunk)
+    if "round" in parts:
+        d = d.withColumns({f"r_{c}": F.col(f"_round.{c}") for c in ("bakaze", "kyoku", "honba", "oya")}).drop("_round")
+    if "seats" in parts:
+        d = _seat_values(d)
+    if "drawn" in parts:
+        d = d.withColumn("drawn", F.nullif(F.col("drawn"), F.lit("")))
+    if "owed" in parts:
+        d = _owed_value(d)
+    if "open" in parts:
+        d = d.withColumn("open", F.coalesce("open", F.lit(False)))
+    if "actor" in parts:
+        d = d.withColumn("last_actor", F.coalesce("last_actor", F.lit(-1)))
+    return d
 
 
 def riichi_discards(rounds: DataFrame, chunk: Column | None = None) -> DataFrame:
@@ -206,21 +256,25 @@ def hero_hand(changes: DataFrame, chunk: Column | None = None) -> DataFrame:
     return d.withColumn("hand", hand).drop(*red_cols, *[f"{c}_before" for c in red_cols], *plain_cols)
 
 
-def drawn_tile(rounds: DataFrame, hero: Column, chunk: Column | None = None) -> DataFrame:
-    """The hero's separated draw; any hero discard, call or kan clears it."""
+def _drawn_mark(hero: Column) -> Column:
     t, mine = F.col("type"), F.col("actor") == hero
-    mark = (F.when(mine & (t == "tsumo") & (F.col("pai") != "?"), F.col("pai"))
+    return (F.when(mine & (t == "tsumo") & (F.col("pai") != "?"), F.col("pai"))
             .when(mine & t.isin(["dahai"] + dims.CALL_EVENTS), F.lit("")))
-    d = scan(rounds, ROUND, ORDER, [Run("drawn", "last", mark)], seq_chunk() if chunk is None else chunk)
+
+
+def drawn_tile(rounds: DataFrame, hero: Column, chunk: Column | None = None) -> DataFrame:
+    """The hero's separated draw; any hero discard, call or kan clears it."""
+    d = scan(rounds, ROUND, ORDER, [Run("drawn", "last", _drawn_mark(hero))], seq_chunk() if chunk is None else chunk)
     return d.withColumn("drawn", F.nullif(F.col("drawn"), F.lit("")))
 
 
-def owed_discard(rounds: DataFrame, chunk: Column | None = None) -> DataFrame:
-    """Seat that owes a discard after a call or kan, -1 if none."""
+def _owed_runs() -> list[Run]:
     t, at = F.col("type"), F.struct(*ORDER)
     runs = [Run("_call", "last", F.when(t.isin(dims.OWED_EVENTS), F.struct(*ORDER, "actor")))]
-    runs += [Run(f"_d{s}", "last", F.when((t == "dahai") & (F.col("actor") == s), at)) for s in range(4)]
-    d = scan(rounds, ROUND, ORDER, runs, seq_chunk() if chunk is None else chunk)
+    return runs + [Run(f"_d{s}", "last", F.when((t == "dahai") & (F.col("actor") == s), at)) for s in range(4)]
+
+
+def _owed_value(d: DataFrame) -> DataFrame:
     call = F.struct(*[F.col(f"_call.{c}").alias(c) for c in ORDER])
     owed = F.lit(-1)
     for s in range(4):
@@ -229,6 +283,11 @@ def owed_discard(rounds: DataFrame, chunk: Column | None = None) -> DataFrame:
     return d.withColumn("owed", owed).drop("_call", *[f"_d{s}" for s in range(4)])
 
 
+def owed_discard(rounds: DataFrame, chunk: Column | None = None) -> DataFrame:
+    """Seat that owes a discard after a call or kan, -1 if none."""
+    return _owed_value(scan(rounds, ROUND, ORDER, _owed_runs(), seq_chunk() if chunk is None else chunk))
+
+
 def record_summary(rounds: DataFrame, keys: list[str]) -> DataFrame:
     """Event-type set, last event and round of each record."""
     at = F.struct(*ORDER)
@@ -249,13 +308,16 @@ def left_count(records: DataFrame, order: str, count: Column, chunk: Column | No
     return scan(records, ROUND, [order], [Run("left_tiles", "last", kept)], ch)
 
 
-def in_round(rounds: DataFrame, chunk: Column | None = None) -> DataFrame:
-    """Running facts the window predicates need: round open, discards so far."""
+def _open_runs() -> list[Run]:
     t = F.col("type")
     flag = F.when(t == "start_kyoku", True).when(t == "end_kyoku", False)
-    return scan(rounds, ROUND, ORDER, [
-        Run("open", "last", flag), Run("n_discards", "sum", F.when(t == "dahai", 1).otherwise(0)),
-    ], seq_chunk() if chunk is None else chunk).withColumn("open", F.coalesce("open", F.lit(False)))
+    return [Run("open", "last", flag), Run("n_discards", "sum", F.when(t == "dahai", 1).otherwise(0))]
+
+
+def in_round(rounds: DataFrame, chunk: Column | None = None) -> DataFrame:
+    """Running facts the window predicates need: round open, discards so far."""
+    d = scan(rounds, ROUND, ORDER, _open_runs(), seq_chunk() if chunk is None else chunk)
+    return d.withColumn("open", F.coalesce("open", F.lit(False)))
 
 
 def deal_window(open_: Column, n_discards: Column) -> Column:
@@ -287,6 +349,6 @@ def added_kans(rounds: DataFrame, chunk: Column | None = None) -> DataFrame:
     d = d.withColumn("_hit", ~pon & (F.col("_free_before") > 0))
     d = scan(d, keys, ORDER, [Run("_pon_no", "sum", F.when(pon, 1).otherwise(0)),
                               Run("_hit_no", "sum", F.when(F.col("_hit"), 1).otherwise(0))], ch)
-    pons = d.filter(pon).select(*keys, F.col("_pon_no").alias("_no"), F.col("seq").alias("pon_seq"))
+    pons = d.filter(pon).select(*keys, F.col("_pon_no").alias("_no"), F.col("seq").alias("pon_seq"), F.col("ev_idx").alias("pon_idx"))
     kans = d.filter(~pon).select(*keys, "seq", "ev_idx", F.when(F.col("_hit"), F.col("_hit_no")).alias("_no"))
     return kans.join(pons, keys + ["_no"], "left").drop("_no")

@@ -37,7 +37,7 @@ SELECT a.game, a.seq, n_boxes, file, kyoku_ord FROM a JOIN f USING (game, seq) L
 def j2(t):
     ann = t.ev.select("game", "seq", (F.col("k") % 9).alias("n_boxes"))
     frames = t.fr.filter(F.col("status").isin("ok", "timeout") & (F.col("seq") % 4 > 0)).select("game", "seq", "file")
-    states = R.in_round(R.with_round(t.mj)).filter(F.col("seq") % 5 > 0).select("game", "seq", "kyoku_ord")
+    states = R.replayed(t.mj, ("open",)).filter(F.col("seq") % 5 > 0).select("game", "seq", "kyoku_ord")
     return K.annotation_frames(ann, frames, states)
 
 
@@ -81,7 +81,7 @@ SELECT 'kept' AS what, kind, count(*) AS n FROM r WHERE NOT EXISTS (SELECT 1 FRO
 UNION ALL SELECT 'gone', kind, count(*) FROM r JOIN m USING (game, seq) GROUP BY kind
 """)
 def j8(t):
-    s = R.in_round(R.with_round(t.mj))
+    s = R.replayed(t.mj, ("open",))
     manifest = s.filter(R.deal_window(F.col("open"), F.col("n_discards"))).select("game", "seq").distinct()
     rows = t.fr.filter(F.col("file").isNotNull()).select("game", "seq", F.explode(lit_array(["crop", "image", "label"])).alias("kind"))
     kept = K.purge(rows, manifest).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

@@ -200,7 +200,7 @@ FROM r GROUP BY ALL
 """)
 def f20(t):
     k = F.col("k")
-    state = R.in_round(R.with_round(t.mj)).select("game", "seq", "k", "type", "open", "n_discards")
+    state = R.replayed(t.mj, ("open",)).select("game", "seq", "k", "type", "open", "n_discards")
     d = t.fr.filter(F.col("status").isin("ok", "timeout")).select("game", "seq").join(state, ["game", "seq"])
     reason = GT.drop_reason({
         "deal": R.deal_window(F.col("open"), F.col("n_discards")), "call": R.in_window(F.array("type"), F.col("type"), dims.CALL_EVENTS),

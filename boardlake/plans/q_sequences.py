@@ -41,7 +41,7 @@ SELECT game, seq, type, kyoku_ord,
 FROM rnd WINDOW w AS (PARTITION BY game ORDER BY seq ROWS UNBOUNDED PRECEDING)
 """)
 def w1(t):
-    return R.with_round(t.mj).select("game", "seq", "type", "kyoku_ord", "r_bakaze", "r_kyoku", "r_honba", "r_oya")
+    return R.replayed(t.mj, ("round",)).select("game", "seq", "type", "kyoku_ord", "r_bakaze", "r_kyoku", "r_honba", "r_oya")
 
 
 def _w2_sql() -> str:
@@ -71,7 +71,7 @@ def _w2_sql() -> str:
 
 @query("w2_seat_scalars", _w2_sql())
 def w2(t):
-    d = R.dora_list(R.seat_scalars(R.with_round(t.mj)))
+    d = R.replayed(t.mj, ("seats", "dora"))
     per_seat = [f"{c}_{s}" for s in range(4) for c in ("concealed", "score", "side", "reach")]
     return d.select("game", "seq", "kyoku_ord", *per_seat, "sticks", "n_dora", F.array_join("dora", ",").alias("dora"))
 
@@ -139,7 +139,7 @@ def w5(t):
     return R.sideways_index(d, ["game", "kyoku_ord", "river_seat"], R.ORDER, R.seq_chunk()).select("game", "kyoku_ord", "river_seat", "seq", "has_riichi", "sideways_idx")
 
 
-@query("w6_hero_hand", f"""
+CTE["hands"] = f"""
 WITH h AS (SELECT game, kyoku_ord, seq, type,
     CASE WHEN actor = 0 AND type = 'tsumo' THEN [pai] ELSE [] END AS added,
     CASE WHEN actor <> 0 OR is_start THEN [] WHEN type IN ('dahai', 'kakan') THEN [pai]
@@ -160,7 +160,10 @@ s3 AS (SELECT game, kyoku_ord, seq, tile, rk,
 SELECT game, kyoku_ord, seq, CAST(sum(n) AS BIGINT) AS n_tiles,
   coalesce(string_agg(rtrim(repeat(tile || ' ', CAST(n AS INTEGER))), ' ' ORDER BY rk) FILTER (n > 0), '') AS hand
 FROM s3 GROUP BY game, kyoku_ord, seq
-""")
+"""
+
+
+@query("w6_hero_hand", "SELECT game, kyoku_ord, seq, n_tiles, hand FROM hands")
 def w6(t):
     changes = stage(R.hero_events(R.with_round(t.mj), F.lit(0)), "hand_changes")
     d = R.hero_hand(changes)
@@ -174,7 +177,7 @@ SELECT game, kyoku_ord, seq, nullif(last_value(CASE WHEN actor = 0 AND type = 't
 FROM rnd
 """)
 def w7(t):
-    return R.drawn_tile(R.with_round(t.mj), F.lit(0)).select("game", "kyoku_ord", "seq", "drawn")
+    return R.replayed(t.mj, ("drawn",), F.lit(0)).select("game", "kyoku_ord", "seq", "drawn")
 
 
 CTE["owe"] = f"""
@@ -189,7 +192,7 @@ FROM (SELECT *, last_value(CASE WHEN type IN {OWED} THEN actor END IGNORE NULLS)
 
 @query("w8_owed_discard", "SELECT game, kyoku_ord, seq, CAST(owed AS INTEGER) AS owed FROM owe")
 def w8(t):
-    return R.owed_discard(R.with_round(t.mj)).select("game", "kyoku_ord", "seq", "owed")
+    return R.replayed(t.mj, ("owed",)).select("game", "kyoku_ord", "seq", "owed")
 
 
 CTE["recs"] = """
@@ -223,7 +226,7 @@ def w10(t):
     return s.select("game", "rec", "kyoku_ord", F.concat_ws(",", "types").alias("types"), "last_event")
 
 
-@query("j14_added_kan", """
+CTE["kan"] = """
 WITH q AS (SELECT *, CASE WHEN pai LIKE '5_r' THEN left(pai, 2) ELSE pai END AS base FROM rnd WHERE type IN ('pon', 'kakan')),
 s AS (SELECT *, sum(CASE type WHEN 'pon' THEN 1 ELSE -1 END) OVER w AS s FROM q
   WINDOW w AS (PARTITION BY game, kyoku_ord, actor, base ORDER BY seq ROWS UNBOUNDED PRECEDING)),
@@ -234,7 +237,10 @@ n AS (SELECT *, sum(CASE WHEN type = 'pon' THEN 1 ELSE 0 END) OVER w AS pno, sum
 SELECT k.game, k.kyoku_ord, k.actor, k.base, k.seq, p.seq AS pon_seq
 FROM n k LEFT JOIN n p ON k.hit AND p.type = 'pon' AND p.game = k.game AND p.kyoku_ord = k.kyoku_ord AND p.actor = k.actor AND p.base = k.base AND p.pno = k.hno
 WHERE k.type = 'kakan'
-""")
+"""
+
+
+@query("j14_added_kan", "SELECT game, kyoku_ord, actor, base, seq, pon_seq FROM kan")
 def j14(t):
     d = R.added_kans(stage(R.with_round(t.mj), "rounds"))
     return d.select("game", "kyoku_ord", "actor", "base", "seq", "pon_seq")
@@ -258,7 +264,7 @@ SELECT game, seq, rec, kyoku_ord, kyoku_ord > 0 AS open,
 
 @query("f2_deal_window", "SELECT game, seq, kyoku_ord, open AND n_discards = 0 AS deal FROM dealw")
 def f2(t):
-    d = R.in_round(R.with_round(t.mj))
+    d = R.replayed(t.mj, ("open",))
     return d.select("game", "seq", "kyoku_ord", R.deal_window(F.col("open"), F.col("n_discards")).alias("deal"))
 
 
@@ -280,7 +286,7 @@ def f4(t):
 
 @query("f5_call_pending", "SELECT game, seq, kyoku_ord > 0 AND owed >= 0 AS pending FROM owe")
 def f5(t):
-    d = R.in_round(R.owed_discard(stage(R.with_round(t.mj), "rounds")))
+    d = R.replayed(t.mj, ("open", "owed"))
     return d.select("game", "seq", R.call_pending(F.col("open"), F.col("owed")).alias("pending"))
 
 
@@ -480,7 +486,7 @@ SELECT f.game, f.seq, f.file, d.kyoku_ord, d.n_discards, d.open AND d.n_discards
 FROM fr f JOIN dealw d USING (game, seq) WHERE f.status = 'ok'
 """)
 def j1(t):
-    state = R.in_round(R.with_round(t.mj))
+    state = R.replayed(t.mj, ("open",))
     frames = t.fr.filter(F.col("status") == "ok").select("game", "seq", "file")
     return frames.join(state, ["game", "seq"]).select(
         "game", "seq", "file", "kyoku_ord", "n_discards", R.deal_window(F.col("open"), F.col("n_discards")).alias("deal"))

@@ -145,6 +145,17 @@ def test_running_scalars(log, size):
         assert (r.sticks, r.n_dora, r.owed, r.drawn) == (s["sticks"], s["n_dora"], s["owed"], s["drawn"])
 
 
+@pytest.mark.parametrize("size", [1, 3, 17, 10_000])
+def test_one_pass_equals_the_loop(log, size):
+    events, states, _, _ = log
+    for r in R.replayed(events, hero=F.lit(0), chunk=seq_chunk("seq", size)).collect():
+        s = states[(r.game, r.seq, r.ev_idx)]
+        assert r.kyoku_ord == s["no"]
+        assert [r[f"concealed_{i}"] for i in range(4)] == s["concealed"] and [r[f"score_{i}"] for i in range(4)] == s["scores"]
+        assert [r[f"reach_{i}"] for i in range(4)] == s["reach"] and [r[f"side_{i}"] for i in range(4)] == s["side"]
+        assert (r.sticks, len(r.dora), r.owed, r.drawn, r.r_bakaze) == (s["sticks"], s["n_dora"], s["owed"], s["drawn"], "E" if s["no"] else None)
+
+
 @pytest.mark.parametrize("size", [5, 10_000])
 def test_hero_hand(log, size):
     events, states, _, _ = log
@@ -198,7 +209,7 @@ def test_indicators_as_of_each_record(spark):
     start = dict(bakaze="E", kyoku=1, honba=0, kyotaku=0, oya=0, dora_marker="1m", scores=[25000] * 4)
     rows = [row(1, 0, 0, "start_kyoku", **start), row(1, 1, 0, "dahai", actor=0, pai="1m"), row(1, 2, 0, "dora", dora_marker="9p"), row(1, 2, 1, "dahai", actor=1, pai="2m"),
             row(1, 3, 0, "start_kyoku", **(start | {"dora_marker": "E"}))]
-    got = R.dora_list(R.with_round(spark.createDataFrame(rows, SCHEMA))).orderBy("seq", "ev_idx").collect()
+    got = R.replayed(spark.createDataFrame(rows, SCHEMA), ("dora",)).orderBy("seq", "ev_idx").collect()
     assert [r.dora for r in got] == [["1m"], ["1m"], ["1m", "9p"], ["1m", "9p"], ["E"]]
 
 
