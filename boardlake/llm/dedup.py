@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,6 +24,8 @@ from .common import stage
 BANDS = 40
 BAND_ROWS = 6
 PERCENT = 80
+#: Documents of a bucket of rare shingles that the others meet in its first round; as many times more in each further one.
+PIVOTS = 8
 SEED = 20
 
 
@@ -145,8 +147,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(fits).filter(100 * both >= percent * (sizes - both)).select("a", "b")
 
 
+def fits(percent: int) -> Column:
+    """Whether two bucket rows (n, left of one, m, pivot_left of the other) can still be similar.
+
+    The sizes must allow it, and so must the shingle they share, if it is the first in the order of both: the overlap is at most
+    that one and what each has behind it. Pairs are met at their first common shingle, so none is lost.
+    """
+    small, large = F.least("n", "m"), F.greatest("n", "m")
+    return (100 * small >= percent * large) & ((1 + F.least("left", "pivot_left")) * (100 + percent) >= percent * (F.col("n") + F.col("m")))
+
+
 class Comparison:
-    """Comparison of the documents of buckets on their full sets, and what is connected so far."""
+    """Comparison of the documents of buckets on their full sets, and what is connected so far.
+
+    Bucket rows are (bucket, rep, n, left): a document, its set's size, and how many of its shingles come behind the one that makes the bucket.
+    """
 
     def __init__(self, sets: DataFrame, percent: int):
         self.sets, self.percent = sets, percent
@@ -158,7 +173,23 @@ class Comparison:
         """The rows of those buckets whose documents aren't all connected yet, with what they are connected to."""
         named = buckets.join(self.roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         several = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-        return stage(named.join(several, "bucket").select("bucket", "rep", "root"), "buckets")
+        return stage(named.join(several, "bucket").select("bucket", "rep", "n", "left", "root"), "buckets")
+
+    def connect(self, found: DataFrame) -> None:
+        """Add links. Only new ones between unlike components are contracted; those found before are one table of roots."""
+        self.links = found if self.links is None else self.links.union(found)
+        if self.roots is None:
+            self.roots = stage(components(found), "roots")
+            return
+        of = lambda c: self.roots.toDF(c, f"{c}_root")
+        new = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+        new = stage(new.filter("a <> b").distinct(), "root-links")
+        if new.isEmpty():
+            return
+        joined = stage(components(new).toDF("of", "to"), "root-components")
+        moved = self.roots.join(joined, F.col("root") == F.col("of"), "left").select("node", F.coalesce("to", "root").alias("root"))
+        fresh = joined.toDF("node", "root").join(self.roots, "node", "left_anti")
+        self.roots = stage(moved.unionByName(fresh), "roots")
 
     def compare(self, buckets: DataFrame, pivots: int) -> DataFrame:
         """Compare each bucket (rows of bucket, rep, root) with ``pivots`` of its documents; the rows still open.
@@ -173,21 +204,20 @@ class Comparison:
             degree = self.links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
             same = buckets.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("same"))
             ranked = buckets.join(same, ["bucket", "root"]).join(degree, "rep", "left").fillna(0, ["degree"])
-        best = F.struct("same", (-F.col("degree")).alias("d"), F.col("rep").alias("pivot"), F.col("root").alias("pivot_root"))
+        best = F.struct("same", (-F.col("degree")).alias("d"), F.col("rep").alias("pivot"), F.col("root").alias("pivot_root"), F.col("n").alias("m"), F.col("left").alias("pivot_left"))
         lead = (ranked.groupBy("bucket").agg(F.min(best).alias("best")) if pivots == 1 else
                 ranked.select("bucket", best.alias("best")).withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("best"))).filter(F.col("r") <= pivots))
-        lead = stage(lead.select(F.col("bucket").alias("of"), "best.pivot", "best.pivot_root"), "pivots")
-        meet = (F.col("bucket") == F.col("of")) & (F.col("root") != F.col("pivot_root"))
+        lead = stage(lead.select(F.col("bucket").alias("of"), "best.pivot", "best.pivot_root", "best.m", "best.pivot_left"), "pivots")
+        meet = (F.col("bucket") == F.col("of")) & (F.col("root") != F.col("pivot_root")) & fits(self.percent)
         pairs = buckets.join(lead, meet).select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         found = stage(confirmed(pairs, self.sets, self.percent), "confirmed")
         self.tried = pairs if self.tried is None else self.tried.union(pairs)
-        self.links = found if self.links is None else self.links.union(found)
-        self.roots = components(self.links)
+        self.connect(found)
         done = lead.select(F.col("of").alias("bucket"), F.col("pivot").alias("rep"))
-        return self.mixed(buckets.select("bucket", "rep").join(done, ["bucket", "rep"], "left_anti"))
+        return self.mixed(buckets.drop("root").join(done, ["bucket", "rep"], "left_anti"))
 
     def rare(self, buckets: DataFrame) -> DataFrame:
         """Finer buckets that hold every similar pair of the documents in ``buckets``.
@@ -201,7 +231,8 @@ class Comparison:
         known = stage(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")), "open-counts")
         place = F.row_number().over(Window.partitionBy("id").orderBy("df", "bucket"))  # one document's shingles
         first = F.col("n") - F.expr(f"({self.percent} * n + 99) div 100") + 1
-        return each.join(known, "bucket").withColumn("place", place).filter((F.col("place") <= first) & (F.col("df") > 1)).select("bucket", F.col("id").alias("rep"))
+        return each.join(known, "bucket").withColumn("place", place).filter((F.col("place") <= first) & (F.col("df") > 1)).select(
+            "bucket", F.col("id").alias("rep"), "n", (F.col("n") - F.col("place")).alias("left"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -220,18 +251,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     # Equal sets collapse before anything is compared; only their smallest document goes on.
     known = summary.filter("n_shingles > 0 AND id IS NOT NULL")
     classes = stage(known.groupBy("sa", "sb", "n_shingles").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "shingle-classes")
-    banded = classes.select("rep", F.explode("bands").alias("bucket"))
+    banded = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count_distinct("rep").alias("n")).filter("n > 1").select("bucket")
-    buckets = stage(banded.join(shared, "bucket").select("bucket", "rep"), "buckets")
+    buckets = stage(banded.join(shared, "bucket").select("bucket", "rep", "n", F.col("n").alias("left")), "buckets")
     members = buckets.select(F.col("rep").alias("id")).distinct()
     sets = stage(rows.filter("id IS NOT NULL").join(members, "id").dropDuplicates(["id"]).mapInArrow(_hash_sets(words), f"id {kind}, set array<long>"), "sets")
     work = Comparison(sets, percent)
     left = work.compare(buckets.withColumn("root", F.col("rep")), 1)
     if not left.isEmpty():
-        left, pivots = work.mixed(work.rare(left)), 1
+        left, pivots = work.mixed(work.rare(left)), PIVOTS
         while not left.isEmpty():
             left = work.compare(left, pivots)
-            pivots *= 4
+            pivots *= PIVOTS
     named = classes.select("sa", "sb", F.col("n_shingles").alias("n"), "rep").join(work.roots.withColumnRenamed("node", "rep"), "rep", "left")
     named = stage(named.select("sa", "sb", "n", F.coalesce("root", "rep").alias("component")), "components")
     s = summary.select("id", "n_shingles", "sa", "sb")
