@@ -104,7 +104,8 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span; equal bytes give equal hashes wherever they stand."""
+    """64-bit hash of each span; equal bytes give equal hashes wherever they stand. For spans of fewer than
+    1,024 bytes: a polynomial modulo 2**64 gives some longer regular spans equal hashes."""
     _, down = _power(len(prefix))
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MIX)
 

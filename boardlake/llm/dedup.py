@@ -33,7 +33,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     """(hashes, text index) of all ``n``-word shingles in order; a text of fewer words is one shingle."""
     data = bt.LOWER[data]
     starts, ends, owner = bt.spans(bt.SPACED[data], offsets)
-    hashes = bt.span_hash(bt.prefix_hash(data), starts, ends)
+    hashes = bt.block_hash(data, starts, ends)
     at, out = bt.grams(hashes, owner, n)
     of = owner[at]
     counts = np.bincount(owner, minlength=len(offsets) - 1)

@@ -41,7 +41,6 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     word = bt.SPACED[data]
     starts, ends, owner = bt.spans(word, offsets)
-    prefix = bt.prefix_hash(data)
     out = {"n_words": np.bincount(owner, minlength=n), "word_chars": bt.per_text(word & _START[data], offsets)}
     out["n_symbols"] = bt.per_text(_SYMBOL[data], offsets)
     out["n_upper"] = bt.per_text(_UPPER[data], offsets)
@@ -50,12 +49,12 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     words_before = np.zeros(len(data) + 1, np.int64)
     np.cumsum(word, out=words_before[1:])
     full = words_before[le] > words_before[ls]
-    lines, of = bt.span_hash(prefix, ls[full], le[full]), lo[full]
+    lines, of = bt.block_hash(data, ls[full], le[full]), lo[full]
     order = np.lexsort((lines, of))
     again = (lines[order][1:] == lines[order][:-1]) & (of[order][1:] == of[order][:-1])
     out["n_lines"] = np.bincount(of, minlength=n)
     out["n_dup_lines"] = np.bincount(of[order][1:][again], minlength=n)
-    hashes = bt.span_hash(prefix, starts, ends)
+    hashes = bt.block_hash(data, starts, ends)
     at, grams = bt.grams(hashes, owner, 3)
     grams = bt.mix(grams ^ bt.mix(owner[at].astype(np.uint64) + np.uint64(1)))  # windows of different texts differ
     order = np.argsort(grams, kind="stable")

@@ -74,7 +74,7 @@ def _packed(buckets: int, length: int):
             for b in bt.blocks(batch, "text"):
                 data, offsets = bt.texts(b, "text")
                 h, of, _, _ = anchor_runs(data, offsets, length)
-                whole.append(bt.span_hash(bt.prefix_hash(data), offsets[:-1], offsets[1:]))
+                whole.append(bt.block_hash(data, offsets[:-1], offsets[1:]))
                 bucket, key = _named(h, buckets)
                 keys.append(key), where.append(bucket), owners.append(of + base)
                 base += b.num_rows
@@ -145,9 +145,10 @@ def _contexts(buckets: int, length: int):
                 sizes = hi - lo
                 ends = np.append(0, np.cumsum(sizes))
                 take = np.arange(ends[-1]) + np.repeat(lo - ends[:-1], sizes)
-                ctx = pa.Array.from_buffers(pa.binary(), len(hit), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[take]))])
+                raw = np.ascontiguousarray(data[take])
+                ctx = pa.Array.from_buffers(pa.binary(), len(hit), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
                 ids = np.asarray(b.column("id"), dtype=np.int64)[of[hit]]
-                yield pa.RecordBatch.from_arrays([bt.signed(name[hit]), bt.signed(bt.span_hash(bt.prefix_hash(data), lo, hi)), pa.array(ids),
+                yield pa.RecordBatch.from_arrays([bt.signed(name[hit]), bt.signed(bt.block_hash(raw, ends[:-1], ends[1:])), pa.array(ids),
                                                   pa.array((lo - offsets[of[hit]]).astype(np.int64)), ctx], ["anchor", "ctx", "id", "start", "bytes"])
 
     return run

@@ -95,11 +95,6 @@ def records(page_id, url: str | None, html: str | None, refers_to, unique: str,
                        ("WARC-Segment-Total-Length", len(block) if n == len(parts) else None)], part)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([digest((h or "").encode()) for h in b.column("html").to_pylist()], pa.string())], ["id", "digest"])
-
-
 def _to_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, n = TaskContext.get().partitionId(), 0
     for b in batches:
@@ -120,20 +115,20 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     """Write one record per row of ``pages`` (more where it is segmented) below ``path``.
 
     Of rows with equal payloads of ``least`` bytes or more, those with the smallest key are
-    responses and the others revisit it. A null payload is empty; null keys come last and revisit
-    a row with a key if there is one; null urls have no target field. Only the named columns are
-    read. An empty table writes no record.
+    responses and the others revisit it. One key may have several payloads: each is judged by itself. A null payload is empty; rows
+    without a key revisit one that has a key if there is one, else they are responses; null urls have no target field. Payloads of
+    any length are written whole. Only the named columns are read. An empty table writes no record.
     """
-    rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    kind = rows.schema["id"].dataType.simpleString()
-    marked = stage(rows.filter(F.octet_length(F.coalesce("html", F.lit(""))) >= least).select("id", "html").mapInArrow(_digests, f"id {kind}, digest string"), "digests")
+    body = F.coalesce(F.col(html).cast("string"), F.lit(""))
+    rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), F.sha1(body.cast("binary")).alias("digest"), (F.octet_length(body) >= least).alias("long"))
+    marked = stage(rows.filter("long").select("id", "digest"), "digests")
     first = stage(marked.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND refers_to IS NOT NULL"), "repeated-payloads")
     # Two written tables meet, so a payload that holds a third of all rows is split while it is joined.
-    again = marked.join(first.select(F.col("digest").alias("d"), "refers_to"), F.col("digest") == F.col("d")).filter(~F.col("id").eqNullSafe(F.col("refers_to")))
-    again = stage(again.filter("id IS NOT NULL").select("id", "refers_to").distinct(), "revisits")
-    keyed = rows.filter("id IS NOT NULL").join(again, "id", "left").select("id", "url", "html", "refers_to")
-    loose = rows.filter("id IS NULL").select("id", "url", "html", F.lit(None).cast(kind).alias("refers_to"))
-    out = keyed.unionByName(loose).mapInArrow(_to_records, "record binary")
+    again = marked.join(first.select("digest", "refers_to"), "digest").filter(~F.col("id").eqNullSafe(F.col("refers_to")))
+    again = stage(again.select(F.col("id").alias("i"), F.col("digest").alias("d"), "refers_to").distinct(), "revisits")
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")) & F.col("long")
+    told = rows.join(again, same, "left").select("id", "url", "html", "refers_to")
+    out = told.mapInArrow(_to_records, "record binary")
     # The text sink writes the bytes of a string as they are; records end with two line ends.
     (out.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
      .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
@@ -243,9 +238,9 @@ def round_trip(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     kind = pages.schema[key].dataType.simpleString()
     back = stage(read(spark, path, "bigint" if kind in ("bigint", "int", "smallint", "tinyint") else "string", False).drop("payload", "url"), "archive-rows")
     own = back.filter("record_type = 'response'")
-    target = own.filter("page_id IS NOT NULL").dropDuplicates(["page_id"]).select(F.col("page_id").alias("t"), F.col("payload_bytes").alias("tb"), F.col("payload_digest").alias("td"))
+    target = own.filter("page_id IS NOT NULL").dropDuplicates(["page_id", "payload_digest"]).select(F.col("page_id").alias("t"), F.col("payload_bytes").alias("tb"), F.col("payload_digest").alias("td"))
     target = stage(target, "responses")
-    seen = back.filter("record_type = 'revisit'").join(target, F.col("refers_to") == F.col("t"), "left")
+    seen = back.filter("record_type = 'revisit'").join(target, (F.col("refers_to") == F.col("t")) & (F.col("stated_digest") == F.col("td")), "left")
     seen = seen.select("page_id", F.col("tb").alias("payload_bytes"), F.col("td").alias("payload_digest"), "record_type", "refers_to",
-                       (F.col("td") == F.col("stated_digest")).alias("complete"))
+                       F.col("td").isNotNull().alias("complete"))
     return own.select(*seen.columns).unionByName(seen).withColumnRenamed("page_id", key)

@@ -191,7 +191,7 @@ def test_warc_round_trip(spark, tmp_path):
     sha = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
     first = {2: 1, 4: 3, 7: 5}
     want = [(i, len((h or "").encode()), sha(h), "revisit" if i in first else "response", first.get(i), True) for i, h in html.items()]
-    want += [want[-1], (None, 8, sha("<p>x</p>"), "response", None, True), (None, 5, sha("alone"), "response", None, True)]
+    want += [want[-1], (None, 8, sha("<p>x</p>"), "revisit", 1, True), (None, 5, sha("alone"), "response", None, True)]
     shown = lambda rows: sorted(rows, key=str)
     assert shown([tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")) for r in got]) == shown(want)
     back = warc.read(spark, f"{tmp_path}/a").filter("page_id = 5").first()
@@ -199,6 +199,34 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0), f"{tmp_path}/b").collect() == []
 
 
+def test_warc_of_one_key_with_several_payloads(spark, tmp_path):
+    rows = [(1, "A"), (2, "A"), (2, "B"), (3, "C"), (4, "D"), (5, "C"), (5, "D"), (5, "E"), (None, "A"), (None, "F"), (None, "F"), (6, "G" * 50_000), (7, "G" * 50_000), (7, "H" * 50_000)]
+    got = warc.round_trip(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string"), f"{tmp_path}/a").collect()
+    sha = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    least = {}
+    for i, h in rows:
+        if i is not None:
+            least[h] = min(least.get(h, i), i)
+    refers = lambda i, h: least[h] if h in least and least[h] != i else None
+    want = [(i, len(h), sha(h), "revisit" if refers(i, h) else "response", refers(i, h), True) for i, h in rows]
+    assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete"))) for r in got)
+
+
+def thue_morse(n: int, a: str, b: str) -> str:
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_regular_texts_that_agree_in_polynomial_hashes(spark):
+    x, y = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    rows = [(1, x), (2, y), (3, x + "\n" + y), (4, "w " * 60 + x), (5, "w " * 60 + y)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.repeats(docs).collect()}
+    assert got == brute.remove_repeats(rows, 50)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_duplicates(docs, words=2).collect()}
+    assert got == brute.near_duplicates(rows, 2)
+    assert [r.n_dup_lines for r in quality.statistics(docs).orderBy("key").collect()] == [0] * 5
+
+
 def test_missing_segment_is_told(spark, tmp_path):
     block = list(warc.records(1, "u", "x" * 50_000, None, "0"))
     assert len(block) == 4
