@@ -1,14 +1,16 @@
 """Secret scans over a trigram inverted index.
 
-Each rule gives the Boolean trigram query that any of its matches must satisfy: an OR of clauses,
-each an AND of trigrams of its mandatory literals. The index holds postings (trigram, document)
+Each rule's pattern gives the Boolean trigram query that any of its matches must satisfy: an OR of clauses,
+each an AND of the trigrams of one text that the pattern can ask for. The index holds postings (trigram, document)
 of the trigrams that rules ask for; postings are intersected per clause, and only documents that
 pass are verified with the regular expression. A rule without mandatory trigrams scans every text.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,30 +22,117 @@ from .common import row_key, stage
 class Rule:
     """A kind of secret. A match counts if group ``group`` has ``min_length`` characters or more.
 
-    ``literals``: texts one of which every match holds (empty: none is mandatory); ``fold``: they
-    match in either case. Regular expressions must match the same in Java and RE2.
+    Regular expressions must match the same in Java, RE2 and Python.
     """
 
     kind: str
     pattern: str
     group: int = 0
     min_length: int = 1
-    literals: tuple[str, ...] = ()
-    fold: bool = False
 
     def clauses(self) -> list[list[str]]:
-        """The Boolean query: any clause, all of its trigrams. Empty if some literal is too short."""
-        if any(len(x) < 3 for x in self.literals):
+        """The Boolean query: any clause, all of its trigrams. Empty if no trigram is mandatory."""
+        return [list(c) for c in _query(self.pattern)[0]]
+
+    @property
+    def fold(self) -> bool:
+        """Whether the clauses' letters match in either case (they are lower-case then)."""
+        return _query(self.pattern)[1]
+
+
+#: Texts that one stretch of a pattern is followed through; beyond, the stretch ends.
+MAX_TEXTS = 64
+
+
+class _Stretches:
+    """Walks a parsed pattern and gathers its stretches: sets of texts one of which every match holds."""
+
+    def __init__(self):
+        self.done: list[set[tuple[str, bool]]] = []
+        self.open: set[tuple[str, bool]] = {("", False)}
+
+    def end(self) -> None:
+        self.done.append(self.open)
+        self.open = {("", False)}
+
+    def put(self, texts: set[tuple[str, bool]]) -> None:
+        """Go on with any of some texts (text, either case)."""
+        if len(self.open) * len(texts) > MAX_TEXTS:
+            self.end()
+        if len(texts) > MAX_TEXTS:
+            return self.end()
+        self.open = {(a + b, f or g) for a, f in self.open for b, g in texts}
+
+    def walk(self, nodes, fold: bool) -> None:
+        for op, arg in nodes:
+            name = str(op)
+            if name == "LITERAL":
+                self.put({(chr(arg), fold)})
+            elif name == "IN":
+                chars = _chars(arg)
+                self.put({(c, fold) for c in chars}) if chars else self.end()
+            elif name == "SUBPATTERN":
+                _, on, off, inner = arg
+                self.walk(inner, (fold or bool(on & re.IGNORECASE)) and not off & re.IGNORECASE)
+            elif name == "BRANCH":
+                found = [_whole(x, fold) for x in arg[1]]
+                self.put(set().union(*found)) if all(found) else self.end()
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                low, high, inner = arg
+                texts = _whole(inner, fold)
+                if texts and (low, int(high)) == (0, 1):
+                    self.put(texts | {("", False)})
+                else:  # what comes at least `low` times, then an open end
+                    for _ in range(min(low, 8)):
+                        self.walk(inner, fold)
+                    if low != high or low > 8:
+                        self.end()
+            elif name == "AT":
+                continue  # an anchor takes no character
+            else:
+                self.end()
+
+
+def _chars(items) -> list[str]:
+    """The characters of a small class; none for a large or negated one."""
+    out: list[str] = []
+    for op, arg in items:
+        if str(op) == "LITERAL":
+            out.append(chr(arg))
+        elif str(op) == "RANGE" and arg[1] - arg[0] < 8:
+            out += [chr(c) for c in range(arg[0], arg[1] + 1)]
+        else:
             return []
-        words = [x.lower() if self.fold else x for x in self.literals]
-        return [sorted({w[i:i + 3] for i in range(len(w) - 2)}) for w in words]
+    return out if len(out) <= 8 else []
+
+
+def _whole(nodes, fold: bool) -> set[tuple[str, bool]]:
+    """All texts of a part of a pattern, if they are few; none if it has an open end."""
+    inner = _Stretches()
+    inner.walk(nodes, fold)
+    return inner.open if not inner.done else set()
+
+
+@lru_cache(maxsize=None)
+def _query(pattern: str) -> tuple[tuple[tuple[str, ...], ...], bool]:
+    """(clauses, either case) of the stretch whose shortest text is longest; no clause if that has fewer than three characters."""
+    walk = _Stretches()
+    walk.walk(re._parser.parse(pattern), False)
+    walk.end()
+    best = max(walk.done, key=lambda texts: (min(len(t) for t, _ in texts), -len(texts)))
+    if min(len(t) for t, _ in best) < 3:
+        return (), False
+    fold = any(f for _, f in best)
+    texts = {t.lower() if fold else t for t, _ in best}
+    every = {frozenset(t[i:i + 3] for i in range(len(t) - 2)) for t in texts}
+    least = [c for c in every if not any(o < c for o in every)]  # a clause that another one covers says nothing
+    return tuple(sorted(tuple(sorted(c)) for c in least)), fold
 
 
 #: The kinds every scan reports, in the order in which equal starts are listed.
 BASE_RULES = (
-    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12,
-         ("password", "passwd", "secret", "token", "apikey", "api_key"), True),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 18, ("AKIA",)),
+    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
 )
 

@@ -373,7 +373,30 @@ def test_secrets_equal_brute_force(spark, docs, odd, none):
 
 def test_trigram_queries():
     assert secrets.BASE_RULES[1].clauses() == [["AKI", "KIA"]] and secrets.BASE_RULES[2].clauses() == []
-    assert secrets.Rule("x", "ab+", 0, 1, ("ab",)).clauses() == []
+    assert secrets.Rule("x", "ab+").clauses() == []
+
+
+def test_trigram_queries_follow_from_the_patterns():
+    grams = lambda *texts: sorted(sorted({t[i:i + 3] for i in range(len(t) - 2)}) for t in texts)
+    of = lambda p: sorted(map(sorted, secrets.Rule("x", p).clauses()))
+    assign, access, hexes = secrets.BASE_RULES
+    assert sorted(assign.clauses()) == grams("password", "passwd", "secret", "token", "apikey", "api_key") and assign.fold
+    assert access.clauses() == grams("AKIA") and not access.fold and hexes.clauses() == []
+    assert of("gh[ops]_[A-Z]{36}") == grams("gho_", "ghp_", "ghs_") and of("(abc|[a-z]+)def") == grams("def")
+    assert of("x?abcd|ab") == [] and of("[^a]bcde*f") == grams("bcd") and of("BEGIN (RSA )?KEY$") == grams("BEGIN RSA KEY", "BEGIN KEY")
+    assert of("a.*b") == [] and of("(?i:ABCD)x") == grams("abcdx") and of(r"abcd(?=ef)\1?") == grams("abcd")
+
+
+def test_trigram_queries_lose_no_match(spark):
+    """Every match of a pattern satisfies its query: the indexed scan equals the full one."""
+    rules = (secrets.Rule("a", "(?i:key|pass(word|wd)?)[=:][a-z]+", 0, 5), secrets.Rule("b", "ab?cde[0-9]{2}|zzz+y", 0, 1))
+    rng = random.Random(4)
+    pieces = ["KEY=", "pass:", "passwd=", "abc", "acde12", "abcde9", "zzzy", "zzy", "q", " ", "1", "Password:"]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(12))) for i in range(300)]
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), rules).collect()}
+    for i, t in rows:
+        want = sorted((m.start(), n, m.end()) for n, r in enumerate(rules) for m in re.finditer(r.pattern, t) if len(m.group()) >= r.min_length)
+        assert got[i] == want and got is not None, t
 
 
 # --- blocks ---
