@@ -384,7 +384,7 @@ def test_trigram_queries_follow_from_the_patterns():
     assert access.clauses() == grams("AKIA") and not access.fold and hexes.clauses() == []
     assert of("gh[ops]_[A-Z]{36}") == grams("gho_", "ghp_", "ghs_") and of("(abc|[a-z]+)def") == grams("def")
     assert of("x?abcd|ab") == [] and of("[^a]bcde*f") == grams("bcd") and of("BEGIN (RSA )?KEY$") == grams("BEGIN RSA KEY", "BEGIN KEY")
-    assert of("a.*b") == [] and of("(?i:ABCD)x") == grams("abcdx") and of(r"abcd(?=ef)\1?") == grams("abcd")
+    assert of("a.*b") == [] and of("(?i:ABCD)x") == grams("abcdx") and of(r"(abcd)(?=ef)\1?") == grams("abcd")
 
 
 def test_trigram_queries_lose_no_match(spark):
