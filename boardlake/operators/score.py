@@ -180,24 +180,32 @@ def confidence_percentiles(verdicts: DataFrame, step: float = 1 / 4096) -> DataF
 # --- A20 --------------------------------------------------------------------------------
 
 def overlap_pairs(dets: DataFrame, gts: DataFrame, keys: list[str], t: float) -> DataFrame:
-    """Pairs of distinct boxes in the same group that overlap by at least ``t``.
+    """Pairs of distinct boxes in the same group that overlap by at least ``t`` (above 0).
 
-    Boxes meet on a grid by size class and corner, so a group of any size never pairs all with
-    all: overlap by ``t`` bounds how much sides and corners can differ. Boxes carry ``x0..y1``
-    and ``_d`` / ``_g`` payloads; boxes without extent overlap nothing.
+    Such boxes share at least ``t`` of either side, so their sides differ by a factor of ``1 / t``
+    at most and their centres by a fixed part of the first box's sides. The first box looks into the
+    cells around its centre on the grid of its own size class, about three; the second lies by its
+    centre in one cell of each grid a partner may look into. Groups of any size never pair all
+    with all. Boxes carry ``x0..y1`` and ``_d`` / ``_g`` payloads; boxes without extent overlap nothing.
     """
-    d = dets.select(*keys, *[F.col(c).alias(f"d_{c}") for c in ("x0", "y0", "x1", "y1")], "_d")
-    g = gts.select(*keys, *[F.col(c).alias(f"g_{c}") for c in ("x0", "y0", "x1", "y1")], "_g")
-    m = lambda p: F.greatest(F.col(f"{p}_x1") - F.col(f"{p}_x0"), F.col(f"{p}_y1") - F.col(f"{p}_y0"))
-    cell = lambda lv, v: F.floor(v / ((1 - t) * F.pow(F.lit(2.0), lv + 1))).cast("long")
-    gg = g.filter(m("g") > 0).withColumn("_lv", F.floor(F.log2(m("g"))).cast("int"))
-    gg = gg.withColumns({"_cx": cell(F.col("_lv"), F.col("g_x0")), "_cy": cell(F.col("_lv"), F.col("g_y0"))})
-    dd = d.withColumn("_m", m("d")).filter("_m > 0")
-    dd = dd.withColumn("_lv", F.explode(F.sequence(F.floor(F.log2(F.col("_m") * t)).cast("int"), F.floor(F.log2(F.col("_m") / t)).cast("int"))))
-    dd = dd.withColumn("_r", (1 - t) * F.greatest(F.col("_m"), F.least(F.col("_m") / t, F.pow(F.lit(2.0), F.col("_lv") + 1))))
-    for axis, name in (("d_x0", "_cx"), ("d_y0", "_cy")):
-        dd = dd.withColumn(name, F.explode(F.sequence(cell(F.col("_lv"), F.col(axis) - F.col("_r")), cell(F.col("_lv"), F.col(axis) + F.col("_r")))))
-    near = dd.join(gg, keys + ["_lv", "_cx", "_cy"]).withColumn("iou", iou(box_cols("d_"), box_cols("g_")))
+    slack = 1 + 1e-6  # overlap by exactly t must not fall to rounding
+    reach = (1 - t) * max(1.0, 0.5 / t) * slack  # of a box's side: how far a partner's centre may be
+    side = lambda c: F.pow(F.lit(2.0), F.col(c) + 2) * max(reach, 1e-3)
+
+    def boxes(df: DataFrame, p: str, payload: str) -> DataFrame:
+        df = df.filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+        return df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in ("x0", "y0", "x1", "y1")], payload,
+                         F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("_m"))
+
+    level = lambda v: F.floor(F.log2(v)).cast("int")
+    d = boxes(dets, "d", "_d").withColumn("_lv", level(F.col("_m"))).drop("_m")
+    g = boxes(gts, "g", "_g").withColumn("_lv", F.explode(F.sequence(level(F.col("_m") * (t / slack)), level(F.col("_m") * (slack / t))))).drop("_m")
+    for axis, cell in (("x", "_cx"), ("y", "_cy")):
+        lo, hi = F.col(f"d_{axis}0"), F.col(f"d_{axis}1")
+        at = lambda v: F.floor(v / side("_lv")).cast("long")
+        d = d.withColumn(cell, F.explode(F.sequence(at((lo + hi) / 2 - (hi - lo) * reach), at((lo + hi) / 2 + (hi - lo) * reach))))
+        g = g.withColumn(cell, at((F.col(f"g_{axis}0") + F.col(f"g_{axis}1")) / 2))
+    near = d.join(g, keys + ["_lv", "_cx", "_cy"]).withColumn("iou", iou(box_cols("d_"), box_cols("g_")))
     return near.filter(F.col("iou") >= t).select(*keys, "_d", "_g", "iou")
 
 

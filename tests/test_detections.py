@@ -122,22 +122,30 @@ def test_bags_count_copies_and_red_fives(spark):
     assert (r.n_pred, r.n_gt, r.correct, r.correct_lenient) == (4, 3, 1, 2)
 
 
-def test_dense_overlap_pairs_equal_all_pairs(spark):
+@pytest.mark.parametrize("t", [0.2, 0.5, 0.8])
+def test_dense_overlap_pairs_equal_all_pairs(spark, t):
     rows = crowded(5, 120)
     d = spark.createDataFrame(rows, "frame int, det_id long, score double, x0 double, y0 double, x1 double, y1 double").withColumn("cls", F.lit(1))
     d1, g1 = d.withColumn("_d", F.col("det_id")), d.filter("det_id % 2 = 0 and x1 > x0").withColumn("_g", F.col("det_id"))
     d1 = d1.filter("x1 > x0")
-    got = {(r._d, r._g) for r in S.overlap_pairs(d1, g1, ["frame", "cls"], 0.5).collect()}
+    got = {(r._d, r._g) for r in S.overlap_pairs(d1, g1, ["frame", "cls"], t).collect()}
     boxes = [(r[0], r[1], r[3], r[4], r[5], r[6]) for r in rows if r[5] > r[3]]
     want = set()
     for f, i, ax0, ay0, ax1, ay1 in boxes:
         for g, j, bx0, by0, bx1, by1 in boxes:
             w, h = min(ax1, bx1) - max(ax0, bx0), min(ay1, by1) - max(ay0, by0)
-            if f == g and j % 2 == 0 and w > 0 and h > 0 and w * h >= 0.5 * ((ax1 - ax0) * (ay1 - ay0) + (bx1 - bx0) * (by1 - by0) - w * h):
+            if f == g and j % 2 == 0 and w > 0 and h > 0 and w * h >= t * ((ax1 - ax0) * (ay1 - ay0) + (bx1 - bx0) * (by1 - by0) - w * h):
                 want.add((i, j))
     assert got == want and len(got) > 100
 
 
+def test_overlap_of_exactly_the_limit_counts(spark):
+    rows = [(1, i, x, 0.0, x + w, h) for i, (x, w, h) in enumerate([(0.0, 64.0, 64.0), (0.0, 32.0, 64.0), (32.0, 32.0, 64.0), (0.0, 64.0, 32.0), (-0.5, 64.5, 64.5), (7.0, 0.0, 9.0)])]
+    d = spark.createDataFrame(rows, "frame int, id int, x0 double, y0 double, x1 double, y1 double")
+    got = {(r._d, r._g) for r in S.overlap_pairs(d.withColumn("_d", F.col("id")), d.withColumn("_g", F.col("id")), ["frame"], 0.5).collect()}
+    assert {(0, 1), (1, 0), (0, 2), (0, 3), (3, 0), (0, 4)} <= got and (1, 2) not in got and (1, 3) not in got and not any(5 in p for p in got)
+
+
 def test_average_precision_by_hand(spark):
     g = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 10.0, 10.0), (1, 0, 2, 20.0, 0.0, 30.0, 10.0)], "frame int, cls int, gt_id long, x0 double, y0 double, x1 double, y1 double")
     d = spark.createDataFrame([(1, 0, 1, 90, 0.0, 0.0, 10.0, 10.0), (1, 0, 2, 80, 1.0, 0.0, 11.0, 10.0), (1, 0, 3, 70, 20.0, 0.0, 30.0, 10.0)],
