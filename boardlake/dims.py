@@ -135,6 +135,10 @@ RIVER_READ = {0: (False, 1), 1: (True, -1), 2: (True, -1), 3: (False, 1)}
 RIVER_FOOT = {0: (70.2, 92.1), 1: (93.4, 70.5), 2: (70.4, 92.2), 3: (93.0, 71.0)}
 FACE_INSET = 3.0
 # Meld strip per screen position (corner, along, cross, tile width, tile depth).
+# fixed values: how far a zone reaches, in columns of a river, and in widths and depths of a strip's tiles
+RIVER_REACH = 10
+STRIP_REACH = 16
+STRIP_DEPTH = 2.2
 STRIP = {
     "4p": {
         0: dict(corner=(2388.2, 1889.5), along=(-1.0, 0.0), cross=(0.0, -1.0), w=70.2, d=92.1),
