@@ -322,19 +322,36 @@ def seeded_order(rows: DataFrame, key: list[str], seed: int, at_most: int | None
 def diverse_frames(frames: DataFrame, signature: list[str], per_signature: int, total: int) -> DataFrame:
     """K5: frames for review: varied board shapes first, few per shape, from different games.
 
-    Input: ``game, seq, interest`` and the signature columns.  Each (shape, game) offers its
-    median frame; a shape takes games that offer the fewest shapes, then the whole list is cut
-    at ``total`` by interest.  How often a game was picked before is not tracked one by one, its
-    number of offers stands for it.
+    Input: ``game, seq, interest`` and the signature columns. Shapes are visited by interest (then by
+    signature); each takes the median frame of the ``per_signature`` games picked least so far
+    (then by name), until ``total`` frames are picked. A frame has one shape, so none is picked twice.
+
+    Every shape picks a frame at least, so no more than ``total`` shapes are visited; at most ``total``
+    games are ever picked, so the games a shape takes are among its first ``total + per_signature``
+    by name. These few rows are what the greedy walk needs, however many frames there are.
     """
     by = [*signature, "game"]
-    ranked = numbered(frames, by, ["seq"], seq_chunk(), "_no", "_n")
-    mid = ranked.filter(F.col("_no") - 1 == F.floor(F.col("_n") / 2)).drop("_no", "_n")
-    offers = mid.groupBy("game").agg(F.count(F.lit(1)).alias("_offers"))
-    mid = mid.join(offers, "game")
-    w = Window.partitionBy(*signature).orderBy("_offers", "game")
-    few = mid.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_signature)
-    return few.orderBy(F.desc("interest"), *signature, "_r").limit(total).drop("_offers").withColumnRenamed("_r", "rank")
+    shapes = frames.groupBy(*signature).agg(F.max("interest").alias("_interest")).orderBy(F.desc("_interest"), *signature).limit(total)
+    same = reduce(lambda a, b: a & b, [F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")) for c in signature])
+    ranked = numbered(frames.select(*by, "seq", "interest"), by, ["seq"], seq_chunk(), "_no", "_n")
+    mid = ranked.filter(F.col("_no") - 1 == F.floor(F.col("_n") / 2))
+    mid = mid.alias("f").join(shapes.alias("s"), same, "inner").select("f.*", "s._interest")
+    near = F.row_number().over(Window.partitionBy(*signature).orderBy("game"))
+    mid = mid.withColumn("_r", near).filter(F.col("_r") <= total + per_signature)
+    offer = F.struct("game", "seq", *signature, "interest")
+    shape = mid.groupBy("_interest", *signature).agg(F.collect_list(offer).alias("_offers"))
+    walk = shape.agg(F.array_sort(F.collect_list(F.struct((-F.col("_interest")).alias("_first"), *signature, "_offers"))).alias("_shapes"))
+
+    def take(picks: Column, visited: Column) -> Column:
+        used = lambda game: F.size(F.filter(picks, lambda p: p["game"] == game))
+        order = F.array_sort(F.transform(visited["_offers"], lambda o: F.struct(used(o["game"]).alias("used"), o["game"].alias("game"), o.alias("o"))))
+        best = F.transform(F.slice(order, 1, per_signature), lambda o, i: F.struct(o["o"].alias("o"), (i + 1).alias("rank"), o["game"].alias("game")))
+        return F.slice(F.concat(picks, best), 1, total)
+
+    none = F.expr("CAST(NULL AS INT)")
+    empty = F.slice(F.array(F.struct(F.element_at(F.element_at("_shapes", 1)["_offers"], 1).alias("o"), none.alias("rank"),
+                                     F.element_at(F.element_at("_shapes", 1)["_offers"], 1)["game"].alias("game"))), 1, 0)
+    return walk.filter(F.size("_shapes") > 0).select(F.explode(F.aggregate("_shapes", empty, take)).alias("_p")).select("_p.o.*", "_p.rank")
 
 
 def resume_work(found: DataFrame, problems: DataFrame, old: DataFrame) -> DataFrame:

@@ -139,13 +139,13 @@ def j16(t):
 
 
 @query("j17_later_wins", """
-WITH u AS (SELECT game AS name, 0 AS ord, 'v1/' || game AS dir FROM docs WHERE key % 2 = 0 UNION ALL SELECT game, 1, 'v2/' || game FROM docs WHERE key % 40 = 1 UNION ALL SELECT game, 2, 'v3/' || game FROM docs WHERE key % 50 = 3)
+WITH u AS (SELECT game AS name, 0 AS ord, 'v1/' || game AS dir FROM docs UNION ALL SELECT game, 1, 'v2/' || game FROM docs WHERE key % 40 = 1 UNION ALL SELECT game, 2, 'v3/' || game FROM docs WHERE key % 50 = 3)
 SELECT name, max(ord) AS ord, arg_max(dir, ord) AS dir FROM u GROUP BY name
 """)
 def j17(t):
     g = lambda c, v: t.docs.filter(c).select(F.col("game").alias("name"), F.concat(F.lit(v), "game").alias("dir")).distinct()
     k = F.col("key")
-    return K.later_wins(K.union_sources([g(k % 2 == 0, "v1/"), g(k % 40 == 1, "v2/"), g(k % 50 == 3, "v3/")]), "name")
+    return K.later_wins(K.union_sources([g(F.lit(True), "v1/"), g(k % 40 == 1, "v2/"), g(k % 50 == 3, "v3/")]), "name")
 
 
 @query("u1_union_sources", """
@@ -234,11 +234,14 @@ def k4(t):
 
 
 @query("k5_diverse_frames", """
-WITH f AS (SELECT game, seq, k % 6 AS melds, k % 2 AS hold, (k % 6) * 3 + k % 2 AS interest FROM ev),
-r AS (SELECT *, row_number() OVER (PARTITION BY melds, hold, game ORDER BY seq) - 1 AS no, count(*) OVER (PARTITION BY melds, hold, game) AS n FROM f),
-m AS (SELECT *, count(*) OVER (PARTITION BY game) AS offers FROM r WHERE no = n // 2),
-q AS (SELECT *, row_number() OVER (PARTITION BY melds, hold ORDER BY offers, game) AS rank FROM m)
-SELECT game, seq, melds, hold, interest, CAST(rank AS INTEGER) AS rank FROM q WHERE rank <= 4 ORDER BY interest DESC, melds, hold, rank LIMIT 20
+WITH RECURSIVE f AS (SELECT game, seq, k % 6 AS melds, k % 2 AS hold, (k % 6) * 3 + k % 2 AS interest FROM ev),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY melds, hold, game ORDER BY seq) - 1 AS no, count(*) OVER (PARTITION BY melds, hold, game) AS n FROM f) WHERE no = n // 2),
+s AS (SELECT row_number() OVER (ORDER BY max(interest) DESC, melds, hold) AS visit, list({'game': game, 'seq': seq, 'melds': melds, 'hold': hold, 'interest': interest}) AS offers FROM m GROUP BY melds, hold),
+w(visit, picks) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(game BIGINT, seq BIGINT, melds BIGINT, hold BIGINT, interest BIGINT, "rank" BIGINT)[])
+  UNION ALL SELECT s.visit, list_concat(picks, (SELECT list({'game': game, 'seq': seq, 'melds': melds, 'hold': hold, 'interest': interest, 'rank': r} ORDER BY r) FROM
+      (SELECT *, row_number() OVER (ORDER BY used, game) AS r FROM (SELECT o.*, len(list_filter(w.picks, lambda p: p.game = o.game)) AS used FROM (SELECT unnest(s.offers) AS o))) WHERE r <= 4))[1:20]
+  FROM w JOIN s ON s.visit = w.visit + 1 WHERE len(w.picks) < 20)
+SELECT p.game, p.seq, p.melds, p.hold, p.interest, CAST(p."rank" AS INTEGER) AS rank FROM (SELECT unnest(arg_max(picks, visit)) AS p FROM w)
 """)
 def k5(t):
     k = F.col("k")

@@ -2,6 +2,8 @@
 
 import json
 import os
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +189,30 @@ def test_live_offers_drop_replays(spark):
 def test_late_games_are_reported(spark):
     d = spark.createDataFrame([("a", 0, 0), ("a", 1, 2), ("a", 2, 1), ("b", 0, 0), ("b", 1, 1)], "game string, arrival long, seq long")
     assert [tuple(r) for r in R.monotonic(d).collect()] == [("a", 1)]
+
+
+def _picked_in_turn(frames, per_signature, total):
+    """The rule as a loop: (game, seq) in the order of picking."""
+    shapes, used, picks = {}, Counter(), []
+    for game, seq, shape, interest in frames:
+        shapes.setdefault((-interest, shape), {}).setdefault(game, []).append(seq)
+    for (_, _), games in sorted(shapes.items()):
+        for game in sorted(games, key=lambda g: (used[g], g))[:per_signature]:
+            seqs = sorted(games[game])
+            picks.append((game, seqs[len(seqs) // 2]))
+        picks = picks[:total]
+        used = Counter(g for g, _ in picks)
+    return picks
+
+
+@pytest.mark.parametrize(("per_signature", "total"), [(1, 5), (3, 17), (4, 400)])
+def test_diverse_frames_count_every_pick(spark, per_signature, total):
+    rng = random.Random(total)
+    frames = []
+    for seq in range(900):
+        shape = min(int(rng.expovariate(0.2)), 30)
+        frames.append((rng.choice("abcdefghij"[:3 + seq % 8]), seq, shape, shape % 7))
+    d = spark.createDataFrame(frames, "game string, seq long, shape long, interest long")
+    got = [(r.game, r.seq) for r in K.diverse_frames(d, ["shape"], per_signature, total).collect()]
+    assert got == _picked_in_turn(frames, per_signature, total)
+    assert K.diverse_frames(d.limit(0), ["shape"], per_signature, total).count() == 0
