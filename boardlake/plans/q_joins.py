@@ -127,36 +127,6 @@ def u3(t):
     return S.bag_counts(*_bags(t), ["zone", "pos", "frame"]).groupBy("zone", "name").agg(F.sum("missed").alias("missed"), F.sum("extra").alias("extra"))
 
 
-CTE["strips"] = f"""
-SELECT game, rec, seq, type, k % 3 + 1 AS rel, pai FROM ev WHERE type IN ('chi', 'pon', 'daiminkan', 'ankan') AND pai NOT LIKE '5%' AND (type <> 'chi' OR pai SIMILAR TO '[1-7][mps]')
-  AND pai SIMILAR TO '[1-9][mps]|[ESWNPFC]'
-"""
-
-
-@query("j19_meld_parse", """
-WITH m AS (SELECT *, CASE WHEN type = 'ankan' THEN '' ELSE pai END AS called,
-  CASE type WHEN 'chi' THEN array_to_string([pai, CAST(CAST(left(pai, 1) AS INTEGER) + 1 AS VARCHAR) || right(pai, 1), CAST(CAST(left(pai, 1) AS INTEGER) + 2 AS VARCHAR) || right(pai, 1)], ' ')
-    WHEN 'pon' THEN array_to_string([pai, pai, pai], ' ') ELSE array_to_string([pai, pai, pai, pai], ' ') END AS tiles FROM strips)
-SELECT game, rec, CAST(row_number() OVER (PARTITION BY game, rec ORDER BY seq) - 1 AS INTEGER) AS no, type, tiles, called,
-  CASE type WHEN 'chi' THEN 3 WHEN 'ankan' THEN 0 ELSE rel END AS from_rel FROM m
-""")
-def j19(t):
-    k, typ, pai = F.col("k"), F.col("type"), F.col("pai")
-    d = t.ev.filter(typ.isin("chi", "pon", "daiminkan", "ankan") & ~pai.startswith("5") & pai.rlike("^([1-9][mps]|[ESWNPFC])$"))
-    d = d.filter((typ != "chi") | pai.rlike("^[1-7][mps]$"))
-    up = lambda n: F.concat((F.substring(pai, 1, 1).try_cast("int") + n).cast("string"), F.substring(pai, 2, 1))
-    tiles = F.when(typ == "chi", F.array(pai, up(1), up(2))).when(typ == "pon", F.array_repeat(pai, 3)).otherwise(F.array_repeat(pai, 4))
-    # own melds draw their claimed chi tile leftmost, so the lowest tile is the claimed one here
-    cells = L.meld_cells(typ, tiles, F.when(typ == "ankan", "").otherwise(pai), F.lit(""), F.when(typ == "chi", 3).otherwise(k % 3 + 1))
-    melds = d.select("game", "rec", "seq", cells.alias("cells"))
-    # a seat's strip holds few melds: one record's calls
-    strips = melds.groupBy("game", "rec").agg(F.array_sort(F.collect_list(F.struct("seq", "cells"))).alias("s"))
-    strips = strips.select("game", "rec", F.flatten(F.transform("s", lambda x: x["cells"])).alias("cells"))
-    p = A.parse_strips(strips, ["game", "rec"], A.meld_hypotheses(t.spark))
-    return p.select("game", "rec", F.posexplode("melds").alias("no", "m")).select(
-        "game", "rec", "no", "m.type", F.concat_ws(" ", "m.tiles").alias("tiles"), "m.called", F.col("m.rel").alias("from_rel"))
-
-
 CTE["calls"] = """
 SELECT *, CASE WHEN rel = 3 THEN 0 WHEN rel = 2 THEN least(1, len(rest)) ELSE len(rest) END AS lo FROM (
 SELECT game, rec, seq, type, base, red_of, CASE WHEN type = 'chi' THEN 3 ELSE k // 6 % 3 + 1 END AS rel, CASE WHEN type = 'kakan' THEN pai END AS stacked,
@@ -176,7 +146,7 @@ FROM calls) GROUP BY ALL
 """
 
 
-@query("j19_meld_parse_all", """
+@query("j19_meld_parse", """
 WITH RECURSIVE cut AS (SELECT game, rec, i AS lo, i + z AS till, z, c[i + 1:i + z] AS g
   FROM (SELECT game, rec, c, z, unnest(range(0, len(c) - z + 1)) AS i FROM allstrips, (VALUES (3), (4)) v(z))),
 seen AS (SELECT *, list_transform(g, lambda x: rtrim(x.l, 'r')) AS b, list_filter(range(1, z + 1), lambda i: g[i].s) AS lying, list_transform(list_filter(g, lambda x: NOT x.s), lambda x: x.l) AS up FROM cut),
@@ -199,8 +169,8 @@ SELECT game, rec, CAST(no - 1 AS INTEGER) AS no, melds[no].type AS type, melds[n
 FROM (SELECT *, unnest(range(1, len(melds) + 1)) AS no FROM fin WHERE ways = 1)
 UNION ALL SELECT game, rec, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN ways = 0 THEN 'unparsable' ELSE 'ambiguous' END FROM fin WHERE ways <> 1
 """)
-def j19_all(t):
-    """J19 on every call: all five types and all tiles. A chi that has no higher tiles draws only those there are, so its strip is broken."""
+def j19(t):
+    """Every call: all five types and all tiles. A chi that has no higher tiles draws only those there are, so its strip is broken."""
     k, typ, pai = F.col("k"), F.col("type"), F.col("pai")
     base, five, red = F.regexp_replace(pai, "r$", ""), pai.startswith("5"), F.expr("k div 18") % 2 == 0
     reds = F.concat(base, F.lit("r"))
