@@ -1,9 +1,10 @@
 """Mix sources to target weights by weighted fair queueing.
 
 Every source is a queue of its shuffled documents, repeated up to ``max_repeats`` times. A copy's
-virtual finish time is the source's words up to its end divided by the source's target, so all
-queues reach their targets together at time ``budget / sum of targets``. Copies are range-sorted
-by finish time and cut there; a document in service at the cut gives the words served so far.
+virtual finish time is the source's words up to its end divided by the source's target. Copies are
+range-sorted by finish time, their words are added up in that order and cut at the budget; a copy that
+is in service across a slot of virtual time gives each slot its part, so a document in service at the cut gives the
+words served so far.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from .common import running_total, stage, word_count
 MAX_REPEATS = 3
 #: Parts of a source's shuffled order; a window holds one part of one source.
 PARTS = 4096
+#: Slots of virtual time, the range partitions of the sort, until every queue has reached its target.
+SLOTS = 4096
 
 
 def cycle_weights(sources: DataFrame, source: str = "source", cycle: int = 3) -> DataFrame:
@@ -51,13 +54,52 @@ def fill_targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
         (F.col("l") * F.col("weight")).cast("double") / F.col("lw").cast("double")).alias("target"))
 
 
+def _segments(queued: DataFrame, max_repeats: int, slots: int) -> DataFrame:
+    """(source, slot, words, finish): the copies of all queues, cut where a slot of virtual time ends.
+
+    A queue has given ``floor(slot * target / slots)`` words by the end of a slot. Nothing is asked of a queue
+    beyond twice the time in which all reach their targets, since the budget is spent by then.
+    """
+    by = lambda k: F.floor(k.cast("double") * F.col("target") / slots)
+    near = lambda w: F.ceil(w.cast("double") * slots / F.col("target"))
+    copies = queued.filter("size > 0").select("source", "size", "target", F.explode(F.array(*[
+        F.col("start") + F.lit(i) * F.col("source_size") for i in range(max_repeats)])).alias("_from"))
+    copies = copies.withColumn("_till", F.col("_from") + F.col("size")).filter(F.col("_from") < 2 * F.col("target"))
+    last = F.least(F.lit(2 * slots).cast("long"), near(F.col("_till")) + 1)
+    cut = copies.withColumn("slot", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.least(near(F.col("_from") + 1) - 1, last)), last)))
+    cut = cut.withColumn("_end", F.least("_till", by(F.col("slot")))).withColumn("words", F.col("_end") - F.greatest("_from", by(F.col("slot") - 1)))
+    return cut.filter("words > 0").select("source", "slot", "words", (F.col("_end").cast("double") / F.col("target")).alias("finish"))
+
+
+def served(queued: DataFrame, targets: DataFrame, budget: Column | int | None = None, max_repeats: int = MAX_REPEATS, slots: int = SLOTS) -> DataFrame:
+    """(source, served): the words that each queue has given when all, in order of finish time, reach the budget.
+
+    ``queued`` has ``source, size, start, source_size, target``, ``targets`` one row per source. The budget (default: all words) counts
+    whole words, so it is at most the whole words of the targets. Words are summed per slot and source before they are sent on; slots before the
+    budget's are taken whole, and the slot in which it ends is sorted by finish time, then source, null last, and cut.
+    """
+    words = F.sum(F.floor("target"))
+    cap = targets.agg((words if budget is None else F.least(words, F.lit(budget).cast("long"))).alias("_cap"))
+    sums = stage(_segments(queued, max_repeats, slots).groupBy("slot", "source").agg(F.sum("words").alias("words")), "mix-slots")
+    order = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # one row per slot
+    ends = sums.groupBy("slot").agg(F.sum("words").alias("_all")).withColumn("_before", F.coalesce(F.sum("_all").over(order), F.lit(0)))
+    ends = ends.crossJoin(cap).select("slot", "_all", F.greatest(F.lit(0), F.least("_all", F.col("_cap") - F.col("_before"))).alias("_room"))  # cap: one row
+    ends = stage(ends.filter("_room > 0"), "mix-ends")
+    whole = sums.join(ends.filter("_room = _all").select("slot"), "slot").select("source", "words")
+    part = _segments(queued, max_repeats, slots).join(ends.filter("_room < _all"), "slot")
+    part = part.withColumn("_sub", F.floor(F.col("finish") * slots * PARTS)).withColumn("_last", F.col("source").isNull())
+    part = running_total(part, ["slot"], "_sub", ["finish", "_last", "source"], "words", "_at")
+    part = part.select("source", F.greatest(F.lit(0), F.least("words", F.col("_room") - F.col("_at"))).alias("words"))
+    return whole.unionByName(part).groupBy("source").agg(F.sum("words").alias("served"))
+
+
 def schedule(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: DataFrame | None = None,
              budget: Column | int | None = None, max_repeats: int = MAX_REPEATS, seed: str = "mix", keep: tuple[str, ...] = (), count: str | None = None) -> DataFrame:
     """One row per document: key, ``size``, ``source_size``, ``target``, ``start`` (words of its source
     before it), ``copies`` (array of virtual finish time and words taken, in queue order) and ``taken``.
 
     ``weights`` has (source, weight); by default sources weigh 1, 2, 3 in turn. ``budget`` (default:
-    all words) is cut off at virtual time budget / all words. The order inside a source is by
+    all words) cuts the sorted mix, see `served`. The order inside a source is by
     MD5 of seed and key, then key and size, so reruns agree. Null text has 0 words and takes none;
     null sources are one source; repeated rows are queued as many times as they come. Columns named
     in ``keep`` are carried along; all others are dropped, so clashing names do no harm. ``count`` names
@@ -73,11 +115,13 @@ def schedule(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     weights = weights if weights is not None else cycle_weights(sizes)
     w = weights.toDF("_s", "weight")
-    targets = fill_targets(sizes.join(w, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), max_repeats)
+    targets = stage(fill_targets(sizes.join(w, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), max_repeats), "mix-targets")
     queued = running_total(rows, ["source"], "_part", ["_h", "_key", "size"], "size", "start")
-    share = F.lit(1.0) if budget is None else F.least(F.lit(1.0), F.lit(budget).cast("double") / F.sum("source_size").over(Window.partitionBy()))
-    t = targets.select(F.col("source").alias("_s"), "source_size", "target", F.floor(F.col("target") * share).alias("_served"))
-    out = queued.join(F.broadcast(t), F.col("source").eqNullSafe(F.col("_s")))  # one row per source
+    t = targets.select(F.col("source").alias("_s"), "source_size", "target")
+    queued = stage(queued.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "mix-queues")
+    gave = served(queued.select("source", "size", "start", "source_size", "target"), targets, budget, max_repeats)
+    gave = stage(gave.select(F.col("source").alias("_s"), F.col("served").alias("_served")), "mix-served")
+    out = queued.join(gave, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("_served", F.coalesce("_served", F.lit(0)))
     copies = F.array(*[F.struct(
         F.try_divide((F.col("start") + F.col("size") + F.lit(i) * F.col("source_size")).cast("double"), F.col("target")).alias("finish"),
         F.greatest(F.lit(0), F.least(F.col("size"), F.col("_served") - F.col("start") - F.lit(i) * F.col("source_size"))).cast("long").alias("words"))

@@ -410,3 +410,21 @@ def test_blocks_hold_whole_rows(spark):
     assert [p.num_rows for p in parts] == [2, 1, 1]
     data, offsets = bytetext.texts(batch, "text")
     assert offsets.tolist() == [0, 0, 0, 50, 52] and bytes(data[50:]) == b"yy"
+
+
+def test_mix_is_cut_in_order_of_finish(spark):
+    """What queues serve under a budget, against all words of all queues sorted by finish time, one by one."""
+    rows = [(i, "w " * (i * i % 53 + 1), "abc"[i % 3] if i % 10 else None) for i in range(150)] + [(1000, "w " * 900, "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    every = mixing.schedule(docs).collect()
+    target, size = {r.source: r.target for r in every}, {r.source: r.source_size for r in every}
+    words = sorted(((j / target[s], s is None, s or "", s) for s in target for j in range(1, 3 * size[s] + 1)), key=lambda w: w[:3])
+    for budget in (None, 1, 500, 1777, 10 ** 9):
+        cap = min(sum(int(t) for t in target.values()), budget or 10 ** 9)
+        want = Counter(w[3] for w in words[:cap])
+        got = Counter()
+        for r in mixing.schedule(docs, budget=budget).collect():
+            got[r.source] += r.taken
+        assert sum(got.values()) == cap
+        # inside the slot that the budget cuts, a copy's words finish together
+        assert all(abs(got[s] - want[s]) <= (0 if cap >= sum(int(t) for t in target.values()) else 1 + target[s] / mixing.SLOTS) for s in target)
