@@ -63,12 +63,17 @@ FROM scal c JOIN bhand h ON h.game = c.game AND h.seq = c.seq JOIN owe o ON o.ga
 {' '.join(f"LEFT JOIN riv_text r{s} ON r{s}.game = c.game AND r{s}.seq = c.seq AND r{s}.s = {s} LEFT JOIN set_text m{s} ON m{s}.game = c.game AND m{s}.seq = c.seq AND m{s}.s = {s}" for s in range(4))}
 """)
 def g1_board(t):
+    return texts(_states(t))
+
+
+def texts(states):
+    """Boards with their lists written out."""
     mark = lambda c, m: F.when(c, m).otherwise("")
     river = lambda s: F.array_join(F.transform(F.get("rivers", F.lit(s)), lambda x: F.concat(
         x["pai"], mark(x["tsumogiri"], "*"), mark(x["riichi"], "!"), mark(x["sideways"], "-"))), " ")
     melds = lambda s: F.array_join(F.transform(F.get("melds", F.lit(s)), lambda m: F.concat_ws(
         ":", m["type"], F.array_join(m["tiles"], ","), m["called"], m["added"], m["from_seat"].cast("string"))), " ")
-    return _states(t).select("game", "seq", "kyoku_ord", "open", "last_actor", "left_tiles", F.array_join("dora", ",").alias("dora"), F.array_join("hand", " ").alias("hand"), "owed",
+    return states.select("game", "seq", "kyoku_ord", "open", "last_actor", "left_tiles", F.array_join("dora", ",").alias("dora"), F.array_join("hand", " ").alias("hand"), "owed",
                              *[f(s).alias(f"{n}_{s}") for s in range(4) for n, f in (("river", river), ("melds", melds))])
 
 

@@ -8,8 +8,9 @@ from ..operators import capture as C
 from ..session import fresh_path
 from ..sources import records as RC
 from ..streaming import pairs as P
-from ..streaming import replay_stream, timers
-from ..streaming.run import drain_growing
+from ..streaming import board_stream, replay_stream, timers
+from ..streaming.run import STORE, drain_growing
+from . import q_board as QB
 from . import q_sequences as QS
 from .q_sources import log_records
 from .registry import ORACLES, query
@@ -57,6 +58,13 @@ def g1(t):
     return out.select("game", "seq", "kyoku_ord", *per, "sticks", "n_dora", "owed")
 
 
+@query("g1_live_boards", ORACLES["g1_board_states"])
+def g1_boards(t):
+    """The batch states of every record, from a log that lands in slices."""
+    out = drain_growing([(p,) for p in _slices(t.mj)], lambda s: board_stream.boards(s, 0), "boards", apart="late", store=STORE)
+    return QB.texts(out.filter("NOT late"))
+
+
 def _end(d):
     """A row per game that closes it."""
     top = d.agg((F.max("ts_us") + 10 * QS.CAP).alias("ts_us"), (F.max("seq") + 1).alias("seq"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from boardlake import dims
 from boardlake.operators import board as B
 from boardlake.operators.ordered import seq_chunk
+from boardlake.streaming import board_stream
+from boardlake.streaming.run import STORE, drain_growing
 from tests.test_replay import FIELDS, SCHEMA, random_log, row
 
 
@@ -104,3 +106,34 @@ def test_violations_tell_the_record(spark):
     tile = "tile {} seen {}>4 times across visible zones".format
     assert got == sorted([(1, 0, tile("1m", 5)), (1, 1, tile("1m", 5)), (1, 2, tile("1m", 7)), *[(1, s, tile("9p", 9)) for s in range(3)],
                           *[(1, s, "hero hand 12 + 3*0 melds = 12 not in 13/14") for s in (1, 2)]])
+
+
+def test_live_boards_equal_the_batch_and_late_events_lie_apart(spark):
+    rows = random_log(23)
+    slices = [[r for r in rows if lo <= r[1] < lo + 40] for lo in (0, 40, 80)]
+    again = [r for r in rows if r[0] == 1 and r[1] in (3, 4)]  # a reconnect sends records once more
+    parts = [slices[0], slices[1] + again, slices[2]]
+    out = drain_growing([(spark.createDataFrame(p, SCHEMA),) for p in parts], lambda s: board_stream.boards(s, 0), "boards", apart="late", store=STORE)
+    batch = B.board_states(spark.createDataFrame(rows, SCHEMA), F.lit(0))
+    live = out.filter("NOT late")
+    key = lambda r: (r["game"], r["seq"])
+    want, got = [sorted((r.asDict(recursive=True) for r in d.collect()), key=key) for d in (batch, live)]
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        for c in batch.columns:
+            assert a[c] == b[c], (key(a), c)
+    late = sorted((key(r), r.kyoku_ord) for r in out.filter("late").collect())
+    at = max((r for r in want if r["game"] == 1 and r["seq"] < 80), key=key)
+    assert late == [((1, s), at["kyoku_ord"]) for s in (3, 4)]
+
+
+def test_live_hero_and_odd_events(spark):
+    """A log without the fields of a deal: the seat comes from the log, events without an actor change no seat."""
+    schema = "game long, seq long, ev_idx int, type string, actor int, pai string, id int"
+    rows = [(1, 0, 0, "tsumo", 2, "1m", None), (1, 1, 0, "start_game", None, None, 2), (1, 2, 0, "tsumo", 2, "5mr", None), (1, 2, 1, "tsumo", 2, "?", None),
+            (1, 3, 0, "dahai", None, "9p", None), (1, 4, 0, "dahai", 2, "5mr", None), (1, 5, 0, "kakan", 2, "N", None)]
+    out = drain_growing([(spark.createDataFrame(rows, schema),)], board_stream.boards, "odd-boards", apart="late", store=STORE).orderBy("seq").collect()
+    assert [(r.hero, r.hand, r.drawn, r.n_discards, r.owed) for r in out] == [
+        (-1, [], None, 0, -1), (2, [], None, 0, -1), (2, ["5mr"], "5mr", 0, -1), (2, ["5mr"], "5mr", 1, -1), (2, [], None, 2, -1), (2, [], None, 2, 2)]
+    assert out[-1].melds[2][0].asDict() == {"type": "kakan", "tiles": ["N"], "called": "", "added": "N", "from_seat": 2}
+    assert out[-1].concealed == [13, 13, 14, 13]
