@@ -95,6 +95,8 @@ MAX_DORA = 5
 HAND_X0, HAND_W = 223 / 1920, 95 / 1920
 HAND_Y0, HAND_H = (1002 - 76) / 1080, 152 / 1080
 HAND_GAP = 0.015
+HAND_MIN_H, HAND_SLACK = 0.11, 0.02  # height from which a detection near the hand row is a hand tile
+WIDE_CORNER = (0.35, 0.25)  # shares of a wide frame's width and height that hold its indicators
 FIELD_BOX_PX = {
     "riichi_sticks": (110, 140, 140, 180), "honba": (250, 140, 280, 180),
     "round_wind": (920, 390, 950, 420), "round_number": (950, 390, 970, 420),

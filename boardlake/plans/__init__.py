@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_sources", "q_gates", "q_joins", "q_aggregates", "q_sequences", "q_board",
+MODULES = ["q_sources", "q_gates", "q_joins", "q_observe", "q_aggregates", "q_sequences", "q_board",
            "q_curation", "q_geometry", "q_vectors", "q_streaming"]
 
 
