@@ -63,18 +63,16 @@ def dedup_overlaps(dets: DataFrame, frame: str, det_id: str, limit: float = dims
                    fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """Of boxes that overlap by at least ``limit``, keep the better one, whatever the class.
 
-    Boxes are visited from the best score down (``det_id`` breaks ties) and kept unless they
-    overlap one that is already kept.  Identical boxes collapse before anything is gathered.
-    Frames of usual size are folded in one row each; larger ones are settled in rounds on a
-    grid, so no frame has to fit into one task.
+    Boxes are visited from the best score down (``det_id`` breaks ties, then the other columns) and kept unless they
+    overlap one that is already kept.  Every row is judged by itself, so a ``det_id`` may come twice.
+    Identical boxes collapse before anything is gathered.  Frames of usual size are folded in one row each;
+    larger ones are settled in rounds on a grid, so no frame has to fit into one task.
     """
-    cols = dets.columns
+    cols, box = dets.columns, ["x0", "y0", "x1", "y1"]
     solid = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
-    place = [frame, "x0", "y0", "x1", "y1"]
-    rank = F.struct((-F.col("score")).alias("s"), F.col(det_id).alias("i"))
-    rest = dets.select(frame, det_id, "score", "x0", "y0", "x1", "y1", rank.alias("pr"), solid.alias("_solid"))
-    best = rest.filter("_solid").groupBy(*place).agg(F.min("pr").alias("pr"))
-    flat = rest.filter(~F.col("_solid")).select(frame, det_id)
+    more = [c for c in cols if c not in (frame, det_id, "score", *box)]
+    pr = F.struct((-F.col("score")).alias("s"), F.col(det_id).alias("i"), *box, *more)
+    best = dets.filter(solid).groupBy(frame, *box).agg(F.min(pr).alias("pr"))
     sizes = best.groupBy(frame).agg(F.count(F.lit(1)).alias("_n"))
     big = sizes.filter(F.col("_n") > fold_limit).select(frame)
     if big.isEmpty():
@@ -82,12 +80,12 @@ def dedup_overlaps(dets: DataFrame, frame: str, det_id: str, limit: float = dims
     else:
         kept = _fold(best.join(big, frame, "left_anti"), frame, limit).unionByName(
             _settle(best.join(big, frame, "left_semi"), frame, limit))
-    ids = kept.select(frame, F.col("pr.i").alias(det_id)).unionByName(flat)
-    return dets.join(ids, [frame, det_id], "left_semi").select(*cols)
+    back = {frame: F.col(frame), det_id: F.col("pr.i"), "score": -F.col("pr.s")} | {c: F.col("pr")[c] for c in (*box, *more)}
+    return kept.select(*[back[c].alias(c) for c in cols]).unionByName(dets.filter(~solid).select(*cols))
 
 
 def _fold(best: DataFrame, frame: str, limit: float) -> DataFrame:
-    d = best.groupBy(frame).agg(F.array_sort(F.collect_list(F.struct("pr", "x0", "y0", "x1", "y1"))).alias("_all"))
+    d = best.groupBy(frame).agg(F.array_sort(F.collect_list("pr")).alias("_all"))
     none = F.slice("_all", 1, 0)
 
     def fields(c: Column) -> dict[str, Column]:
@@ -95,7 +93,7 @@ def _fold(best: DataFrame, frame: str, limit: float) -> DataFrame:
 
     kept = F.aggregate("_all", none, lambda acc, b: F.when(
         F.exists(acc, lambda k: iou(fields(k), fields(b)) >= limit), acc).otherwise(F.concat(acc, F.array(b))))
-    return d.select(frame, F.explode(kept).alias("_k")).select(frame, "_k.pr")
+    return d.select(frame, F.explode(kept).alias("pr"))
 
 
 def _settle(best: DataFrame, frame: str, limit: float, prefix: int = FOLD_LIMIT) -> DataFrame:

@@ -49,6 +49,16 @@ def test_dedup_keeps_the_greedy_choice(spark, limit, fold_limit):
     assert got == want
 
 
+@pytest.mark.parametrize("fold_limit", [512, 1])
+def test_dedup_judges_boxes_that_share_an_id(spark, fold_limit):
+    rows = [(1, 7, 0.9, 0.0, 0.0, 10.0, 10.0, "a"), (1, 7, 0.5, 1.0, 0.0, 11.0, 10.0, "b"), (1, 7, 0.4, 50.0, 50.0, 60.0, 60.0, "c"),
+            (1, 8, 0.9, 0.0, 0.0, 10.0, 10.0, "d"), (2, 3, 0.7, 0.0, 0.0, 9.0, 9.0, "f"), (2, 3, 0.7, 0.0, 0.0, 9.0, 9.0, "e")]
+    d = spark.createDataFrame(rows, "frame int, det_id long, score double, x0 double, y0 double, x1 double, y1 double, note string")
+    got = A.dedup_overlaps(d, "frame", "det_id", 0.3, fold_limit)
+    assert got.columns == d.columns
+    assert sorted(tuple(r) for r in got.collect()) == sorted([rows[0], rows[2], rows[5]])
+
+
 CELL = "array<struct<label: string, sideways: boolean, stacked: string>>"
 
 
