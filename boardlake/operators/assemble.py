@@ -208,19 +208,25 @@ def river_checks(rows: DataFrame, keys: list[str]) -> DataFrame:
 def strip_cells(dets: DataFrame, keys: list[str], width) -> DataFrame:
     """Merge strip detections that share a slot into one cell.
 
-    Input: ``keys``, ``a`` (along), ``c`` (across), ``label, sideways`` and a unique ``det_id``.
+    Input: ``keys``, ``a`` (along), ``c`` (across), ``label, sideways`` and ``det_id``.
     A detection closer than 0.4 tile widths to the cell's first one joins it; the higher of the
-    two is stacked on the lower, and the last to join decides.
+    two is stacked on the lower, and the last to join decides.  Rows of a cell with the first one's
+    ``det_id`` are that detection again: its largest values hold.  Which cell a place falls into
+    depends on places alone, so only distinct places are walked.
     """
     near = 0.4 * width
-    d = greedy_islands(dets, keys, "a", "det_id", near, near, F.floor(F.col("a") / 16))
-    me = F.struct("a", "det_id", "c", "label", "sideways")
-    cells = d.groupBy(*keys, "head_no").agg(
-        F.min(F.when(F.col("is_head"), me)).alias("h"), F.max(F.when(~F.col("is_head"), me)).alias("j"))
-    up = F.col("j.c") > F.col("h.c")
+    places = dets.groupBy(*keys, "a").agg(F.min("det_id").alias("_first")).withColumn("_at", F.col("a"))
+    cut = greedy_islands(places, keys, "a", "_at", near, near, F.floor(F.col("a") / 16))
+    heads = F.max(F.when(F.col("is_head"), F.col("_first"))).over(Window.partitionBy(*keys, "head_no"))
+    cut = cut.select(*keys, "a", "head_no", heads.alias("_head"))
+    again = F.col("det_id") == F.col("_head")
+    cells = dets.join(cut, [*keys, "a"]).groupBy(*keys, "head_no").agg(
+        *[F.max(F.when(again, F.col(c))).alias(f"h_{c}") for c in ("a", "c")], F.max(F.when(again, F.struct("label", "sideways"))).alias("h"),
+        F.max(F.when(~again, F.struct("a", "det_id", "c", "label", "sideways"))).alias("j"))
+    up = F.col("j.c") > F.col("h_c")
     alone = F.col("j").isNull()
     return cells.select(
-        *keys, (F.col("head_no") - 1).alias("idx"), F.col("h.a").alias("a"),
+        *keys, (F.col("head_no") - 1).alias("idx"), F.col("h_a").alias("a"),
         F.when(alone | up, F.col("h.label")).otherwise(F.col("j.label")).alias("label"),
         F.when(alone, F.col("h.sideways")).otherwise(True).alias("sideways"),
         F.when(alone, F.lit(None)).when(up, F.col("j.label")).otherwise(F.col("h.label")).alias("stacked"))

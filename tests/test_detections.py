@@ -59,6 +59,14 @@ def test_dedup_judges_boxes_that_share_an_id(spark, fold_limit):
     assert sorted(tuple(r) for r in got.collect()) == sorted([rows[0], rows[2], rows[5]])
 
 
+def test_strip_cells_with_an_id_that_comes_twice(spark):
+    rows = [(1, 5, 0.0, 1.0, "1m", False), (1, 5, 10.0, 2.0, "2m", True), (1, 6, 12.0, 1.0, "3m", False),  # one cell: 5 again, 6 joins
+            (2, 4, 0.0, 1.0, "1m", False), (2, 9, 20.0, 0.0, "2m", False), (2, 4, 40.0, 1.0, "3m", True), (2, 9, 60.0, 0.0, "4m", False)]  # a long run
+    d = spark.createDataFrame(rows, "frame int, det_id long, a double, c double, label string, sideways boolean")
+    got = [tuple(r) for r in A.strip_cells(d, ["frame"], 70.0).orderBy("frame", "idx").collect()]
+    assert got == [(1, 0, 10.0, "3m", True, "2m"), (2, 0, 0.0, "2m", True, "1m"), (2, 1, 40.0, "4m", True, "3m")]
+
+
 CELL = "array<struct<label: string, sideways: boolean, stacked: string>>"
 
 
