@@ -45,9 +45,15 @@ def tally(matches: DataFrame, zone: str, pos: str) -> DataFrame:
 
 
 def histogram34(tiles: DataFrame, keys: list[str], tile: str) -> DataFrame:
-    """Counts per plain tile with zeros filled in."""
-    d = tiles.withColumn("_b", base_tile(F.col(tile)))
-    return d.groupBy(*keys).pivot("_b", dims.TILES[:34]).agg(F.count(F.lit(1))).na.fill(0)
+    """Counts per plain tile with zeros filled in.
+
+    Tiles are counted first, so a key's list holds each of its tiles once; the columns are read from it
+    after the last shuffle, and no task keeps all columns of all its keys.
+    """
+    names = dims.TILES[:34]
+    d = tiles.groupBy(*keys, F.array_position(F.array(*[F.lit(t) for t in names]), base_tile(F.col(tile))).cast("int").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    d = d.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("_b") > 0, F.struct("_b", "_n")))).alias("_m"))
+    return d.select(*keys, *[F.coalesce(F.try_element_at("_m", F.lit(i + 1)), F.lit(0).cast("long")).alias(t) for i, t in enumerate(names)])
 
 
 # --- fields and zones -------------------------------------------------------------------

@@ -67,6 +67,15 @@ def test_strip_cells_with_an_id_that_comes_twice(spark):
     assert got == [(1, 0, 10.0, "3m", True, "2m"), (2, 0, 0.0, "2m", True, "1m"), (2, 1, 40.0, "4m", True, "3m")]
 
 
+def test_histogram_keeps_no_columns_of_all_tiles_while_it_counts(spark):
+    d = spark.createDataFrame([(1, "5mr"), (1, "5m"), (1, "C"), (2, "back")], "frame int, tile string")
+    h = S.histogram34(d, ["frame"], "tile")
+    assert h.columns == ["frame", *dims.TILES[:34]]
+    got = {r.frame: {c: r[c] for c in h.columns[1:] if r[c] != 0} for r in h.collect()}
+    assert got == {1: {"5m": 2, "C": 1}, 2: {}}
+    assert "pivotfirst" not in h._jdf.queryExecution().toString()
+
+
 CELL = "array<struct<label: string, sideways: boolean, stacked: string>>"
 
 
