@@ -29,11 +29,23 @@ def bag_counts(pred: DataFrame, gt: DataFrame, keys: list[str], name: str = "nam
 
 
 def bag_match(pred: DataFrame, gt: DataFrame, keys: list[str]) -> DataFrame:
-    """Matches per key, strict and with red fives counted as plain ones."""
-    d = bag_counts(pred, gt, keys).withColumn("_b", base_tile(F.col("name")))
-    d = d.groupBy(*keys, "_b").agg(*[F.sum(c).alias(c) for c in ("n_pred", "n_gt", "correct")])
-    d = d.withColumn("_l", F.least("n_pred", "n_gt"))
-    return d.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n_pred", "n_gt", "correct")], F.sum("_l").alias("correct_lenient"))
+    """Matches per key, strict and with red fives counted as plain ones.
+
+    A key's names, each once with its counts, are one short list, so what a task keeps of it does not
+    wait in two more aggregations.
+    """
+    d = bag_counts(pred, gt, keys).select(*keys, F.struct(base_tile(F.col("name")).alias("b"), F.col("n_pred").alias("p"), F.col("n_gt").alias("g")).alias("_x"))
+    d = d.groupBy(*keys).agg(F.collect_list("_x").alias("_x"))
+    total = lambda xs, f: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + f(x))
+    less = lambda x: F.least(x["p"], x["g"])
+    bases = F.array_distinct(F.transform("_x", lambda x: x["b"]))
+
+    def lenient(b: Column) -> Column:
+        same = F.filter("_x", lambda x: x["b"].eqNullSafe(b))
+        return F.least(total(same, lambda x: x["p"]), total(same, lambda x: x["g"]))
+
+    return d.select(*keys, total(F.col("_x"), lambda x: x["p"]).alias("n_pred"), total(F.col("_x"), lambda x: x["g"]).alias("n_gt"),
+                    total(F.col("_x"), less).alias("correct"), F.aggregate(bases, F.lit(0).cast("long"), lambda s, b: s + lenient(b)).alias("correct_lenient"))
 
 
 def tally(matches: DataFrame, zone: str, pos: str) -> DataFrame:

@@ -76,6 +76,14 @@ def test_histogram_keeps_no_columns_of_all_tiles_while_it_counts(spark):
     assert "pivotfirst" not in h._jdf.queryExecution().toString()
 
 
+def test_bag_match_counts_names_once_and_gathers_them_once(spark):
+    p = spark.createDataFrame([(1, "5m"), (1, "5m"), (1, "E"), (2, None)], "frame int, name string")
+    g = spark.createDataFrame([(1, "5mr"), (1, "5m"), (1, "N"), (3, "1p")], "frame int, name string")
+    m = S.bag_match(p, g, ["frame"])
+    assert sorted(tuple(r) for r in m.collect()) == [(1, 3, 3, 1, 2), (2, 1, 0, 0, 0), (3, 0, 1, 0, 0)]
+    assert m._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 4  # two of them, each in two steps
+
+
 CELL = "array<struct<label: string, sideways: boolean, stacked: string>>"
 
 
