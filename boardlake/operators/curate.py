@@ -12,6 +12,7 @@ from .. import dims
 from ..functions.num import ratio, seeded_hash
 from ..functions.text import frames_dir, game_name
 from ..functions.tiles import lit_array
+from ..session import stage
 from .ordered import numbered, seq_chunk
 
 # --- frames and listings ----------------------------------------------------------------
@@ -248,12 +249,17 @@ def align_crops(crops: DataFrame, labels: DataFrame, decisions: DataFrame) -> tu
     """Crops and label rows that survive an occlusion purge.
 
     Input: ``crops(game, seq, crop_idx, cls, bad)``, ``labels(game, seq, line_no, cls)`` with
-    0-based line numbers, ``decisions(game, seq, decision)``.  A frame to drop loses everything.
+    0-based line numbers, ``decisions(game, seq, decision)``; crops may carry ``line_no``, their place in
+    the frame by ``crop_idx``, else they are numbered here.  A frame to drop loses everything.
     Otherwise its bad crops go; if crops and rows agree in number and class order the matching
     rows go too, else all its rows go and its good crops stay.
     """
     k = ["game", "seq"]
-    c = numbered(crops, k, ["crop_idx"], seq_chunk("crop_idx", 1024), "_no").withColumn("line_no", F.col("_no") - 1).drop("_no")
+    if "line_no" in crops.columns:
+        c = crops
+    else:
+        c = numbered(crops, k, ["crop_idx"], seq_chunk("crop_idx", 1024), "_no").withColumn("line_no", F.col("_no") - 1).drop("_no")
+        c = stage(c, "numbered-crops")  # read three times
     pair = c.select(*k, "line_no", F.col("cls").alias("_c")).join(labels.select(*k, "line_no", F.col("cls").alias("_l")), k + ["line_no"], "full_outer")
     same = pair.groupBy(*k).agg(F.bool_and(F.coalesce(F.col("_c") == F.col("_l"), F.lit(False))).alias("_aligned"))
     d = decisions.join(same, k, "left")

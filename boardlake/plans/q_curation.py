@@ -16,7 +16,7 @@ from ..operators import curate as K
 from ..operators import gates as GT
 from ..operators import replay as R
 from ..operators import scorers as X
-from ..session import fresh_path
+from ..session import fresh_path, stage
 from .proxies import CTE
 from .q_gates import _label_files
 from .registry import query
@@ -128,10 +128,11 @@ def j16(t):
 
     crops = t.bx.select((F.col("frame") % 5).alias("game"), F.col("frame").alias("seq"), F.col("det_id").alias("crop_idx"), "cls", (F.col("score100") % 6 == 0).alias("bad"))
     ch = seq_chunk("crop_idx", 1 << 22)
-    n = numbered(crops, ["game", "seq"], ["crop_idx"], ch, "no").withColumn("no", F.col("no") - 1)
-    lab = n.filter(~((F.col("seq") % 7 == 0) & (F.col("no") == 0)))
-    lab = lab.select("game", "seq", "no", F.when((F.col("seq") % 3 == 0) & (F.col("no") == 1), (F.col("cls") + 1) % 38).otherwise(F.col("cls")).alias("cls"))
-    lab = numbered(lab, ["game", "seq"], ["no"], seq_chunk("no"), "line_no").withColumn("line_no", F.col("line_no") - 1).drop("no")
+    n = stage(numbered(crops, ["game", "seq"], ["crop_idx"], ch, "no").withColumn("no", F.col("no") - 1), "numbered-crops")
+    crops, short = n.withColumnRenamed("no", "line_no"), F.col("seq") % 7 == 0  # some frames lack their first row
+    lab = n.filter(~(short & (F.col("no") == 0)))
+    lab = lab.select("game", "seq", F.when((F.col("seq") % 3 == 0) & (F.col("no") == 1), (F.col("cls") + 1) % 38).otherwise(F.col("cls")).alias("cls"),
+                     (F.col("no") - short.cast("int")).alias("line_no"))
     dec = crops.groupBy("game", "seq").agg(GT.decide(F.count_if("bad")).alias("decision"))
     c, l = K.align_crops(crops, lab, dec)
     tot = lambda d, w: d.groupBy("game", "seq").agg(F.count(F.lit(1)).alias("n"), F.sum("cls").cast("long").alias("s")).select(F.lit(w).alias("what"), "game", "seq", "n", "s")

@@ -114,6 +114,13 @@ def test_crops_and_rows_align_or_the_frame_goes(spark):
     assert sorted((r.seq, r.cls) for r in l.collect()) == [(1, "1m"), (1, "3m"), (4, "7m")]
 
 
+def test_crops_are_numbered_once(spark):
+    c = spark.createDataFrame([("g", 1, 0, "1m", False)], "game string, seq int, crop_idx int, cls string, bad boolean")
+    l = spark.createDataFrame([("g", 1, 0, "1m")], "game string, seq int, line_no long, cls string")
+    for d in K.align_crops(c, l, spark.createDataFrame([("g", 1, "keep")], "game string, seq int, decision string")):
+        assert d.count() == 1 and "Window" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_broken_games_stop_the_build(spark):
     img = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "game string, stem string")
     lab = spark.createDataFrame([("a", "1", "0 1 1 1 1\n"), ("b", "1", "\n0 1 1 1 1 1 1 1 1\n"), ("c", "1", "")], "game string, stem string, text string")
