@@ -223,7 +223,7 @@ def s11(t):
         F.create_map(F.lit("0"), F.array(F.struct(tile.alias("tile"), quad.alias("face_poly"), F.lit(False).alias("riichi"), F.when(ln == 3, False).alias("reliable")))).alias("discard_slots"),
         F.array(F.struct(tile.alias("tile"), px.alias("px_box"), (ln != 7).alias("reliable"))).alias("hand_boxes"), none("array<string>").alias("flags"))
     path = fresh_path(t.spark, "annotations")
-    D.write_annotations(d, path, "json")
+    D.write_annotations(d, path, "json", "gzip")  # names repeat in every row
     back = D.read_annotations(t.spark, path, "json")
     empty = F.create_map().cast(back.schema["meld_boxes"].dataType)
     back = back.withColumns({"meld_boxes": F.coalesce("meld_boxes", empty), "back_boxes": F.coalesce("back_boxes", F.create_map().cast(back.schema["back_boxes"].dataType)),

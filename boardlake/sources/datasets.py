@@ -20,9 +20,13 @@ READER = "file string, name string, text string, pad double"
 MANIFEST = "val variant, formats array<string>, games array<struct<name: string, dir: string, kind: string, capture: string, frames_dir: string>>"
 
 
-def write_annotations(records: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Per-frame annotation records, one folder per game."""
-    records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("game").format(fmt).save(path)
+def write_annotations(records: DataFrame, path: str, fmt: str = "parquet", compression: str | None = None) -> None:
+    """Per-frame annotation records, one folder per game.
+
+    ``compression`` is one of the format's; a text file that is compressed whole (gzip) is read by one task.
+    """
+    w = records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("game").format(fmt)
+    (w.option("compression", compression) if compression else w).save(path)
 
 
 def read_annotations(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -121,6 +121,18 @@ def test_crops_are_numbered_once(spark):
         assert d.count() == 1 and "Window" not in d._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_json_annotations_can_be_compressed(spark, tmp_path):
+    d = spark.createDataFrame([("g", s, ["occluded"] * 9) for s in range(500)], "game string, seq long, flags array<string>")
+    sizes = {}
+    for how in (None, "gzip"):
+        path = str(tmp_path / f"a-{how}")
+        D.write_annotations(d, path, "json", how)
+        back = D.read_annotations(spark, path, "json").select("game", "seq", "flags")
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, d.collect()))
+        sizes[how] = sum(f.stat().st_size for f in (tmp_path / f"a-{how}" / "game=g").glob("part-*"))
+    assert 5 * sizes["gzip"] < sizes[None]
+
+
 def test_broken_games_stop_the_build(spark):
     img = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "game string, stem string")
     lab = spark.createDataFrame([("a", "1", "0 1 1 1 1\n"), ("b", "1", "\n0 1 1 1 1 1 1 1 1\n"), ("c", "1", "")], "game string, stem string, text string")
