@@ -202,13 +202,13 @@ def overlap_pairs(dets: DataFrame, gts: DataFrame, keys: list[str], t: float) ->
 
     Such boxes share at least ``t`` of either side, so their sides differ by a factor of ``1 / t``
     at most and their centres by a fixed part of the first box's sides. The first box looks into the
-    cells around its centre on the grid of its own size class, about three; the second lies by its
+    cells around its centre on the grid of its own size class, about two; the second lies by its
     centre in one cell of each grid a partner may look into. Groups of any size never pair all
     with all. Boxes carry ``x0..y1`` and ``_d`` / ``_g`` payloads; boxes without extent overlap nothing.
     """
     slack = 1 + 1e-6  # overlap by exactly t must not fall to rounding
     reach = (1 - t) * max(1.0, 0.5 / t) * slack  # of a box's side: how far a partner's centre may be
-    side = lambda c: F.pow(F.lit(2.0), F.col(c) + 2) * max(reach, 1e-3)
+    side = lambda c: F.pow(F.lit(2.0), F.col(c) + 3) * max(reach, 1e-3)
 
     def boxes(df: DataFrame, p: str, payload: str) -> DataFrame:
         df = df.filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))

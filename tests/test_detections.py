@@ -84,6 +84,15 @@ def test_bag_match_counts_names_once_and_gathers_them_once(spark):
     assert m._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 4  # two of them, each in two steps
 
 
+def test_matches_are_written_without_their_boxes(spark, monkeypatch):
+    from boardlake.plans import all_queries, q_aggregates
+
+    seen = {}
+    monkeypatch.setattr(q_aggregates, "stage", lambda d, name: seen.setdefault(name, d))
+    all_queries()[0]["a20_average_precision"](spark, "/root/testdata/sf0.001")
+    assert seen["matched"].columns == ["cls", "score", "tp"]
+
+
 CELL = "array<struct<label: string, sideways: boolean, stacked: string>>"
 
 
