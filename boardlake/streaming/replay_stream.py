@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 from typing import Any
 
@@ -9,8 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .. import dims
+from .timers import in_order
 
 EVENT_COLUMNS = ["game", "seq", "ev_idx", "type", "actor", "n_consumed", "kyotaku", "scores"]
+_Event = namedtuple("_Event", EVENT_COLUMNS)
 SNAPSHOT = ("game long, seq long, kyoku_ord long, concealed array<int>, scores array<int>, reach array<boolean>, sticks int, "
             "n_dora int, owed int, late boolean")
 STATE = "last_seq long, last_idx int, kyoku_ord long, concealed array<int>, scores array<int>, reach array<boolean>, sticks int, n_dora int, owed int"
@@ -51,9 +54,8 @@ def _advance(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFram
     names = ["last_seq", "last_idx", "kyoku_ord", "concealed", "scores", "reach", "sticks", "n_dora", "owed"]
     held = dict(zip(names, state.get if state.exists else FRESH))
     held = {k: list(v) if k in ("concealed", "scores", "reach") else v for k, v in held.items()}
-    rows = pd.concat(list(frames)).sort_values(["seq", "ev_idx"])
     out = []
-    for e in rows.itertuples(index=False):
+    for e in map(_Event._make, in_order(frames, EVENT_COLUMNS, lambda r: (r[1], r[2]))):
         late = (e.seq, e.ev_idx) <= (held["last_seq"], held["last_idx"])
         if not late:
             _step(held, e)
@@ -61,7 +63,7 @@ def _advance(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFram
         out.append((key[0], int(e.seq), held["kyoku_ord"], list(held["concealed"]), list(held["scores"]), list(held["reach"]),
                     held["sticks"], held["n_dora"], held["owed"], late))
     state.update(tuple(held[n] for n in names))
-    yield pd.DataFrame(out, columns=["game", "seq", "kyoku_ord", "concealed", "scores", "reach", "sticks", "n_dora", "owed", "late"])
+    yield pd.DataFrame(out, columns=["game", "seq", "kyoku_ord", "concealed", "scores", "reach", "sticks", "n_dora", "owed", "late"], dtype=object)
 
 
 def replay(events: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ A game's rows of one micro-batch are handled in one call; bound a batch at its s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,8 +31,12 @@ def _stateful(rows: DataFrame, columns: list[str], run, shape: str, state: str,
 
 
 def _frame(rows: list[tuple], shape: str) -> pd.DataFrame:
-    names = [c.split()[0] for c in shape.split(", ")]
-    return pd.DataFrame({n: pd.array([r[i] for r in rows], dtype="boolean" if f" {n} boolean" in f" {shape}" else "Int64") for i, n in enumerate(names)})
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in shape.split(", ")], dtype=object)
+
+
+def in_order(frames: Iterator[pd.DataFrame], columns: list[str], by: Callable[[tuple], Any]) -> list[tuple]:
+    """A game's rows of a micro-batch as plain tuples; they are few, and frames cost more than their rows."""
+    return sorted((r for f in frames for r in zip(*[f[c].tolist() for c in columns])), key=by)
 
 
 def debounce(events: DataFrame, quiet_us: int, cap_us: int, idle_ms: int | None = None) -> DataFrame:
@@ -53,8 +58,7 @@ def debounce(events: DataFrame, quiet_us: int, cap_us: int, idle_ms: int | None
                 emit()
             state.update((False, first, start, last))
         else:
-            rows = pd.concat(list(frames)).sort_values(["ts_us", "seq"])
-            for seq, ts, closing in zip(rows["seq"].tolist(), rows["ts_us"].tolist(), rows["closing"].tolist()):
+            for seq, ts, closing in in_order(frames, ["seq", "ts_us", "closing"], lambda r: (r[1], r[0])):
                 if ts < last:
                     out.append((key[0], seq, ts, None, None, True))
                     continue
@@ -68,7 +72,8 @@ def debounce(events: DataFrame, quiet_us: int, cap_us: int, idle_ms: int | None
             state.update((open_, first, start, last))
             if idle_ms is not None and open_:
                 state.setTimeoutDuration(idle_ms)
-        yield _frame(out, CAPTURE)
+        if out:
+            yield _frame(out, CAPTURE)
 
     return _stateful(events, ["game", "seq", "ts_us"], run, CAPTURE, PENDING, idle_ms)
 
@@ -94,8 +99,7 @@ def extra_shots(armed: DataFrame, offsets_ms: list[int], idle_ms: int | None = N
             fire(None)
             state.update((seq, at, []))
         else:
-            rows = pd.concat(list(frames)).sort_values("seq")
-            for n, ts, window, closing in zip(*[rows[c].tolist() for c in ("seq", "ts_us", "window", "closing")]):
+            for n, ts, window, closing in in_order(frames, ["seq", "ts_us", "window", "closing"], lambda r: r[0]):
                 if n < seq:
                     out.append((key[0], n, None, None, True))
                     continue
@@ -104,6 +108,7 @@ def extra_shots(armed: DataFrame, offsets_ms: list[int], idle_ms: int | None = N
             state.update((seq, at, list(held)))
             if idle_ms is not None and len(held):
                 state.setTimeoutDuration(idle_ms)
-        yield _frame(out, SHOT)
+        if out:
+            yield _frame(out, SHOT)
 
     return _stateful(armed, ["game", "seq", "ts_us", "window"], run, SHOT, ARMED, idle_ms)

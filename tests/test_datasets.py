@@ -133,6 +133,17 @@ def test_json_annotations_can_be_compressed(spark, tmp_path):
     assert 5 * sizes["gzip"] < sizes[None]
 
 
+def test_a_small_batch_costs_no_frames(monkeypatch):
+    import pandas as pd
+
+    from boardlake.streaming import timers
+
+    parts = [pd.DataFrame({"seq": [4, 2], "ts_us": [7, 7]}), pd.DataFrame({"seq": [3], "ts_us": [5]})]
+    monkeypatch.setattr(pd, "concat", None)
+    got = timers.in_order(iter(parts), ["seq", "ts_us"], lambda r: (r[1], r[0]))
+    assert got == [(3, 5), (2, 7), (4, 7)] and type(got[0][0]) is int
+
+
 def test_broken_games_stop_the_build(spark):
     img = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "game string, stem string")
     lab = spark.createDataFrame([("a", "1", "0 1 1 1 1\n"), ("b", "1", "\n0 1 1 1 1 1 1 1 1\n"), ("c", "1", "")], "game string, stem string, text string")
