@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, namedtuple
 from collections.abc import Iterator
 from typing import Any
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import dims
+from .timers import in_order
 
 #: What the processor reads of an event; columns that a log lacks are read as null.
 EVENT = {"seq": "long", "ev_idx": "int", "type": "string", "actor": "int", "target": "int", "id": "int", "pai": "string", "consumed": "array<string>",
@@ -20,6 +21,7 @@ EVENT = {"seq": "long", "ev_idx": "int", "type": "string", "actor": "int", "targ
 SCALARS = ("last_seq long, last_idx int, hero int, kyoku_ord long, open boolean, r_bakaze string, r_kyoku int, r_honba int, r_oya int, drawn string, "
            "declared array<boolean>, reach array<boolean>, scores array<int>, side array<int>, concealed array<int>, sticks int, owed int, "
            "last_actor int, left_tiles int, n_discards long")
+_Event = namedtuple("_Event", EVENT)
 LAID = "seat int, pai string, tsumogiri boolean, riichi boolean, called boolean"
 MELD = "type string, tiles array<string>, called string, added string, from_seat int"
 TILE = "pai string, tsumogiri boolean, riichi boolean, sideways boolean"
@@ -41,8 +43,10 @@ _OWN = {t for t in dims.TILES if t != "back"}
 
 def _known(value: Any) -> Any:
     """A field as Python value: null for what pandas uses in its place, whole numbers as such (no event has others)."""
-    if value is None or hasattr(value, "__len__"):
+    if value is None or type(value) in (int, str, bool) or hasattr(value, "__len__"):
         return value
+    if type(value) is float:
+        return int(value) if value == value else None
     if pd.isna(value):
         return None
     return bool(value) if pd.api.types.is_bool(value) else int(value)
@@ -186,30 +190,40 @@ class LiveBoard(StatefulProcessor):
         self.sets = handle.getListState("sets", f"seat int, {MELD}")
         self.dora = handle.getListState("dora", "tile string")
 
-    def _load(self) -> Board:
+    def _load(self) -> tuple[Board, dict, list[list[tuple]]]:
+        """The board, and the tiles and rows that its states hold, so that only what changes is written."""
         if not self.scalars.exists():
-            return Board.new(self.hero)
+            return Board.new(self.hero), {}, [[], [], []]
         held = {n: list(v) if isinstance(v, (list, tuple)) or hasattr(v, "tolist") else v for n, v in zip(_NAMES, self.scalars.get())}
         sets = [[list(v) if i == 2 else v for i, v in enumerate(m)] for m in self.sets.get()]
-        return Board(held, Counter({k[0]: v[0] for k, v in self.hand.iterator()}), [list(d) for d in self.laid.get()], sets, [d[0] for d in self.dora.get()])
+        b = Board(held, Counter({k[0]: v[0] for k, v in self.hand.iterator()}), [list(d) for d in self.laid.get()], sets, [d[0] for d in self.dora.get()])
+        return b, dict(b.hand), self._rows(b)
 
-    def _save(self, b: Board) -> None:
+    @staticmethod
+    def _rows(b: Board) -> list[list[tuple]]:
+        return [[tuple(d) for d in b.laid], [tuple(list(v) if i == 2 else v for i, v in enumerate(m)) for m in b.sets], [(d,) for d in b.dora]]
+
+    def _save(self, b: Board, hand: dict, rows: list[list[tuple]]) -> None:
         self.scalars.update(tuple(b.s[n] for n in _NAMES))
-        self.hand.clear()
-        for tile, n in b.hand.items():
-            if n > 0:
+        for tile in hand.keys() | b.hand.keys():
+            n = b.hand.get(tile, 0)
+            if n > 0 and n != hand.get(tile):
                 self.hand.updateValue((tile,), (n,))
-        for state, rows in ((self.laid, b.laid), (self.sets, b.sets), (self.dora, [[d] for d in b.dora])):
-            state.clear()
-            if rows:
-                state.put([tuple(r) for r in rows])
+            elif n <= 0 and tile in hand:
+                self.hand.removeKey((tile,))
+        for state, was, now in zip((self.laid, self.sets, self.dora), rows, self._rows(b)):
+            if now[:len(was)] != was:
+                state.clear()
+                was = []
+            if len(now) > len(was):
+                state.appendList(now[len(was):])
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["seq", "ev_idx"])
-        b = self._load()
+        batch = map(_Event._make, in_order(rows, list(EVENT), lambda r: (r[0], r[1])))
+        b, hand, held = self._load()
         last = (b.s["last_seq"], b.s["last_idx"])
         done, late = {}, []
-        for e in batch.itertuples(index=False):
+        for e in batch:
             if (e.seq, e.ev_idx) <= last:
                 late.append(int(e.seq))
                 continue
@@ -221,9 +235,9 @@ class LiveBoard(StatefulProcessor):
         if done:
             done[last[0]] = b.row(key[0], last[0], False)
         b.s["last_seq"], b.s["last_idx"] = last
-        self._save(b)
+        self._save(b, hand, held)
         out = [*done.values(), *[b.row(key[0], seq, True) for seq in sorted(set(late))]]
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _COLUMNS])
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _COLUMNS], dtype=object)
 
     def close(self) -> None:
         pass
