@@ -29,6 +29,8 @@ GRAM = 16
 BUCKET_BYTES = 16 << 20
 #: Bytes of contexts that one suffix array takes in; contexts of one anchor stay together.
 SUFFIX_BYTES = 32 << 10
+#: Neighbours of a suffix array compared at a time.
+COMPARED = 1 << 14
 _KEY = np.uint64((1 << 40) - 1)
 
 
@@ -168,10 +170,9 @@ def lowest(contexts: list[bytes], ids: np.ndarray, length: int = LENGTH) -> list
     of = np.repeat(np.arange(len(contexts)), counts)
     start = np.arange(base[-1]) - base[of] + offsets[of]
     low = ids[of].copy()
-    prefix = bt.prefix_hash(data)
-    string = bt.span_hash(prefix, start, start + length)
-    _, back, times = np.unique(string, return_inverse=True, return_counts=True)
+    _, back, times = np.unique(bt.span_hash(bt.prefix_hash(data), start, start + length), return_inverse=True, return_counts=True)
     shared = times[back] > 1
+    del back, times
     fresh = np.append(True, (of[1:] != of[:-1]) | ~shared[:-1])
     over = np.append((of[1:] != of[:-1]) | ~shared[1:], True)
     pieces: dict[bytes, list] = {}
@@ -193,8 +194,12 @@ def lowest(contexts: list[bytes], ids: np.ndarray, length: int = LENGTH) -> list
     valid = np.arange(len(raw)) - begins[owner] + length <= lengths[owner]
     order = suffix_array(symbols)
     order = order[valid[order]]
-    strings = sliding_window_view(symbols, length)
-    same = (strings[order[1:]] == strings[order[:-1]]).all(1)
+    strings = sliding_window_view(raw, length)
+    left, right = order[:-1], order[1:]
+    same = np.zeros(len(left), bool)
+    for at in range(0, len(left), COMPARED):
+        part = slice(at, at + COMPARED)
+        same[part] = (strings[left[part]] == strings[right[part]]).all(1)
     heads = np.flatnonzero(np.append(True, ~same))
     first = np.array([e[0] for e in pieces.values()], np.int64)[owner[order]]
     least = np.minimum.reduceat(first, heads)
@@ -208,57 +213,78 @@ def lowest(contexts: list[bytes], ids: np.ndarray, length: int = LENGTH) -> list
 
 
 def _resolve(length: int):
-    """From contexts sorted by (anchor, ctx, id): each row without its bytes, and per distinct context
-    one row with null id and the runs of strings that have one smallest document."""
+    """From contexts sorted by (anchor, ctx, id): each row without its bytes, and per distinct context one row with
+    null id and the runs of strings that have one smallest document.
+
+    Left out is what removes nothing: runs whose smallest document is none below the context's largest, and contexts
+    without other runs if they have one row. That row waits until its context is settled; rows of others go on at once.
+    """
+
+    names = ["anchor", "ctx", "id", "start", "first", "last", "low"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple] = []  # (anchor, ctx, bytes, smallest id) of whole anchors, not yet settled
-        open_: list[tuple] = []  # of the anchor that is still read
+        done: list[list] = []  # [anchor, ctx, bytes, smallest id, largest id, start of the one row that waits] of whole anchors, not yet settled
+        open_: list[list] = []  # of the anchor that is still read
         size = 0
 
-        def settle(items: list[tuple]) -> pa.RecordBatch:
+        def placed(anchor, ctx, ids, start) -> pa.RecordBatch:
+            none = pa.nulls(len(ids), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (anchor, ctx, ids, start)], none, none, none], names)
+
+        def settle(items: list[list]) -> Iterator[pa.RecordBatch]:
             runs: list[tuple] = []
+            waited: list[list] = []
             groups: dict[int, int] = {}
             for x in items:
                 groups[x[0]] = groups.get(x[0], 0) + 1
             several = [x for x in items if groups[x[0]] > 1]
             lows = lowest([x[2] for x in several], np.array([x[3] for x in several], np.int64), length) if several else []
             for x in items:
-                if groups[x[0]] == 1:
+                if groups[x[0]] == 1 and x[3] < x[4]:
                     runs.append((x[0], x[1], [0], [len(x[2]) - length], [x[3]]))
             for x, low in zip(several, lows):
+                if low.min() >= x[4]:
+                    continue
                 head = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
                 tail = np.append(head[1:], len(low)) - 1
-                runs.append((x[0], x[1], head.tolist(), tail.tolist(), low[head].tolist()))
+                below = low[head] < x[4]
+                runs.append((x[0], x[1], head[below].tolist(), tail[below].tolist(), low[head[below]].tolist()))
+                if x[5] is not None:
+                    waited.append(x)
             n = len(runs)
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), pa.array([r[1] for r in runs], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                                               *[pa.array([r[i] for r in runs], pa.list_(pa.int64())) for i in (2, 3, 4)]], names)
+            yield placed(*[[x[i] for x in waited] for i in (0, 1, 3, 5)])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), pa.array([r[1] for r in runs], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+                                              *[pa.array([r[i] for r in runs], pa.list_(pa.int64())) for i in (2, 3, 4)]], names)
 
-        names = ["anchor", "ctx", "id", "start", "first", "last", "low"]
         for b in batches:
             if not b.num_rows:
                 continue
-            anchor, ctx, ids = (np.asarray(b.column(c), dtype=np.int64) for c in ("anchor", "ctx", "id"))
-            n = b.num_rows
-            none = pa.nulls(n, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("anchor"), b.column("ctx"), b.column("id"), b.column("start"), none, none, none], names)
+            anchor, ctx, ids, start = (np.asarray(b.column(c), dtype=np.int64) for c in ("anchor", "ctx", "id", "start"))
             new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (ctx[1:] != ctx[:-1])))
+            sizes = np.diff(np.append(new, b.num_rows))
+            now = np.repeat(sizes > 1, sizes)
+            goes_on = bool(open_ and open_[-1][0] == anchor[0] and open_[-1][1] == ctx[0])  # from the batch before
+            if goes_on:
+                now[:sizes[0]] = True
+                x = open_[-1]
+                if x[5] is not None:
+                    yield placed([x[0]], [x[1]], [x[3]], [x[5]])
+                x[4], x[5] = int(ids[sizes[0] - 1]), None
+            yield placed(anchor[now], ctx[now], ids[now], start[now])
             content = b.column("bytes").take(pa.array(new)).to_pylist()
-            for i, c in zip(new.tolist(), content):
-                a, x = int(anchor[i]), int(ctx[i])
-                if open_ and open_[-1][0] == a and open_[-1][1] == x:
-                    continue  # goes on from the batch before
+            for i, n, c in list(zip(new.tolist(), sizes.tolist(), content))[goes_on:]:
+                a = int(anchor[i])
                 if open_ and open_[-1][0] != a:
                     if len(open_) > 1:
                         size += sum(len(y[2]) for y in open_)
                     done += open_
                     open_ = []
                     if size >= SUFFIX_BYTES or len(done) > 5000:
-                        yield settle(done)
+                        yield from settle(done)
                         done, size = [], 0
-                open_.append((a, x, c, int(ids[i])))
+                open_.append([a, int(ctx[i]), c, int(ids[i]), int(ids[i + n - 1]), int(start[i]) if n == 1 else None])
         if done or open_:
-            yield settle(done + open_)
+            yield from settle(done + open_)
 
     return run
 

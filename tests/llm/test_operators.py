@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -281,6 +282,25 @@ def test_suffix_arrays():
         assert suffixes.suffix_array(np.array(t)).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_strings_of_many_long_contexts_are_settled_in_bounded_memory():
+    """Long runs of repeated text around one anchor: memory per byte stays that of the suffix array."""
+    r = np.random.default_rng(1)
+    unit = bytes(r.integers(97, 123, 30).astype(np.uint8))
+    contexts = [unit[i % 30:] + unit * (40 - i % 7) + bytes(r.integers(97, 123, 60).astype(np.uint8)) for i in range(60)] * 2
+    substrings.lowest(contexts[:2], np.arange(2))
+    tracemalloc.start()
+    got = substrings.lowest(contexts, np.arange(len(contexts)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 * sum(map(len, contexts))
+    first: dict[bytes, int] = {}
+    for i, c in enumerate(contexts):
+        strings = [c[j:j + 50] for j in range(len(c) - 49)]
+        for x in strings:
+            first.setdefault(x, i)
+        assert got[i].tolist() == [first[x] for x in strings]
+
+
 def test_repeats_equal_brute_force(spark, docs):
     got = substrings.repeats(spark.read.parquet(f"{SF}/documents.parquet")).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.remove_repeats(docs, 50)
