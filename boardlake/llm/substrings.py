@@ -31,6 +31,8 @@ BUCKET_BYTES = 16 << 20
 SUFFIX_BYTES = 32 << 10
 #: Neighbours of a suffix array compared at a time.
 COMPARED = 1 << 14
+#: Rows of one context that wait in a task; contexts with more rows are joined.
+WAITING = 256
 _KEY = np.uint64((1 << 40) - 1)
 
 
@@ -213,64 +215,84 @@ def lowest(contexts: list[bytes], ids: np.ndarray, length: int = LENGTH) -> list
 
 
 def _resolve(length: int):
-    """From contexts sorted by (anchor, ctx, id): each row without its bytes, and per distinct context one row with
-    null id and the runs of strings that have one smallest document.
+    """From contexts sorted by (anchor, ctx, id): (id, start, stop) of the bytes that go, with null anchor.
 
-    Left out is what removes nothing: runs whose smallest document is none below the context's largest, and contexts
-    without other runs if they have one row. That row waits until its context is settled; rows of others go on at once.
+    Rows of a context wait until it is settled. A context with more than ``WAITING`` rows is written as its rows without
+    bytes and one row with null id and the runs of strings that have one smallest document, to be joined.
+    Strings that no row has from a smaller document are left out.
     """
 
-    names = ["anchor", "ctx", "id", "start", "first", "last", "low"]
+    names = ["anchor", "ctx", "id", "start", "stop", "first", "last", "low"]
+
+    def table(n: int, **cols) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 3
+        return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(n, k) for c, k in zip(names, kinds)], names)
+
+    def settle(items: list[list]) -> Iterator[pa.RecordBatch]:
+        groups: dict[int, int] = {}
+        for x in items:
+            groups[x[0]] = groups.get(x[0], 0) + 1
+        alone = np.array([groups[x[0]] == 1 for x in items])
+        least = np.array([x[3] for x in items], np.int64)
+        # Runs of strings with one smallest document; a context alone with its anchor is one run.
+        item, one = np.flatnonzero(~alone), np.flatnonzero(alone)
+        lows = lowest([items[i][2] for i in item.tolist()], least[item], length) if len(item) else []
+        low = np.concatenate(lows) if lows else np.zeros(0, np.int64)
+        counts = np.array([len(x) for x in lows], np.int64)
+        of = np.repeat(np.arange(len(item)), counts)
+        head = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (of[1:] != of[:-1]))) if len(low) else np.zeros(0, np.int64)
+        tail = np.append(head[1:], len(low))[:len(head)] - 1
+        begin = (np.cumsum(counts) - counts)[of[head]]
+        owner = np.concatenate([item[of[head]], one])
+        first, last = np.concatenate([head - begin, np.zeros(len(one), np.int64)]), np.concatenate([tail - begin, np.array([len(items[i][2]) - length for i in one.tolist()], np.int64)])
+        low = np.concatenate([low[head], least[one]])
+        keep = np.flatnonzero(low < np.array([x[4] for x in items], np.int64)[owner])
+        keep = keep[np.argsort(owner[keep], kind="stable")]
+        owner, first, last, low = owner[keep], first[keep], last[keep], low[keep]
+        cut = np.searchsorted(owner, np.arange(len(items) + 1))
+        # Each row that waits meets the runs of its context.
+        here = [i for i in np.unique(owner).tolist() if items[i][5] is not None]
+        if here:
+            rows = [items[i][5] for i in here]
+            whose = np.repeat(here, [len(r[0]) for r in rows])
+            ids, start = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+            times = np.diff(cut)[whose]
+            row = np.repeat(np.arange(len(ids)), times)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + cut[whose][row]
+            hit = low[at] < ids[row]
+            row, at = row[hit], at[hit]
+            yield table(len(row), id=ids[row], start=start[row] + first[at], stop=start[row] + last[at] + length)
+        spread = [i for i in np.unique(owner).tolist() if items[i][5] is None]
+        if spread:
+            parts = [slice(cut[i], cut[i + 1]) for i in spread]
+            yield table(len(spread), anchor=[items[i][0] for i in spread], ctx=[items[i][1] for i in spread],
+                        **{n: [v[p].tolist() for p in parts] for n, v in (("first", first), ("last", last), ("low", low))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[list] = []  # [anchor, ctx, bytes, smallest id, largest id, start of the one row that waits] of whole anchors, not yet settled
+        done: list[list] = []  # [anchor, ctx, bytes, smallest id, largest id, (ids, starts) that wait] of whole anchors, not yet settled
         open_: list[list] = []  # of the anchor that is still read
         size = 0
-
-        def placed(anchor, ctx, ids, start) -> pa.RecordBatch:
-            none = pa.nulls(len(ids), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (anchor, ctx, ids, start)], none, none, none], names)
-
-        def settle(items: list[list]) -> Iterator[pa.RecordBatch]:
-            runs: list[tuple] = []
-            waited: list[list] = []
-            groups: dict[int, int] = {}
-            for x in items:
-                groups[x[0]] = groups.get(x[0], 0) + 1
-            several = [x for x in items if groups[x[0]] > 1]
-            lows = lowest([x[2] for x in several], np.array([x[3] for x in several], np.int64), length) if several else []
-            for x in items:
-                if groups[x[0]] == 1 and x[3] < x[4]:
-                    runs.append((x[0], x[1], [0], [len(x[2]) - length], [x[3]]))
-            for x, low in zip(several, lows):
-                if low.min() >= x[4]:
-                    continue
-                head = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-                tail = np.append(head[1:], len(low)) - 1
-                below = low[head] < x[4]
-                runs.append((x[0], x[1], head[below].tolist(), tail[below].tolist(), low[head[below]].tolist()))
-                if x[5] is not None:
-                    waited.append(x)
-            n = len(runs)
-            yield placed(*[[x[i] for x in waited] for i in (0, 1, 3, 5)])
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), pa.array([r[1] for r in runs], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                                              *[pa.array([r[i] for r in runs], pa.list_(pa.int64())) for i in (2, 3, 4)]], names)
-
         for b in batches:
             if not b.num_rows:
                 continue
             anchor, ctx, ids, start = (np.asarray(b.column(c), dtype=np.int64) for c in ("anchor", "ctx", "id", "start"))
             new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (ctx[1:] != ctx[:-1])))
             sizes = np.diff(np.append(new, b.num_rows))
-            now = np.repeat(sizes > 1, sizes)
+            now = np.repeat(sizes > WAITING, sizes)
             goes_on = bool(open_ and open_[-1][0] == anchor[0] and open_[-1][1] == ctx[0])  # from the batch before
             if goes_on:
-                now[:sizes[0]] = True
-                x = open_[-1]
-                if x[5] is not None:
-                    yield placed([x[0]], [x[1]], [x[3]], [x[5]])
-                x[4], x[5] = int(ids[sizes[0] - 1]), None
-            yield placed(anchor[now], ctx[now], ids[now], start[now])
+                x, n = open_[-1], int(sizes[0])
+                x[4] = int(ids[n - 1])
+                if x[5] is not None and len(x[5][0]) + n <= WAITING:
+                    x[5] = tuple(np.append(old, more[:n]) for old, more in zip(x[5], (ids, start)))
+                else:
+                    now[:n] = True
+                    if x[5] is not None:
+                        k = len(x[5][0])
+                        yield table(k, anchor=[x[0]] * k, ctx=[x[1]] * k, id=x[5][0], start=x[5][1])
+                        x[5] = None
+            if now.any():
+                yield table(int(now.sum()), anchor=anchor[now], ctx=ctx[now], id=ids[now], start=start[now])
             content = b.column("bytes").take(pa.array(new)).to_pylist()
             for i, n, c in list(zip(new.tolist(), sizes.tolist(), content))[goes_on:]:
                 a = int(anchor[i])
@@ -282,7 +304,7 @@ def _resolve(length: int):
                     if size >= SUFFIX_BYTES or len(done) > 5000:
                         yield from settle(done)
                         done, size = [], 0
-                open_.append([a, int(ctx[i]), c, int(ids[i]), int(ids[i + n - 1]), int(start[i]) if n == 1 else None])
+                open_.append([a, int(ctx[i]), c, int(ids[i]), int(ids[i + n - 1]), (ids[i:i + n].copy(), start[i:i + n].copy()) if n <= WAITING else None])
         if done or open_:
             yield from settle(done + open_)
 
@@ -339,12 +361,13 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     anchors = stage(shared.join(copies, "id", "left_anti").groupBy("id").agg(F.collect_list("anchor").alias("anchors")), "shared-anchors")
     context = usable.join(anchors, "id").mapInArrow(_contexts(buckets, length), "anchor long, ctx long, id long, start long, bytes binary")
     resolved = stage(context.repartition(n, "anchor").sortWithinPartitions("anchor", "ctx", "id")
-                     .mapInArrow(_resolve(length), "anchor long, ctx long, id long, start long, first array<long>, last array<long>, low array<long>"), "contexts")
+                     .mapInArrow(_resolve(length), "anchor long, ctx long, id long, start long, stop long, first array<long>, last array<long>, low array<long>"), "contexts")
+    near = resolved.filter("anchor IS NULL").select("id", F.struct(F.col("start").alias("s"), F.col("stop").alias("e")).alias("r"))
     settled = resolved.filter("id IS NULL").select("anchor", "ctx", "first", "last", "low")
     # Written tables on both sides: a context that very many documents have is split while it is joined.
-    hits = resolved.filter("id IS NOT NULL").select("anchor", "ctx", "id", "start").join(settled, ["anchor", "ctx"])
+    hits = resolved.filter("anchor IS NOT NULL AND id IS NOT NULL").select("anchor", "ctx", "id", "start").join(settled, ["anchor", "ctx"])
     hits = hits.select("id", "start", F.explode(F.filter(F.arrays_zip("first", "last", "low"), lambda x: x["low"] < F.col("id"))).alias("x"))
-    runs = hits.select("id", F.struct((F.col("start") + F.col("x.first")).alias("s"), (F.col("start") + F.col("x.last") + length).alias("e")).alias("r"))
+    runs = near.unionByName(hits.select("id", F.struct((F.col("start") + F.col("x.first")).alias("s"), (F.col("start") + F.col("x.last") + length).alias("e")).alias("r")))
     runs = stage(runs.groupBy("id").agg(F.collect_list("r").alias("runs")), "repeated-runs")
     shape = "id long, a long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:long,e:long>>"
     cut = usable.withColumn("a", a).join(runs, "id").dropDuplicates(["id", "a"]).mapInArrow(_finish, shape).withColumnsRenamed({"id": "i", "a": "x"})

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,6 +302,28 @@ def test_strings_of_many_long_contexts_are_settled_in_bounded_memory():
         assert got[i].tolist() == [first[x] for x in strings]
 
 
+@pytest.mark.parametrize("waiting", [0, 1, 3, 256])
+def test_rows_of_a_context_are_settled_alike_however_many_wait(monkeypatch, waiting):
+    monkeypatch.setattr(substrings, "WAITING", waiting)
+    x, y = b"0123456789" * 5 + b"abcde", b"9123456789" + b"0123456789" * 4 + b"abcde"
+    rows = [(1, 1, i, 100 * i, x) for i in (2, 3, 5, 9)] + [(1, 2, 4, 7, y), (2, 3, 6, 0, x), (2, 3, 6, 60, x), (2, 3, 8, 0, x), (3, 4, 1, 0, y)]
+    names = ["anchor", "ctx", "id", "start", "bytes"]
+    spans, settled, told = set(), {}, []
+    for b in substrings._resolve(50)(iter([pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[at:at + 2]]) for at in range(0, len(rows), 2)])):
+        for r in b.to_pylist():
+            if r["anchor"] is None:
+                spans.add((r["id"], r["start"], r["stop"]))
+            elif r["id"] is None:
+                settled[r["anchor"], r["ctx"]] = list(zip(r["first"], r["last"], r["low"]))
+            else:
+                told.append(r)
+    for r in told:
+        spans |= {(r["id"], r["start"] + f, r["start"] + z + 50) for f, z, low in settled.get((r["anchor"], r["ctx"]), []) if low < r["id"]}
+    gone = {(i, p) for i, s, e in spans for p in range(s, e)}
+    shared = {(4, p) for p in range(7 + 1, 7 + 55)}
+    assert gone == {(i, 100 * i + p) for i in (3, 5, 9) for p in range(55)} | shared | {(8, p) for p in range(55)}
+
+
 def test_repeats_equal_brute_force(spark, docs):
     got = substrings.repeats(spark.read.parquet(f"{SF}/documents.parquet")).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.remove_repeats(docs, 50)
