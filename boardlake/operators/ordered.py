@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -205,21 +206,24 @@ def clamped_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], deltas
     w = Window.partitionBy(*parts).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     prior = w.rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.withColumns({f"_s_{n}": F.sum(c).over(upto) for n, c in deltas.items()})
-    lows = sums.withColumns({f"_m_{n}": F.min(f"_s_{n}").over(upto) for n in names})
+    running = {f"_s_{n}": F.sum(c).over(upto) for n, c in deltas.items()}
+    lows = df.withColumns(running).withColumns({f"_m_{n}": F.min(f"_s_{n}").over(upto) for n in names})
     if before:
         lows = lows.withColumns({f"_p_{n}": F.min(f"_s_{n}").over(prior) for n in names})
     if chunk is None:
         out = lows.withColumns({f"_{p}_{n}": F.lit(0) for n in names for p in "bg"})
     else:
-        per_chunk = sums.groupBy(*parts).agg(
+        # Only groups that go on in another chunk have something to carry.
+        several = df.groupBy(*keys).agg(F.min("_chunk").alias("_a"), F.max("_chunk").alias("_z")).filter(F.col("_a") < F.col("_z")).select(*keys)
+        per_chunk = df.join(several, keys, "left_semi").withColumns(running).groupBy(*parts).agg(
             *[F.sum(c).alias(f"_d_{n}") for n, c in deltas.items()],
             *[F.min(f"_s_{n}").alias(f"_k_{n}") for n in names])
         past = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
         base = per_chunk.withColumns({f"_b_{n}": F.coalesce(F.sum(f"_d_{n}").over(past), F.lit(0)) for n in names})
         carried = base.select(*parts, *[f"_b_{n}" for n in names], *[
             F.min(F.col(f"_b_{n}") + F.col(f"_k_{n}")).over(past).alias(f"_g_{n}") for n in names])
-        out = lows.join(carried, parts, "left")
+        keyed = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in parts])
+        out = lows.join(carried, parts, "left").withColumns({f"_b_{n}": F.coalesce(f"_b_{n}", F.when(keyed, 0)) for n in names})
 
     def value(n: str, s: Column, low: str) -> Column:
         base_n = F.col(f"_b_{n}")

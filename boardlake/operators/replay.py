@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.tiles import base_tile
+from ..session import stage
 from .ordered import Run, clamped_sum, scan, segmented, seq_chunk
 
 ORDER = ["seq", "ev_idx"]
@@ -175,7 +176,7 @@ def claim_levels(rounds: DataFrame, chunk: Column | None = None) -> DataFrame:
     push = F.col("type") == "dahai"
     d = d.withColumn("river_seat", F.when(push, F.col("actor")).otherwise(F.col("target")))
     d = clamped_sum(d, ROUND + ["river_seat"], ORDER, {"_h": F.when(push, 1).otherwise(-1)}, ch)
-    d = d.withColumn("_level", F.when(push, F.col("_h")).otherwise(F.col("_h") + 1)).drop("_h")
+    d = stage(d.withColumn("_level", F.when(push, F.col("_h")).otherwise(F.col("_h") + 1)).drop("_h"), "levels")  # read by windows and by chunks
     me = F.struct("type", *ORDER, "actor")
     d = scan(d, ROUND + ["river_seat", "_level"], ORDER, [
         Run("_prev", "last", me, inclusive=False), Run("_next", "next", me, inclusive=False)], ch)
@@ -243,10 +244,11 @@ def hero_hand(changes: DataFrame, chunk: Column | None = None) -> DataFrame:
     plain = [t for t in dims.TILES if t not in dims.RED_FIVES and t != "back"]
 
     def count(col: str, tile: str) -> Column:
-        return F.size(col) - F.size(F.array_remove(col, tile))
+        # most lists lack most tiles; those are not copied
+        return F.when(F.array_contains(col, tile), F.size(col) - F.size(F.array_remove(col, tile))).otherwise(0)
 
     red_cols = {f"n_{t}": count("added", t) - count("removed", t) for t in dims.RED_FIVES}
-    d = clamped_sum(changes, ROUND, ORDER, red_cols, ch, before=True)
+    d = stage(clamped_sum(changes, ROUND, ORDER, red_cols, ch, before=True), "red-fives")  # read by windows and by chunks
     missed = {t[:2]: count("removed", t) - (F.col(f"n_{t}_before") + count("added", t) - F.col(f"n_{t}"))
               for t in dims.RED_FIVES}
     plain_cols = {f"n_{t}": count("added", t) - count("removed", t) - missed.get(t, F.lit(0)) for t in plain}

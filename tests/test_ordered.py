@@ -88,3 +88,13 @@ def test_greedy_islands_match_loop(spark, seed):
                 head, no = pos, no + 1
             prev = pos
             assert got[i] == no
+
+
+def test_clamped_sum_carries_only_groups_that_cross_chunks(spark):
+    """Groups inside one chunk are not summed a second time; values are those of one chunk, also for groups that cross."""
+    rows = [(g, q, (7 * q * q + 3 * g) % 5 - 2) for g in range(6) for q in range(4 * g, 4 * g + (3 if g % 2 else 9))]
+    d = spark.createDataFrame(rows, "g int, q int, x int")
+    whole = clamped_sum(d, ["g"], ["q"], {"v": F.col("x")}, None, before=True)
+    cut = clamped_sum(d, ["g"], ["q"], {"v": F.col("x")}, F.expr("q div 4"), before=True)
+    assert sorted(map(tuple, cut.select(*whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+    assert "LeftSemi" in cut._jdf.queryExecution().optimizedPlan().toString()
