@@ -18,16 +18,17 @@ from .ordered import Run, greedy_islands, group_quantiles, scan
 # --- J5 ---------------------------------------------------------------------------------
 
 
-def route(dets: DataFrame, mode: str) -> DataFrame:
+def route(dets: DataFrame, mode: str, quad: Column | None = None) -> DataFrame:
     """Closest of the eight zones of each table detection, and its fate.
 
-    Input: ``x, y`` (centre), ``tile, quad``.  A tile back only fits meld strips; the first zone
+    Input: ``x, y`` (centre), ``tile`` and ``quad`` (a column, or given as an expression).  A tile back only fits meld strips; the first zone
     wins ties, seats in order, river before strip.  Fates: ``kept``; ``stray`` (too far from any
     zone); ``ignored`` (a stray back, which is expected); ``standing`` (an upright back of an
     opponent's hand that reached a strip).  The eight distances are plain expressions of the
     row, so no join is needed.
     """
     x, y, back = F.col("x"), F.col("y"), F.col("tile") == "back"
+    quad = F.col("quad") if quad is None else quad
     far = {}
     for s in range(4):
         far[f"_d{2 * s}"] = F.when(~back, river_distance(x, y, mode, s)).otherwise(F.lit(1e18))
@@ -42,15 +43,15 @@ def route(dets: DataFrame, mode: str) -> DataFrame:
     for s in (1, 2, 3):
         cfg = dims.STRIP[mode][s]
         ax = cfg["along"] if s in (1, 3) else cfg["cross"]
-        upright = upright | ((seat == s) & (_reach(ax) > 1.15 * cfg["d"]))
+        upright = upright | ((seat == s) & (_reach(quad, ax) > 1.15 * cfg["d"]))
     fate = (F.when(F.col("dist") > dims.ZONE_LIMIT, F.when(back, "ignored").otherwise("stray"))
             .when(back & strip & upright, "standing").otherwise("kept"))
     return d.withColumns({"kind": F.when(strip, "meld").otherwise("river"), "seat": seat, "fate": fate}).drop("_zone", *far)
 
 
-def _reach(axis: tuple[float, float]) -> Column:
+def _reach(quad: Column, axis: tuple[float, float]) -> Column:
     """Extent of the quad along an axis."""
-    along = [a * axis[0] + b * axis[1] for a, b in zip(corners(F.col("quad"), "x"), corners(F.col("quad"), "y"))]
+    along = [a * axis[0] + b * axis[1] for a, b in zip(corners(quad, "x"), corners(quad, "y"))]
     return F.greatest(*along) - F.least(*along)
 
 

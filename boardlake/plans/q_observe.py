@@ -130,9 +130,7 @@ def p20_frames(t):
 @query("j19_observe_melds", ORACLES["j19_meld_parse"].replace("allstrips", "(SELECT game, rec, list_transform(c, lambda q: {'l': q.l, 's': q.s, 't': nullif(q.t, '')}) AS c FROM ostrips)"))
 def j19_frames(t):
     """Sets of every frame's strips; a strip that can't be read is one row with its problem."""
-    d = _observed(t).select(F.col("frame").alias("game"), "problems", F.posexplode(F.arrays_zip("strips", "o_melds")).alias("rec", "z")).filter(F.size("z.strips") > 0)
-    lead = F.concat(F.lit("seat"), F.col("rec").cast("string"), F.lit(" meld strip "))
-    told = F.get(F.filter("problems", lambda p: p.startswith(lead)), F.lit(0))
-    d = d.withColumn("problem", F.regexp_replace(told, "^seat[0-3] meld strip ", ""))
+    d = _observed(t).select(F.col("frame").alias("game"), F.posexplode(F.arrays_zip("strips", "o_melds", "unread")).alias("rec", "z")).filter(F.size("z.strips") > 0)
+    d = d.withColumn("problem", F.col("z.unread"))
     m = d.select("game", "rec", "problem", F.posexplode_outer("z.o_melds").alias("no", "m"))
     return m.select("game", "rec", "no", "m.type", F.when(F.col("m").isNotNull(), F.array_join("m.tiles", " ")).alias("tiles"), "m.called", "m.added", F.col("m.rel").alias("from_rel"), "problem")

@@ -125,3 +125,20 @@ def test_rules_read_the_observed_board(spark, screens):
     told = {r.frame: r.violations for r in gates.check_observed(d).collect()}
     assert "hero hand 2 + 3*0 melds != 13" in told[1] and "tile E seen 7>4 times across visible zones" in told[1]
     assert "no dora marker visible" in told[3] and "no dora marker visible" not in told[2]
+
+
+def _plan(d):
+    return d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_boxes_are_placed_without_lambdas(spark, screens):
+    """A lambda is interpreted, box by box."""
+    assert "lambda" not in _plan(O.place(screens[1], "4p").select("part", "seat", "row", "u", "v", "off", "sideways", "dist"))
+
+
+def test_a_strip_of_two_cells_is_told_and_sets_are_only_read_when_taken(spark, screens):
+    d = O.observe(screens[1], "frame", "det_id", "4p")
+    assert "Join" not in _plan(d.select("o_hand", "o_rivers", "strips", "strays")) and "Join" in _plan(d.select("o_melds"))
+    got = {r.frame: r for r in d.select("frame", "strays", "unread", "o_melds").collect()}
+    assert got[2].strays == ["stray detection 4s (off dora row)"] and got[2].unread == ["unparsable", None, None, None] and got[2].o_melds == [[]] * 4
+    assert got[1].strays == [] and got[1].unread == [None] * 4 and len(got[3].strays) == 1
