@@ -120,8 +120,8 @@ def p20_frames(t):
     river = lambda s: F.array_join(F.transform(F.get("o_rivers", F.lit(s)), lambda x: F.concat(x["pai"], mark(x["sideways"]))), " ")
     strip = lambda s: F.array_join(F.transform(F.get("strips", F.lit(s)), lambda c: F.concat(
         c["label"], mark(c["sideways"]), F.coalesce(F.concat(F.lit("+"), c["stacked"]), F.lit("")))), " ")
-    conf = F.array_join(F.transform(F.array_sort(F.map_entries("confidence")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
-    strays = F.size(F.filter("problems", lambda p: p.startswith("stray"))).cast("long")
+    conf = F.array_join(F.transform(F.sort_array(F.map_entries("confidence")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    strays = F.size("strays").cast("long")
     return _observed(t).select("frame", F.array_join("o_hand", " ").alias("hand"), "drawn", F.array_join("dora", " ").alias("dora"),
                                *[c for s in range(4) for c in (river(s).alias(f"river_{s}"), F.get("o_reach", F.lit(s)).alias(f"reach_{s}"), strip(s).alias(f"strip_{s}"))],
                                conf.alias("confidence"), strays.alias("strays"))
