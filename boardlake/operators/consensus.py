@@ -117,26 +117,49 @@ def uniformity_report(per_round: DataFrame) -> DataFrame:
     return d.withColumn("low_share", F.try_divide(F.col("low_conf").cast("double"), F.col("rounds").cast("double")))
 
 
+SALTS = 16  # tasks that a group's pairs meet its few figures in
+
+
+def _told(pairs: DataFrame, figures: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Each pair with the figures of its group; a group's pairs are dealt over several tasks, so a large one is not sorted in one."""
+    salt = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    dealt = pairs.withColumn("_salt", F.pmod(F.hash(F.col(x), F.col(y)), F.lit(SALTS)))
+    return dealt.join(figures.withColumn("_salt", salt), keys + ["_salt"]).drop("_salt")
+
+
+def _line(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """``_a, _b`` of the least-squares line of each group and ``_n``, its rows; a pair stands for ``_c`` rows. Sums are taken about the means."""
+    c, both = F.col("_c"), F.col(x).isNotNull() & F.col(y).isNotNull()
+    mean = lambda v: F.sum(F.when(both, c * F.col(v).cast("double"))) / F.sum(F.when(both, c))
+    m = pairs.groupBy(*keys).agg(F.sum(c).alias("_n"), mean(x).alias("_mx"), mean(y).alias("_my"))
+    dx, dy = F.when(both, F.col(x) - F.col("_mx")), F.when(both, F.col(y) - F.col("_my"))
+    s = _told(pairs, m, keys, x, y).groupBy(*keys).agg(
+        F.sum(c * dx * dx).alias("_xx"), F.sum(c * dx * dy).alias("_xy"), *[F.max(v).alias(v) for v in ("_n", "_mx", "_my")])
+    slope = F.when(F.col("_xx") != 0, F.col("_xy") / F.col("_xx"))
+    return s.select(*keys, "_n", slope.alias("_a"), (F.col("_my") - slope * F.col("_mx")).alias("_b"))
+
+
 def robust_line(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y", passes: int = 2, band: float = 4.0, at_least: int = 8) -> DataFrame:
     """Least-squares line per group after dropping residuals far from their median.
 
     Groups that are too small get slope 1 and the median offset.  A pass that would leave too
-    few points is not applied.
+    few points is not applied.  Equal pairs collapse first and are counted on.
     """
-    fit = [F.regr_slope(F.col(y), F.col(x)).alias("_a"), F.regr_intercept(F.col(y), F.col(x)).alias("_b")]
-    n0 = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    d = pairs.select(*keys, x, y)
+    all_ = stage(pairs.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_c")), "pairs")
+    d, c = all_, F.col("_c")
     for _ in range(passes):
-        r = d.join(d.groupBy(*keys).agg(*fit), keys).withColumn("_r", F.col(y) - (F.col("_a") * F.col(x) + F.col("_b")))
-        r = stage(r, "residuals")
-        med = group_quantiles(r, keys, "_r", {"_m": 0.5}, _chunk("_r"))
-        r = r.join(med, keys).withColumn("_keep", F.abs(F.col("_r") - F.col("_m")) < band)
-        left = r.groupBy(*keys).agg(F.count_if(F.col("_keep")).alias("_k"))
-        d = stage(r.join(left, keys).filter(F.col("_keep") | (F.col("_k") < at_least)).select(*keys, x, y), "kept")
-    last = d.groupBy(*keys).agg(*fit, F.count(F.lit(1)).alias("n_used"))
-    err = d.join(last, keys).groupBy(*keys).agg(F.sqrt(F.avg(F.pow(F.col(y) - (F.col("_a") * F.col(x) + F.col("_b")), F.lit(2.0)))).alias("rmse"))
-    off = group_quantiles(pairs.withColumn("_o", F.col(y) - F.col(x)), keys, "_o", {"_off": 0.5}, _chunk("_o"))
-    out = n0.join(last, keys).join(err, keys).join(off, keys)
+        r = _told(d, stage(_line(d, keys, x, y), "fit"), keys, x, y).withColumn("_r", F.col(y) - (F.col("_a") * F.col(x) + F.col("_b")))
+        r = stage(r.select(*keys, x, y, "_c", "_r"), "residuals")
+        med = stage(group_quantiles(r, keys, "_r", {"_m": 0.5}, _chunk("_r"), "_c"), "medians")
+        r = _told(r, med, keys, x, y).withColumn("_keep", F.abs(F.col("_r") - F.col("_m")) < band)
+        r = stage(r.select(*keys, x, y, "_c", "_keep"), "judged")
+        left = r.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("_keep"), c)), F.lit(0)).alias("_k"))
+        d = stage(_told(r, left, keys, x, y).filter(F.col("_keep") | (F.col("_k") < at_least)).select(*keys, x, y, "_c"), "kept")
+    last = stage(_line(d, keys, x, y).withColumnRenamed("_n", "n_used"), "fit")
+    e = F.pow(F.col(y) - (F.col("_a") * F.col(x) + F.col("_b")), F.lit(2.0))
+    err = _told(d, last, keys, x, y).groupBy(*keys).agg(F.sqrt(F.sum(c * e) / F.sum(F.when(e.isNotNull(), c))).alias("rmse"))
+    off = stage(group_quantiles(all_.withColumn("_o", F.col(y) - F.col(x)), keys, "_o", {"_off": 0.5}, _chunk("_o"), "_c"), "offsets")
+    out = all_.groupBy(*keys).agg(F.sum(c).alias("n")).join(last, keys).join(stage(err, "errors"), keys).join(off, keys)
     small = F.col("n") < at_least
     return out.select(*keys, "n", F.when(small, F.col("n")).otherwise(F.col("n_used")).alias("n_used"), F.when(small, 1.0).otherwise(F.col("_a")).alias("slope"),
                       F.when(small, F.col("_off").cast("double")).otherwise(F.col("_b")).alias("intercept"), F.when(small, 0.0).otherwise(F.col("rmse")).alias("rmse"))

@@ -245,14 +245,14 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Co
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], col: str, quantiles: dict[str, float],
-                    chunk: Column) -> DataFrame:
+                    chunk: Column, weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation per group; ``median`` is ``0.5``.
 
     Equal values are counted together first, then a running count over the distinct values
-    finds the ranks, so no group is gathered anywhere.  ``chunk`` must not decrease with ``col``.
+    finds the ranks, so no group is gathered anywhere.  ``chunk`` must not decrease with ``col``.  A row stands for ``weight`` equal ones, if given.
     """
     keys = list(keys)
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
     ranks = scan(counts, keys, [col], [Run("_cum", "sum", F.col("_c")), Run("_n", "total", F.col("_c"))], chunk)
     aggs = []
     for name, q in quantiles.items():

@@ -236,7 +236,7 @@ SELECT pos, (SELECT count(*) FROM d0 WHERE d0.pos = d2.pos) AS n, any_value(n_us
 def a14(t):
     k, seq = F.col("k"), F.col("seq")
     d = t.ev.select(F.col("seat").alias("pos"), k.alias("x"), (2 * k + F.col("seat") + F.when(seq % 10 == 0, 40).otherwise(seq % 5)).alias("y"))
-    f = CN.robust_line(stage(d, "pairs"), ["pos"])
+    f = CN.robust_line(d, ["pos"])
     return f.select("pos", "n", "n_used", r6(F.col("slope")).alias("slope"), r6(F.col("intercept")).alias("intercept"), r6(F.col("rmse")).alias("rmse"))
 
 

@@ -81,6 +81,39 @@ def test_robust_line_drops_outliers_and_small_groups_keep_the_median_offset(spar
     assert (got[2].slope, got[2].intercept, got[2].rmse) == (1.0, 3.0, 0.0)
 
 
+def test_robust_line_counts_equal_pairs_instead_of_carrying_them(spark, monkeypatch):
+    rnd, kept = random.Random(4), []
+    pairs = [(g, float(x), 3.0 * x - g + rnd.choice([0, 0, 1, 60])) for g in (1, 2) for x in range(12)]
+    rows = [p for p in pairs for _ in range(rnd.randint(1, 40))] + [(1, None, 5.0), (2, 4.0, None)]
+    write = C.stage
+
+    def counted(d, name):
+        out = write(d, name)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(C, "stage", counted)
+    got = {r.k: r for r in C.robust_line(spark.createDataFrame(rows, "k int, x double, y double"), ["k"]).collect()}
+    assert max(kept) <= len(set(rows))
+    for g in (1, 2):
+        d = [(x, y) for k, x, y in rows if k == g and x is not None and y is not None]
+
+        def fit():
+            mx, my = sum(x for x, _ in d) / len(d), sum(y for _, y in d) / len(d)
+            a = sum((x - mx) * (y - my) for x, y in d) / sum((x - mx) ** 2 for x, _ in d)
+            return a, my - a * mx
+
+        for _ in range(2):
+            a, b = fit()
+            r = sorted(y - a * x - b for x, y in d)
+            m = (r[(len(r) - 1) // 2] + r[len(r) // 2]) / 2
+            near = [(x, y) for x, y in d if abs(y - a * x - b - m) < 4]
+            d = near if len(near) >= 8 else d
+        a, b = fit()
+        assert got[g].n == sum(k == g for k, *_ in rows) and got[g].n_used == len(d)
+        assert (got[g].slope, got[g].intercept) == (pytest.approx(a), pytest.approx(b)) and got[g].rmse == pytest.approx((sum((y - a * x - b) ** 2 for x, y in d) / len(d)) ** 0.5)
+
+
 def test_uniformity_counts_null_as_a_value(spark):
     rows = [(1, 0, 1.0, 2.0), (1, 0, 1.0, 2.0), (2, 0, 1.0, 2.0), (2, 0, None, None), (3, 0, None, None)]
     d = C.uniformity(spark.createDataFrame(rows, "round int, pos int, a double, c double"), ["round", "pos"], ["a", "c"])
