@@ -10,21 +10,41 @@ from ..session import stage
 from .ordered import Run, group_quantiles, numbered, scan
 
 CELL = 64  # measured values per chunk step
+FOLD_POINTS = 64  # distinct points of one group that are compared inside one row
 
 
 def _chunk(col: str) -> Column:
     return F.floor(F.col(col) / CELL)
 
 
-def box_sums(points: DataFrame, keys: list[str], x: str, y: str, weight: str, tol: float) -> DataFrame:
+def box_sums(points: DataFrame, keys: list[str], x: str, y: str, weight: str, tol: float, fold_limit: int = FOLD_POINTS) -> DataFrame:
     """For every distinct point the weight of all points within ``tol`` on both axes.
 
-    Two-dimensional range sums without pairs: the x range of a point is a span of ranks, which
+    Groups of up to ``fold_limit`` distinct points are settled in one row each, larger ones by blocks of ranks.
+    """
+    pts = stage(points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.sum(weight).alias("_w")), "points")
+    big = pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > fold_limit).select(*keys)
+    if big.isEmpty():
+        return _near_sums(pts, keys, x, y, tol)
+    big = stage(big, "large")
+    return _near_sums(pts.join(big, keys, "left_anti"), keys, x, y, tol).unionByName(_block_sums(pts.join(big, keys, "left_semi"), keys, x, y, tol))
+
+
+def _near_sums(pts: DataFrame, keys: list[str], x: str, y: str, tol: float) -> DataFrame:
+    """Groups of few points: each against all of its group, inside the row."""
+    d = pts.groupBy(*keys).agg(F.collect_list(F.struct(x, y, "_w")).alias("_p"))
+    d = d.select(*keys, "_p", F.explode("_p").alias("_q")).select(*keys, "_p", F.col("_q")[x].alias(x), F.col("_q")[y].alias(y))
+    near = lambda p: (F.abs(p[x] - F.col(x)) <= tol) & (F.abs(p[y] - F.col(y)) <= tol)
+    zero = F.lit(0).cast(pts.schema["_w"].dataType)
+    return d.select(*keys, x, y, F.aggregate("_p", zero, lambda s, p: F.when(near(p), s + p["_w"]).otherwise(s)).alias("mass"))
+
+
+def _block_sums(pts: DataFrame, keys: list[str], x: str, y: str, tol: float) -> DataFrame:
+    """Two-dimensional range sums without pairs: the x range of a point is a span of ranks, which
     splits into at most two power-of-two blocks per level; every point belongs to one block per
     level; inside a block a running sum over y answers the y range.  A group of n points costs
     about n log n rows, and no block has to sit in one task.
     """
-    pts = points.groupBy(*keys, x, y).agg(F.sum(weight).alias("_w"))
     xs = pts.select(*keys, x).distinct()
     asks = F.explode(F.array(F.struct(F.lit(0).alias("side"), (F.col(x) - tol).alias("at")),
                              F.struct(F.lit(1).alias("side"), F.col(x).cast("double").alias("at")),
@@ -65,16 +85,19 @@ def round_consensus(samples: DataFrame, keys: list[str], order: str, tol: float
     as integers.  Only confident samples count.  The first sample, by ``order``, with the most
     score around it leads; too few samples or too small a share give null.
     """
-    good = samples.filter((F.col("n_feat") >= dims.MIN_FEATURES) & (F.col("score") > 0)) \
-        .withColumn("_w", F.bround(F.col("score").cast("double") * 100, 0).cast("long"))
-    mass = box_sums(good, keys, "d_along", "d_cross", "_w", tol)
-    first = good.groupBy(*keys, "d_along", "d_cross").agg(F.min(order).alias("_first"))
-    lead = mass.join(first, keys + ["d_along", "d_cross"]).groupBy(*keys).agg(
+    good = F.coalesce((F.col("n_feat") >= dims.MIN_FEATURES) & (F.col("score") > 0), F.lit(False))
+    weight = F.when(good, F.bround(F.col("score").cast("double") * 100, 0).cast("long"))
+    d = samples.select(*keys, good.alias("_good"), weight.alias("_w"), F.when(good, F.col(order)).alias("_first"), *[F.when(good, F.col(c)).alias(c) for c in ("d_along", "d_cross")])
+    # The samples are read once; equal offsets collapse, and one row holds what is not confident.
+    pts = stage(d.groupBy(*keys, "_good", "d_along", "d_cross").agg(F.sum("_w").alias("_w"), F.min("_first").alias("_first"), F.count(F.lit(1)).alias("_c")), "offsets")
+    sure = pts.filter("_good")
+    mass = box_sums(sure, keys, "d_along", "d_cross", "_w", tol)
+    lead = mass.join(sure.select(*keys, "d_along", "d_cross", "_first"), keys + ["d_along", "d_cross"]).groupBy(*keys).agg(
         F.max(F.struct(F.col("mass"), (-F.col("_first")).alias("_o"), "d_along", "d_cross")).alias("_lead"))
-    size = samples.groupBy(*keys).agg(F.count_if((F.col("n_feat") >= dims.MIN_FEATURES) & (F.col("score") > 0)).alias("n"))
+    size = pts.groupBy(*keys).agg(F.sum(F.when(F.col("_good"), F.col("_c")).otherwise(0)).alias("n"))
     near = (F.abs(F.col("d_along") - F.col("_lead.d_along")) <= tol) & (F.abs(F.col("d_cross") - F.col("_lead.d_cross")) <= tol)
     w = F.col("_w")
-    c = good.join(lead, keys).groupBy(*keys).agg(
+    c = sure.join(lead, keys).groupBy(*keys).agg(
         F.sum(w).alias("_all"), F.sum(F.when(near, w)).alias("_in"),
         F.sum(F.when(near, w * F.col("d_along"))).alias("_a"), F.sum(F.when(near, w * F.col("d_cross"))).alias("_c"))
     d = size.join(c, keys, "left")

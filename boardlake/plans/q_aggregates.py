@@ -282,6 +282,7 @@ SELECT s.round, s.pos, s.seq, CASE WHEN c.d_along IS NULL THEN 0e0 ELSE greatest
 """)
 def j18(t):
     o = CN.round_consensus(t.smp, ["round", "pos"], "seq").withColumns({"d_along": F.col("d_along") * 3, "d_cross": F.col("d_cross") - 90})
+    o = stage(o.select("round", "pos", "d_along", "d_cross"), "overrides")  # else the boxes are sorted beside all that makes them
     d = CN.apply_overrides(t.smp.select("round", "pos", "seq"), o, ["round", "pos"])
     return d.select("round", "pos", "seq", "shift_along", "shift_cross", "reliable")
 

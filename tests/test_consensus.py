@@ -68,6 +68,25 @@ def test_box_sums_match_loop(spark):
         assert r.mass == sum(w for g, x, y, w in rows if g == r.g and abs(x - r.x) <= 7.5 and abs(y - r.y) <= 7.5)
 
 
+def test_groups_of_few_points_make_no_rows_of_rank_blocks(spark, monkeypatch):
+    rnd, blocks = random.Random(5), []
+    rows = [(rnd.choice([0, 0, 0, 0, 1, 2]), float(rnd.randint(-30, 30)), float(rnd.randint(-30, 30)), rnd.randint(1, 9)) for _ in range(150)]
+    rows += [(3, None, 1.0, 5), (3, 1.0, None, 5), (3, 1.0, 1.0, 2)]
+    d = spark.createDataFrame(rows, "g int, x double, y double, w long")
+    by_blocks = C._block_sums
+
+    def told(pts, *a):
+        blocks.append({r.g for r in pts.select("g").distinct().collect()})
+        return by_blocks(pts, *a)
+
+    monkeypatch.setattr(C, "_block_sums", told)
+    want = {(g, x, y): sum(w for h, a, b, w in rows if h == g and None not in (a, b) and abs(a - x) <= 12 and abs(b - y) <= 12) for g, x, y, _ in rows if None not in (x, y)}
+    for limit, large in ((1000, []), (64, [{0}]), (2, [{0, 1, 2}])):
+        blocks.clear()
+        got = {(r.g, r.x, r.y): r.mass for r in C.box_sums(d, ["g"], "x", "y", "w", 12, limit).collect()}
+        assert got == want and blocks == large
+
+
 def test_dominant_cluster(spark):
     rows = [(1, float(v)) for v in (0, 1, 2, 30, 31, 32, 33)] + [(2, 4.0)]
     got = {r.k: (r.center, r.share) for r in C.dominant(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", 12).collect()}
