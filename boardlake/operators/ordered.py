@@ -302,12 +302,16 @@ def _chain(rows: DataFrame, keys: list[str], pos: str, tie: str, span, chunk: Co
     from ..session import stage
 
     none = F.lit(None).cast(rows.schema[tie].dataType)
-    points = rows.select(*keys, pos, tie, F.lit(1).alias("_side"), F.col(tie).alias("_e"), none.alias("_b"))
-    asks = rows.select(*keys, (F.col(pos) + span).alias(pos), tie, F.lit(0).alias("_side"), none.alias("_e"), F.col(tie).alias("_b"))
-    both = points.unionByName(asks)
+    # Made from one row, not by a union: Spark 4.1 takes a union of two reads of the same exchange for dealt by its keys,
+    # also where adaptive execution has coalesced the reads differently, and then groups it wrongly.
+    far = (F.col(pos) + span).alias(pos)
+    kind = rows.select(far).schema[pos].dataType
+    point = F.struct(F.col(pos).cast(kind).alias(pos), tie, F.lit(1).alias("_side"), F.col(tie).alias("_e"), none.alias("_b"))
+    ask = F.struct(far, tie, F.lit(0).alias("_side"), none.alias("_e"), F.col(tie).alias("_b"))
+    both = rows.select(*keys, F.inline(F.array(point, ask)))
     hop = scan(both, keys, [pos, "_side", tie], [Run("_nx", "next", F.col("_e"), inclusive=False)], chunk)
     jump = stage(hop.filter(F.col("_side") == 0).select(*keys, F.col("_b").alias(tie), F.col("_nx")), "hops")
-    heads = rows.groupBy(*keys).agg(F.min_by(tie, F.struct(pos, tie)).alias(tie))
+    heads = stage(rows.groupBy(*keys).agg(F.min_by(tie, F.struct(pos, tie)).alias(tie)), "heads")
     while True:
         step = heads.join(jump, keys + [tie]).filter(F.col("_nx").isNotNull()).select(*keys, F.col("_nx").alias(tie))
         heads = stage(heads.unionByName(step).distinct(), "heads")

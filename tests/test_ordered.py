@@ -90,6 +90,30 @@ def test_greedy_islands_match_loop(spark, seed):
             assert got[i] == no
 
 
+def test_greedy_islands_when_shuffle_reads_are_coalesced(spark):
+    """Many small groups, whose exchanges adaptive execution reads in fewer and unlike parts."""
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "24k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        d = spark.range(30_000).select((F.col("id") % 6000).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(97)) * 4).cast("double").alias("pos")).distinct()
+        got = greedy_islands(d.withColumn("at", F.col("pos")), ["g"], "pos", "at", 28.0, 28.0, F.floor(F.col("pos") / 16)).collect()
+        rows = sorted((r.g, r.pos) for r in d.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    want, g, head, no = {}, None, None, 0
+    for at in rows:
+        if at[0] != g or at[1] - head >= 28:
+            no = no + 1 if at[0] == g else 1
+            g, head = at
+        want[at] = no
+    assert len(got) == len(want)
+    assert {(r.g, r.pos): r.head_no for r in got} == want
+
+
 def test_clamped_sum_carries_only_groups_that_cross_chunks(spark):
     """Groups inside one chunk are not summed a second time; values are those of one chunk, also for groups that cross."""
     rows = [(g, q, (7 * q * q + 3 * g) % 5 - 2) for g in range(6) for q in range(4 * g, 4 * g + (3 if g % 2 else 9))]
