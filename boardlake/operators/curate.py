@@ -127,10 +127,14 @@ def obb_line(cls: Column, quad: Column, w: Column, h: Column) -> Column:
     return F.concat(cls.cast("string"), F.lit(" "), F.array_join(pts, " "))
 
 
-def label_files(lines: DataFrame, keys: list[str], order: str, line: dict[str, str] | None = None) -> DataFrame:
-    """Text of one label file per frame, rows in order; ``line`` maps line columns to text columns."""
+def label_files(lines: DataFrame, keys: list[str], order: str | list[str], line: dict[str, str] | None = None) -> DataFrame:
+    """Text of one label file per frame, rows in order; ``line`` maps line columns to text columns.
+
+    Rows that ``order`` leaves equal are ordered by their lines; name more columns, as the row's place in its table, to order them otherwise.
+    """
     line = line or {"line": "text"}
-    d = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *line))).alias("_l"))
+    order = [order] if isinstance(order, str) else list(order)
+    d = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *line))).alias("_l"))
     text = lambda c: F.concat(F.array_join(F.transform("_l", lambda x: x[c]), "\n"), F.lit("\n"))
     return d.select(*keys, *[text(c).alias(t) for c, t in line.items()])
 

@@ -171,6 +171,7 @@ def s7(t):
 
 
 LW, LH = 128.0, 64.0
+PLACE = ["file_name", "row_index"]  # where a row stands in its table
 CTE["lbl"] = """
 SELECT frame, det_id, l_linenumber AS ln, cls, CAST(cls AS VARCHAR) || ' ' || printf('%.6f', round_even((x0 + x1) / 2 / 128, 6)) || ' ' || printf('%.6f', round_even((y0 + y1) / 2 / 64, 6)) || ' '
   || printf('%.6f', round_even((x1 - x0) / 128, 6)) || ' ' || printf('%.6f', round_even((y1 - y0) / 64, 6)) AS hbb,
@@ -181,7 +182,8 @@ SELECT frame, det_id, l_linenumber AS ln, cls, CAST(cls AS VARCHAR) || ' ' || pr
 def _label_lines(t):
     c = [F.col(n) for n in ("x0", "y0", "x1", "y1")]
     w, h = F.lit(LW), F.lit(LH)
-    return t.bx.select("frame", "det_id", F.col("l_linenumber").alias("ln"), "cls", K.hbb_line(F.col("cls"), *c, w, h).alias("hbb"), K.obb_line(F.col("cls"), G.rect(*c), w, h).alias("obb"))
+    return t.bx.select("frame", "det_id", F.col("l_linenumber").alias("ln"), "cls", K.hbb_line(F.col("cls"), *c, w, h).alias("hbb"), K.obb_line(F.col("cls"), G.rect(*c), w, h).alias("obb"),
+                       *[F.col(f"_metadata.{n}").alias(n) for n in PLACE])
 
 
 @query("s10_label_text", """
@@ -189,8 +191,8 @@ SELECT frame, string_agg(hbb, chr(10) ORDER BY det_id) || chr(10) AS hbb, string
 """)
 def s10(t):
     d = _label_lines(t)
-    # one file per frame: a frame's rows are its text
-    return K.label_files(d, ["frame"], "det_id", {"hbb": "hbb", "obb": "obb"})
+    # one file per frame: a frame's rows are its text; equal ids stay in the table's order, as in a stable sort
+    return K.label_files(d, ["frame"], ["det_id", *PLACE], {"hbb": "hbb", "obb": "obb"})
 
 
 @query("s9_read_labels", """

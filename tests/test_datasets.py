@@ -246,3 +246,19 @@ def test_diverse_frames_count_every_pick(spark, per_signature, total):
     got = [(r.game, r.seq) for r in K.diverse_frames(d, ["shape"], per_signature, total).collect()]
     assert got == _picked_in_turn(frames, per_signature, total)
     assert K.diverse_frames(d.limit(0), ["shape"], per_signature, total).count() == 0
+
+
+def test_label_text_keeps_the_tables_order_of_equal_ids(spark, tmp_path):
+    """The SQL leaves equal ids open; a stable sort of the table settles them."""
+    from boardlake.plans import all_queries
+
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(6), rnd.randrange(500), rnd.randrange(300), rnd.randint(1, 7), float(rnd.randint(1, 50)), rnd.randint(1, 4) + 0.25, 0.05, 0.02, "A", "O") for _ in range(80)]
+    shape = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+             "l_returnflag string, l_linestatus string")
+    spark.createDataFrame(rows, shape).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.frame: r for r in all_queries()[0]["s10_label_text"](spark, str(tmp_path)).collect()}
+    for text in ("hbb", "obb"):
+        classes = {f: [int(x.split()[0]) for x in r[text].splitlines()] for f, r in got.items()}
+        assert classes == {f: [r[1] % 38 for r in sorted((r for r in rows if r[0] == f), key=lambda r: r[5])] for f in got}
+    assert len(got) == 6
