@@ -16,6 +16,7 @@ from .q_sources import log_records
 from .registry import ORACLES, query
 
 ROWS_PER_SLICE = 2_000_000  # what one micro-batch may bring to a game's state
+ROWS_PER_CALL = 16_384  # what a shelf of games should bring to one call
 
 
 def _slices(d, extra: list | None = None, lag: bool = False):
@@ -31,6 +32,12 @@ def _slices(d, extra: list | None = None, lag: bool = False):
     return [cut.filter(F.col("_slice") == i).drop("_slice") for i in range(k + lag)] + (extra or [])
 
 
+def _shelf(d, slices: list) -> int:
+    """Games to a shelf: fewer where a game brings many rows to a slice, so that such games stay apart."""
+    n, games = d.agg(F.count(F.lit(1)), F.approx_count_distinct("game")).first()
+    return max(1, min(timers.SHELF, ROWS_PER_CALL * games * len(slices) // max(n, 1)))
+
+
 def _ts(us):
     return F.timestamp_micros(us)
 
@@ -53,7 +60,9 @@ def _g1_sql() -> str:
 @query("g1_live_replay", _g1_sql())
 def g1(t):
     d = t.mj.select("game", "seq", "ev_idx", "type", "actor", F.size("consumed").alias("n_consumed"), "kyotaku", "scores")
-    out = drain_growing([(p,) for p in _slices(d)], replay_stream.replay, "snapshots").filter(~F.col("late"))
+    slices = _slices(d)
+    shelf = _shelf(d, slices)
+    out = drain_growing([(p,) for p in slices], lambda s: replay_stream.replay(s, shelf), "snapshots").filter(~F.col("late"))
     per = [F.col(src)[s].alias(f"{name}_{s}") for src, name in (("concealed", "concealed"), ("scores", "score"), ("reach", "reach")) for s in range(4)]
     return out.select("game", "seq", "kyoku_ord", *per, "sticks", "n_dora", "owed")
 

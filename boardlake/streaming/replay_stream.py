@@ -1,4 +1,4 @@
-"""Live replay: one running state per game (G1)."""
+"""Live replay: one running state per game, kept for shelves of neighbouring games (G1)."""
 
 from __future__ import annotations
 
@@ -10,13 +10,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .. import dims
-from .timers import in_order
+from .timers import ROWS_OUT, SHELF, by_game, in_order, shelved
 
 EVENT_COLUMNS = ["game", "seq", "ev_idx", "type", "actor", "n_consumed", "kyotaku", "scores"]
 _Event = namedtuple("_Event", EVENT_COLUMNS)
 SNAPSHOT = ("game long, seq long, kyoku_ord long, concealed array<int>, scores array<int>, reach array<boolean>, sticks int, "
             "n_dora int, owed int, late boolean")
-STATE = "last_seq long, last_idx int, kyoku_ord long, concealed array<int>, scores array<int>, reach array<boolean>, sticks int, n_dora int, owed int"
+STATE = ("games array<struct<game: long, last_seq: long, last_idx: int, kyoku_ord: long, concealed: array<int>, scores: array<int>, reach: array<boolean>, "
+         "sticks: int, n_dora: int, owed: int>>")
+_NAMES = ["last_seq", "last_idx", "kyoku_ord", "concealed", "scores", "reach", "sticks", "n_dora", "owed"]
+_PER_SEAT = ("concealed", "scores", "reach")
+_SHOWN = [c.split()[0] for c in SNAPSHOT.split(", ")]
 FRESH = (-1, -1, 0, [13] * 4, [25000] * 4, [False] * 4, 0, 0, -1)
 
 
@@ -51,25 +55,29 @@ def _step(s: dict, e: Any) -> None:
 
 
 def _advance(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    names = ["last_seq", "last_idx", "kyoku_ord", "concealed", "scores", "reach", "sticks", "n_dora", "owed"]
-    held = dict(zip(names, state.get if state.exists else FRESH))
-    held = {k: list(v) if k in ("concealed", "scores", "reach") else v for k, v in held.items()}
+    held = {g[0]: tuple(g[1:]) for g in state.get[0]} if state.exists else {}
     out = []
-    for e in map(_Event._make, in_order(frames, EVENT_COLUMNS, lambda r: (r[1], r[2]))):
-        late = (e.seq, e.ev_idx) <= (held["last_seq"], held["last_idx"])
-        if not late:
-            _step(held, e)
-            held["last_seq"], held["last_idx"] = int(e.seq), int(e.ev_idx)
-        out.append((key[0], int(e.seq), held["kyoku_ord"], list(held["concealed"]), list(held["scores"]), list(held["reach"]),
-                    held["sticks"], held["n_dora"], held["owed"], late))
-    state.update(tuple(held[n] for n in names))
-    yield pd.DataFrame(out, columns=["game", "seq", "kyoku_ord", "concealed", "scores", "reach", "sticks", "n_dora", "owed", "late"], dtype=object)
+    for game, events in by_game(key, in_order(frames, EVENT_COLUMNS, lambda r: (r[1], r[2]))):
+        s = {k: list(v) if k in _PER_SEAT else v for k, v in zip(_NAMES, held.get(game, FRESH))}
+        for e in map(_Event._make, events):
+            late = (e.seq, e.ev_idx) <= (s["last_seq"], s["last_idx"])
+            if not late:
+                _step(s, e)
+                s["last_seq"], s["last_idx"] = int(e.seq), int(e.ev_idx)
+            out.append((game, int(e.seq), s["kyoku_ord"], list(s["concealed"]), list(s["scores"]), list(s["reach"]), s["sticks"], s["n_dora"], s["owed"], late))
+            if len(out) == ROWS_OUT:
+                yield pd.DataFrame(out, columns=_SHOWN, dtype=object)
+                out = []
+        held[game] = tuple(s[n] for n in _NAMES)
+    state.update(([(g, *v) for g, v in held.items()],))
+    yield pd.DataFrame(out, columns=_SHOWN, dtype=object)
 
 
-def replay(events: DataFrame) -> DataFrame:
+def replay(events: DataFrame, shelf: int = SHELF) -> DataFrame:
     """G1: snapshot after every event of a stream.
 
-    The state of a game is a few small arrays; a micro-batch brings at most its own rows to a
-    game's task.  Events at or before the last one applied are marked late and change nothing.
+    The state of a game is a few small arrays; ``shelf`` neighbouring games share a call and a state, and a micro-batch brings at
+    most its own rows to a call. Pass a shelf of one where single games bring many rows. Events at or before the last one applied
+    to their game are marked late and change nothing.
     """
-    return events.select(*EVENT_COLUMNS).groupBy("game").applyInPandasWithState(_advance, SNAPSHOT, STATE, "append", "NoTimeout")
+    return shelved(events, EVENT_COLUMNS[1:], shelf).applyInPandasWithState(_advance, SNAPSHOT, STATE, "append", "NoTimeout")

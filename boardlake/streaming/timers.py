@@ -12,6 +12,8 @@ A game's rows of one micro-batch are handled in one call; bound a batch at its s
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
@@ -34,6 +36,26 @@ def _frame(rows: list[tuple], shape: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in shape.split(", ")], dtype=object)
 
 
+#: Neighbouring games that share a call and a state: a call costs some milliseconds, whatever it brings.
+SHELF = 64
+#: Rows that a call hands on at once.
+ROWS_OUT = 8192
+
+
+def shelved(events: DataFrame, columns: list[str], shelf: int):
+    """The events grouped by shelves of ``shelf`` neighbouring game numbers, so that a state holds a bounded number of games."""
+    return events.select(F.expr(f"game div {int(shelf)}").alias("shelf"), "game", *columns).groupBy("shelf")
+
+
+def by_game(key: tuple, rows: list[tuple]) -> Iterator[tuple[int | None, Iterator[tuple]]]:
+    """A shelf's rows (game first) game by game, each game's in the order given; games without a number have a shelf of their own."""
+    if key[0] is None or pd.isna(key[0]):
+        yield None, iter(rows)
+        return
+    for game, own in groupby(sorted(rows, key=itemgetter(0)), key=itemgetter(0)):
+        yield int(game), own
+
+
 def in_order(frames: Iterator[pd.DataFrame], columns: list[str], by: Callable[[tuple], Any]) -> list[tuple]:
     """A game's rows of a micro-batch as plain tuples; they are few, and frames cost more than their rows."""
     return sorted((r for f in frames for r in zip(*[f[c].tolist() for c in columns])), key=by)

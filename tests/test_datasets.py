@@ -191,6 +191,34 @@ def test_live_replay_marks_late_events(spark):
     assert (last.concealed, last.scores[2], last.sticks, last.reach, last.kyoku_ord) == ([13, 11, 13, 13], 24000, 2, [False, False, True, False], 1)
 
 
+def test_live_replay_keeps_neighbouring_games_in_one_state(spark, monkeypatch):
+    """Games of a shelf, also one without a number, do not touch each other; a shelf is one state."""
+    from boardlake.streaming.run import drain, source
+
+    schema = "game long, seq long, ev_idx int, type string, actor int, n_consumed int, kyotaku int, scores array<int>"
+    rnd = random.Random(8)
+    games = [0, 1, 2, 63, 64, -1, -70, None]
+    kinds = ["start_kyoku", "tsumo", "dahai", "pon", "reach_accepted", "dora"]
+    rows = []
+    for g in games:
+        for q in range(30):
+            t = rnd.choice(kinds)
+            rows.append((g, q, 0, t, None if t in ("start_kyoku", "dora") else rnd.randrange(4), 2, q % 3, [20000 + 100 * q] * 4 if t == "start_kyoku" else None))
+    rnd.shuffle(rows)
+    slices = [[r for r in rows if lo <= r[1] < lo + 10] + [r for r in rows if r[0] == 1 and r[1] == lo - 2] for lo in (0, 10, 20)]
+    parts = [spark.createDataFrame(p, schema) for p in slices]
+    monkeypatch.setattr(replay_stream, "ROWS_OUT", 7)
+    shown = lambda d: sorted((tuple(r) for r in d.collect()), key=repr)
+    apart = shown(drain_growing([(p,) for p in parts], lambda s: replay_stream.replay(s, 1), "alone"))
+    assert len(apart) == len(rows) + 2 and sum(r[-1] for r in apart) == 2
+    into, out, check = (fresh_path(spark, n) for n in ("shelf-in", "shelf-out", "shelf-check"))
+    for p in parts:
+        p.write.mode("append").parquet(into)
+        drain(replay_stream.replay(source(spark, into, p.schema)), out, check)
+    assert shown(spark.read.parquet(out)) == apart
+    assert spark.read.format("statestore").load(check).count() == 4  # 0 with -1, 64, -70 and null
+
+
 def test_live_timers_lose_no_row_of_a_lagging_game(spark):
     from boardlake.streaming import timers
 
