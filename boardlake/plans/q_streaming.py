@@ -70,7 +70,9 @@ def g1(t):
 @query("g1_live_boards", ORACLES["g1_board_states"])
 def g1_boards(t):
     """The batch states of every record, from a log that lands in slices."""
-    out = drain_growing([(p,) for p in _slices(t.mj)], lambda s: board_stream.boards(s, 0), "boards", apart="late", store=STORE)
+    slices = _slices(t.mj)
+    shelf = _shelf(t.mj, slices)
+    out = drain_growing([(p,) for p in slices], lambda s: board_stream.boards(s, 0, shelf), "boards", apart="late", store=STORE)
     return QB.texts(out.filter("NOT late"))
 
 

@@ -1,9 +1,10 @@
-"""Live boards: the whole board of every record while the log arrives (G1), one keyed state per zone."""
+"""Live boards: the whole board of every record while the log arrives (G1), kept for shelves of neighbouring games."""
 
 from __future__ import annotations
 
+import json
 from collections import Counter, namedtuple
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import dims
-from .timers import in_order
+from .timers import ROWS_OUT, SHELF, by_game, in_order, shelved
 
 #: What the processor reads of an event; columns that a log lacks are read as null.
 EVENT = {"seq": "long", "ev_idx": "int", "type": "string", "actor": "int", "target": "int", "id": "int", "pai": "string", "consumed": "array<string>",
@@ -22,7 +23,6 @@ SCALARS = ("last_seq long, last_idx int, hero int, kyoku_ord long, open boolean,
            "declared array<boolean>, reach array<boolean>, scores array<int>, side array<int>, concealed array<int>, sticks int, owed int, "
            "last_actor int, left_tiles int, n_discards long")
 _Event = namedtuple("_Event", EVENT)
-LAID = "seat int, pai string, tsumogiri boolean, riichi boolean, called boolean"
 MELD = "type string, tiles array<string>, called string, added string, from_seat int"
 TILE = "pai string, tsumogiri boolean, riichi boolean, sideways boolean"
 
@@ -35,8 +35,9 @@ _RIVER, _SETS = f"rivers array<array<struct<{_fields(TILE)}>>>", f"melds array<a
 _COLUMNS = ["game long", "seq long", "kyoku_ord long", "open boolean", "r_bakaze string", "r_kyoku int", "r_honba int", "r_oya int", "hero int",
             "hand array<string>", "drawn string", "dora array<string>", _RIVER, _SETS, "reach array<boolean>", "scores array<int>", "side array<int>",
             "concealed array<int>", "sticks int", "owed int", "last_actor int", "left_tiles int", "n_discards long", "late boolean"]
-BOARD = ", ".join(_COLUMNS)
+BOARD = ", ".join({_RIVER: "rivers string", _SETS: "melds string"}.get(c, c) for c in _COLUMNS)  # zones of structs leave Python as JSON
 _NAMES = [c.split()[0] for c in SCALARS.split(", ")]
+_json = json.JSONEncoder(separators=(",", ":")).encode
 _RANK = {t: i for i, t in enumerate(dims.HAND_ORDER)}
 _OWN = {t for t in dims.TILES if t != "back"}
 
@@ -65,6 +66,7 @@ class Board:
 
     def __init__(self, scalars: dict, hand: Counter, laid: list[list], sets: list[list], dora: list[str]):
         self.s, self.hand, self.laid, self.sets, self.dora = scalars, hand, laid, sets, dora
+        self._rivers, self._melds = [None] * 4, [None] * 4  # texts by seat, until something on them changes
 
     @staticmethod
     def new(hero: int) -> "Board":
@@ -76,6 +78,7 @@ class Board:
         self.s.update(open=open_, r_bakaze=bakaze, r_kyoku=kyoku, r_honba=honba, r_oya=oya, drawn=None, declared=[False] * 4, reach=[False] * 4,
                       scores=scores, side=[0] * 4, concealed=[13] * 4, sticks=sticks, owed=-1, last_actor=-1, left_tiles=None, n_discards=0)
         self.hand, self.laid, self.sets, self.dora = Counter(), [], [], []
+        self._rivers, self._melds = [None] * 4, [None] * 4
 
     def take(self, tiles: list[str]) -> None:
         """Tiles leave the hero's hand; a red five that is not there takes a plain one, others that are not there change nothing."""
@@ -88,7 +91,7 @@ class Board:
     def apply(self, e: Any) -> None:
         """One event. Events without an actor change only the round, the indicators and the count."""
         s, t = self.s, e.type
-        f = {c: _known(getattr(e, c)) for c in EVENT}
+        f = dict(zip(EVENT, map(_known, e)))
         consumed = list(f["consumed"]) if f["consumed"] is not None else []
         if t == "start_kyoku":
             points = [int(x) for x in f["scores"]] if f["scores"] is not None else []
@@ -131,6 +134,7 @@ class Board:
         elif t == "dahai":
             s["concealed"][a] -= 1
             self.laid.append([a, pai, bool(f["tsumogiri"]), s["declared"][a], False])
+            self._rivers[a] = None
             s["declared"][a] = False
             if s["owed"] == a:
                 s["owed"] = -1
@@ -147,10 +151,12 @@ class Board:
 
     def _meld(self, a: int, t: str, f: dict, consumed: list[str]) -> None:
         pai = f["pai"]
+        self._melds[a] = None
         if t in dims.CLAIM_EVENTS:
             open_ = [d for d in self.laid if d[0] == f["target"] and not d[4]]
             if open_:
                 open_[-1][4] = True
+                self._rivers[f["target"]] = None
             self.sets.append([a, t, _shown([pai, *consumed]), pai, "", int(f["target"])])
         elif t == "ankan":
             self.sets.append([a, t, _shown(consumed), "", "", a])
@@ -172,86 +178,88 @@ class Board:
 
     def row(self, game: int, seq: int, late: bool) -> dict:
         out = {k: list(v) if isinstance(v, list) else v for k, v in self.s.items() if k not in ("last_seq", "last_idx", "declared")}
-        out.update(game=game, seq=seq, hand=_shown(list(self.hand.elements())), dora=list(self.dora), rivers=[self.river(x) for x in range(4)],
-                   melds=[self.melds(x) for x in range(4)], late=late)
+        out.update(game=game, seq=seq, hand=_shown(list(self.hand.elements())), dora=list(self.dora), rivers=self._text(self._rivers, self.river),
+                   melds=self._text(self._melds, self.melds), late=late)
         return out
 
+    @staticmethod
+    def _text(seats: list[str | None], zone: Callable[[int], list[dict]]) -> str:
+        """The zone of all seats as JSON."""
+        for x, t in enumerate(seats):
+            if t is None:
+                seats[x] = _json(zone(x))
+        return f"[{','.join(seats)}]"
+
 
 class LiveBoard(StatefulProcessor):
-    """Scalars as a value, the hand as a map of counts, discards, sets and indicators as lists."""
+    """The boards of a shelf of neighbouring games as one value, a JSON text that is read and written once a call."""
 
     def __init__(self, hero: int):
         self.hero = hero
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.scalars = handle.getValueState("scalars", SCALARS)
-        self.hand = handle.getMapState("hand", "tile string", "n int")
-        self.laid = handle.getListState("laid", LAID)
-        self.sets = handle.getListState("sets", f"seat int, {MELD}")
-        self.dora = handle.getListState("dora", "tile string")
-
-    def _load(self) -> tuple[Board, dict, list[list[tuple]]]:
-        """The board, and the tiles and rows that its states hold, so that only what changes is written."""
-        if not self.scalars.exists():
-            return Board.new(self.hero), {}, [[], [], []]
-        held = {n: list(v) if isinstance(v, (list, tuple)) or hasattr(v, "tolist") else v for n, v in zip(_NAMES, self.scalars.get())}
-        sets = [[list(v) if i == 2 else v for i, v in enumerate(m)] for m in self.sets.get()]
-        b = Board(held, Counter({k[0]: v[0] for k, v in self.hand.iterator()}), [list(d) for d in self.laid.get()], sets, [d[0] for d in self.dora.get()])
-        return b, dict(b.hand), self._rows(b)
+        self.boards = handle.getValueState("boards", "boards string")
 
-    @staticmethod
-    def _rows(b: Board) -> list[list[tuple]]:
-        return [[tuple(d) for d in b.laid], [tuple(list(v) if i == 2 else v for i, v in enumerate(m)) for m in b.sets], [(d,) for d in b.dora]]
-
-    def _save(self, b: Board, hand: dict, rows: list[list[tuple]]) -> None:
-        self.scalars.update(tuple(b.s[n] for n in _NAMES))
-        for tile in hand.keys() | b.hand.keys():
-            n = b.hand.get(tile, 0)
-            if n > 0 and n != hand.get(tile):
-                self.hand.updateValue((tile,), (n,))
-            elif n <= 0 and tile in hand:
-                self.hand.removeKey((tile,))
-        for state, was, now in zip((self.laid, self.sets, self.dora), rows, self._rows(b)):
-            if now[:len(was)] != was:
-                state.clear()
-                was = []
-            if len(now) > len(was):
-                state.appendList(now[len(was):])
+    def _load(self) -> dict[int | None, Board]:
+        if not self.boards.exists():
+            return {}
+        return {g: Board(dict(zip(_NAMES, s)), Counter(hand), *zones) for g, s, hand, *zones in json.loads(self.boards.get()[0])}
+
+    def _save(self, held: dict[int | None, Board]) -> None:
+        rows = [[g, [b.s[n] for n in _NAMES], {t: n for t, n in b.hand.items() if n > 0}, b.laid, b.sets, b.dora] for g, b in held.items()]
+        self.boards.update((_json(rows),))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = map(_Event._make, in_order(rows, list(EVENT), lambda r: (r[0], r[1])))
-        b, hand, held = self._load()
-        last = (b.s["last_seq"], b.s["last_idx"])
-        done, late = {}, []
-        for e in batch:
-            if (e.seq, e.ev_idx) <= last:
-                late.append(int(e.seq))
+        held, out = self._load(), []
+        for game, events in by_game(key, in_order(rows, ["game", *EVENT], lambda r: (r[1], r[2]))):
+            if game not in held:
+                held[game] = Board.new(self.hero)
+            b = held[game]
+            for row in self._states(game, b, (_Event._make(r[1:]) for r in events)):
+                out.append(row)
+                if len(out) == ROWS_OUT:
+                    yield _shown_rows(out)
+                    out = []
+        self._save(held)
+        yield _shown_rows(out)
+
+    @staticmethod
+    def _states(game: int | None, b: Board, events: Iterator[Any]) -> Iterator[dict]:
+        """A row per record after its last event, then the late records on the board as it is."""
+        last, late, new = (b.s["last_seq"], b.s["last_idx"]), set(), False
+        for e in events:
+            at = (int(e.seq), int(e.ev_idx))
+            if at <= last:
+                late.add(at[0])
                 continue
-            if done and int(e.seq) != last[0]:
-                done[last[0]] = done[last[0]] or b.row(key[0], last[0], False)
+            if new and at[0] != last[0]:
+                yield b.row(game, last[0], False)
             b.apply(e)
-            last = (int(e.seq), int(e.ev_idx))
-            done[last[0]] = None
-        if done:
-            done[last[0]] = b.row(key[0], last[0], False)
+            last, new = at, True
+        if new:
+            yield b.row(game, last[0], False)
         b.s["last_seq"], b.s["last_idx"] = last
-        self._save(b, hand, held)
-        out = [*done.values(), *[b.row(key[0], seq, True) for seq in sorted(set(late))]]
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _COLUMNS], dtype=object)
+        for seq in sorted(late):
+            yield b.row(game, seq, True)
 
     def close(self) -> None:
         pass
 
 
-def boards(events: DataFrame, hero: int = -1) -> DataFrame:
+def _shown_rows(rows: list[dict]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _COLUMNS], dtype=object)
+
+
+def boards(events: DataFrame, hero: int = -1, shelf: int = SHELF) -> DataFrame:
     """G1: the board after every record of a stream, with the columns of `board.board_states` and ``late``.
 
     ``hero`` is the player's seat until a ``start_game`` event tells it (column ``id``). A record's events land in one
     micro-batch. Events at or before the last one applied to their game change nothing: their record comes out once more with
-    ``late`` set and the board as it is; write the two apart (`run.drain` with ``apart="late"``). State and row are as large as a
-    board, and a task holds the rows that one micro-batch brings of a game. Needs a state store that keeps several states per key (`run.STORE`).
+    ``late`` set and the board as it is; write the two apart (`run.drain` with ``apart="late"``). ``shelf`` neighbouring games share a
+    call and a state, which is as large as their boards; pass a shelf of one where single games bring many rows. Needs `run.STORE`.
     """
     lacks = {c: F.lit(None).cast(t) for c, t in EVENT.items() if c not in events.columns}
     d = events.withColumns(lacks) if lacks else events
-    return d.select("game", *[F.col(c).cast(t).alias(c) for c, t in EVENT.items()]).groupBy("game").transformWithStateInPandas(
+    rows = shelved(d.select("game", *[F.col(c).cast(t).alias(c) for c, t in EVENT.items()]), list(EVENT), shelf).transformWithStateInPandas(
         LiveBoard(hero), BOARD, "append", "None")
+    return rows.withColumns({c.split()[0]: F.from_json(c.split()[0], c.split(" ", 1)[1]) for c in (_RIVER, _SETS)})

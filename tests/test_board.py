@@ -127,6 +127,26 @@ def test_live_boards_equal_the_batch_and_late_events_lie_apart(spark):
     assert late == [((1, s), at["kyoku_ord"]) for s in (3, 4)]
 
 
+def test_live_boards_of_neighbouring_games_share_a_state(spark, monkeypatch):
+    from boardlake.session import fresh_path
+    from boardlake.streaming.run import drain, source
+
+    rows = [(g + shift, *r[1:]) for shift in (0, 100) for r in random_log(5) for g in [r[0]]]
+    parts = [spark.createDataFrame([r for r in rows if lo <= r[1] < lo + 60], SCHEMA) for lo in (0, 60)]
+    monkeypatch.setattr(board_stream, "ROWS_OUT", 7)
+    shown = lambda d: sorted(map(str, d.collect()))
+    into, out, check = (fresh_path(spark, n) for n in ("shelf-in", "shelf-out", "shelf-check"))
+    for p in parts:
+        p.write.mode("append").parquet(into)
+        live = board_stream.boards(source(spark, into, p.schema), 0)
+        drain(live, out, check, store=STORE)
+    alone = drain_growing([(p,) for p in parts], lambda s: board_stream.boards(s, 0, 1), "alone", store=STORE)
+    assert shown(spark.read.schema(live.schema).parquet(out)) == shown(alone)
+    assert len({r[0] for r in rows}) > 2
+    states = spark.read.format("statestore").option("stateVarName", "boards").load(check)
+    assert states.count() == len({r[0] // 64 for r in rows})
+
+
 def test_live_hero_and_odd_events(spark):
     """A log without the fields of a deal: the seat comes from the log, events without an actor change no seat."""
     schema = "game long, seq long, ev_idx int, type string, actor int, pai string, id int"
