@@ -187,7 +187,8 @@ class Board:
         """The zone of all seats as JSON."""
         for x, t in enumerate(seats):
             if t is None:
-                seats[x] = _json(zone(x))
+                shown = zone(x)
+                seats[x] = _json(shown) if shown else "[]"
         return f"[{','.join(seats)}]"
 
 
